@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import sharding, url_filter
+from tidemark.llm import bpe, decontamination, language_id, sharding, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_decontamination": decontamination.op2_decontamination,
+        "op8_language_id": language_id.op8_language_id,
+        "op9_bpe": bpe.op9_bpe,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_sharding": sharding.op6_sharding,
     }
