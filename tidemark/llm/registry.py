@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontamination, language_id, sharding, toxicity, url_filter
+from tidemark.llm import bpe, decontamination, jaccard_join, language_id, sharding, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": decontamination.op2_decontamination,
         "op8_language_id": language_id.op8_language_id,
         "op9_bpe": bpe.op9_bpe,
+        "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_sharding": sharding.op6_sharding,
     }

@@ -1,7 +1,7 @@
 """Toxicity: logistic regression by FTRL-proximal over hashed word n-grams and skip-grams.
 
-Features of a text: its words (lower-cased runs of letters and digits), neighbouring pairs, and pairs with one word
-skipped, hashed into ``2**BITS`` weights; a feature's value is its count, at most 3. FTRL-proximal keeps two numbers a
+Features of a text: its words (lower-cased runs of letters and digits), longer words cut to their first ``STEMS`` bytes, neighbouring
+pairs, and pairs with one word skipped, hashed into ``2**BITS`` weights; a feature's value is its count, at most 3. FTRL-proximal keeps two numbers a
 coordinate, gives each its own learning rate, and sets a weight to exactly 0 until its gradients outgrow ``L1``: what is
 broadcast is the short list of weights that are left (its length is bounded by ``2**BITS`` and by the training sample).
 
@@ -29,7 +29,9 @@ from tidemark.llm.textbuf import Words, mix, pieces, utf8
 BITS = 20
 #: Learnable labelled rows that are fitted, at most.
 SAMPLE = 20_000
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.15, 1.0, 1.5, 1.0
+EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 5.0, 1.0
+#: Words over so many bytes also count cut to them: inflected and compounded forms share a weight.
+STEMS = (5, 7)
 MOST = 3
 
 
@@ -45,9 +47,13 @@ KINDS = _kinds()
 
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of every word, pair and skip-pair."""
+    """(text, feature) of every word, stem, pair and skip-pair."""
     h, of = w.hash, w.text_of_word()
     out, texts = [h], [of]
+    for k in STEMS:
+        longer = w.stop - w.start > k
+        out.append(mix(w.span(w.start[longer], w.start[longer] + k) + np.uint64(k)))
+        texts.append(of[longer])
     for gap, salt in ((1, 0x5851F42D4C957F2D), (2, 0x14057B7EF767814F)):
         same = of[gap:] == of[:-gap]
         out.append(mix(h[:-gap] * np.uint64(3) + h[gap:] * np.uint64(salt))[same])
@@ -91,7 +97,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in pieces(off):
             t, f, x = counted(*features(Words(data, off, a, b, KINDS, latin=True)))
             cut = np.searchsorted(t, np.arange(b - a + 1))
-            rows += [(int(order[a + i]), f[cut[i] : cut[i + 1]].astype(np.int32), x[cut[i] : cut[i + 1]].astype(np.float32), int(y[a + i])) for i in range(b - a)]
+            rows += [(int(order[a + i]), f[cut[i] : cut[i + 1]].astype(np.int32), x[cut[i] : cut[i + 1]].astype(np.uint8), int(y[a + i])) for i in range(b - a)]
     rows.sort(key=lambda r: r[0])
     ones = sum(r[3] for r in rows)
     if 0 < ones < len(rows):
