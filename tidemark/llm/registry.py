@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontamination, jaccard_join, language_id, sharding, toxicity, url_filter
+from tidemark.llm import bpe, decontamination, jaccard_join, language_id, multi_index, sharding, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language_id.op8_language_id,
         "op9_bpe": bpe.op9_bpe,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op3_multi_index": multi_index.op3_multi_index,
+        "op7_warc": warc.op7_warc,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_sharding": sharding.op6_sharding,
     }
