@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontamination, jaccard_join, language_id, multi_index, sharding, toxicity, url_filter, warc
+from tidemark.llm import bpe, decontamination, html_extraction, jaccard_join, language_id, multi_index, sharding, toxicity, url_filter, warc
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, one after the other."""
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op3_multi_index": multi_index.op3_multi_index,
         "op7_warc": warc.op7_warc,
+        "op4_html_extraction": html_extraction.op4_html_extraction,
+        "pipeline": _pipeline,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_sharding": sharding.op6_sharding,
     }
