@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- HTML and sections -------------------------------------------------------------------------
 
@@ -40,7 +41,7 @@ def plain_text(page: str | None) -> str:
     return html.unescape("".join(p.parts)).replace("\xa0", " ").replace("​", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text(s: pd.Series) -> pd.Series:
     return s.map(plain_text)
 
@@ -79,7 +80,7 @@ def section(text: str, name: str, least: int = 1500, skip: int = 500, most: int
     return None
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def sections(s: pd.Series) -> pd.Series:
     """All sections that are there."""
     return s.map(lambda t: {k: v for k in SECTIONS if (v := section(t or "", k)) is not None})
@@ -98,7 +99,7 @@ def clean_text(c: Column, most: int | None = None) -> Column:
     return F.trim(v)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def html_tables(s: pd.Series) -> pd.Series:
     """The cells of each table joined by `` | ``, where they are over 50 characters."""
 

@@ -91,4 +91,4 @@ def alternate(df: DataFrame, by: str, name: str) -> DataFrame:
 def stratified(df: DataFrame, strata: list[str], key: str, n: int, seed: str = "20260829") -> DataFrame:
     """``n`` rows of each stratum, by a hash of key and seed: the same rows on any cluster."""
     w = Window.partitionBy(*strata).orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed))), key)
-    return df.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
+    return df.withColumn("k", F.row_number().over(w).cast("long")).where(F.col("k") <= n)

@@ -24,6 +24,8 @@ def match_events(events: DataFrame, gold: DataFrame, threshold: float = 60.0) ->
     """doc, i, j, score. ``events`` (doc, i, text) and ``gold`` (doc, j, text); a document's events are few, and meet in one group."""
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame([], columns=["doc", "i", "j", "score"])
         scores = [(t.token_set_ratio(t.normalised(x), t.normalised(y)), int(i), int(j)) for i, x in zip(a.i, a.text, strict=True) for j, y in zip(b.j, b.text, strict=True)]
         return pd.DataFrame([(key[0], *r) for r in greedy(scores, threshold)], columns=["doc", "i", "j", "score"])
 
@@ -59,5 +61,5 @@ def run_pairs(runs: DataFrame, key: str, run: str, items: str) -> DataFrame:
 
 def agreement(runs: DataFrame, key: str, col: str, n_runs: int) -> DataFrame:
     """n_docs and the share of keys with all runs there on which they agree."""
-    per = runs.groupBy(key).agg(F.count(col).alias("n"), F.count_distinct(col).alias("k")).where(F.col("n") == n_runs)
-    return per.agg(F.count(F.lit(1)).alias("n_docs"), F.avg((F.col("k") == 1).cast("double")).alias("agreement"))
+    per = runs.groupBy(key).agg(F.count(col).alias("__n"), F.count_distinct(col).alias("__k")).where(F.col("__n") == n_runs)
+    return per.agg(F.count(F.lit(1)).alias("n_docs"), F.avg((F.col("__k") == 1).cast("double")).alias("agreement"))

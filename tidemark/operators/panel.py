@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-BY = Window.partitionBy("ticker").orderBy("date")
+
+def by_ticker() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def grid(df: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
@@ -17,19 +19,19 @@ def grid(df: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
 
 
 def trailing_mean(df: DataFrame, col: str, rows: int) -> DataFrame:
-    return df.withColumn(col, F.avg(col).over(BY.rowsBetween(1 - rows, 0)))
+    return df.withColumn(col, F.avg(col).over(by_ticker().rowsBetween(1 - rows, 0)))
 
 
 def ffill(df: DataFrame, col: str, limit: int | None = 5) -> DataFrame:
     """Last value not NULL of the ``limit`` rows before; ``None``: without limit."""
     low = Window.unboundedPreceding if limit is None else -limit
-    return df.withColumn(col, F.last(col, ignorenulls=True).over(BY.rowsBetween(low, 0)))
+    return df.withColumn(col, F.last(col, ignorenulls=True).over(by_ticker().rowsBetween(low, 0)))
 
 
 def returns(df: DataFrame, pad: bool = True) -> DataFrame:
     """ticker, date, ret: simple returns. ``pad``: gaps are filled without limit first."""
     filled = ffill(df, "close", None) if pad else df
-    return filled.select("ticker", "date", (F.try_divide(F.col("close"), F.lag("close").over(BY)) - 1).alias("ret"))
+    return filled.select("ticker", "date", (F.try_divide(F.col("close"), F.lag("close").over(by_ticker())) - 1).alias("ret"))
 
 
 def complete_dates(rets: DataFrame, universe: DataFrame | None = None) -> DataFrame:
@@ -41,11 +43,11 @@ def complete_dates(rets: DataFrame, universe: DataFrame | None = None) -> DataFr
 
 def momentum(df: DataFrame) -> DataFrame:
     """ret_1m (21 rows), ret_3m (63 rows), vol_60d, in percent; NULL while fewer than 63 (64 for 3m) rows exist."""
-    n = F.row_number().over(BY)
-    ret = F.try_divide(F.col("close"), F.lag("close").over(BY)) - 1
+    n = F.row_number().over(by_ticker())
+    ret = F.try_divide(F.col("close"), F.lag("close").over(by_ticker())) - 1
     base = df.where("close is not null").withColumn("n", n).withColumn("ret", ret)
-    back = lambda k: F.try_divide(F.col("close"), F.lag("close", k).over(BY)) * 100 - 100
-    vol = F.stddev_samp("ret").over(BY.rowsBetween(-59, 0)) * F.sqrt(F.lit(252.0)) * 100
+    back = lambda k: F.try_divide(F.col("close"), F.lag("close", k).over(by_ticker())) * 100 - 100
+    vol = F.stddev_samp("ret").over(by_ticker().rowsBetween(-59, 0)) * F.sqrt(F.lit(252.0)) * 100
     return base.select(
         "ticker",
         "date",
@@ -57,7 +59,7 @@ def momentum(df: DataFrame) -> DataFrame:
 
 def forward_return(df: DataFrame, horizon: int = 63) -> DataFrame:
     """ticker, date, fwd: return over the next ``horizon`` rows; NULL off the end or from a price that is not positive."""
-    ahead = F.lead("close", horizon).over(BY)
+    ahead = F.lead("close", horizon).over(by_ticker())
     return df.where("close is not null").select("ticker", "date", F.when(F.col("close") > 0, F.try_divide(ahead, F.col("close")) - 1).alias("fwd"))
 
 

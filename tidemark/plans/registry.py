@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market
+from tidemark.plans import filings, market
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (market,):
+for _part in (market, filings):
     QUERIES |= _part.Q
     ORACLES |= _part.SQL
