@@ -26,10 +26,11 @@ def match_events(events: DataFrame, gold: DataFrame, threshold: float = 60.0) ->
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame([], columns=["doc", "i", "j", "score"])
-        scores = [(t.token_set_ratio(t.normalised(x), t.normalised(y)), int(i), int(j)) for i, x in zip(a.i, a.text, strict=True) for j, y in zip(b.j, b.text, strict=True)]
+        scores = [(t.token_set_ratio(t.normalised(x), t.normalised(y)), int(i), int(j)) for i, x in zip(a.i, a.text, strict=True) for j, y in zip(b.j, b.gold_text, strict=True)]
         return pd.DataFrame([(key[0], *r) for r in greedy(scores, threshold)], columns=["doc", "i", "j", "score"])
 
-    return events.groupBy("doc").cogroup(gold.groupBy("doc")).applyInPandas(run, "doc long, i long, j long, score double")
+    own = gold.select(F.col("doc").alias("gold_doc"), "j", F.col("text").alias("gold_text"))
+    return events.select("doc", "i", "text").groupBy("doc").cogroup(own.groupBy("gold_doc")).applyInPandas(run, "doc long, i long, j long, score double")
 
 
 def scoreboard(docs: DataFrame) -> DataFrame:

@@ -252,7 +252,7 @@ def factor_attribution(spark: SparkSession, sf: str) -> DataFrame:
     net = d.backtested(spark, sf)[0]
     wide = net.where("strategy <> 'equal_weight'").groupBy("date").pivot("strategy", ["top_n_views", "bottom_n_views"]).agg(F.first("ret"))
     ls = wide.select(F.lit("long_short").alias("strategy"), "date", (F.col("top_n_views") - F.col("bottom_n_views")).alias("y")).where("y is not null")
-    y = net.select("strategy", "date", (F.col("ret") - 0.02 / 252).alias("y")).unionByName(ls).join(factors(spark, sf), "date")
+    y = net.select("strategy", "date", (F.col("ret") - 0.02 / 252).alias("y")).unionByName(ls).join(factors(spark, sf), "date").persist()
     out = None
     for model, names in {"capm": ["mkt"], "two": ["mkt", "smb"], "three": ["mkt", "smb", "alt"]}.items():
         own = stats.ols(y, "strategy", "y", names).withColumn("model", F.lit(model))
