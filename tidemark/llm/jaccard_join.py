@@ -9,14 +9,14 @@ a signature. No set above the threshold is missed.
 
 Sets that share a signature are candidates, and a signature's bucket may hold very many. Buckets are never paired out:
 
-1. every set is checked against one member only, the least set of the bucket it shares most signatures with;
-   linked components are formed;
-2. buckets whose members are all of one component are finished. In the others, only pairs of different
-   components are looked at, in blocks of ``BLOCK`` members, and only those survive whose 64-cell counts leave the threshold
-   possible (the cells' differences never exceed the sets'); these are checked exactly, and components joined.
-
-So every link between different components has been checked, and components are exact, while a group of near copies costs
-about one check a member. Signatures are shuffled once, with the class only; sets are recomputed from the
+1. every set is checked against one member only, the centre of most of its buckets (the member whose buckets are
+   largest); linked components are formed;
+2. buckets whose members are all of one component are finished. The members of the others form clusters, whose sets meet in blocks of
+   ``BLOCK``; all intersections of a pair of blocks are one product of 0/1 matrices, and of the links only a spanning
+   forest leaves a task: fewer rows than it read.
+
+So all pairs that share an unfinished bucket have been checked, and components are exact, while copies that link to
+their origin cost one check each. Signatures are shuffled once, with the class only; sets are recomputed from the
 texts of candidates.
 
 Cases: null and empty texts, and texts without a word, have an empty set and link with nothing; a text with fewer words
@@ -41,9 +41,8 @@ from tidemark.llm.textbuf import Words, ascii_lower, mix, pieces, utf8
 #: Bytes that separate words, and the byte that stands for NUL, which is a character of words.
 KIND = ascii_lower(b"\t\n\x0b\x0c\r ")
 KIND[0] = 0xFF
-#: Members of a block in which a bucket's pairs of different components are looked at.
-BLOCK = 1024
-CELLS = 64
+#: Sets, and bytes of sets, of a block; entries of the 0/1 matrix that a block's sets are spread into at a time.
+BLOCK, BLOCK_BYTES, COLUMNS = 1024, 8 << 20, 4 << 20
 #: Classes that a task remembers, so that copies in one task give their signatures once.
 SEEN = 500_000
 
@@ -127,10 +126,6 @@ def signatures(sets: list[np.ndarray], num: int, den: int, parts: int) -> tuple[
     return np.concatenate(whose), np.concatenate(sigs)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
-
-
 def linked(common: int, a: int, b: int, num: int, den: int) -> bool:
     return den * common >= num * (a + b - common)
 
@@ -236,53 +231,86 @@ def checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(fits).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def unresolved(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: pairs of different components that share a bucket and that the cells' counts let link.
+def forest(sets: list[np.ndarray], blk: np.ndarray | None, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (i, j) that span the components of all links; with ``blk``, of the links between different blocks only.
+
+    Intersections of all pairs are a product of 0/1 matrices over the features that two sets or more have, some thousand columns at a
+    time; of the links only a spanning forest leaves, fewer than there are sets.
+    """
+    m, sizes = len(sets), np.array([len(s) for s in sets], np.float64)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), sizes.astype(np.int64))
+    shared = count > 1
+    column, owner = (np.cumsum(shared) - 1)[column[shared[column]]], owner[shared[column]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((m, m), np.float32)
+    width = max(256, COLUMNS // max(m, 1))
+    for low in range(0, int(shared.sum()), width):
+        s, e = np.searchsorted(column, [low, low + width])
+        a = np.zeros((m, width), np.float32)
+        a[owner[s:e], column[s:e] - low] = 1
+        common += a @ a.T
+    link = common.astype(np.float64) * (den + num) >= num * (sizes[:, None] + sizes[None, :])
+    if blk is not None:
+        link &= blk[:, None] != blk[None, :]
+    np.fill_diagonal(link, False)
+    left, out = np.ones(m, bool), []
+    for root in range(m):
+        if not left[root]:
+            continue
+        left[root] = False
+        todo = [root]
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(link[i] & left)
+            left[new] = False
+            out += [(i, int(j)) for j in new]
+            todo += new.tolist()
+    return out
+
+
+def unresolved(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: links that join the components which share a bucket, as far as sets link.
 
-    ``rows``: sig, fp, comp, n, cells. Buckets over ``BLOCK`` members are dealt out in pairs of blocks.
+    ``rows``: sig, fp, comp. Members of buckets of two components or more form clusters (what shares a bucket is in one). Each
+    cluster's sets meet in blocks of ``BLOCK`` sets or ``BLOCK_BYTES`` at most; a block is sent once to each other block of its cluster.
     """
-    stats = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo <> hi")
-    open_ = rows.join(stats.select("sig", F.ceil(F.col("g") / BLOCK).cast("int").alias("nb")), "sig")
-    own = open_.withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("sig", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "fp", "comp", "n", "cells")
+    stats = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("fp").alias("least")).where("lo <> hi")
+    open_ = materialise(rows.join(stats.select("sig", "least"), "sig").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct(), "open")
+    clusters = materialise(components(open_), "clusters")
+    own = clusters.select(F.col("node").alias("fp"), F.col("comp").alias("cluster")).join(sets.select("fp", "n", "members"), "fp")
+    size = own.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("nb"))
+    blocked = own.join(size, "cluster").withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
+    dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.select("cluster", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "fp", "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def pairs(t: pa.Table) -> pa.RecordBatch:
-            fp, comp, n, blk = (t.column(c).to_numpy() for c in ("fp", "comp", "n", "blk"))
-            cells = np.frombuffer(b"".join(t.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
-            key = np.stack([t.column(c).to_numpy() for c in ("sig", "p", "q")], 1)
-            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
-            found: set[tuple[int, int]] = set()
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
-                solo = key[s, 1] == key[s, 2]
-                for i in range(s, e - 1):
-                    j = np.arange(i + 1, e)
-                    ok = (comp[j] != comp[i]) & (den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i])) & (solo | (blk[j] != blk[i]))
-                    j = j[ok]
-                    if len(j):
-                        far = np.abs(cells[j] - cells[i]).sum(1)
-                        j = j[far * (den + num) <= (n[j] + n[i]) * (den - num)]
-                        found.update((min(int(fp[i]), int(x)), max(int(fp[i]), int(x))) for x in fp[j])
-            got = sorted(found)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
-
-        for batch in batches:  # a group of a pair of blocks is never cut: the tail waits for the next batch
+        held: list[pa.Table] = []
+
+        def links(t: pa.Table) -> list[tuple[int, int]]:
+            fp, blk = t.column("fp").to_numpy(), t.column("blk").to_numpy()
+            members = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
+            solo = t.column("p")[0] == t.column("q")[0]
+            return [(int(fp[i]), int(fp[j])) for i, j in forest(members, None if solo else blk, num, den)] if len(fp) > 1 else []
+
+        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:  # a pair of blocks is never cut: its rows wait for the next batch
             if not batch.num_rows:
                 continue
-            t = pa.Table.from_batches([*held, batch])
-            key = [t.column(c).to_numpy() for c in ("sig", "p", "q")]
-            same = np.logical_and.reduce([k == k[-1] for k in key])
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if cut:
-                yield pairs(t.slice(0, cut).combine_chunks())
-            held = t.slice(cut).combine_chunks().to_batches()
+            t = pa.concat_tables([*held, pa.Table.from_batches([batch])])
+            key = np.stack([t.column(c).to_numpy() for c in ("cluster", "p", "q")], 1)
+            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])).tolist()
+            found = [x for s, e in zip(edge, edge[1:], strict=False) for x in links(t.slice(s, e - s))]
+            if found:
+                yield out(found)
+            held = [t.slice(edge[-1])]
         if held:
-            yield pairs(pa.Table.from_batches(held).combine_chunks())
+            yield out(links(held[0]))
 
-    return dealt.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, parts: int = 3) -> DataFrame:
@@ -295,19 +323,23 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, sets in _sets(batches, words):
-            yield pa.RecordBatch.from_arrays([batch.column("fp").slice(a, b - a), batch.column("n").slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], names=["fp", "n", "members", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column("fp").slice(a, b - a), batch.column("n").slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "n", "members"])
 
     texts = docs.join(members.select(F.col("rep").alias("doc_id"), "fp", "n"), "doc_id").select("fp", "n", "text")
-    sets = materialise(texts.mapInArrow(run, "fp long, n long, members binary, cells binary"), "sets").dropDuplicates(["fp"])
-
-    votes = multi.where("fp <> least").groupBy("fp", "least").agg(F.count(F.lit(1)).alias("c"))
-    best = votes.groupBy("fp").agg(F.max(F.struct("c", (-F.col("least").cast("decimal(20,0)")).alias("o"), "least")).alias("s"))
-    first = materialise(checked(best.select(F.col("fp").alias("a"), F.col("s.least").alias("b")), sets, num, den), "first")
+    sets = materialise(texts.mapInArrow(run, "fp long, n long, members binary"), "sets").dropDuplicates(["fp"])
+
+    # a bucket's centre: the member whose buckets are largest, as a rule the text that the others were made from
+    held = multi.join(multi.groupBy("sig").agg(F.count(F.lit(1)).alias("g")), "sig").select("sig", "fp", "g")
+    known = held.join(held.groupBy("fp").agg(F.sum("g").alias("pop")), "fp").select("sig", "fp", "pop")
+    centre = known.groupBy("sig").agg(F.max(F.struct("pop", "fp")).alias("c")).select("sig", "c.pop", F.col("c.fp").alias("centre"))
+    votes = multi.select("sig", "fp").join(centre, "sig").where("fp <> centre").groupBy("fp", "centre").agg(F.count(F.lit(1)).alias("c"), F.max("pop").alias("pop"))
+    best = votes.groupBy("fp").agg(F.max(F.struct("c", "pop", "centre")).alias("s"))
+    first = materialise(checked(best.select(F.col("fp").alias("a"), F.col("s.centre").alias("b")), sets, num, den), "first")
     label = materialise(components(first), "components")
 
     rows = multi.select("sig", "fp").join(label.select(F.col("node").alias("fp"), "comp"), "fp", "left")
-    rows = rows.select("sig", "fp", F.coalesce("comp", "fp").alias("comp")).join(sets.select("fp", "n", "cells"), "fp")
-    second = materialise(checked(unresolved(rows, num, den), sets, num, den), "second")
+    rows = rows.select("sig", "fp", F.coalesce("comp", "fp").alias("comp"))
+    second = materialise(unresolved(rows, sets, num, den), "second")
     up = label.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
     contracted = second.join(up, "a", "left").join(up.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left")
     again = materialise(components(contracted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "again")
