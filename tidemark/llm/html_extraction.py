@@ -38,12 +38,14 @@ from tidemark.llm.common import table
 SAMPLE = 2_000
 #: Weight of smoothness edges: between neighbours, and between blocks with one parent.
 NEAR, KIN = 0.35, 0.6
+#: Ancestors that a block remembers for its distance to others.
+DEPTH = 16
 
 SKIPPED = frozenset("script style head template noscript svg math select option textarea iframe object canvas audio video button title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br".split())
 #: Elements that a new block-level start tag closes if they are open innermost.
-CLOSES = {"p": frozenset(["p"]), "li": frozenset(["p", "li"]), "dt": frozenset(["p", "dt", "dd"]), "dd": frozenset(["p", "dt", "dd"]), "tr": frozenset(["p", "td", "th", "tr"]), "td": frozenset(["p", "td", "th"]), "th": frozenset(["p", "td", "th"])}
+CLOSES = {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "tr": ("p", "td", "th", "tr"), "td": ("p", "td", "th"), "th": ("p", "td", "th")}
 #: Enclosing elements and class words that tell of boilerplate and of content.
 BAD_TAGS = frozenset("nav footer aside form header menu dialog fieldset".split())
 GOOD_TAGS = frozenset("article main".split())
@@ -84,8 +86,9 @@ def _evidence(tag: str, attrs: str) -> tuple[int, int, bool]:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in its order."""
     out: list[Block] = []
-    # open elements: name, number, boilerplate and content evidence so far, block-level
-    stack: list[tuple[str, int, int, int, bool]] = [("", 0, 0, 0, True)]
+    # open elements: name, boilerplate and content evidence so far, place and name of the innermost block, its last ancestors
+    stack: list[tuple[str, int, int, int, str, tuple[int, ...]]] = [("", 0, 0, 0, "", (0,))]
+    opened: dict[str, int] = {}
     parts: list[str] = []
     links = serial = 0
     in_link = 0
@@ -96,12 +99,16 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _BLANK.sub(" ", _html.unescape("".join(parts))).strip()
             if text:
-                top = next(e for e in reversed(stack) if e[4])
-                path = tuple(e[1] for e in stack if e[4])
-                out.append(Block(text, links, top[0], path, stack[-1][2], stack[-1][3]))
+                _, bad, good, _, tag, path = stack[-1]
+                out.append(Block(text, links, tag, path, bad, good))
             parts.clear()
         links = 0
 
+    def close(at: int) -> None:
+        for e in stack[at:]:
+            opened[e[0]] -= 1
+        del stack[at:]
+
     while pos < n:
         m = _TAG.search(page, pos)
         if m is None:
@@ -121,9 +128,11 @@ def blocks(page: str) -> list[Block]:
                 continue
             if name not in INLINE:
                 flush()
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if at and not (name in INLINE and any(e[4] for e in stack[at + 1 :])):
-                del stack[at:]
+            if opened.get(name):
+                low = stack[-1][3] if name in INLINE else 0  # an inline end tag does not close the block it stands in
+                at = next((i for i in range(len(stack) - 1, low, -1) if stack[i][0] == name), 0)
+                if at:
+                    close(at)
             if name == "a":
                 in_link = max(0, in_link - 1)
             continue
@@ -146,22 +155,24 @@ def blocks(page: str) -> list[Block]:
         if name in INLINE:
             if name == "a":
                 in_link += 1
-            serial += 1
-            stack.append((name, serial, stack[-1][2] | bad, 0 if bad else stack[-1][3], False))
+            top = stack[-1]
+            stack.append((name, top[1] | bad, 0 if bad else top[2], *top[3:]))
+            opened[name] = opened.get(name, 0) + 1
             continue
         flush()
-        for closed in CLOSES.get(name, CLOSES["p"]):
-            block = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][4]), 0)
+        for closed in CLOSES.get(name, ("p",)):
+            block = stack[-1][3]
             if block and stack[block][0] == closed:
-                del stack[block:]
+                close(block)
         serial += 1
         top = stack[-1]
-        if name == "header" and top[3]:  # an article's own header is content
+        if name == "header" and top[2]:  # an article's own header is content
             bad = 0
         if name == "body":  # its classes tell of the whole page
             bad = good = 0
-        bad |= top[2]  # content inside boilerplate stays boilerplate
-        stack.append((name, serial, bad, 0 if bad else top[3] | good, True))
+        bad |= top[1]  # content inside boilerplate stays boilerplate
+        stack.append((name, bad, 0 if bad else top[2] | good, len(stack), name, (*top[5][-DEPTH:], serial)))
+        opened[name] = opened.get(name, 0) + 1
     flush()
     return out
 
@@ -271,7 +282,7 @@ def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
     for i, b in enumerate(bs):
         if i:
             a = bs[i - 1]
-            common = sum(1 for x, y in zip(a.path, b.path, strict=False) if x == y)
+            common = len({*a.path} & {*b.path})
             apart = len(a.path) + len(b.path) - 2 * common
             crossing = (a.bad, a.good) != (b.bad, b.good)
             out.append((i - 1, i, NEAR * (0.3 if crossing else 1.0) / max(1, apart - 1)))
