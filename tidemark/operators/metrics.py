@@ -37,7 +37,7 @@ def metrics(rets: DataFrame, rf: float = 0.02) -> DataFrame:
         ratio(F.col("ann_return") - rf, "ann_vol").alias("sharpe"),
         ratio(F.col("ann_return") - rf, "down").alias("sortino"),
         "max_drawdown",
-        F.when(F.col("max_drawdown") == 0, 0.0).otherwise(F.col("ann_return") / F.abs("max_drawdown")).alias("calmar"),
+        F.when(F.col("max_drawdown") == 0, 0.0).otherwise((F.col("ann_return") - rf) / F.abs("max_drawdown")).alias("calmar"),
     )
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
-def existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def existing(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The sink's rows, none where it is not there yet."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -20,7 +21,7 @@ def todo(df: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
 def append_new(df: DataFrame, path: str, key: list[str]) -> None:
     """Appends the rows whose keys the sink lacks."""
     spark = df.sparkSession
-    todo(df, existing(spark, path, df.schema.simpleString()[7:-1]), key).write.mode("append").parquet(path)
+    todo(df, existing(spark, path, df.schema), key).write.mode("append").parquet(path)
 
 
 def recompute(df: DataFrame, done: DataFrame, bad, key: list[str]) -> tuple[DataFrame, DataFrame]:
