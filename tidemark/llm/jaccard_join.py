@@ -2,10 +2,12 @@
 
 Texts become sets of hashed word shingles; equal sets are one class. Sizes fall in bands whose bounds differ by the
 threshold, so that linked sets lie in one band or two neighbouring ones, and differ by at most ``k`` members
-(symmetric difference). For each such pair of bands the feature domain is split by a hash into ``ceil((k+1)/2)``
+(symmetric difference). For each such pair of bands the feature domain is split by a hash into ``k // 2 + 1``
 groups of ``parts`` parts. By pigeonhole one group of a linked pair holds at most one differing member, hence all but one of
 its parts agree: each subset that leaves one part out is hashed with its features, and linked sets share
-a signature. No set above the threshold is missed.
+a signature. Some groups are spare: with ``s`` of them a linked pair shares ``s + 1`` signatures or more, so a set with at most ``s``
+signatures of no feature, or of one, leaves these out: they would throw unrelated texts together. A shared signature has the
+same features on both sides, so of a linked pair one always stays. No pair above the threshold is missed.
 
 Sets that share a signature are candidates, and a signature's bucket may hold very many. Buckets are never paired out:
 
@@ -33,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import materialise, table
 from tidemark.llm.graph import components
@@ -41,6 +44,10 @@ from tidemark.llm.textbuf import Words, ascii_lower, mix, pieces, utf8
 #: Bytes that separate words, and the byte that stands for NUL, which is a character of words.
 KIND = ascii_lower(b"\t\n\x0b\x0c\r ")
 KIND[0] = 0xFF
+#: One group in so many is spare: a set leaves out signatures of fewer than two features if it has no more of them than spare groups.
+SPARE = 8
+#: Candidate classes that may be broadcast to the texts' scan (counted first); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Sets, and bytes of sets, of a block; entries of the 0/1 matrix that a block's sets are spread into at a time.
 BLOCK, BLOCK_BYTES, COLUMNS = 1024, 8 << 20, 4 << 20
 #: Classes that a task remembers, so that copies in one task give their signatures once.
@@ -102,25 +109,28 @@ def signatures(sets: list[np.ndarray], num: int, den: int, parts: int) -> tuple[
     whose, sigs = [], []
     for up in (0, 1):
         tag = band + up
-        groups = (differing(bands(num, den)[tag], num, den) + 2) // 2
-        live = np.flatnonzero((sizes > 0) & (differing(bands(num, den)[tag], num, den) > 0))
+        most = differing(bands(num, den)[tag], num, den)
+        live = np.flatnonzero((sizes > 0) & (most > 0))
         if not len(live):
             continue
-        g, t = groups[live], tag[live].astype(np.uint64)
+        spare = (most[live] // 2 + 1) // SPARE
+        g, t = most[live] // 2 + 1 + spare, tag[live].astype(np.uint64)
         start = np.concatenate([[0], np.cumsum(g * parts)])
         each = np.repeat(np.arange(len(live)), sizes[live])
         values = np.concatenate([sets[i] for i in live])
-        place = (mix(values + (t * np.uint64(0x9E3779B97F4A7C15))[each]) % (g * parts).astype(np.uint64)[each]).astype(np.int64)
+        place = start[:-1][each] + (mix(values + (t * np.uint64(0x9E3779B97F4A7C15))[each]) % (g * parts).astype(np.uint64)[each]).astype(np.int64)
         sums = np.zeros(start[-1], np.uint64)
-        np.add.at(sums, start[:-1][each] + place, mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+        np.add.at(sums, place, mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+        held = np.bincount(place, minlength=start[-1]).reshape(-1, parts)
         by = sums.reshape(-1, parts)
         rest = by.sum(1, dtype=np.uint64)[:, None] - by  # of the group, all but one part
-        row = np.arange(len(rest))
+        small = held.sum(1)[:, None] - held < 2
         owner = np.repeat(np.arange(len(live)), g)
-        within = (row - (start[:-1] // parts)[owner]).astype(np.uint64)
+        drop = small & (np.bincount(owner, small.sum(1), minlength=len(live)) <= spare)[owner][:, None]
+        within = (np.arange(len(rest)) - (start[:-1] // parts)[owner]).astype(np.uint64)
         salt = (t[owner] << np.uint64(40)) + (within << np.uint64(8))
-        sigs.append(mix(rest + mix(salt[:, None] + np.arange(parts, dtype=np.uint64)[None, :])).ravel())
-        whose.append(np.repeat(live[owner], parts))
+        sigs.append(mix(rest + mix(salt[:, None] + np.arange(parts, dtype=np.uint64)[None, :]))[~drop])
+        whose.append(np.repeat(live[owner], parts).reshape(-1, parts)[~drop])
     if not sigs:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(whose), np.concatenate(sigs)
@@ -174,7 +184,7 @@ def signed(docs: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """sig, fp, least: the members of buckets of two classes or more, with the bucket's least class.
+    """sig, fp, size: the members of buckets of two classes or more, with the bucket's size as far as a batch shows it.
 
     Rows come by signature and class; what a task holds over from one batch to the next is one row.
     """
@@ -204,9 +214,9 @@ def buckets(rows: DataFrame) -> DataFrame:
                 goes[: size[0]] = True
             last = (int(s[-1]), int(least[-1]), int(f[-1]), not goes[-1])
             if goes.any():
-                yield pa.RecordBatch.from_arrays([pa.array(s[goes]), pa.array(f[goes]), pa.array(least[goes])], names=["sig", "fp", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(s[goes]), pa.array(f[goes]), pa.array(np.repeat(size, size)[goes])], names=["sig", "fp", "size"])
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(run, "sig long, fp long, least long")
+    return rows.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(run, "sig long, fp long, size long")
 
 
 def checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -319,20 +329,23 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     base = materialise(sized(docs, words), "sized")
     classes = materialise(base.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     multi = materialise(buckets(signed(docs, words, num, den, parts)), "buckets")
-    members = multi.select("fp").distinct().join(classes, "fp")
+    members = materialise(multi.select("fp").distinct().join(classes, "fp"), "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, sets in _sets(batches, words):
-            yield pa.RecordBatch.from_arrays([batch.column("fp").slice(a, b - a), batch.column("n").slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "n", "members"])
+            fp = batch.column("fp").slice(a, b - a).to_numpy()
+            own = [i for i, s in enumerate(sets) if fingerprint(s) == fp[i]]  # an id may be repeated with another text
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array([len(sets[i]) for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["fp", "n", "members"])
 
-    texts = docs.join(members.select(F.col("rep").alias("doc_id"), "fp", "n"), "doc_id").select("fp", "n", "text")
-    sets = materialise(texts.mapInArrow(run, "fp long, n long, members binary"), "sets").dropDuplicates(["fp"])
+    wanted = members.select(F.col("rep").alias("doc_id"), "fp")
+    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "doc_id").select("fp", "text")
+    sets = materialise(texts.mapInArrow(run, "fp long, n long, members binary"), "sets")
 
     # a bucket's centre: the member whose buckets are largest, as a rule the text that the others were made from
-    held = multi.join(multi.groupBy("sig").agg(F.count(F.lit(1)).alias("g")), "sig").select("sig", "fp", "g")
-    known = held.join(held.groupBy("fp").agg(F.sum("g").alias("pop")), "fp").select("sig", "fp", "pop")
-    centre = known.groupBy("sig").agg(F.max(F.struct("pop", "fp")).alias("c")).select("sig", "c.pop", F.col("c.fp").alias("centre"))
-    votes = multi.select("sig", "fp").join(centre, "sig").where("fp <> centre").groupBy("fp", "centre").agg(F.count(F.lit(1)).alias("c"), F.max("pop").alias("pop"))
+    known = multi.join(multi.groupBy("fp").agg(F.sum("size").alias("pop")), "fp").select("sig", "fp", F.struct("pop", "fp").alias("c"))
+    centred = known.withColumn("c", F.max("c").over(Window.partitionBy("sig"))).where("fp <> c.fp")
+    votes = centred.groupBy("fp", F.col("c.fp").alias("centre")).agg(F.count(F.lit(1)).alias("c"), F.max("c.pop").alias("pop"))
     best = votes.groupBy("fp").agg(F.max(F.struct("c", "pop", "centre")).alias("s"))
     first = materialise(checked(best.select(F.col("fp").alias("a"), F.col("s.centre").alias("b")), sets, num, den), "first")
     label = materialise(components(first), "components")
@@ -352,7 +365,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, parts: int = 2) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, parts: int = 3) -> DataFrame:
     """``docs`` with one document of each group of near copies, that of the least id; all columns stay.
     Rows that repeat an id are near copies or not by their own texts; of equal ids that both stay, all rows stay. Null ids stay."""
     parted = jaccard_components(docs, words, num, den, parts)
