@@ -8,7 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The categories that facts may carry.
-RISK_CATEGORIES = ("supply_chain", "competition", "regulatory", "cybersecurity", "macroeconomic", "litigation", "technology", "financial", "operational", "environmental", "geopolitical", "talent", "reputation", "market", "customer_concentration", "intellectual_property", "tax", "health_safety", "other")
+RISK_CATEGORIES = (
+    "competition", "regulatory", "supply_chain", "cybersecurity", "macroeconomic", "market", "credit", "liquidity", "operational", "financial",
+    "investment", "legal", "environmental", "geopolitical", "technology", "reputation", "strategic", "labor", "other",
+)
 SEVERITIES = ("high", "medium", "low")
 SENTIMENTS = ("confident", "optimistic", "neutral", "cautious", "concerned")
 CONFIDENCES = ("high", "medium", "low")

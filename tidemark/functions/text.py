@@ -51,12 +51,24 @@ def looks_like_toc(c: Column) -> Column:
     return F.size(F.regexp_extract_all(F.substring(c, 1, 2000), F.lit(r"([A-Za-z]{3,}\s*\d{1,3})(?=[A-Z]|\s|$)"), F.lit(1))) > 10
 
 
-# Where sections begin, in the order in which the patterns are tried.
+# Where sections begin, in the order in which the patterns are tried; case does not matter.
 SECTIONS: dict[str, tuple[str, ...]] = {
-    "mda": (r"item\s+7\.?\s*management.s\s+discussion", r"item\s+2\.?\s*management.s\s+discussion", r"management.s\s+discussion\s+and\s+analysis"),
-    "risk_factors": (r"item\s+1a\.?\s*risk\s+factors", r"risk\s+factors"),
-    "liquidity": (r"liquidity\s+and\s+capital\s+resources",),
-    "business": (r"item\s+1\.?\s*business", r"business\s+overview"),
+    "risk_factors": (
+        r"STRATEGIC\s+RISKS\.?\s*Strategic\s+risk",
+        r"ITEM\s+1A[.\s:\-–—]+RISK\s+FACTORS",
+        r"ITEM\s+1A[.\s:\-–—]+\(?RISK\s+FACTORS",
+        r"Item\s+1A[.\s:\-–—]+Business\s+Risk",
+        r"(?:^|\s{2,})RISK\s+FACTORS(?:\s*$|\s{2,})",
+        r"Risk\s+Factors\s+and\s+Cautionary\s+Statements",
+    ),
+    "mda": (
+        r"ITEM\s*7[.\s:\-]+MANAGEMENT.{0,5}S?\s+DISCUSSION\s+AND\s+ANALYSIS",
+        r"ITEM\s*2[.\s:\-]+MANAGEMENT.{0,5}S?\s+DISCUSSION\s+AND\s+ANALYSIS",
+        r"Management.{0,5}s?\s+Discussion\s+and\s+Analysis\s+of\s+Financial",
+        r"FINANCIAL\s+REVIEW\s+Results\s+of\s+Operations",
+    ),
+    "liquidity": (r"Liquidity\s+and\s+Capital\s+Resources", r"Financial\s+Condition,?\s+Liquidity"),
+    "business": (r"ITEM\s*1[.\s:\-]+BUSINESS",),
 }
 _NEXT = re.compile(r"(?:^|\n)\s*ITEM\s+\d+[A-Z]?\.\s*[A-Z]", re.I)
 _TOC = re.compile(r"[A-Za-z]{3,}\s*\d{1,3}(?=[A-Z]|\s|$)")
