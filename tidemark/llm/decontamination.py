@@ -92,7 +92,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] =
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones; all columns stay. Rows with a null id stay if their text is clean."""
+    """``docs`` without the contaminated ones; all columns stay. An id goes with all its rows, and so do null ids, if the text of one of them is contaminated."""
     bad = contamination(docs, benchmark).select("doc_id").distinct()
     return docs.join(bad.withColumnRenamed("doc_id", "__bad"), F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
 
