@@ -197,8 +197,13 @@ def budgeted(parts: DataFrame, key: str, budget: int, order: tuple[str, ...] = (
 # --- Normalisation and similarity --------------------------------------------------------------
 
 # Characters that count as plain ones, and those that are dropped.
-PLAIN = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-", " ": " ", " ": " ", " ": " ", "　": " "}
-DROPPED = "­​﻿"
+PLAIN = {
+    "\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201b": "'",
+    "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u201f": '"',
+    "\u2013": "-", "\u2014": "-", "\u2012": "-", "\u2015": "-", "\u2212": "-",
+    "\u00a0": " ", "\u2007": " ", "\u202f": " ", "\u2009": " ",
+}
+DROPPED = "\u00ad\u200b"
 _MAP = str.maketrans(PLAIN | dict.fromkeys(DROPPED, ""))
 
 

@@ -253,7 +253,8 @@ def cleaned_text(spark: SparkSession, sf: str) -> DataFrame:
     return d.table(spark, sf, "documents").select("doc_id", F.md5(t.clean_text(F.col("text"), 300)).alias("h"))
 
 
-NORM = "trim(regexp_replace(lower(translate(translate({c}, '‘’‚‛“”„‐‑‒–—―−   　', '''''''''\"\"\"-------    '), '­​⁠﻿', '')), '\\s+', ' ', 'g'))"
+_FROM, _TO = "".join(t.PLAIN), "".join(t.PLAIN.values()).replace("'", "''")
+NORM = f"trim(regexp_replace(lower(translate(translate({{c}}, '{_FROM}', '{_TO}'), '{t.DROPPED}', '')), '\\s+', ' ', 'g'))"
 
 
 @query(f"SELECT d.doc_id, b.item_id FROM (SELECT doc_id, {NORM.format(c='text')} AS x FROM documents) d JOIN (SELECT item_id, {NORM.format(c='text')} AS y FROM benchmark) b ON length(y) > 0 AND contains(x, y)")
