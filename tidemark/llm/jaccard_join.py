@@ -5,9 +5,10 @@ threshold, so that linked sets lie in one band or two neighbouring ones, and dif
 (symmetric difference). For each such pair of bands the feature domain is split by a hash into ``k // 2 + 1``
 groups of ``parts`` parts. By pigeonhole one group of a linked pair holds at most one differing member, hence all but one of
 its parts agree: each subset that leaves one part out is hashed with its features, and linked sets share
-a signature. Some groups are spare: with ``s`` of them a linked pair shares ``s + 1`` signatures or more, so a set with at most ``s``
-signatures of no feature, or of one, leaves these out: they would throw unrelated texts together. A shared signature has the
-same features on both sides, so of a linked pair one always stays. No pair above the threshold is missed.
+a signature. Some groups are spare: with ``s`` of them a linked pair shares ``s + 1`` signatures or more. So a set with at most ``s``
+signatures of no feature leaves these out, with at most ``s`` of one or none all those, and so on: they would throw unrelated
+texts together. A shared signature has the same features on both sides, so what either side leaves out is what the one that
+leaves out more does: at most ``s`` of the shared ones. No pair above the threshold is missed.
 
 Sets that share a signature are candidates, and a signature's bucket may hold very many. Buckets are never paired out:
 
@@ -37,14 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import materialise, table
+from tidemark.llm.common import materialise, release, table
 from tidemark.llm.graph import components
 from tidemark.llm.textbuf import Words, ascii_lower, mix, pieces, utf8
 
 #: Bytes that separate words, and the byte that stands for NUL, which is a character of words.
 KIND = ascii_lower(b"\t\n\x0b\x0c\r ")
 KIND[0] = 0xFF
-#: One group in so many is spare: a set leaves out signatures of fewer than two features if it has no more of them than spare groups.
+#: One group in so many is spare: a set leaves out signatures of fewest features, as many whole sizes as there are spare groups for.
 SPARE = 8
 #: Candidate classes that may be broadcast to the texts' scan (counted first); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -124,9 +125,11 @@ def signatures(sets: list[np.ndarray], num: int, den: int, parts: int) -> tuple[
         held = np.bincount(place, minlength=start[-1]).reshape(-1, parts)
         by = sums.reshape(-1, parts)
         rest = by.sum(1, dtype=np.uint64)[:, None] - by  # of the group, all but one part
-        small = held.sum(1)[:, None] - held < 2
+        left = held.sum(1)[:, None] - held
         owner = np.repeat(np.arange(len(live)), g)
-        drop = small & (np.bincount(owner, small.sum(1), minlength=len(live)) <= spare)[owner][:, None]
+        drop = np.zeros(left.shape, bool)
+        for few in (1, 2, 3):  # as far as the spare groups allow, those of no feature, then those of one, then of two
+            drop |= (left < few) & (np.bincount(owner, (left < few).sum(1), minlength=len(live)) <= spare)[owner][:, None]
         within = (np.arange(len(rest)) - (start[:-1] // parts)[owner]).astype(np.uint64)
         salt = (t[owner] << np.uint64(40)) + (within << np.uint64(8))
         sigs.append(mix(rest + mix(salt[:, None] + np.arange(parts, dtype=np.uint64)[None, :]))[~drop])
@@ -329,6 +332,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     base = materialise(sized(docs, words), "sized")
     classes = materialise(base.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     multi = materialise(buckets(signed(docs, words, num, den, parts)), "buckets")
+    release(docs.sparkSession)
     members = materialise(multi.select("fp").distinct().join(classes, "fp"), "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
