@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -234,35 +235,81 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * lcs(a, b) / (len(a) + len(b))
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best ``ratio`` of the shorter string with a window of the longer, of its length or cut off at an end.
+def _codes(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    """Both texts as numbers; characters of ``b`` that ``a`` lacks are -1."""
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    known, own = np.unique(x, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, y), len(known) - 1)
+    return own.astype(np.int32), np.where(known[at] == y, at, -1).astype(np.int32)
+
 
-    Windows that share no character count with the best so far are passed over: their characters' common number bounds the ratio.
+def window_lcs(pairs: list[tuple[str, str]]) -> list[np.ndarray]:
+    """For each (a, b), where every ``a`` has one length: length of the longest common subsequence of ``a`` with each window of ``b`` as long
+    as ``a``; the first window holds only the first character of ``b``, the last one only its last.
+
+    Semi-local LCS by combing: strands run from the top of the grid of ``a`` and ``b`` to its bottom, two that have crossed or meet at equal
+    characters turn, and a window's LCS is its length less the strands that begin and end inside it. A window lies in one block of 2n - 1
+    characters; all blocks of all pairs are combed at once, one antidiagonal a step.
     """
-    if len(a) > len(b):
-        a, b = b, a
-    n = len(a)
-    if not n:
-        return 100.0 if not b else 0.0
-    if a in b:
-        return 100.0
-    need = {c: a.count(c) for c in set(a)}
-    have: dict[str, int] = {}
-    common, best = 0, 0.0
-    for end in range(1, len(b) + n):
-        if end <= len(b):
-            c = b[end - 1]
-            have[c] = have.get(c, 0) + 1
-            common += have[c] <= need.get(c, 0)
-        start = end - n
-        if start > 0:
-            c = b[start - 1]
-            common -= have[c] <= need.get(c, 0)
-            have[c] -= 1
-        size = min(end, len(b)) - max(start, 0)
-        if size and 200.0 * common / (n + size) > best:
-            best = max(best, ratio(a, b[max(start, 0) : end]))
-    return best
+    n = len(pairs[0][0])
+    size, kind = 2 * n - 1, np.int16 if 3 * n < 32_000 else np.int32
+    counts = [-(-(len(b) + n - 1) // n) for _, b in pairs]
+    text, word, at, blocks = np.empty((size, sum(counts)), kind), np.empty((n, sum(counts)), kind), 0, sum(counts)
+    for (a, b), k in zip(pairs, counts, strict=True):
+        x, y = _codes(a, b)
+        padded = np.full((k + 1) * n, -1, np.int32)
+        padded[n - 1 : n - 1 + len(b)] = y
+        text[:, at : at + k] = np.lib.stride_tricks.sliding_window_view(padded, size)[: k * n : n].T
+        word[:, at : at + k] = x[::-1, None]
+        at += k
+    text, word = text.ravel(), word.ravel()
+    h, v = np.repeat(np.arange(n, dtype=kind), blocks), np.repeat(np.arange(n, n + size, dtype=kind), blocks)
+    for d in range(n + size - 1):
+        last, first = min(n - 1, d), max(0, d - size + 1)
+        i, j = slice((n - 1 - last) * blocks, (n - first) * blocks), slice((d - last) * blocks, (d - first + 1) * blocks)
+        left, top = h[i], v[j]
+        turned = np.minimum(left, top)
+        np.copyto(turned, top, where=word[i] == text[j])
+        top += left
+        top -= turned
+        left[:] = turned
+    begin, low = v.reshape(size, blocks).astype(np.int64) - n, np.maximum(np.arange(size)[:, None] - n + 1, 0)
+    e, k = np.nonzero(begin >= low)
+    inside = np.bincount(k * (size + 2) + low[e, 0], minlength=blocks * (size + 2)) - np.bincount(k * (size + 2) + begin[e, k] + 1, minlength=blocks * (size + 2))
+    found = (n - np.cumsum(inside.reshape(blocks, size + 2), axis=1)[:, :n]).ravel()
+    ends = np.cumsum(counts) * n
+    return [found[end - c * n :][: len(b) + n - 1] for (_, b), c, end in zip(pairs, counts, ends, strict=True)]
+
+
+#: Cells of an antidiagonal that are combed at once: small enough for the caches, large enough to outweigh a step's fixed cost.
+CELLS = 60_000
+
+
+def partial_ratios(pairs: list[tuple[str, str]]) -> list[float]:
+    """``partial_ratio`` of each pair, those of one length combed together."""
+    out, by = [0.0] * len(pairs), {}
+    for i, (a, b) in enumerate(pairs):
+        a, b = (b, a) if len(a) > len(b) else (a, b)
+        if a in b:
+            out[i] = 100.0 if a or not b else 0.0
+        else:
+            by.setdefault(len(a), []).append((i, a, b))
+    for n, own in by.items():
+        while own:
+            take, cells = [], 0
+            while own and (not take or cells < CELLS):
+                take.append(own.pop())
+                cells += len(take[-1][2]) + n
+            for (i, _, b), lcs_ in zip(take, window_lcs([x[1:] for x in take]), strict=True):
+                start = np.arange(1 - n, len(b))
+                sizes = np.minimum(start + n, len(b)) - np.maximum(start, 0)
+                out[i] = float((200.0 * lcs_ / (n + sizes)).max())
+    return out
+
+
+def partial_ratio(a: str, b: str) -> float:
+    """The best ``ratio`` of the shorter string with a window of the longer, of its length or cut off at an end."""
+    return partial_ratios([(a, b)])[0]
 
 
 def token_set_ratio(a: str, b: str) -> float:

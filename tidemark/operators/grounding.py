@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,17 +13,22 @@ from tidemark.functions import text as t
 RESULT = "grounded boolean, score double, method string"
 
 
+def checks(quotes: Iterable[str | None], docs: Iterable[str], least: int = 30, threshold: float = 90.0) -> list[tuple[bool, float, str]]:
+    """``docs`` are normalised already. Similarities of all quotes are found together."""
+    out, open_ = [], {}
+    for quote, doc in zip(quotes, docs, strict=True):
+        q = t.normalised(quote)
+        if q and q not in doc and len(q) >= least:
+            open_[len(out)] = (q, doc)
+        out.append((False, 0.0, "empty") if not q else (True, 100.0, "exact") if q in doc else (False, 0.0, "none"))
+    for i, s in zip(open_, t.partial_ratios(list(open_.values())), strict=True):
+        out[i] = (True, s, "fuzzy") if s >= threshold else (False, s, "none")
+    return out
+
+
 def check(quote: str | None, doc: str, least: int = 30, threshold: float = 90.0) -> tuple[bool, float, str]:
     """``doc`` is normalised already."""
-    q = t.normalised(quote)
-    if not q:
-        return False, 0.0, "empty"
-    if q in doc:
-        return True, 100.0, "exact"
-    if len(q) < least:
-        return False, 0.0, "none"
-    s = t.partial_ratio(q, doc)
-    return (True, s, "fuzzy") if s >= threshold else (False, s, "none")
+    return checks([quote], [doc], least, threshold)[0]
 
 
 def exact(df: DataFrame, quote: str = "quote", doc: str = "doc") -> DataFrame:
@@ -34,11 +41,11 @@ def grounded(df: DataFrame, quote: str = "quote", doc: str = "doc", least: int =
 
     @F.pandas_udf(RESULT)
     def fuzzy(q: pd.Series, d: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([check(a, t.normalised(b), least, threshold) for a, b in zip(q, d, strict=True)], columns=["grounded", "score", "method"])
+        return pd.DataFrame(checks(q, map(t.normalised, d), least, threshold), columns=["grounded", "score", "method"])
 
     own = exact(df, quote, doc)
     hit = own.where("exact").select(*df.columns, F.lit(True).alias("grounded"), F.lit(100.0).alias("score"), F.lit("exact").alias("method"))
-    rest = own.where("not coalesce(exact, false)").withColumn("__r", fuzzy(quote, doc)).select(*df.columns, "__r.grounded", "__r.score", "__r.method")
+    rest = own.where("not coalesce(exact, false)").drop("exact").repartition(df.sparkSession.sparkContext.defaultParallelism * 4).withColumn("__r", fuzzy(quote, doc)).select(*df.columns, "__r.grounded", "__r.score", "__r.method")
     return hit.unionByName(rest)
 
 

@@ -267,7 +267,7 @@ def exact_quotes(spark: SparkSession, sf: str) -> DataFrame:
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
     """Quotes cut from documents, some of them altered, and what kind of fact they carry."""
-    docs = d.table(spark, sf, "documents").where("n_chars between 400 and 3000")
+    docs = d.table(spark, sf, "documents")
     k = F.col("doc_id") % 4
     cut = F.substring("text", 50, 120)
     quote = F.when(k == 0, cut).when(k == 1, F.regexp_replace(cut, "e", "é")).when(k == 2, F.reverse(cut)).otherwise(F.lit(""))
@@ -329,7 +329,7 @@ def html_text(spark: SparkSession, sf: str) -> DataFrame:
 def filing_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Documents dressed as filings, cut into their sections again, with what is missing."""
     x = F.concat(F.lit("ITEM 1A. RISK FACTORS\n"), F.col("text"), F.lit("\nITEM 7. MANAGEMENT'S DISCUSSION AND ANALYSIS\n"), F.reverse("text"), F.lit("\nITEM 8. Financial Statements"))
-    own = d.table(spark, sf, "documents").where("n_chars > 1600").select("doc_id", t.sections(x).alias("s"))
+    own = d.table(spark, sf, "documents").select("doc_id", t.sections(x).alias("s"))
     return own.select("doc_id", F.array_sort(F.map_keys("s")).alias("found"), t.missing_sections(F.lit("10-K"), F.lit(2010), F.col("s")).alias("missing"), F.length(F.col("s")["mda"]).alias("n_mda"))
 
 
