@@ -46,3 +46,21 @@ def test_facts_and_sections_of_all_documents(spark, tmp_path):
     found = {r.doc_id: r for r in filings.Q["filing_sections"](spark, sf).collect()}
     assert set(found) == set(range(len(texts)))
     assert found[2].found == [] and found[2].missing == ["mda", "risk_factors"] and found[9].missing == []
+
+
+# --- matched events: whole texts, quotes too ---
+
+
+def test_matched_events_by_whole_texts_and_quotes(spark, tmp_path):
+    from tidemark.operators import evaluate
+
+    rng = random.Random(3)
+    same, alike = prose(rng, 60), prose(rng, 200)
+    turns = [(1, 0, "user", same + " " + alike), (1, 1, "assistant", same + " " + "9" * 1500), (2, 0, "user", "1" * 250 + " " + alike), (2, 1, "assistant", "2" * 250 + " " + alike), (3, 0, "user", None), (3, 1, "assistant", alike)]
+    sf = write(spark, tmp_path, "conversations", turns, "conv_id long, turn int, role string, text string")
+    got = {r.doc: r.score for r in filings.Q["matched_events"](spark, sf).collect()}
+    assert set(got) == {2} and got[2] > 80  # those of 1 agree in their first 200 characters alone, those of 2 only after them
+    e = spark.createDataFrame([(1, 0, "alpha beta", "the net income fell by a third in the year")], "doc long, i long, text string, quote string")
+    g = spark.createDataFrame([(1, 0, "gamma delta", "net income fell by a third")], "doc long, j long, text string, quote string")
+    assert [r.score for r in evaluate.match_events(e, g).collect()] == [100.0]
+    assert evaluate.match_events(e.withColumn("quote", e.quote.substr(1, 0)), g).count() == 0

@@ -21,16 +21,24 @@ def greedy(scores: list[tuple[float, int, int]], threshold: float = 60.0) -> lis
 
 
 def match_events(events: DataFrame, gold: DataFrame, threshold: float = 60.0) -> DataFrame:
-    """doc, i, j, score. ``events`` (doc, i, text) and ``gold`` (doc, j, text); a document's events are few, and meet in one group."""
+    """doc, i, j, score: the larger of the texts' ``token_set_ratio`` and the quotes' ``partial_ratio``, 0 where either is missing.
+
+    ``events`` (doc, i, text, quote) and ``gold`` (doc, j, text, quote); a document's events are few, and meet in one group.
+    """
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame([], columns=["doc", "i", "j", "score"])
-        scores = [(t.token_set_ratio(t.normalised(x), t.normalised(y)), int(i), int(j)) for i, x in zip(a.i, a.text, strict=True) for j, y in zip(b.j, b.gold_text, strict=True)]
+        left = [(int(i), t.normalised(x), t.normalised(q)) for i, x, q in zip(a.i, a.text, a.quote, strict=True)]
+        right = [(int(j), t.normalised(x), t.normalised(q)) for j, x, q in zip(b.j, b.gold_text, b.gold_quote, strict=True)]
+        both = [(x, y) for x in left for y in right]
+        quotes = t.partial_ratios([(x[2], y[2]) for x, y in both])
+        scores = [(max(t.token_set_ratio(x[1], y[1]), s if x[2] and y[2] else 0.0), x[0], y[0]) for (x, y), s in zip(both, quotes, strict=True)]
         return pd.DataFrame([(key[0], *r) for r in greedy(scores, threshold)], columns=["doc", "i", "j", "score"])
 
-    own = gold.select(F.col("doc").alias("gold_doc"), "j", F.col("text").alias("gold_text"))
-    return events.select("doc", "i", "text").groupBy("doc").cogroup(own.groupBy("gold_doc")).applyInPandas(run, "doc long, i long, j long, score double")
+    own = gold.select(F.col("doc").alias("gold_doc"), "j", F.col("text").alias("gold_text"), F.col("quote").alias("gold_quote"))
+    parts = events.sparkSession.sparkContext.defaultParallelism * 4  # given, as the groups' work is quadratic and small inputs would be coalesced
+    return events.select("doc", "i", "text", "quote").repartition(parts, "doc").groupBy("doc").cogroup(own.repartition(parts, "gold_doc").groupBy("gold_doc")).applyInPandas(run, "doc long, i long, j long, score double")
 
 
 def scoreboard(docs: DataFrame) -> DataFrame:

@@ -335,8 +335,8 @@ def filing_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def matched_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns of users against turns of assistants, greedily one to one."""
-    c = d.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), "turn", "role", F.left("text", F.lit(200)).alias("text"))
+    """Turns of users against turns of assistants, greedily one to one; a turn's text is its description and its quote."""
+    c = d.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), "turn", "role", "text", F.col("text").alias("quote"))
     return rounded(evaluate.match_events(c.where("role = 'user'").withColumnRenamed("turn", "i"), c.where("role = 'assistant'").withColumnRenamed("turn", "j"), 40.0))
 
 
