@@ -64,3 +64,14 @@ def test_matched_events_by_whole_texts_and_quotes(spark, tmp_path):
     g = spark.createDataFrame([(1, 0, "gamma delta", "net income fell by a third")], "doc long, j long, text string, quote string")
     assert [r.score for r in evaluate.match_events(e, g).collect()] == [100.0]
     assert evaluate.match_events(e.withColumn("quote", e.quote.substr(1, 0)), g).count() == 0
+
+
+# --- views and digests of whole texts ---
+
+
+def test_views_and_digests_cover_whole_texts(spark, tmp_path):
+    head = "word " * 100
+    sf = write(spark, tmp_path, "documents", [(i, head + x) for i, x in enumerate(("gains of all kinds", "losses", "a lawsuit", "new plants"))], "doc_id long, text string")
+    views = [tuple(r)[1:] for r in filings.Q["annotated_views"](spark, sf).collect()]
+    assert len(views) == 4 and len(set(map(str, views))) > 1
+    assert len({r.h for r in filings.Q["cleaned_whole_text"](spark, sf).collect()}) == 4

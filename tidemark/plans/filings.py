@@ -253,6 +253,12 @@ def cleaned_text(spark: SparkSession, sf: str) -> DataFrame:
     return d.table(spark, sf, "documents").select("doc_id", F.md5(t.clean_text(F.col("text"), 300)).alias("h"))
 
 
+@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '\\d+\\s*Table of Contents', '', 'g'))) AS h FROM documents")
+def cleaned_whole_text(spark: SparkSession, sf: str) -> DataFrame:
+    """As the reference's default, without truncation; ``cleaned_text`` shows the truncated form."""
+    return d.table(spark, sf, "documents").select("doc_id", F.md5(t.clean_text(F.col("text"))).alias("h"))
+
+
 _FROM, _TO = "".join(t.PLAIN), "".join(t.PLAIN.values()).replace("'", "''")
 NORM = f"trim(regexp_replace(lower(translate(translate({{c}}, '{_FROM}', '{_TO}'), '{t.DROPPED}', '')), '\\s+', ' ', 'g'))"
 
@@ -406,7 +412,7 @@ def allocations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def annotated_views(spark: SparkSession, sf: str) -> DataFrame:
-    docs = d.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Give a view on: "), F.left("text", F.lit(300))).alias("prompt"))
+    docs = d.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Give a view on: "), F.col("text")).alias("prompt"))
     return annotate.views(annotate.annotate(docs, "doc_id", "prompt"), "doc_id")
 
 
