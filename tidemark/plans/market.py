@@ -264,4 +264,4 @@ def factor_attribution(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def sharpe_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     """95 % interval of the Sharpe ratio by resampling days, each strategy a group."""
-    return rounded(stats.bootstrap_sharpe(d.backtested(spark, sf)[0], draws=2000))
+    return rounded(stats.bootstrap_sharpe(d.backtested(spark, sf)[0]))
