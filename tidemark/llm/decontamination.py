@@ -1,20 +1,27 @@
 """Benchmark decontamination by spaced seeds, on DataFrame functions alone.
 
 A text is a sequence of lower-cased words (runs of letters and digits). A seed is a fixed mask over
-consecutive words, such as ``1101100101``: the words under a 1 are hashed, those under a 0 are ignored, so
-a substituted word under a 0 does not break a hit, and several masks have their holes at different
-places. Every window of every document is hashed under every mask and joined with the hashes of the
-benchmark's windows. A hit gives a diagonal (window in the document minus window in the item). Around
-it the whole item is laid along the document, and its words are compared one by one: substituted words
-count as misses, and nothing else is tolerated. A document is contaminated by an item where
-at least ``min_share`` of the item's words, and at least ``min_words``, agree on one diagonal.
+consecutive words, such as ``1101``: the words under a 1 are hashed, those under a 0 are ignored. The six masks
+are all choices of three words out of five that begin with the first. Every window of every document is hashed
+under every mask and joined with the hashes of the benchmark's windows. A hit gives a diagonal (window in the
+document minus window in the item). Around it the whole item is laid along the document, and its words are
+compared one by one. A document is contaminated by an item where
+
+* at least ``min_share`` of the item's words, and at least ``min_words``, agree on one diagonal, or
+* a stretch of one diagonal scores ``overlap`` or more: its agreeing words less ``MISS`` for each other word, or
+* the item has fewer words than ``min_words``, and all of them stand in the document in a row.
+
+Every such alignment is hit. Where 60 % of ten words or more agree, some five in a row hold three that agree; 8 of 8
+or 9 do so too, and so does a stretch of the second kind. Of hits, only those are compared whose word before disagrees:
+the first hit of a diagonal is one, as three agreeing words of five with an agreeing word before them hit one word earlier.
+Diagonals are not joined: an item with a word inserted or dropped counts where one side of it passes alone.
 
 Scale: a document's windows are exploded, hashed, probed and dropped in one code-generated stage; only
 hits leave it, with the few words that the item covers. The benchmark's seeds are broadcast only where
 they are at most ``BROADCAST_ROWS`` (counted first), and are joined by a shuffle beyond.
 
-Cases: null and empty texts, and texts of fewer words than ``min_words``, have no windows and give no
-rows. Items shorter than the longest mask are hashed by one solid mask of their own length.
+Cases: null and empty texts have no windows and give no rows. Items of fewer than ``min_words`` words are hashed by
+one solid mask of their own length.
 Repeated documents each give their rows; repeated items too. Empty tables give an empty
 result. Further columns are ignored.
 """
@@ -28,10 +35,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
-#: Fixed masks; each begins and ends with a 1, and no ignored position is common to all three.
-MASKS = ("1110010111", "1101101011", "1011110101")
+#: Fixed masks: three words out of five, the first among them.
+MASKS = ("111", "1101", "11001", "1011", "10101", "10011")
 #: Of an item's words, the share that must agree on one diagonal, and their least number.
 MIN_SHARE, MIN_WORDS = 0.6, 8
+#: Least score of a stretch, and what a word that differs takes from it.
+OVERLAP, MISS = 13, 4
 #: Benchmark seeds that may be broadcast (about 40 bytes each); counted before the join.
 BROADCAST_ROWS = 2_000_000
 
@@ -47,48 +56,69 @@ def seed(toks: Column, at: Column, mask: str, tag: int) -> Column:
 
 
 def seeds(df: DataFrame, toks: str, masks: Sequence[str], at: str, out: str) -> DataFrame:
-    """A row for each window and mask: the window's position and its hash. No expression here falls back from code
-    generation: the words stay one array in the generated loop, and are copied for no window."""
-    n = F.size(toks) - max(map(len, masks))
+    """A row for each window and mask: the window's position, the mask's number and the hash; NULL where the mask passes the text's end.
+    No expression here falls back from code generation: the words stay one array in the generated loop, and are copied for no window."""
+    n = F.size(toks) - min(map(len, masks))
     each = df.withColumn(at, F.explode(F.when(n >= 0, F.sequence(F.lit(0), n))))
-    return each.withColumn(out, F.explode(F.array(*[seed(F.col(toks), F.col(at), m, i) for i, m in enumerate(masks)])))
+    own = [F.when(F.col(at) + len(m) <= F.size(toks), seed(F.col(toks), F.col(at), m, i)) for i, m in enumerate(masks)]
+    return each.withColumn(out, F.explode(F.array(*own))).where(F.col(out).isNotNull())
+
+
+def covered(toks: Column, item: Column, at: Column) -> Column:
+    """The document's words that the item lies on, from the item's word ``max(0, -at)`` on."""
+    return F.slice(toks, F.greatest(at, F.lit(0)) + 1, F.size(item) - F.greatest(F.lit(0), -at))
+
+
+def agreeing(cover: Column, item: Column, at: Column) -> Column:
+    """For each word of ``cover``, whether the item's agrees."""
+    back = F.greatest(F.lit(0), -at)
+    return F.zip_with(cover, F.slice(item, back + 1, F.size(item)), lambda a, b: F.coalesce(a == b, F.lit(False)))
 
 
-def diagonals(texts: DataFrame, items: DataFrame, masks: Sequence[str]) -> DataFrame:
-    """doc_id, item_id, at, item and cover (the document's words that the item lies on, from the item's
-    word ``max(0, -at)`` on): one row for each document, item and diagonal that a seed hits."""
+def score(same: Column) -> Column:
+    """The best stretch: its agreeing words less ``MISS`` for each other one."""
+    zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.greatest(F.lit(0), s["run"] + F.when(x, 1).otherwise(-MISS))
+        return F.struct(run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(same, zero, step, lambda s: s["best"])
+
+
+def judged(texts: DataFrame, items: DataFrame, masks: Sequence[str]) -> DataFrame:
+    """doc_id, item_id, item_words, matched_words, overlap, at of each diagonal that a seed hits."""
     tests = seeds(items, "item", masks, "j", "seed").select("seed", "item_id", "j", "item")
     windows = seeds(texts, "toks", masks, "i", "seed")
     at = F.col("i") - F.col("j")
-    cover = F.slice("toks", F.greatest(at, F.lit(0)) + 1, F.size("item") - F.greatest(F.lit(0), -at))
-    key = ["doc_id", "item_id", "at"]
+    cover = covered(F.col("toks"), F.col("item"), at)
+    begins = (F.col("i") == 0) | (F.col("j") == 0) | (F.get("toks", F.col("i") - 1) != F.get("item", F.col("j") - 1))
     if tests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        hits = windows.join(F.broadcast(tests), "seed").select("doc_id", "item_id", at.alias("at"), "item", cover.alias("cover"))
-        return hits.groupBy(*key).agg(F.first("item").alias("item"), F.first("cover").alias("cover"))
-    hits = windows.select("doc_id", "i", "seed").join(tests.select("seed", "item_id", "j"), "seed").select("doc_id", "item_id", at.alias("at")).distinct()
-    return hits.join(items, "item_id").join(texts, "doc_id").select(*key, "item", F.slice("toks", F.greatest(F.col("at"), F.lit(0)) + 1, F.size("item") - F.greatest(F.lit(0), -F.col("at"))).alias("cover"))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
+        # whole texts must not leave the generated loop: it holds all rows of a text at once
+        found = windows.join(F.broadcast(tests), "seed").where(begins).select("row", "doc_id", "item_id", F.xxhash64("item").alias("item_row"), at.alias("at"), "item", cover.alias("cover"))
+        hits = found.groupBy("row", "doc_id", "item_id", "item_row", "at").agg(F.first("item").alias("item"), F.first("cover").alias("cover"))
+    else:
+        # by a key of the row: ids may be null or repeated
+        pairs = windows.select("row", "i", "seed").join(tests.select("seed", F.xxhash64("item_id", "item").alias("item_row"), "j"), "seed").select("row", "item_row", at.alias("at")).distinct()
+        own = items.withColumn("item_row", F.xxhash64("item_id", "item")).dropDuplicates(["item_row"])
+        hits = pairs.join(own, "item_row").join(texts.dropDuplicates(["row"]), "row").select("doc_id", "item_id", "item", covered(F.col("toks"), F.col("item"), F.col("at")).alias("cover"), "at")
+    same = hits.withColumn("same", agreeing(F.col("cover"), F.col("item"), F.col("at")))
+    return same.select("doc_id", "item_id", F.size("item").alias("item_words"), F.size(F.filter("same", lambda x: x)).alias("matched_words"), score(F.col("same")).alias("overlap"), "at")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, item_id, item_words, matched_words, share, at (first word of the item in the document, from
-    0; negative where the document begins inside the item): one row for each document and item."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("item")).where(F.size("item") >= min_words)
-    width = max(map(len, masks))
-    texts = docs.select("doc_id", words(F.col("text")).alias("toks"))
-    hits = diagonals(texts, items.where(F.size("item") >= width), masks)
-    sizes = [r["n"] for r in items.where(F.size("item") < width).select(F.size("item").alias("n")).distinct().collect()]  # fewer than ``width``
-    for n in sorted(sizes):  # items shorter than the masks: by one solid mask of their own length
-        hits = hits.unionByName(diagonals(texts, items.where(F.size("item") == n), ["1" * n]))
-    same = F.aggregate(
-        F.zip_with("cover", F.slice("item", F.greatest(F.lit(0), -F.col("at")) + 1, F.size("item")), lambda a, b: (a == b).cast("int")),
-        F.lit(0),
-        lambda s, x: s + F.coalesce(x, F.lit(0)),
-    )
-    judged = hits.select("doc_id", "item_id", F.size("item").alias("item_words"), same.alias("matched_words"), "at")
-    kept = judged.where((F.col("matched_words") >= min_words) & (F.col("matched_words") >= F.lit(min_share) * F.col("item_words")))
-    best = kept.groupBy("doc_id", "item_id", "item_words").agg(F.max(F.struct("matched_words", (-F.col("at")).alias("back"))).alias("b"))
+    0; negative where the document begins inside the item), overlap (score of the diagonal's best stretch): one row for each document and item."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("item")).where(F.size("item") > 0)
+    texts = docs.select("doc_id", words(F.col("text")).alias("toks")).withColumn("row", F.xxhash64("doc_id", "toks"))
+    whole = (F.col("matched_words") >= min_words) & (F.col("matched_words") >= F.lit(min_share) * F.col("item_words"))
+    kept = judged(texts, items.where(F.size("item") >= min_words), masks).where(whole | (F.col("overlap") >= overlap))
+    sizes = [r["n"] for r in items.where(F.size("item") < min_words).select(F.size("item").alias("n")).distinct().collect()]  # fewer than ``min_words``
+    for n in sorted(sizes):  # short items: word for word, by one solid mask of their own length
+        kept = kept.unionByName(judged(texts, items.where(F.size("item") == n), ["1" * n]).where(F.col("matched_words") == n))
+    best = kept.groupBy("doc_id", "item_id", "item_words").agg(F.max(F.struct("matched_words", (-F.col("at")).alias("back"), "overlap")).alias("b"))
     share = F.round(F.col("b.matched_words") / F.col("item_words"), 6)
-    return best.select("doc_id", "item_id", "item_words", "b.matched_words", share.alias("share"), (-F.col("b.back")).alias("at"))
+    return best.select("doc_id", "item_id", "item_words", "b.matched_words", share.alias("share"), (-F.col("b.back")).alias("at"), "b.overlap")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
