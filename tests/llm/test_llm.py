@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontamination, html_extraction, jaccard_join, language_id, multi_index, sharding, toxicity, url_filter, warc
-from tidemark.llm.common import materialise, scratch
+from tidemark.llm.common import dealt_join, materialise, scratch
 from tidemark.llm.graph import components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -179,6 +179,45 @@ def test_jaccard_blocks_and_empty(spark, monkeypatch):
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
 
 
+def test_jaccard_signatures_of_many_classes_are_dealt_out(spark, monkeypatch):
+    rng = random.Random(12)
+    base = prose(rng, 60).split()
+    texts = [prose(rng, 40, 9000, "u") for _ in range(10)]
+    for _ in range(50):
+        w = base.copy()
+        for _ in range(rng.randrange(0, 3)):
+            w[rng.randrange(60)] = f"n{rng.randrange(999)}"
+        texts.append(" ".join(w))
+    texts.append(prose(rng, 30_000, 9000, "l"))
+    texts.append(" ".join([*texts[-1].split()[:29_000], "changed"]))
+    want = brute(texts, 5, 80)
+    monkeypatch.setattr(jaccard_join, "MANY", 3)
+    monkeypatch.setattr(jaccard_join, "PACK", 500)
+    d = docs(spark, texts).repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(d, 5, 80).collect()}
+    assert got == want and got[61][1] == 60
+
+
+def test_one_of_each_judges_rows_by_their_texts(spark):
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 50) for _ in range(3))
+    near = " ".join([*a.split()[:-1], "changed"])
+    rows = [(1, a, 7), (5, a, 7), (5, b, 7), (5, b, 7), (9, near, 7), (3, c, 7), (3, c.upper(), 7), (None, a, 7), (None, a, 7), (4, "", 7), (4, None, 7), (4, "", 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, digest long").withColumn("rep", F.lit("x"))
+    got = sorted(map(tuple, jaccard_join.one_of_each(d).select("doc_id", "text").collect()), key=str)
+    stays = [x for x in got if x[0] == 3]
+    assert jaccard_join.one_of_each(d).columns == d.columns and len(stays) == 1 and stays[0][1].lower() == c
+    assert [x for x in got if x[0] != 3] == sorted([(1, a), (5, b), (None, a), (None, a), (4, ""), (4, None), (4, "")], key=str)
+
+
+def test_hot_keys_join_alike(spark):
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(4000)] + [(None, -1)], "k long, i long")
+    right = spark.createDataFrame([(k, k * 2) for k in range(0, 4000, 2)] + [(1, 2)], "k long, v long")
+    for how in ("inner", "left", "left_anti"):
+        got = sorted(map(str, dealt_join(left, right, "k", how).collect()))
+        assert got == sorted(map(str, left.join(right, "k", how).collect())) and got
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)] + [(7, 7), (999, 999)]

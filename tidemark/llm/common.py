@@ -1,24 +1,32 @@
-"""What the operators share: the shared work folder, materialised tables, text columns."""
+"""What the operators share: the shared work folder, scratch tables and their removal, joins on hot keys, text columns."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Frees the shuffle files of a job as soon as it has ended: what it wrote is a finished table by then.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A key with more than a share of 1 / HOT of a table's rows is hot (so there are at most HOT); its rows are dealt to SPREAD tasks.
+HOT, SPREAD = 200, 32
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) is a local folder made and set.
+    Only a local session (tests, one machine) that names none gets a temporary folder; a cluster must name one.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     have = spark.conf.get("tidemark.shared.dir", None)
     if not have:
         have = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -32,19 +40,54 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and a lost
-    executor costs nothing that was finished."""
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Jobs in this block free their shuffle files when they end."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
+    with freeing(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now, not when the driver's heap happens to be collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and a lost
+    executor costs nothing that was finished. The table stays; ``Work`` removes its own."""
+    return _write(df, scratch(df.sparkSession, name))
+
+
+class Work:
+    """Scratch tables of one operator; those still there are removed at the end of the block."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """``materialise``, and ``name`` replaces the table that had it before."""
+        path = scratch(self.spark, name)
+        out = _write(df, path)
+        self.drop(name)
+        self.paths[name] = path
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                drop_path(self.spark, self.paths.pop(name))
+
+    def __enter__(self) -> Work:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*list(self.paths))
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -54,6 +97,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left.join(right, key, how)`` for ``how`` inner, left or left_anti, with the rows of hot keys of ``left`` dealt to several tasks.
+
+    ``left`` must be cheap to read twice (a written table). At most ``HOT`` keys can each have more than a share of 1 / ``HOT`` of
+    its rows; these keys alone come to the driver. Their rows in ``right`` are repeated ``SPREAD`` times, one for each task.
+    """
+    spark = left.sparkSession
+    with freeing(spark):
+        most = max(left.count() // HOT, 10 * SPREAD)
+        hot = [r[0] for r in left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > most).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int")
+    dealt = left.withColumn("__salt", F.when(F.col(key).isin(hot), salt).otherwise(0))
+    every = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.withColumn("__salt", F.explode(every)), [key, "__salt"], how).drop("__salt")
+
+
 def widened(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of ``df`` with further columns."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
