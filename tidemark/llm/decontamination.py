@@ -16,14 +16,14 @@ or 9 do so too, and so does a stretch of the second kind. Of hits, only those ar
 the first hit of a diagonal is one, as three agreeing words of five with an agreeing word before them hit one word earlier.
 Diagonals are not joined: an item with a word inserted or dropped counts where one side of it passes alone.
 
-Scale: a document's windows are exploded, hashed, probed and dropped in one code-generated stage; only
-hits leave it, with the few words that the item covers. The benchmark's seeds are broadcast only where
-they are at most ``BROADCAST_ROWS`` (counted first), and are joined by a shuffle beyond.
-
-Cases: null and empty texts have no windows and give no rows. Items of fewer than ``min_words`` words are hashed by
-one solid mask of their own length.
-Repeated documents each give their rows; repeated items too. Empty tables give an empty
-result. Further columns are ignored.
+Scale: words are hashed once; a document's windows are exploded, hashed, probed and dropped in one code-generated stage,
+and a hit is verified where it is found, so that only passages over the rule leave the stage. Broadcast are the benchmark's seeds
+(three numbers each) and its hashed words, where they are at most ``BROADCAST_ROWS`` together (counted first). Beyond, seeds are
+joined by a shuffle, with the benchmark's repeated for ``SPREAD`` tasks each, so that a frequent seed does not meet in one.
+
+Cases: null and empty texts have no windows and give no rows; null and repeated ids are judged row by row. Items of fewer than
+``min_words`` words are hashed by one solid mask of their own length. Repeated documents and repeated items give one row for
+each pair of ids and length of the item. Very long texts are worked on whole. Empty tables give an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,27 +41,26 @@ MASKS = ("111", "1101", "11001", "1011", "10101", "10011")
 MIN_SHARE, MIN_WORDS = 0.6, 8
 #: Least score of a stretch, and what a word that differs takes from it.
 OVERLAP, MISS = 13, 4
-#: Benchmark seeds that may be broadcast (about 40 bytes each); counted before the join.
+#: Benchmark seeds and words that may be broadcast (some 30 bytes each); counted before the join.
 BROADCAST_ROWS = 2_000_000
+#: Tasks that a benchmark seed is sent to, where seeds are joined by a shuffle.
+SPREAD = 8
 
 
 def words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
-def seed(toks: Column, at: Column, mask: str, tag: int) -> Column:
-    """Hash of the words of window ``at`` (from 0) that ``mask`` selects."""
-    return F.xxhash64(F.lit(tag), *[F.get(toks, at + i) for i, bit in enumerate(mask) if bit == "1"])
+    """Lower-cased runs of letters and digits, hashed."""
+    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))
 
 
 def seeds(df: DataFrame, toks: str, masks: Sequence[str], at: str, out: str) -> DataFrame:
-    """A row for each window and mask: the window's position, the mask's number and the hash; NULL where the mask passes the text's end.
+    """A row for each window and mask: the window's position and the hash of the words under the mask; none where the mask passes the text's end.
     No expression here falls back from code generation: the words stay one array in the generated loop, and are copied for no window."""
-    n = F.size(toks) - min(map(len, masks))
-    each = df.withColumn(at, F.explode(F.when(n >= 0, F.sequence(F.lit(0), n))))
-    own = [F.when(F.col(at) + len(m) <= F.size(toks), seed(F.col(toks), F.col(at), m, i)) for i, m in enumerate(masks)]
-    return each.withColumn(out, F.explode(F.array(*own))).where(F.col(out).isNotNull())
+    span = max(map(len, masks))
+    each = df.withColumn(at, F.explode(F.when(F.size(toks) > 0, F.sequence(F.lit(0), F.size(toks) - 1))))
+    each = each.withColumns({f"__w{k}": F.get(toks, F.col(at) + k) for k in range(span)})
+    own = [F.when(F.col(f"__w{len(m) - 1}").isNotNull(), F.xxhash64(F.lit(m), *[f"__w{k}" for k, bit in enumerate(m) if bit == "1"])) for m in masks]
+    each = each.withColumn("__seeds", F.array(*own)).drop(*[f"__w{k}" for k in range(span)])
+    return each.withColumn(out, F.explode("__seeds")).drop("__seeds").where(F.col(out).isNotNull())
 
 
 def covered(toks: Column, item: Column, at: Column) -> Column:
@@ -86,36 +85,39 @@ def score(same: Column) -> Column:
     return F.aggregate(same, zero, step, lambda s: s["best"])
 
 
-def judged(texts: DataFrame, items: DataFrame, masks: Sequence[str]) -> DataFrame:
-    """doc_id, item_id, item_words, matched_words, overlap, at of each diagonal that a seed hits."""
-    tests = seeds(items, "item", masks, "j", "seed").select("seed", "item_id", "j", "item")
-    windows = seeds(texts, "toks", masks, "i", "seed")
+def diagonals(texts: DataFrame, items: DataFrame, masks: Sequence[str], short: Sequence[int], min_words: int) -> DataFrame:
+    """doc_id, item_id, item, cover, at of the diagonals that a seed hits, some more than once. ``short``: the sizes of items below ``min_words``."""
+    every = [*masks, *["1" * n for n in short if "1" * n not in masks]]
+    items = items.dropDuplicates(["item_id", "item"]).withColumn("item_row", F.xxhash64("item_id", "item"))
+    tests = seeds(items.where(F.size("item") >= min_words), "item", masks, "j", "seed").select("seed", "item_row", "j")
+    for n in short:
+        tests = tests.unionByName(seeds(items.where(F.size("item") == n), "item", ["1" * n], "j", "seed").select("seed", "item_row", "j"))
+    windows = seeds(texts, "toks", every, "i", "seed")
     at = F.col("i") - F.col("j")
     cover = covered(F.col("toks"), F.col("item"), at)
-    begins = (F.col("i") == 0) | (F.col("j") == 0) | (F.get("toks", F.col("i") - 1) != F.get("item", F.col("j") - 1))
-    if tests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if tests.limit(BROADCAST_ROWS + 1).count() + (items.agg(F.sum(F.size("item"))).first()[0] or 0) <= BROADCAST_ROWS:
         # whole texts must not leave the generated loop: it holds all rows of a text at once
-        found = windows.join(F.broadcast(tests), "seed").where(begins).select("row", "doc_id", "item_id", F.xxhash64("item").alias("item_row"), at.alias("at"), "item", cover.alias("cover"))
-        hits = found.groupBy("row", "doc_id", "item_id", "item_row", "at").agg(F.first("item").alias("item"), F.first("cover").alias("cover"))
-    else:
-        # by a key of the row: ids may be null or repeated
-        pairs = windows.select("row", "i", "seed").join(tests.select("seed", F.xxhash64("item_id", "item").alias("item_row"), "j"), "seed").select("row", "item_row", at.alias("at")).distinct()
-        own = items.withColumn("item_row", F.xxhash64("item_id", "item")).dropDuplicates(["item_row"])
-        hits = pairs.join(own, "item_row").join(texts.dropDuplicates(["row"]), "row").select("doc_id", "item_id", "item", covered(F.col("toks"), F.col("item"), F.col("at")).alias("cover"), "at")
-    same = hits.withColumn("same", agreeing(F.col("cover"), F.col("item"), F.col("at")))
-    return same.select("doc_id", "item_id", F.size("item").alias("item_words"), F.size(F.filter("same", lambda x: x)).alias("matched_words"), score(F.col("same")).alias("overlap"), "at")
+        begins = (F.col("i") == 0) | (F.col("j") == 0) | (F.get("toks", F.col("i") - 1) != F.get("item", F.col("j") - 1))
+        found = windows.join(F.broadcast(tests), "seed").join(F.broadcast(items), "item_row").where(begins)
+        return found.select("doc_id", "item_id", "item", cover.alias("cover"), at.alias("at"))
+    # by a key of the row: ids may be null or repeated
+    texts = texts.withColumn("row", F.xxhash64("doc_id", "toks"))
+    windows = seeds(texts, "toks", every, "i", "seed").select("row", "i", "seed", F.pmod(F.xxhash64("row", "i"), F.lit(SPREAD)).cast("int").alias("salt"))
+    tests = tests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    pairs = windows.join(tests, ["seed", "salt"]).select("row", "item_row", at.alias("at")).distinct()
+    return pairs.join(items, "item_row").join(texts.dropDuplicates(["row"]), "row").select("doc_id", "item_id", "item", covered(F.col("toks"), F.col("item"), F.col("at")).alias("cover"), "at")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, item_id, item_words, matched_words, share, at (first word of the item in the document, from
     0; negative where the document begins inside the item), overlap (score of the diagonal's best stretch): one row for each document and item."""
     items = benchmark.select("item_id", words(F.col("text")).alias("item")).where(F.size("item") > 0)
-    texts = docs.select("doc_id", words(F.col("text")).alias("toks")).withColumn("row", F.xxhash64("doc_id", "toks"))
-    whole = (F.col("matched_words") >= min_words) & (F.col("matched_words") >= F.lit(min_share) * F.col("item_words"))
-    kept = judged(texts, items.where(F.size("item") >= min_words), masks).where(whole | (F.col("overlap") >= overlap))
-    sizes = [r["n"] for r in items.where(F.size("item") < min_words).select(F.size("item").alias("n")).distinct().collect()]  # fewer than ``min_words``
-    for n in sorted(sizes):  # short items: word for word, by one solid mask of their own length
-        kept = kept.unionByName(judged(texts, items.where(F.size("item") == n), ["1" * n]).where(F.col("matched_words") == n))
+    texts = docs.select("doc_id", words(F.col("text")).alias("toks"))
+    short = sorted(r["n"] for r in items.where(F.size("item") < min_words).select(F.size("item").alias("n")).distinct().collect())  # fewer than ``min_words``
+    same = diagonals(texts, items, masks, short, min_words).withColumn("same", agreeing(F.col("cover"), F.col("item"), F.col("at")))
+    same = same.select("doc_id", "item_id", F.size("item").alias("item_words"), F.size(F.filter("same", lambda x: x)).alias("matched_words"), score(F.col("same")).alias("overlap"), "at")
+    whole = (F.col("matched_words") >= min_words) & (F.col("matched_words") >= F.lit(min_share) * F.col("item_words")) | (F.col("overlap") >= overlap)
+    kept = same.where(F.when(F.col("item_words") < min_words, F.col("matched_words") == F.col("item_words")).otherwise(whole))
     best = kept.groupBy("doc_id", "item_id", "item_words").agg(F.max(F.struct("matched_words", (-F.col("at")).alias("back"), "overlap")).alias("b"))
     share = F.round(F.col("b.matched_words") / F.col("item_words"), 6)
     return best.select("doc_id", "item_id", "item_words", "b.matched_words", share.alias("share"), (-F.col("b.back")).alias("at"), "b.overlap")
