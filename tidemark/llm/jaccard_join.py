@@ -476,6 +476,11 @@ def in_groups(rows: DataFrame, keys: list[str], links) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
+def parts_of(size: Column) -> Column:
+    """Blocks of a group: of ``BLOCK`` rows at most, and up to eight smaller ones, so that a middling group's work is spread too."""
+    return F.greatest(F.ceil(size / BLOCK), F.least(F.lit(8), F.ceil(8 * size / BLOCK))).cast("int")
+
+
 def blocked(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
     """``rows`` with their block of the group ``key``, once for each pair of blocks (p, q); ``sizes``: ``key`` and the number of blocks, nb."""
     rows = dealt_join(rows, sizes, key).withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
@@ -499,7 +504,7 @@ def by_members(t: pa.Table, num: int, den: int) -> list[tuple[int, int]]:
 def unresolved(rows: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: pairs of different components that share a bucket and can link by their sketches, as spanning forests. ``rows``: bucket, fp, comp."""
     stats = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    nb = stats.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
+    nb = stats.select("bucket", parts_of(F.col("size")).alias("nb"))
     out = in_groups(blocked(rows, "bucket", nb).join(sketches, "fp"), ["bucket", "p", "q"], partial(by_sketch, num=num, den=den))
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -507,7 +512,7 @@ def unresolved(rows: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
 def resolved(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: the links of each cluster (node, comp) by whole sets, as spanning forests of blocks. ``clusters`` is a written table."""
     own = clusters.select(F.col("node").alias("fp"), F.col("comp").alias("cluster")).join(sets, "fp")
-    size = own.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("nb"))
+    size = own.groupBy("cluster").agg(F.greatest(parts_of(F.count(F.lit(1))), F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int")).alias("nb"))
     return in_groups(blocked(own, "cluster", size), ["cluster", "p", "q"], partial(by_members, num=num, den=den))
 
 
