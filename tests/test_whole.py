@@ -74,7 +74,7 @@ def test_views_and_digests_cover_whole_texts(spark, tmp_path):
     sf = write(spark, tmp_path, "documents", [(i, head + x) for i, x in enumerate(("gains of all kinds", "losses", "a lawsuit", "new plants"))], "doc_id long, text string")
     views = [tuple(r)[1:] for r in filings.Q["annotated_views"](spark, sf).collect()]
     assert len(views) == 4 and len(set(map(str, views))) > 1
-    assert len({r.h for r in filings.Q["cleaned_whole_text"](spark, sf).collect()}) == 4
+    assert len({r.h for r in filings.Q["cleaned_text"](spark, sf).collect()}) == 4
 
 
 # --- all tickers, all draws ---
@@ -87,7 +87,7 @@ def test_all_tickers_count_and_all_draws_are_made(spark, monkeypatch):
 
     v = spark.createDataFrame([(f"T{i:02}", i, "high", "10-K") for i in range(25)], "ticker string, view_bps int, confidence string, filing_type string")
     monkeypatch.setattr(filings.d, "views", lambda *_: v)
-    assert [tuple(r) for r in filings.Q["confidence_histogram_all"](spark, "").collect()] == [("10-K", "high", 25, 0, 24, 12.0)]
+    assert [tuple(r) for r in filings.Q["confidence_histogram"](spark, "").collect()] == [("10-K", "high", 25, 0, 24, 12.0)]
     signature, seen = inspect.signature(market.stats.bootstrap_sharpe), {}
     monkeypatch.setattr(market.d, "backtested", lambda *_: (v, v))
     monkeypatch.setattr(market.stats, "bootstrap_sharpe", lambda *a, **k: (seen.update((b := signature.bind(*a, **k)).apply_defaults() or b.arguments), v)[1])

@@ -51,30 +51,34 @@ def clean_null(c: Column) -> Column:
 
 
 def fiscal_period(form: Column, d: Column) -> Column:
-    """The period a filing reports on, from its form and date; ``Unknown`` where the date is none."""
+    """The period a filing reports on, from its form and date; every form but ``10-K`` is quarterly, ``Unknown`` where the date is none."""
     y, m = F.year(d), F.month(d)
     say = lambda label, year: F.concat(F.lit(label), year.cast("string"))
     k = F.when(m <= 3, say("FY ", y - 1)).otherwise(say("FY ", y))
     q = F.when(m <= 3, say("Q4 ", y - 1)).when(m <= 6, say("Q1 ", y)).when(m <= 9, say("Q2 ", y)).otherwise(say("Q3 ", y))
-    return F.coalesce(F.when(form.startswith("10-K"), k).when(form.startswith("10-Q"), q), F.lit("Unknown"))
+    return F.coalesce(F.when(form.eqNullSafe(F.lit("10-K")), k).otherwise(q), F.lit("Unknown"))
 
 
 def filing_quarter(form: Column, d: Column) -> Column:
-    """``YYYY-Qn`` of a quarterly report, the year of an annual one."""
+    """``YYYY-Qn`` of a ``10-Q``, the year of a ``10-K``; NULL for other forms."""
     y, m = F.year(d), F.month(d)
     say = lambda year, n: F.concat(year.cast("string"), F.lit(f"-Q{n}"))
     q = F.when(m <= 3, say(y - 1, 4)).when(m <= 6, say(y, 1)).when(m <= 9, say(y, 2)).otherwise(say(y, 3))
-    return F.when(form.startswith("10-K"), y.cast("string")).otherwise(q)
+    return F.when(form == "10-K", y.cast("string")).when(form == "10-Q", q)
 
 
 def normalise_period(c: Column) -> Column:
-    """``FY 2023`` -> ``FY2023``, ``Q1 2024`` and ``Q12024`` -> ``Q1_2024``; all else as it came."""
-    u = F.upper(F.trim(c))
-    return (
-        F.when(u.rlike(r"^FY\s*\d{4}$"), F.regexp_replace(u, r"\s+", ""))
-        .when(u.rlike(r"^Q[1-4][\s_]*\d{4}$"), F.regexp_replace(u, r"^(Q[1-4])[\s_]*(\d{4})$", "$1_$2"))
-        .otherwise(c)
-    )
+    """``FY 2023`` -> ``FY2023``, ``Q1 2024`` and ``Q12024`` -> ``Q1_2024``, ``Unknown`` for none; what begins otherwise as it came.
+
+    What begins so is trimmed and upper-cased; of a year's one blank is left out after each ``FY``, of a quarter's the first blank is the underscore.
+    """
+    u = F.upper(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    one = F.regexp_replace(u, r"FY ", "FY")
+    quarter = F.lit(None).cast("string")
+    for q in ("Q1", "Q2", "Q3", "Q4"):
+        v = F.regexp_replace(u, f"{q} ", f"{q}_")
+        quarter = F.when(u.startswith(q), F.when(v.contains("_"), v).otherwise(F.concat(F.left(v, F.lit(2)), F.lit("_"), F.substring(v, 3, 1 << 30)))).otherwise(quarter)
+    return F.when(F.coalesce(c, F.lit("")) == "", "Unknown").when(u.startswith("FY"), one).otherwise(F.coalesce(quarter, c))
 
 
 def study_period(year: Column, first: int = 2006, width: int = 5, n: int = 4) -> Column:
@@ -119,9 +123,9 @@ def sigma(confidence: Column) -> Column:
 
 
 def calibrated_sigma(confidence: Column, disp: Column, sentiment: Column) -> Column:
-    """x 1.5 where analysts disagree (dispersion over 0.3), x 0.8 where the tone is pronounced."""
+    """x 1.5 where analysts disagree (dispersion over 0.3), x 0.8 where the tone, in any case of letters, is pronounced."""
     wide = F.when(F.coalesce(disp > 0.3, F.lit(False)), 1.5).otherwise(1.0)
-    sure = F.when(F.coalesce(sentiment.isin("confident", "concerned"), F.lit(False)), 0.8).otherwise(1.0)
+    sure = F.when(F.coalesce(F.lower(sentiment).isin("confident", "concerned"), F.lit(False)), 0.8).otherwise(1.0)
     return sigma(confidence) * wide * sure
 
 

@@ -84,7 +84,7 @@ def section(text: str, name: str, least: int = 1500, skip: int = 500, most: int
         found = []
         for m in re.finditer(pattern, text, re.I):
             end = _NEXT.search(text, m.start() + skip)
-            part = text[m.start() : end.start() if end else m.start() + most]
+            part = text[m.start() : end.start() if end else m.start() + most].strip()
             found.append((len(_TOC.findall(part[:2000])) <= 10, len(part), part))
         if found:
             best = max(found, key=lambda x: x[:2])
@@ -106,24 +106,37 @@ def missing_sections(form: Column, year: Column, found: Column) -> Column:
 
 
 def clean_text(c: Column, most: int | None = None) -> Column:
-    v = F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"\d+\s*Table of Contents", "")
+    v = F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"(?i)\d+\s*Table of Contents", "")
     if most is not None:
         v = F.when(F.length(v) > most, F.concat(F.substring(v, 1, most), F.lit("..."))).otherwise(v)
     return F.trim(v)
 
 
+#: Comments, scripts and styles; tags; and the strings between them.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*>|[^<]+|<", re.S | re.I)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def html_tables(s: pd.Series) -> pd.Series:
-    """The cells of each table joined by `` | ``, where they are over 50 characters."""
+    """The strings of each table, trimmed and joined by `` | ``, where that is over 50 characters; a table within a table is part of it and
+    one of its own, after it."""
 
     def one(page: str | None) -> list[str]:
-        out = []
-        for t in re.findall(r"<table\b.*?</table>", page or "", re.S | re.I):
-            cells = [" ".join(html.unescape(x).split()) for x in re.split(r"<[^>]*>", t)]
-            text = " | ".join(x for x in cells if x)
-            if len(text) > 50:
-                out.append(text)
-        return out
+        open_: list[list[str]] = []
+        every: list[list[str]] = []
+        for m in _MARKUP.finditer(page or ""):
+            name, string = (m[2] or "").lower(), m[0]
+            if name == "table":
+                if not m[1]:
+                    every.append([])
+                    open_.append(every[-1])
+                elif open_:
+                    open_.pop()
+            elif open_ and string[0] != "<":
+                string = html.unescape(string).strip()
+                for t in open_ if string else ():
+                    t.append(string)
+        return [x for t in every if len(x := " | ".join(t)) > 50]
 
     return s.map(one)
 
@@ -132,17 +145,21 @@ def html_tables(s: pd.Series) -> pd.Series:
 
 
 def char_chunks(text: str, size: int = 4000, overlap: int = 200) -> list[str]:
-    """Pieces cut at the last sentence end of their last 200 characters; each begins ``overlap`` before the end of the one before."""
+    """Pieces cut at the last sentence end of their last 200 characters; each begins ``overlap`` before the end of the one before.
+
+    A text of ``size`` or less, the empty one too, is one piece. A piece that would end less than ``overlap`` beyond the text's end is
+    followed by the tail that lies in its overlap.
+    """
+    if len(text) <= size:
+        return [text]
     out, start = [], 0
     while start < len(text):
-        end = min(start + size, len(text))
+        end = start + size
         if end < len(text):
-            dot = text.rfind(". ", max(start, end - 200), end)
+            dot = text.rfind(". ", max(0, end - 200), end)
             if dot > start:
                 end = dot + 1
         out.append(text[start:end])
-        if end >= len(text):
-            break
         start = max(end - overlap, start + 1)
     return out
 
@@ -161,7 +178,7 @@ def token_chunks(text: str, size: int = 4000, overlap: int = 200) -> list[str]:
             dot = piece.rfind(". ", int(len(piece) * 0.8))
             if dot > 0:
                 piece = piece[: dot + 1]
-        out.append(piece)
+        out.append(piece.strip())
         start += max(1, n_tokens(piece) - overlap)
         if start >= total - overlap:
             break
@@ -182,7 +199,8 @@ def chunked(df: DataFrame, key: str, text: str, size: int = 4000, overlap: int =
 
 
 def budgeted(parts: DataFrame, key: str, budget: int, order: tuple[str, ...] = ("mda", "risk_factors", "liquidity", "business"), least: int = 500) -> DataFrame:
-    """Rows (key, section, tokens) with ``take``: tokens in the order of sections while the budget lasts; a rest below ``least`` ends it."""
+    """Rows (key, section, tokens) with ``take``: tokens in the order of sections while the budget lasts. A section that does not fit is cut
+    to what is left; where that is below ``least``, the section and all after it go."""
     from pyspark.sql.window import Window
 
     rank = F.lit(len(order))
@@ -191,7 +209,8 @@ def budgeted(parts: DataFrame, key: str, budget: int, order: tuple[str, ...] = (
     w = Window.partitionBy(key).orderBy("__o", "section")
     used = F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = parts.withColumn("__o", rank).withColumn("left", F.lit(budget) - used)
-    take = F.when((F.col("left") < least) & (F.col("left") < budget), 0).otherwise(F.least("tokens", "left"))
+    ends = F.max(((F.col("tokens") > F.col("left")) & (F.col("left") < least)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    take = F.when(ends, 0).otherwise(F.least("tokens", "left"))
     return own.withColumn("take", F.greatest(take, F.lit(0)).cast("long")).drop("__o", "left")
 
 

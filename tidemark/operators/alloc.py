@@ -138,13 +138,13 @@ def bl_llm_tilt_pos(x, cov, v, seed):
 def random_views(x, cov, v, seed):
     n, rng = len(cov), np.random.default_rng(seed)
     drawn = pd.DataFrame({"at": np.arange(n), "view_bps": rng.normal(0, 84.5, n), "sigma": 0.03})
-    return _tilted(cov, drawn)
+    return mean_variance(_post(cov, prior(cov, np.full(n, 1 / n)), drawn), cov)
 
 
 @strategy
 def shuffled_views(x, cov, v, seed):
     m = _medium(v, True)
-    return _tilted(cov, m.assign(at=np.random.default_rng(seed).permutation(len(cov))[: len(m)]))
+    return _tilted(cov, m.assign(at=np.random.default_rng(seed).choice(len(cov), len(m), replace=False)))
 
 
 @strategy

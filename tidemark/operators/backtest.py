@@ -58,6 +58,15 @@ def run(rets: DataFrame, periods: DataFrame, weights: DataFrame, universe: DataF
     return net, turns
 
 
+def mean_curve(curves: DataFrame, on: str) -> DataFrame:
+    """date, mean, n of curves (strategy, date, v) on the dates of ``on``, each filled forward."""
+    dates = curves.where(F.col("strategy") == on).select("date").distinct()
+    names = curves.select("strategy").distinct()
+    grid = dates.join(F.broadcast(names)).join(curves, ["strategy", "date"], "left")  # a row a date and strategy: the table's own size
+    so_far = Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return grid.withColumn("v", F.last("v", ignorenulls=True).over(so_far)).groupBy("date").agg(F.avg("v").alias("mean"), F.count("v").alias("n"))
+
+
 def target_turnover(weights: DataFrame) -> DataFrame:
     """strategy, rebal_date, turnover between consecutive target weights; the first date has none. Dense over the tickers a strategy ever holds."""
     names = weights.select("strategy", "ticker").distinct()

@@ -33,6 +33,21 @@ def missing(df: DataFrame, by: str, first: int, last: int) -> DataFrame:
     return grid.join(df.select(by, "year", "quarter").distinct(), [by, "year", "quarter"], "left_anti")
 
 
+def totals(df: DataFrame, by: str, years: int) -> DataFrame:
+    """companies, found, expected, pct, complete, with_short_years over distinct quarters."""
+    per = df.groupBy(by, "year").agg(F.count_distinct("quarter").alias("k")).groupBy(by).agg(F.sum("k").alias("have"), F.count(F.when(F.col("k") < 3, 1)).alias("short"))
+    n = F.count(F.lit(1))
+    out = per.agg(n.alias("companies"), F.sum("have").alias("found"), (n * 4 * years).alias("expected"), F.count(F.when(F.col("have") == 4 * years, 1)).alias("complete"), F.count(F.when(F.col("short") > 0, 1)).alias("with_short_years"))
+    return out.withColumn("pct", F.try_divide(100.0 * F.col("found"), F.col("expected")))
+
+
+def first_of_each(ranked: DataFrame) -> DataFrame:
+    """Of a ranked list the first row of each number of companies, or of each length."""
+    own = ranked.where("list in ('companies', 'length')")
+    w = Window.partitionBy("list", F.when(F.col("list") == "companies", F.col("companies")).otherwise(F.col("years"))).orderBy("k")
+    return own.withColumn("__again", F.row_number().over(w)).where("__again = 1").drop("__again")
+
+
 def complete_periods(df: DataFrame, by: str) -> DataFrame:
     """start, end, years, companies, score: for all spans, how many ``by`` have every year of it (relational division by runs)."""
     runs = year_runs(df, by)
@@ -83,9 +98,14 @@ def balanced(df: DataFrame, sector: str, name: str, total: int = 100) -> DataFra
 
 
 def alternate(df: DataFrame, by: str, name: str) -> DataFrame:
-    """portfolio 1 or 2, in turn within ``by``."""
+    """portfolio 1 or 2, in turn within ``by``; then the last of the larger one move until both have half. ``df`` is a selection, a small table."""
     k = F.row_number().over(Window.partitionBy(by).orderBy(name))
-    return df.withColumn("portfolio", F.when(k % 2 == 1, 1).otherwise(2))
+    own = df.withColumn("portfolio", F.when(k % 2 == 1, 1).otherwise(2))
+    back = Window.partitionBy("portfolio").orderBy(F.col(by).desc(), F.col(name).desc())
+    sizes = own.withColumn("__back", F.row_number().over(back)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("portfolio")))
+    half = F.floor(F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) / 2)
+    moves = (F.col("__n") > half) & (F.col("__back") <= F.col("__n") - half) & (F.col("__all") % 2 == 0)
+    return sizes.withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).withColumn("portfolio", F.when(moves, 3 - F.col("portfolio")).otherwise(F.col("portfolio"))).drop("__back", "__n", "__all")
 
 
 def stratified(df: DataFrame, strata: list[str], key: str, n: int, seed: str = "20260829") -> DataFrame:

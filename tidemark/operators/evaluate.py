@@ -5,40 +5,72 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import text as t
 
 
-def greedy(scores: list[tuple[float, int, int]], threshold: float = 60.0) -> list[tuple[int, int, float]]:
-    """One-to-one pairs (i, j, score), best first; ties go to the higher i, then the higher j."""
+def greedy(scores: list[tuple[float, int, int]], threshold: float = 60.0, look: tuple[float, float] | None = None) -> list[tuple[int, int, float, bool, bool]]:
+    """One-to-one pairs (i, j, score, matched, look), best first; ties go to the higher i, then the higher j.
+
+    With a range ``look``, pairs below the threshold come too, where neither side is matched yet and the score is in the range.
+    """
     left, right, out = set(), set(), []
     for s, i, j in sorted(scores, reverse=True):
-        if s >= threshold and i not in left and j not in right:
+        if i in left or j in right:
+            continue
+        near = look is not None and look[0] <= s <= look[1]
+        if s >= threshold:
             left.add(i)
             right.add(j)
-            out.append((i, j, s))
+        if s >= threshold or near:
+            out.append((i, j, s, s >= threshold, near))
     return out
 
 
-def match_events(events: DataFrame, gold: DataFrame, threshold: float = 60.0) -> DataFrame:
-    """doc, i, j, score: the larger of the texts' ``token_set_ratio`` and the quotes' ``partial_ratio``, 0 where either is missing.
+def match_events(events: DataFrame, gold: DataFrame, threshold: float = 60.0, look: tuple[float, float] | None = None) -> DataFrame:
+    """doc, i, j, score, and with a range ``look`` matched and look (see ``greedy``): the larger of the texts' ``token_set_ratio`` and the quotes' ``partial_ratio``, 0 where either is missing.
 
     ``events`` (doc, i, text, quote) and ``gold`` (doc, j, text, quote); a document's events are few, and meet in one group.
     """
 
+    width = 4 if look is None else 6
+    names = ["doc", "i", "j", "score", "matched", "look"][:width]
+
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame([], columns=["doc", "i", "j", "score"])
+            return pd.DataFrame([], columns=names)
         left = [(int(i), t.normalised(x), t.normalised(q)) for i, x, q in zip(a.i, a.text, a.quote, strict=True)]
         right = [(int(j), t.normalised(x), t.normalised(q)) for j, x, q in zip(b.j, b.gold_text, b.gold_quote, strict=True)]
         both = [(x, y) for x in left for y in right]
         quotes = t.partial_ratios([(x[2], y[2]) for x, y in both])
         scores = [(max(t.token_set_ratio(x[1], y[1]), s if x[2] and y[2] else 0.0), x[0], y[0]) for (x, y), s in zip(both, quotes, strict=True)]
-        return pd.DataFrame([(key[0], *r) for r in greedy(scores, threshold)], columns=["doc", "i", "j", "score"])
+        return pd.DataFrame([(key[0], *r)[:width] for r in greedy(scores, threshold, look)], columns=names)
 
     own = gold.select(F.col("doc").alias("gold_doc"), "j", F.col("text").alias("gold_text"), F.col("quote").alias("gold_quote"))
     parts = events.sparkSession.sparkContext.defaultParallelism * 4  # given, as the groups' work is quadratic and small inputs would be coalesced
-    return events.select("doc", "i", "text", "quote").repartition(parts, "doc").groupBy("doc").cogroup(own.repartition(parts, "gold_doc").groupBy("gold_doc")).applyInPandas(run, "doc long, i long, j long, score double")
+    return events.select("doc", "i", "text", "quote").repartition(parts, "doc").groupBy("doc").cogroup(own.repartition(parts, "gold_doc").groupBy("gold_doc")).applyInPandas(run, "doc long, i long, j long, score double" + ("" if look is None else ", matched boolean, look boolean"))
+
+
+def borderline(pairs: DataFrame, n: int = 30) -> DataFrame:
+    """The ``n`` pairs of lowest score that should be looked at; the limit is the list."""
+    return pairs.where("look").orderBy("score", "doc", "i", "j").limit(n)
+
+
+def extras(events: DataFrame, matched: DataFrame) -> DataFrame:
+    """Events (doc, i) that match nothing."""
+    return events.join(matched.select("doc", "i"), ["doc", "i"], "left_anti")
+
+
+def most_extras(extra: DataFrame) -> DataFrame:
+    """doc, n of the document with the most extra events; the least of equals."""
+    return extra.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "doc").limit(1)
+
+
+def leaderboard(board: DataFrame) -> DataFrame:
+    """model, f1, place over all tiers; no F1 counts as 0. A row a model."""
+    own = board.where("scope = 'all'").select("model", "f1")
+    return own.withColumn("place", F.row_number().over(Window.orderBy(F.coalesce("f1", F.lit(0.0)).desc(), "model")).cast("int"))
 
 
 def scoreboard(docs: DataFrame) -> DataFrame:

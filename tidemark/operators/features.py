@@ -16,10 +16,18 @@ def matched_quarters(quarters: DataFrame, estimates: DataFrame, days: int = 5) -
 
 
 def latest_reported(at: DataFrame, matched: DataFrame) -> DataFrame:
-    """For each (ticker, view_date) of ``at`` the first matched quarter in file order that was filed strictly before it."""
-    joined = at.join(matched, "ticker").where("filing_date < view_date")
-    w = Window.partitionBy("ticker", "view_date").orderBy("pos")
-    return joined.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+    """For each (ticker, view_date) of ``at`` the first matched quarter in file order that was filed strictly before it.
+
+    Quarters and dates are one sequence by time, and the least quarter so far is a running minimum: a row of each, not a row a pair.
+    """
+    cols = [c for c in matched.columns if c not in ("ticker", "view_date")]
+    order = ["pos", *[c for c in cols if c != "pos"]]
+    q = matched.select("ticker", F.col("filing_date").alias("__t"), F.lit(1).alias("__side"), F.struct(*order).alias("__q"))
+    a = at.select("ticker", F.col("view_date").alias("__t"), F.lit(0).alias("__side"), F.struct(*[F.col(c) for c in at.columns]).alias("__a"))
+    w = Window.partitionBy("ticker").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = q.unionByName(a, allowMissingColumns=True).withColumn("__m", F.min("__q").over(w))
+    found = both.where("__a is not null and __m is not null")
+    return found.select(*[F.col(f"__a.{c}").alias(c) for c in at.columns], *[F.col(f"__m.{c}").alias(c) for c in cols])
 
 
 def surprises(df: DataFrame, limit: float = 200.0) -> DataFrame:

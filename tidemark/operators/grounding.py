@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
 
+#: Quotes that may be broadcast; counted before.
+QUOTES = 100_000
 RESULT = "grounded boolean, score double, method string"
 
 
@@ -59,3 +61,23 @@ def summary(facts: DataFrame, by: str) -> DataFrame:
     """by, total_facts, grounded, dropped, rate."""
     ok = F.coalesce(F.col("grounded"), F.lit(False)).cast("long")
     return facts.groupBy(by).agg(F.count(F.lit(1)).alias("total_facts"), F.sum(ok).alias("grounded"), F.sum(1 - ok).alias("dropped"), F.avg(ok.cast("double")).alias("rate"))
+
+
+def containing(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """doc_id, item_id: normalised documents (doc_id, x) that hold a normalised quote (item_id, y). Rows that are equal altogether count once.
+
+    A quote's second to fourth words are whole words of any text that holds it, if it has five or more: their hash joins the two,
+    and ``contains`` verifies. Shorter quotes are held against every text; their number is bounded before they are broadcast.
+    """
+    words = F.split("y", " ")
+    own = quotes.where(F.length("y") > 0).withColumn("n", F.size(words))
+    keyed = own.where("n >= 5").select("item_id", "y", F.xxhash64(words[1], words[2], words[3]).alias("key"))
+    at = docs.withColumn("w", F.split("x", " ")).withColumn("i", F.explode(F.expr("if(size(w) > 2, sequence(0, size(w) - 3), array())")))
+    at = at.select("doc_id", "x", F.xxhash64(*[F.get("w", F.col("i") + k) for k in range(3)]).alias("key"))
+    small = keyed.limit(QUOTES + 1).count() <= QUOTES
+    long_ = at.join(F.broadcast(keyed) if small else keyed, "key").where(F.contains("x", "y")).select("doc_id", "item_id", F.xxhash64("x").alias("d")).distinct().drop("d")
+    short = own.where("n < 5").select("item_id", "y")
+    n = short.limit(QUOTES + 1).count()
+    if n > QUOTES:
+        raise ValueError(f"more than {QUOTES} quotes of fewer than five words")
+    return long_.unionByName(docs.join(F.broadcast(short), F.contains("x", "y")).select("doc_id", "item_id")) if n else long_

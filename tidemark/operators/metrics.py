@@ -14,7 +14,7 @@ def metrics(rets: DataFrame, rf: float = 0.02) -> DataFrame:
 
     The peak of the drawdown starts at the first day's value; the downside is the sample deviation of the days' shortfalls around their own mean.
     """
-    rf_day = rf / YEAR
+    rf_day = (1 + rf) ** (1 / YEAR) - 1
     day = Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     path = rets.withColumn("v", F.exp(F.sum(F.log1p("ret")).over(day)))
     path = path.withColumn("dd", F.col("v") / F.max("v").over(day) - 1)

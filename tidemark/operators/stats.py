@@ -25,12 +25,17 @@ def tertiles(df: DataFrame, col: str, out: str, labels: tuple[str, str, str] = (
     return own.withColumn(out, F.when(F.col(col) <= F.col("e")[1], labels[0]).when(F.col(col) <= F.col("e")[2], labels[1]).otherwise(labels[2])).drop("e")
 
 
-def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Average ranks of ties. Counts of distinct values are summed up by value; only they meet in one task's window."""
+def average_rank(df: DataFrame, col: str, out: str, pieces: int = 64) -> DataFrame:
+    """Average ranks of ties of a number. Counts of distinct values are summed up by value within ``pieces`` ranges, and the ranges' totals
+    before them: no task sees all values, however many are distinct."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("__c"))
-    before = F.coalesce(F.sum("__c").over(Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn(out, before + (F.col("__c") + 1) / 2).drop("__c")
-    return df.join(ranks, col)
+    edges = sorted(set(counts.approxQuantile(col, [i / pieces for i in range(1, pieces)], 0.01)))  # fewer than ``pieces``
+    own = counts.withColumn("__p", sum((F.col(col) > F.lit(e)).cast("int") for e in edges) if edges else F.lit(0))
+    totals = own.groupBy("__p").agg(F.sum("__c").alias("__n"))  # a row a range
+    ahead = totals.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
+    before = F.coalesce(F.sum("__c").over(Window.partitionBy("__p").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = own.withColumn("__before", before).join(F.broadcast(ahead), "__p")
+    return df.join(ranks.select(col, (F.col("__ahead") + F.col("__before") + (F.col("__c") + 1) / 2).alias(out)), col)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -105,6 +110,22 @@ def ols(df: DataFrame, by: str, y: str, xs: list[str]) -> DataFrame:
     return sums.mapInPandas(lambda it: (solve(p) for p in it), f"{by} string, n long, alpha double, t_alpha double, p_alpha double, betas array<double>, r2 double")
 
 
+def paired(df: DataFrame, a: str, b: str) -> DataFrame:
+    """n, the means and population deviations of ``a`` and ``b``, the mean difference, wins of ``a``, t and two-sided p of the paired test."""
+    x = F.col(a) - F.col(b)
+    sums = df.where(f"{a} is not null and {b} is not null").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(a).alias(f"mean_{a}"), F.stddev_pop(a).alias(f"sd_{a}"), F.avg(b).alias(f"mean_{b}"), F.stddev_pop(b).alias(f"sd_{b}"),
+        F.avg(x).alias("diff"), F.stddev_pop(x).alias("sd_diff"), F.count(F.when(x > 0, 1)).alias("wins"), F.try_divide(F.avg(x), F.try_divide(F.stddev_samp(x), F.sqrt(F.count(F.lit(1))))).alias("t"),
+    )
+
+    def add(it):
+        for p in it:
+            p["p"] = [t_p_value(float(t), int(n) - 1) if n > 1 and t == t and t is not None else float("nan") for t, n in zip(p["t"], p["n"], strict=True)]
+            yield p
+
+    return sums.mapInPandas(add, ", ".join(f"`{c}` {k}" for c, k in sums.dtypes) + ", p double")
+
+
 def bootstrap_sharpe(rets: DataFrame, draws: int = 10_000, seed: int = 42, rf: float = 0.02) -> DataFrame:
     """strategy, n, sharpe_lo, sharpe_hi: 2.5 and 97.5 percentiles over resampled days. A group is one strategy's days, which number hundreds a year."""
 

@@ -31,33 +31,35 @@ def query(oracle: str | None = None):
     return add
 
 
-FORM = "CASE o_orderstatus WHEN 'F' THEN '10-K' ELSE '10-Q' END"
+FORM = "CASE o_orderstatus WHEN 'F' THEN '10-K' WHEN 'P' THEN '10-K/A' ELSE '10-Q' END"
 MON = "month(o_orderdate)"
 YR = "year(o_orderdate)"
 
 
 @query(
     f"""SELECT o_orderkey, CASE WHEN {FORM} = '10-K' THEN 'FY ' || (CASE WHEN {MON} <= 3 THEN {YR} - 1 ELSE {YR} END) WHEN {MON} <= 3 THEN 'Q4 ' || ({YR} - 1) WHEN {MON} <= 6 THEN 'Q1 ' || {YR} WHEN {MON} <= 9 THEN 'Q2 ' || {YR} ELSE 'Q3 ' || {YR} END AS fiscal_period,
-CASE WHEN {FORM} = '10-K' THEN {YR}::VARCHAR WHEN {MON} <= 3 THEN ({YR} - 1) || '-Q4' WHEN {MON} <= 6 THEN {YR} || '-Q1' WHEN {MON} <= 9 THEN {YR} || '-Q2' ELSE {YR} || '-Q3' END AS filing_quarter, quarter(o_orderdate)::INT AS cal_quarter,
+CASE WHEN {FORM} = '10-K' THEN {YR}::VARCHAR WHEN {FORM} <> '10-Q' THEN NULL WHEN {MON} <= 3 THEN ({YR} - 1) || '-Q4' WHEN {MON} <= 6 THEN {YR} || '-Q1' WHEN {MON} <= 9 THEN {YR} || '-Q2' ELSE {YR} || '-Q3' END AS filing_quarter, quarter(o_orderdate)::INT AS cal_quarter,
 CASE WHEN {YR} BETWEEN 1991 AND 1995 THEN '1991-1995' WHEN {YR} BETWEEN 1996 AND 2000 THEN '1996-2000' WHEN {YR} BETWEEN 2001 AND 2005 THEN '2001-2005' END AS study FROM orders"""
 )
 def fiscal_periods(spark: SparkSession, sf: str) -> DataFrame:
-    o = d.table(spark, sf, "orders").withColumn("dt", F.to_date("o_orderdate")).withColumn("form", F.when(F.col("o_orderstatus") == "F", "10-K").otherwise("10-Q"))
+    o = d.table(spark, sf, "orders").withColumn("dt", F.to_date("o_orderdate")).withColumn("form", F.when(F.col("o_orderstatus") == "F", "10-K").when(F.col("o_orderstatus") == "P", "10-K/A").otherwise("10-Q"))
     return o.select("o_orderkey", s.fiscal_period(F.col("form"), F.col("dt")).alias("fiscal_period"), s.filing_quarter(F.col("form"), F.col("dt")).alias("filing_quarter"), F.quarter("dt").alias("cal_quarter"), s.study_period(F.year("dt"), 1991, 5, 3).alias("study"))
 
 
-RAWP = f"CASE o_orderkey % 5 WHEN 0 THEN ' fy ' || {YR} WHEN 1 THEN 'Q' || quarter(o_orderdate) || ' ' || {YR} WHEN 2 THEN 'q' || quarter(o_orderdate) || {YR} WHEN 3 THEN 'FY' || {YR} ELSE 'Half ' || {YR} END"
+RAWP = f"""CASE o_orderkey % 9 WHEN 0 THEN ' fy ' || {YR} WHEN 1 THEN 'Q' || quarter(o_orderdate) || ' ' || {YR} WHEN 2 THEN 'q' || quarter(o_orderdate) || {YR} WHEN 3 THEN 'FY' || {YR} WHEN 4 THEN 'Half ' || {YR}
+WHEN 5 THEN NULL WHEN 6 THEN '' WHEN 7 THEN 'fy  ' || {YR} || ' (est.)' ELSE 'q' || quarter(o_orderdate) || ' fy ' || {YR} END"""
 
 
 @query(
-    f"""SELECT o_orderkey, CASE WHEN regexp_full_match(u, 'FY\\s*\\d{{4}}') THEN regexp_replace(u, '\\s+', '', 'g') WHEN regexp_full_match(u, 'Q[1-4][\\s_]*\\d{{4}}') THEN regexp_replace(u, '^(Q[1-4])[\\s_]*(\\d{{4}})$', '\\1_\\2') ELSE p END AS period
-FROM (SELECT o_orderkey, p, upper(trim(p)) AS u FROM (SELECT o_orderkey, {RAWP} AS p FROM orders))"""
+    f"""SELECT o_orderkey, CASE WHEN coalesce(p, '') = '' THEN 'Unknown' WHEN u LIKE 'FY%' THEN replace(u, 'FY ', 'FY') WHEN regexp_matches(u, '^Q[1-4]') THEN CASE WHEN contains(v, '_') THEN v ELSE v[:2] || '_' || v[3:] END ELSE p END AS period
+FROM (SELECT *, replace(u, u[:2] || ' ', u[:2] || '_') AS v FROM (SELECT o_orderkey, p, upper(trim(p)) AS u FROM (SELECT o_orderkey, {RAWP} AS p FROM orders)))"""
 )
 def normalised_periods(spark: SparkSession, sf: str) -> DataFrame:
     o = d.table(spark, sf, "orders")
     y, q = F.year("o_orderdate").cast("string"), F.quarter("o_orderdate").cast("string")
-    k = F.col("o_orderkey") % 5
-    p = F.when(k == 0, F.concat(F.lit(" fy "), y)).when(k == 1, F.concat(F.lit("Q"), q, F.lit(" "), y)).when(k == 2, F.concat(F.lit("q"), q, y)).when(k == 3, F.concat(F.lit("FY"), y)).otherwise(F.concat(F.lit("Half "), y))
+    k = F.col("o_orderkey") % 9
+    p = F.when(k == 0, F.concat(F.lit(" fy "), y)).when(k == 1, F.concat(F.lit("Q"), q, F.lit(" "), y)).when(k == 2, F.concat(F.lit("q"), q, y)).when(k == 3, F.concat(F.lit("FY"), y)).when(k == 4, F.concat(F.lit("Half "), y))
+    p = p.when(k == 5, F.lit(None)).when(k == 6, "").when(k == 7, F.concat(F.lit("fy  "), y, F.lit(" (est.)"))).otherwise(F.concat(F.lit("q"), q, F.lit(" fy "), y))
     return o.select("o_orderkey", s.normalise_period(p).alias("period"))
 
 
@@ -248,15 +250,12 @@ def run_spread(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("value").alias("sd"), (F.count_distinct(F.signum(F.col("value") - 50)) == 1).alias("same_sign")))
 
 
-@query("SELECT doc_id, md5(trim(CASE WHEN length(v) > 300 THEN substr(v, 1, 300) || '...' ELSE v END)) AS h FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '\\d+\\s*Table of Contents', '', 'g') AS v FROM documents)")
+@query("""SELECT doc_id, md5(trim(v)) AS h, md5(trim(CASE WHEN length(v) > 300 THEN substr(v, 1, 300) || '...' ELSE v END)) AS h_short FROM (
+SELECT doc_id, regexp_replace(regexp_replace(x, '\\s+', ' ', 'g'), '(?i)\\d+\\s*Table of Contents', '', 'g') AS v FROM (SELECT doc_id, text || ' 12 TABLE OF contents 7table of Contents ' || text AS x FROM documents))""")
 def cleaned_text(spark: SparkSession, sf: str) -> DataFrame:
-    return d.table(spark, sf, "documents").select("doc_id", F.md5(t.clean_text(F.col("text"), 300)).alias("h"))
-
-
-@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '\\d+\\s*Table of Contents', '', 'g'))) AS h FROM documents")
-def cleaned_whole_text(spark: SparkSession, sf: str) -> DataFrame:
-    """As the reference's default, without truncation; ``cleaned_text`` shows the truncated form."""
-    return d.table(spark, sf, "documents").select("doc_id", F.md5(t.clean_text(F.col("text"))).alias("h"))
+    """Digests of whole cleaned texts, with the mark of a page's foot between two copies, and of the optional truncation."""
+    x = F.concat(F.col("text"), F.lit(" 12 TABLE OF contents 7table of Contents "), F.col("text"))
+    return d.table(spark, sf, "documents").select("doc_id", F.md5(t.clean_text(x)).alias("h"), F.md5(t.clean_text(x, 300)).alias("h_short"))
 
 
 _FROM, _TO = "".join(t.PLAIN), "".join(t.PLAIN.values()).replace("'", "''")
@@ -265,10 +264,10 @@ NORM = f"trim(regexp_replace(lower(translate(translate({{c}}, '{_FROM}', '{_TO}'
 
 @query(f"SELECT d.doc_id, b.item_id FROM (SELECT doc_id, {NORM.format(c='text')} AS x FROM documents) d JOIN (SELECT item_id, {NORM.format(c='text')} AS y FROM benchmark) b ON length(y) > 0 AND contains(x, y)")
 def exact_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    """Quotes that stand in a document word for word. The quotes are a stated set, broadcast after a count."""
-    quotes = d.dim(d.table(spark, sf, "benchmark").select("item_id", t.normalise(F.col("text")).alias("y")).where("length(y) > 0"))
+    """Quotes that stand in a document word for word, found by the words within them."""
+    quotes = d.table(spark, sf, "benchmark").select("item_id", t.normalise(F.col("text")).alias("y"))
     docs = d.table(spark, sf, "documents").select("doc_id", t.normalise(F.col("text")).alias("x"))
-    return docs.join(F.broadcast(quotes), F.contains("x", "y")).select("doc_id", "item_id")
+    return grounding.containing(docs, quotes).select("doc_id", "item_id")
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,7 +304,13 @@ def lenient_json(spark: SparkSession, sf: str) -> DataFrame:
     return d.table(spark, sf, "events").select("event_id", t.lenient_json(wrapped, "struct<k:bigint>")["k"].alias("k"))
 
 
-@query()
+CHUNKS = """WITH RECURSIVE x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, t, length(t) AS n FROM x),
+c AS (SELECT doc_id, t, n, 0 AS pos, 0 AS a, CASE WHEN n <= 1000 THEN n WHEN 1000 < n AND instr(reverse(t[801:1000]), ' .') > 0 THEN 1000 - instr(reverse(t[801:1000]), ' .') ELSE 1000 END AS b FROM f
+UNION ALL SELECT doc_id, t, n, pos + 1, s, CASE WHEN s + 1000 < n AND instr(reverse(t[s + 801:s + 1000]), ' .') > 0 THEN s + 1000 - instr(reverse(t[s + 801:s + 1000]), ' .') ELSE s + 1000 END FROM (SELECT *, b - 100 AS s FROM c WHERE n > 1000) WHERE s < n)
+SELECT doc_id, pos, length(t[a + 1:b]) AS n, md5(t[a + 1:b]) AS h FROM c"""
+
+
+@query(CHUNKS)
 def char_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return t.chunked(d.table(spark, sf, "documents"), "doc_id", "text", 1000, 100).select("doc_id", "pos", F.length("chunk").alias("n"), F.md5("chunk").alias("h"))
 
@@ -317,8 +322,9 @@ def token_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """WITH p AS (SELECT source, doc_id, n_chars // 4 AS tokens, ['mda', 'risk_factors', 'liquidity', 'business'][(doc_id % 4 + 1)::INT] AS section FROM documents), q AS (SELECT source, section, sum(tokens)::BIGINT AS tokens FROM p GROUP BY ALL),
-w AS (SELECT *, 20000 - coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY list_position(['mda', 'risk_factors', 'liquidity', 'business'], section) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft FROM q)
-SELECT source, section, tokens, greatest(0, CASE WHEN lft < 500 THEN 0 ELSE least(tokens, lft) END)::BIGINT AS take FROM w"""
+w AS (SELECT *, list_position(['mda', 'risk_factors', 'liquidity', 'business'], section) AS o, 20000 - coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY list_position(['mda', 'risk_factors', 'liquidity', 'business'], section) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft FROM q),
+x AS (SELECT *, max((tokens > lft AND lft < 500)::INT) OVER (PARTITION BY source ORDER BY o ROWS UNBOUNDED PRECEDING) AS ended FROM w)
+SELECT source, section, tokens, greatest(0, CASE WHEN ended = 1 THEN 0 ELSE least(tokens, lft) END)::BIGINT AS take FROM x"""
 )
 def section_budget(spark: SparkSession, sf: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("mda", "risk_factors", "liquidity", "business")])
@@ -421,15 +427,8 @@ def latest_views_by_window(spark: SparkSession, sf: str) -> DataFrame:
     return latest.latest_by_window(d.views(spark, sf))
 
 
-@query(sql("SELECT filing_type, confidence, count(*) AS n, min(view_bps) AS lo, max(view_bps) AS hi, round(avg(view_bps), 6) AS mean FROM views WHERE ticker IN (SELECT ticker FROM universe WHERE ord <= 10) GROUP BY ALL", "views", "universe"))
-def confidence_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    v = d.views(spark, sf).join(d.universe(spark, sf).where("ord <= 10"), "ticker", "left_semi")
-    return rounded(v.groupBy("filing_type", "confidence").agg(F.count(F.lit(1)).alias("n"), F.min("view_bps").alias("lo"), F.max("view_bps").alias("hi"), F.avg("view_bps").alias("mean")))
-
-
 @query(sql("SELECT filing_type, confidence, count(*) AS n, min(view_bps) AS lo, max(view_bps) AS hi, round(avg(view_bps), 6) AS mean FROM views GROUP BY ALL", "views"))
-def confidence_histogram_all(spark: SparkSession, sf: str) -> DataFrame:
-    """As the reference, over every ticker; ``confidence_histogram`` shows the first ten."""
+def confidence_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(d.views(spark, sf).groupBy("filing_type", "confidence").agg(F.count(F.lit(1)).alias("n"), F.min("view_bps").alias("lo"), F.max("view_bps").alias("hi"), F.avg("view_bps").alias("mean")))
 
 

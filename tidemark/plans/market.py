@@ -97,7 +97,7 @@ def backtest_daily(spark: SparkSession, sf: str) -> DataFrame:
 METRICS = """SELECT strategy, n_days, round(g - 1, 6) AS total_return, round(ar, 6) AS ann_return, round(vol, 6) AS ann_vol, round(CASE WHEN vol = 0 THEN 0 ELSE (ar - 0.02) / vol END, 6) AS sharpe,
 round(CASE WHEN down = 0 THEN 0 ELSE (ar - 0.02) / down END, 6) AS sortino, round(mdd, 6) AS max_drawdown, round(CASE WHEN mdd = 0 THEN 0 ELSE (ar - 0.02) / abs(mdd) END, 6) AS calmar FROM (
 SELECT strategy, count(*) AS n_days, exp(sum(ln(1 + ret))) AS g, pow(exp(sum(ln(1 + ret))), 252.0 / count(*)) - 1 AS ar, stddev_samp(ret) * sqrt(252) AS vol,
-coalesce(stddev_samp(CASE WHEN ret < 0.02 / 252 THEN ret - 0.02 / 252 END), 0) * sqrt(252) AS down, min(v / peak - 1) AS mdd FROM (
+coalesce(stddev_samp(CASE WHEN ret < pow(1.02, 1.0 / 252) - 1 THEN ret - (pow(1.02, 1.0 / 252) - 1) END), 0) * sqrt(252) AS down, min(v / peak - 1) AS mdd FROM (
 SELECT *, max(v) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING)) AS v FROM net)) GROUP BY strategy)"""
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import filings, market
+from tidemark.plans import filings, market, studies
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (market, filings):
+for _part in (market, filings, studies):
     QUERIES |= _part.Q
     ORACLES |= _part.SQL

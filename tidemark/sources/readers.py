@@ -106,3 +106,33 @@ def between(df: DataFrame, field: str, start: date, end: date) -> DataFrame:
 def last_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+
+
+def returns(spark: SparkSession, folder: str, subset: str) -> DataFrame:
+    """strategy, date, ret of ``<folder>/<subset>/daily_returns.csv``, whose columns are strategies; days without a value are left out."""
+    path = f"{folder}/{subset}/daily_returns.csv"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        raise FileNotFoundError(path)
+    wide = spark.read.option("header", True).csv(path)
+    names = [c for c in wide.columns if c != "date"]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("strategy"), F.col(f"`{c}`").try_cast("double").alias("ret")) for c in names]))
+    return wide.select(F.col("date").try_cast("date").alias("date"), each.alias("r")).select("r.strategy", "date", "r.ret").where("ret is not null and date is not null")
+
+
+EVENTS = "array<struct<event_type:string,description:string,impact:string,source_quote:string>>"
+
+
+def _numbered(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "[0-9]*.json").json(folder)
+
+
+def gold(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, tier, events: the gold standard, a file a document whose name begins with a digit."""
+    return _numbered(spark, folder, f"doc_id string, tier string, events {EVENTS}").where("doc_id is not null")
+
+
+def runs(spark: SparkSession, folder: str, standard: DataFrame) -> DataFrame:
+    """doc_id, tier, events, key_events, failed of a model's run; documents outside the gold standard are left out, and no facts are a failure."""
+    own = _numbered(spark, folder, f"doc_id string, facts struct<key_events:{EVENTS}>")
+    return standard.join(own.select("doc_id", F.col("facts.key_events").alias("key_events"), F.col("facts").isNull().alias("failed")), "doc_id")

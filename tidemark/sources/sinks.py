@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -33,9 +35,48 @@ def recompute(df: DataFrame, done: DataFrame, bad, key: list[str]) -> tuple[Data
 
 
 def summary_csv(df: DataFrame, path: str) -> None:
-    """Views by ticker and date, as one sorted CSV with a header."""
-    df.orderBy("ticker", "view_date").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Views by ticker and date, as sorted CSV files with a header: in the order of their names they are one table, however large."""
+    df.orderBy("ticker", "view_date").write.mode("overwrite").option("header", True).csv(path)
 
 
 def json_lines(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).json(path)
+
+
+#: Rows of a report that is rendered by the driver.
+REPORT = 10_000
+
+
+def _report(df: DataFrame) -> list:
+    rows = df.limit(REPORT + 1).collect()
+    if len(rows) > REPORT:
+        raise ValueError(f"a report has {REPORT} rows at most")
+    return rows
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def nested_json(df: DataFrame, path: str, keys: list[str]) -> None:
+    """One JSON object, nested by ``keys``: metrics by strategy, models by strategy and factor set, a manifest's documents by id."""
+    out: dict = {}
+    for row in _report(df):
+        own, r = out, row.asDict(recursive=True)
+        for k in keys:
+            own = own.setdefault(str(r.pop(k)), {})
+        own.update(r)
+    _put(df.sparkSession, path, json.dumps(out, indent=2, default=str))
+
+
+def markdown(df: DataFrame) -> str:
+    """A Markdown table; numbers with three digits, none as a dash."""
+    say = lambda v: "-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+    lines = [df.columns, ["---"] * len(df.columns), *[[say(v) for v in r] for r in _report(df)]]
+    return "\n".join("| " + " | ".join(x) + " |" if x[0] != "---" else "|" + "|".join(x) + "|" for x in lines)
