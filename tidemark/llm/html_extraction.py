@@ -1,27 +1,31 @@
 """Main-text extraction from HTML by a minimum cut.
 
-A page is scanned once into blocks: runs of text between block-level tags, each with its place in the tree, its
-link share and its enclosing elements. A logistic classifier gives every block a probability of being content;
-the two labels' costs, ``-log p`` and ``-log (1 - p)``, become capacities from the source and to the sink. Blocks that follow
+A page is scanned once into blocks: runs of text between block-level tags, each with its elements, its
+link share and its place. A block's gain is the log-odds that it is content: what a logistic classifier says of its text, links, place and
+neighbours, and what the markup around it says. The two labels' costs become capacities from the source and to the sink. Blocks that follow
 each other, and blocks that share a parent or a near ancestor, are tied by smoothness edges. The maximum flow's
 cut is the labelling of least total cost, so that a doubtful block (a two-word paragraph) goes with its neighbours, and
 a block with strong evidence of its own (an advert inside an article) does not.
 
-The classifier is trained here, on a bounded sample of pages (``SAMPLE``, those whose ids hash lowest) whose blocks
-are labelled by sectioning markup alone where there is any (``article``, ``main``; ``nav``, ``footer``, ``aside``,
-``form``, and class names such as ``ad``); blocks without such markup are not learnt from. Half of the learnt
-blocks have their markup features blanked, so that text features carry weight on pages without markup.
+The classifier sees no sectioning markup and no class names: it is trained on a bounded sample of pages (``SAMPLE``, those whose hash is lowest,
+``BLOCKS`` evenly spaced blocks of each) on which ``article`` and ``main`` against ``nav``, ``footer``, ``aside`` and ``form`` give the labels. So it
+carries what it learnt of texts to pages without such markup.
 
-Reading: ``script``, ``style``, ``head``, ``template``, ``noscript``, ``svg``, ``select`` and comments hold no text, and are skipped to their own end tag;
+Markup is evidence of a fixed strength (``BAD``, ``GOOD``): an element's name, more weakly the words of its class and id, more weakly still where they are
+part of a longer name or stand on a paragraph or heading. Names such as ``has-sidebar`` or ``no-ads`` say nothing. Evidence against an element
+is dropped where hardly any running text of the page (``LEFT``) would be left without it: a wrapper around the article is not boilerplate whatever it is called.
+
+Reading: ``script``, ``style``, ``head``, ``template``, ``noscript``, ``svg``, form controls, embedded players and comments hold no text, and are skipped to their own end tag;
 unclosed and stray tags are tolerated. Character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by a blank line.
 
 Cases: null and empty html give an empty text; html without tags is one block; unclosed comments and scripts end the page; repeated pages give the same text; a
-sample without labels falls back on fixed markup weights; an empty table gives an empty result; further columns are ignored.
+sample without labels falls back on fixed text weights; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import html as _html
 import math
 import re
@@ -33,26 +37,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
-
-#: Pages whose blocks are learnt from, at most.
-SAMPLE = 2_000
+from tidemark.llm.textbuf import trimmed
+
+#: Pages that are learnt from, and blocks of each, at most.
+SAMPLE, BLOCKS = 2_000, 60
+#: Log-odds of full evidence against and for content; evidence of a class or id, of a part of one, and of one on a paragraph or heading.
+BAD, GOOD = -12.0, 3.0
+NAMED, PART, LEAF = 0.8, 0.7, 0.3
+#: Share of a page's words outside links that evidence against elements must leave; words of an element that is worth clearing.
+LEFT, LEFT_WORDS = 0.12, 12
 #: Weight of smoothness edges: between neighbours, and between blocks with one parent.
 NEAR, KIN = 0.35, 0.6
 #: Ancestors that a block remembers for its distance to others.
 DEPTH = 16
 
-SKIPPED = frozenset("script style head template noscript svg math select option textarea iframe object canvas audio video button title".split())
+SKIPPED = frozenset("script style head template noscript svg select option textarea iframe object canvas audio video button title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br".split())
+MATH = "math mi mo mn ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mfenced semantics annotation"
+INLINE = frozenset(MATH.split()) | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br".split())
 #: Elements that a new block-level start tag closes if they are open innermost.
 CLOSES = {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "tr": ("p", "td", "th", "tr"), "td": ("p", "td", "th"), "th": ("p", "td", "th")}
-#: Enclosing elements and class words that tell of boilerplate and of content.
+#: Elements, and words of classes, ids and roles, that tell of boilerplate and of content; beginnings of names that say the contrary or nothing.
 BAD_TAGS = frozenset("nav footer aside form header menu dialog fieldset".split())
 GOOD_TAGS = frozenset("article main".split())
 BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar side aside rail related recommended share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search comment comments disqus respond reply replies widget pagination pager toolbar copyright legal skip tags".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar aside rail related recommended share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search comment comments disqus respond reply replies widget pagination pager toolbar copyright legal skip tags complementary contentinfo".split()
 )
 GOOD_WORDS = frozenset("article content entry post story body main text articlebody".split())
+NOT_WORDS = frozenset("has have had no not non with without is are hide show js tag tags category type status format".split())
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre figcaption caption".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|itemprop|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -61,36 +74,64 @@ _BLANK = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("text", "links", "tag", "path", "bad", "good", "heading")
+    """A run of text: its link characters, its innermost element's name, and the numbers of its elements from the page down."""
 
-    def __init__(self, text: str, links: int, tag: str, path: tuple[int, ...], bad: int, good: int) -> None:
-        self.text, self.links, self.tag, self.path, self.bad, self.good = text, links, tag, path, bad, good
+    __slots__ = ("text", "links", "tag", "path", "heading")
+
+    def __init__(self, text: str, links: int, tag: str, path: tuple[int, ...]) -> None:
+        self.text, self.links, self.tag, self.path = text, links, tag, path
         self.heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
 
 
-def _evidence(tag: str, attrs: str) -> tuple[int, int, bool]:
-    """Whether an element tells of boilerplate, of content, and whether it is hidden."""
-    bad, good, hidden = int(tag in BAD_TAGS), int(tag in GOOD_TAGS), False
+class Element:
+    """A block-level element: its parent's number, the evidence against and for it, whether its name is sectioning, and its words outside links."""
+
+    __slots__ = ("parent", "bad", "good", "label", "words")
+
+    def __init__(self, parent: int, bad: float, good: float, label: int) -> None:
+        self.parent, self.bad, self.good, self.label, self.words = parent, bad, good, label, 0
+
+
+def _named(value: str) -> tuple[float, float]:
+    """Evidence against and for content by a class, id or role: each of its names whole, or a part of one."""
+    bad = good = 0.0
+    for name in value.split():
+        words = _WORD.findall(name)
+        if not words or (len(words) > 1 and (words[0] in NOT_WORDS or words[-1] == "free")):
+            continue
+        if all(w in BAD_WORDS for w in words):
+            bad = max(bad, NAMED)
+        elif words[0] in BAD_WORDS or words[-1] in BAD_WORDS:
+            bad = max(bad, PART)
+        elif any(w in GOOD_WORDS for w in words):
+            good = max(good, NAMED if len(words) == 1 else PART)
+    return bad, good
+
+
+def _evidence(tag: str, attrs: str) -> tuple[float, float, bool]:
+    """How far an element tells of boilerplate and of content, and whether it is hidden."""
+    bad, good, hidden = float(tag in BAD_TAGS), float(tag in GOOD_TAGS), False
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 hidden = True
             elif name in ("class", "id", "role", "itemprop"):
-                words = set(_WORD.findall(value))
-                bad |= bool(words & BAD_WORDS) or (name == "role" and bool(words & {"complementary", "contentinfo"}))
-                good |= bool(words & GOOD_WORDS)
-    return int(bad), int(good), hidden
+                b, g = _named(value)
+                weak = LEAF if tag in LEAVES else 1.0
+                bad, good = max(bad, b * weak), max(good, g * weak)
+    return bad, 0.0 if bad >= PART else good, hidden
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page, in its order."""
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """The text blocks of a page, in its order, and its elements; element 0 is the page."""
     out: list[Block] = []
-    # open elements: name, boilerplate and content evidence so far, place and name of the innermost block, its last ancestors
-    stack: list[tuple[str, int, int, int, str, tuple[int, ...]]] = [("", 0, 0, 0, "", (0,))]
+    elements = [Element(-1, 0.0, 0.0, 0)]
+    # open elements: name, whether it is in an article, place, name and number of the innermost block, its last ancestors
+    stack: list[tuple[str, bool, int, str, int, tuple[int, ...]]] = [("", False, 0, "", 0, (0,))]
     opened: dict[str, int] = {}
     parts: list[str] = []
-    links = serial = 0
+    links = 0
     in_link = 0
     pos, n = 0, len(page)
 
@@ -99,8 +140,10 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _BLANK.sub(" ", _html.unescape("".join(parts))).strip()
             if text:
-                _, bad, good, _, tag, path = stack[-1]
-                out.append(Block(text, links, tag, path, bad, good))
+                _, _, _, tag, own, path = stack[-1]
+                out.append(Block(text, links, tag, path))
+                if len(text) > links:  # words outside links
+                    elements[own].words += int((text.count(" ") + 1) * (1 - links / len(text)))
             parts.clear()
         links = 0
 
@@ -129,7 +172,7 @@ def blocks(page: str) -> list[Block]:
             if name not in INLINE:
                 flush()
             if opened.get(name):
-                low = stack[-1][3] if name in INLINE else 0  # an inline end tag does not close the block it stands in
+                low = stack[-1][2] if name in INLINE else 0  # an inline end tag does not close the block it stands in
                 at = next((i for i in range(len(stack) - 1, low, -1) if stack[i][0] == name), 0)
                 if at:
                     close(at)
@@ -148,7 +191,7 @@ def blocks(page: str) -> list[Block]:
         if name in SKIPPED or hidden:
             if name not in INLINE:
                 flush()
-            if (m[3] or "").rstrip().endswith("/") and name in ("svg", "math"):
+            if (m[3] or "").rstrip().endswith("/") and name == "svg":
                 continue
             pos = _skip(page, pos, name)
             continue
@@ -156,25 +199,27 @@ def blocks(page: str) -> list[Block]:
             if name == "a":
                 in_link += 1
             top = stack[-1]
-            stack.append((name, top[1] | bad, 0 if bad else top[2], *top[3:]))
+            stack.append((name, *top[1:]))
             opened[name] = opened.get(name, 0) + 1
             continue
         flush()
         for closed in CLOSES.get(name, ("p",)):
-            block = stack[-1][3]
+            block = stack[-1][2]
             if block and stack[block][0] == closed:
                 close(block)
-        serial += 1
         top = stack[-1]
-        if name == "header" and top[2]:  # an article's own header is content
-            bad = 0
-        if name == "body":  # its classes tell of the whole page
-            bad = good = 0
-        bad |= top[1]  # content inside boilerplate stays boilerplate
-        stack.append((name, bad, 0 if bad else top[2] | good, len(stack), name, (*top[5][-DEPTH:], serial)))
+        inside = top[1] or name in GOOD_TAGS
+        if name == "header" and top[1]:  # an article's own header is content
+            bad = 0.0
+        if name in ("body", "html"):  # their classes tell of the whole page
+            bad = good = 0.0
+        elements.append(Element(top[4], bad, good, -1 if name in ("nav", "footer", "aside", "form") else int(name in GOOD_TAGS)))
+        stack.append((name, inside, len(stack), name, len(elements) - 1, (*top[5][-DEPTH:], len(elements) - 1)))
         opened[name] = opened.get(name, 0) + 1
     flush()
-    return out
+    for e in reversed(elements[1:]):  # children come after their parents
+        elements[e.parent].words += e.words
+    return out, elements
 
 
 def _skip(page: str, pos: int, name: str) -> int:
@@ -199,84 +244,198 @@ def _skip(page: str, pos: int, name: str) -> int:
     return pos
 
 
-N_FEATURES = 12
+N_FEATURES = 14
 
 
-def features(bs: list[Block], markup: bool = True) -> np.ndarray:
-    """A row for each block; columns 0 to 3 come from markup."""
-    x = np.zeros((len(bs), N_FEATURES))
+def features(bs: list[Block]) -> np.ndarray:
+    """A row for each block: its text, its links, its place, its neighbours. Nothing of sectioning elements and class names."""
+    n = len(bs)
+    x = np.zeros((n, N_FEATURES))
     for i, b in enumerate(bs):
         t = b.text
         words = t.count(" ") + 1
-        if markup:
-            x[i, 0], x[i, 1] = b.bad, b.good
-            x[i, 2], x[i, 3] = b.tag in ("p", "blockquote", "pre") or b.heading, b.tag in ("li", "ul", "ol", "td", "div")
-        x[i, 4] = min(1.0, math.log1p(words) / 5)
-        x[i, 5] = min(1.0, b.links / max(1, len(t)))
-        x[i, 6] = t[-1] in ".!?…\"”»"
-        x[i, 7] = min(1.0, (t.count(",") + t.count(".")) / 10)
-        x[i, 8] = words <= 4
-        x[i, 9] = "©" in t or "|" in t or "·" in t
-        x[i, 10] = i / max(1, len(bs) - 1)
-        x[i, 11] = 1.0
+        x[i, 0] = min(1.0, math.log1p(words) / 5)
+        x[i, 1] = min(1.0, b.links / max(1, len(t)))
+        x[i, 2] = t[-1] in ".!?…\"”»"
+        x[i, 3] = min(1.0, (t.count(",") + t.count(".")) / 10)
+        x[i, 4] = words <= 4
+        x[i, 5] = "©" in t or "|" in t or "·" in t
+        x[i, 6] = b.tag in ("p", "blockquote", "pre")
+        x[i, 7] = b.heading
+        x[i, 8] = b.tag in ("li", "ul", "ol", "td")
+    near = x[:, :2]
+    both = np.maximum(1, (np.arange(n) > 0).astype(int) + (np.arange(n) < n - 1))[:, None]
+    around = np.zeros((n, 2))
+    around[1:] += near[:-1]
+    around[:-1] += near[1:]
+    x[:, 9:11] = around / both
+    x[:, 11] = np.arange(n) / max(1, n - 1)
+    x[:, 12] = x[:, 0] * (1 - x[:, 1])
+    x[:, 13] = 1.0
     return x
 
 
-#: Where no sample teaches better: boilerplate markup against content markup, and mild text evidence.
-FALLBACK = np.array([-6.0, 4.0, 1.0, -0.5, 1.5, -4.0, 0.5, 1.0, -0.5, -1.5, 0.0, -0.5])
+#: Weights where no sample teaches better: length, few links and sentences speak for content.
+FALLBACK = np.array([1.5, -4.0, 0.5, 1.0, -0.5, -2.5, 0.8, 1.2, -0.3, 1.0, -1.0, -0.3, 1.0, -0.9])
+
+
+def believed(elements: list[Element]) -> list[float]:
+    """The evidence against each element, without that which would leave hardly any running text.
+
+    The element against which there is evidence that holds most words is cleared, as long as too few are left outside all such elements, none
+    of them in an element with evidence for it. A
+    sectioning element such as ``form`` is cleared only if it holds one with evidence for it, or nearly all words.
+    """
+    bad = [e.bad if e.bad >= PART else 0.0 for e in elements]
+    total = elements[0].words
+    holds = [e.label > 0 or e.good >= NAMED for e in elements]
+    children: list[list[int]] = [[] for _ in elements]
+    for i in range(len(elements) - 1, 0, -1):
+        holds[elements[i].parent] |= holds[i]
+        children[elements[i].parent].append(i)
+    outer: list[tuple[int, int, bool]] = []  # the outermost elements with evidence against them
+    left, sure = total, False
+
+    def descend(todo: list[tuple[int, bool]]) -> None:
+        nonlocal left, sure
+        while todo:
+            i, good = todo.pop()
+            e = elements[i]
+            if bad[i]:
+                left -= e.words
+                heapq.heappush(outer, (-e.words, i, good))
+                continue
+            good |= e.good >= NAMED
+            sure |= good and e.words > sum(elements[c].words for c in children[i])
+            todo += [(c, good) for c in children[i]]
+
+    descend([(0, False)])
+    while outer and not sure and left < LEFT * total:
+        words, i, good = heapq.heappop(outer)
+        if -words < LEFT_WORDS:
+            break
+        if bad[i] < 1 or holds[i] or -words > (1 - LEFT / 2) * total:
+            bad[i] = 0.0
+            left -= words
+            descend([(i, good)])
+    return [b or (e.bad if e.bad < PART else 0.0) for b, e in zip(bad, elements, strict=True)]
+
+
+def markup(bs: list[Block], elements: list[Element]) -> np.ndarray:
+    """Log-odds by the markup around each block: the strongest believed evidence against, and the strongest for."""
+    own = believed(elements)
+    bad, good = [0.0] * len(elements), [0.0] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        bad[i], good[i] = max(bad[e.parent], own[i]), max(good[e.parent], e.good)
+    return np.array([BAD * bad[b.path[-1]] + GOOD * good[b.path[-1]] for b in bs])
 
 
-def costs(bs: list[Block], weights: np.ndarray) -> np.ndarray:
-    """Log-odds of content, bounded; strong markup keeps its say whatever the text is like."""
-    return np.clip(features(bs) @ weights, -8, 8)
+def costs(bs: list[Block], side: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Log-odds of content, bounded: those of the text, and those of the markup."""
+    return np.clip(np.clip(features(bs) @ weights, -4, 4) + side, -8, 8)
 
 
 def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Labels (True: content) of least cost: a block labelled against its gain pays it, an edge whose ends differ pays its weight.
+    """Labels (True: content) of least cost, and of such the one with the fewest True: a block labelled against its gain pays it, an edge whose ends differ pays its weight.
 
-    Augmenting paths on the residual graph, shortest first; the blocks that the source still reaches are content.
+    A block whose gain outweighs all its edges keeps its own label in every best labelling; it is taken out, and its edges become gains of
+    its neighbours, until none is left. What remains is cut by Dinic's algorithm: flows along shortest paths, a layered graph at a time.
     """
     n = len(gain)
-    if not any(g > 0 for g in gain):
-        return [False] * n
-    if not any(g < 0 for g in gain):
-        return [True] * n
+    gain = list(gain)
+    ties: list[dict[int, float]] = [{} for _ in range(n)]
+    for a, b, w in edges:
+        if a != b:
+            ties[a][b] = ties[a].get(b, 0.0) + w
+            ties[b][a] = ties[b].get(a, 0.0) + w
+    label: list[bool | None] = [None] * n
+    weight = [sum(t.values()) for t in ties]
+    todo = list(range(n))
+    while todo:
+        i = todo.pop()
+        if label[i] is not None or not (gain[i] > weight[i] + 1e-9 or -gain[i] >= weight[i] - 1e-9):
+            continue
+        label[i] = gain[i] > weight[i] + 1e-9
+        for j, w in ties[i].items():
+            if label[j] is None:
+                gain[j] += w if label[i] else -w
+                weight[j] -= w
+                todo.append(j)
+    rest = [i for i in range(n) if label[i] is None]
+    if rest:
+        at = {i: k for k, i in enumerate(rest)}
+        links = [(at[i], at[j], w) for i in rest for j, w in ties[i].items() if j in at and i < j]
+        for i, x in zip(rest, _dinic([gain[i] for i in rest], links), strict=True):
+            label[i] = x
+    return [bool(x) for x in label]
+
+
+def _dinic(gain: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
+    """The side of the source in a minimum cut of least such side."""
+    n = len(gain)
     s, t = n, n + 1
-    cap: list[dict[int, float]] = [{} for _ in range(n + 2)]
+    to: list[int] = []
+    cap: list[float] = []
+    of: list[list[int]] = [[] for _ in range(n + 2)]
+
+    def add(a: int, b: int, there: float, back: float) -> None:
+        of[a].append(len(to))
+        to.append(b)
+        cap.append(there)
+        of[b].append(len(to))
+        to.append(a)
+        cap.append(back)
+
     for i, g in enumerate(gain):
         if g > 0:
-            cap[s][i], cap[i][s] = g, 0.0
+            add(s, i, g, 0.0)
         elif g < 0:
-            cap[i][t], cap[t][i] = -g, 0.0
-    for a, b, w in edges:
-        cap[a][b] = cap[a].get(b, 0.0) + w
-        cap[b][a] = cap[b].get(a, 0.0) + w
+            add(i, t, -g, 0.0)
+    for a, b, w in links:
+        add(a, b, w, w)
     while True:
-        before = {s: s}
+        level = [-1] * (n + 2)
+        level[s] = 0
         queue = [s]
         for u in queue:
-            for v, c in cap[u].items():
-                if c > 1e-9 and v not in before:
-                    before[v] = u
-                    queue.append(v)
-            if t in before:
-                break
-        if t not in before:
-            return [i in before for i in range(n)]
-        flow, v = math.inf, t
-        while v != s:
-            flow, v = min(flow, cap[before[v]][v]), before[v]
-        v = t
-        while v != s:
-            u = before[v]
-            cap[u][v] -= flow
-            cap[v][u] += flow
-            v = u
-
-
-def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness: neighbours in page order, more the nearer their common ancestor; and successive blocks of one parent. Two blocks
-    on different sides of a sectioning element are tied weakly."""
+            for e in of[u]:
+                if cap[e] > 1e-9 and level[to[e]] < 0:
+                    level[to[e]] = level[u] + 1
+                    queue.append(to[e])
+        if level[t] < 0:
+            return [x >= 0 for x in level[:n]]
+        nxt = [0] * (n + 2)
+        path: list[int] = []
+        u = s
+        while True:
+            if u == t:
+                flow = min(cap[e] for e in path)
+                for e in path:
+                    cap[e] -= flow
+                    cap[e ^ 1] += flow
+                k = next(k for k, e in enumerate(path) if cap[e] <= 1e-9)
+                u = to[path[k] ^ 1]
+                del path[k:]
+                continue
+            while nxt[u] < len(of[u]):
+                e = of[u][nxt[u]]
+                if cap[e] > 1e-9 and level[to[e]] == level[u] + 1:
+                    break
+                nxt[u] += 1
+            else:
+                if u == s:
+                    break
+                level[u] = -1
+                u = to[path.pop() ^ 1]
+                nxt[u] += 1
+                continue
+            path.append(e)
+            u = to[e]
+
+
+def edges(bs: list[Block], side: np.ndarray) -> list[tuple[int, int, float]]:
+    """Smoothness: neighbours in page order, more the nearer their common ancestor; and successive blocks of one parent. Neighbours of which
+    the markup speaks differently (``side``) are tied weakly."""
     out = []
     last: dict[int, int] = {}
     for i, b in enumerate(bs):
@@ -284,7 +443,7 @@ def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
             a = bs[i - 1]
             common = len({*a.path} & {*b.path})
             apart = len(a.path) + len(b.path) - 2 * common
-            crossing = (a.bad, a.good) != (b.bad, b.good)
+            crossing = abs(side[i] - side[i - 1]) > 1
             out.append((i - 1, i, NEAR * (0.3 if crossing else 1.0) / max(1, apart - 1)))
         parent = b.path[-2] if len(b.path) > 1 else 0
         if parent in last:
@@ -295,38 +454,47 @@ def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
 
 def extract(page: str | None, weights: np.ndarray = FALLBACK) -> str:
     """The main text of a page."""
-    bs = blocks(page or "")
+    bs, elements = blocks(page or "")
     if not bs:
         return ""
-    keep = min_cut(costs(bs, weights).tolist(), edges(bs))
+    side = markup(bs, elements)
+    keep = min_cut(costs(bs, side, weights).tolist(), edges(bs, side))
     return "\n\n".join(b.text for b, k in zip(bs, keep, strict=True) if k)
 
 
+def labelled(bs: list[Block], elements: list[Element]) -> list[int]:
+    """1 in an ``article`` or ``main``, -1 in a ``nav``, ``footer``, ``aside`` or ``form`` or where a name tells of boilerplate, 0 where nothing does."""
+    label = [0] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        up = label[e.parent]
+        label[i] = -1 if up < 0 or e.label < 0 or e.bad >= NAMED else max(up, e.label)
+    return [label[b.path[-1]] for b in bs]
+
+
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         xs, ys = [], []
-        for i, page in enumerate(batch.column("html").to_pylist()):
-            bs = blocks(page or "")
-            known = [b.bad or b.good for b in bs]
-            if any(known):
-                x, blank = features(bs), features(bs, markup=False)
-                for j, b in enumerate(bs):
-                    if known[j]:
-                        xs.append(x[j] if (i + j) % 2 else blank[j])
-                        ys.append(int(not b.bad))
+        for page in batch.column("html").to_pylist():
+            bs, elements = blocks(page or "")
+            label = labelled(bs, elements)
+            known = [j for j, y in enumerate(label) if y]
+            if known:
+                x = features(bs)
+                for j in known if len(known) <= BLOCKS else [known[k * len(known) // BLOCKS] for k in range(BLOCKS)]:
+                    xs.append(x[j])
+                    ys.append(int(label[j] > 0))
         yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in xs], pa.list_(pa.float64())), pa.array(ys, pa.int32())], names=["x", "y"])
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights of the classifier: Newton steps on the labelled blocks of the sample, L2-regularised towards the fixed weights."""
-    low = pages.where("html is not null").select(F.xxhash64("page_id").alias("h"), "page_id").orderBy("h", "page_id").limit(sample)
-    top = low.agg(F.max("h")).first()[0]
+    own = pages.where("html is not null").select(F.xxhash64("page_id", "html").alias("h"), "html")
+    top = own.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if top is None:
         return FALLBACK
-    rows = pages.where("html is not null").where(F.xxhash64("page_id") <= F.lit(top)).select("html")
-    got = rows.mapInArrow(_learn, "x array<double>, y int")
-    # sums of a Newton step would be enough; the sample's rows are few, and bounded by it
-    data = got.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).orderBy(F.xxhash64("x", "y")).limit(20 * sample).collect()
+    rows = own.where(F.col("h") <= F.lit(top)).dropDuplicates(["h"]).select("html")  # ``sample`` pages at most
+    got = rows.mapInArrow(trimmed(_learn), "x array<double>, y int")
+    data = got.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).orderBy(F.xxhash64("x", "y")).collect()  # ``sample`` times ``BLOCKS`` rows at most
     if len({r["y"] for r in data}) < 2:
         return FALLBACK
     x = np.array([r["x"] for r in data])
@@ -353,7 +521,7 @@ def extracted(pages: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return own.mapInArrow(trimmed(run), "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
