@@ -3,14 +3,15 @@
 Writer: one gzip member a record, so that any record can be reached by its offset. Records of equal payloads share a
 digest; of each group the record with the largest id is the ``response``, the others are ``revisit`` records that refer to it and hold no
 payload of their own. Reader: one pass over a file's bytes; members are inflated by an incremental ``zlib`` decompressor, a record's
-block is framed by its Content-Length, and its digest is verified (a revisit's against the response's).
+block is framed by its Content-Length, and its digest is verified. ``verified`` then holds every revisit against the archives' responses: one
+with the page id it refers to, its payload digest and its length must be there.
 
 Files are written by the executors into the shared folder through a file system chosen by its scheme. Each task writes to a name of its own
 and renames the file when it is whole, and only files in the written manifest are read: a lost executor's
 half-written file is never seen. Memory is bounded by a record and a read buffer.
 
 Cases: null payloads are empty; empty payloads are a group like any other if ``least`` is 0; payloads smaller than ``least`` are
-all responses; repeated ids with equal payloads: one of them is the response by (id, url) and a running number; a
+all responses; repeated ids with equal payloads: the one of the largest url is the response, and one of rows that are equal altogether; a
 null id is smaller than all others; null urls are written as an empty target; an empty table gives an empty result; further columns
 are ignored.
 """
@@ -29,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, scratch, table
+from tidemark.llm.common import freeing, materialise, scratch, table
 
 #: Date of all records: archives of the same pages are equal byte for byte.
 DATE = "2024-01-01T00:00:00Z"
@@ -118,11 +119,26 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (page_id, url, payload, sha, size) with u: 0, and 0, 1, 2, … for rows that are equal altogether. Payloads move only where there are such rows."""
+    key = ["page_id", "url", "sha", "size"]
+    with freeing(rows.sparkSession):
+        twice = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*[F.col(k).alias(f"d_{k}") for k in key])
+        if twice.isEmpty():
+            return rows.withColumn("u", F.lit(0))
+    same = [F.col(k).eqNullSafe(F.col(f"d_{k}")) for k in key]
+    equal = rows.join(twice, same, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("c"), F.first("payload").alias("payload"))
+    equal = equal.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("c").cast("int") - 1)))
+    alone = rows.join(twice, same, "left_anti").withColumn("u", F.lit(0))
+    return alone.unionByName(equal.select(*alone.columns))
+
+
 def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Writes the archives; returns the manifest: file, records."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload")).withColumn("u", F.monotonically_increasing_id())
+    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
+    rows = _numbered(rows)
     order = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("k"), "url", "u")
     light = rows.select("sha", "size", "page_id", order.alias("o"))  # no payload is shuffled to form the groups
     groups = light.where(F.col("size") >= least).groupBy("sha", "size").agg(F.max("o").alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -175,6 +191,18 @@ def contents(files: DataFrame) -> DataFrame:
     return files.select("file").mapInArrow(run, COLUMNS)
 
 
+def verified(records: DataFrame) -> DataFrame:
+    """``records``, a written table, if every revisit refers to a response that is there, with its digest and length; else ``Damaged`` is raised.
+    Counts by target are summed up before they move, so that a group of any size is no more than a row of each task."""
+    target = F.when(F.col("record_type") == "revisit", F.col("refers_to")).otherwise(F.col("page_id"))
+    by = records.groupBy(target.alias("target"), "payload_digest", "payload_bytes")
+    found = by.agg(F.count(F.when(F.col("record_type") == "response", 1)).alias("responses"), F.count(F.when(F.col("record_type") == "revisit", 1)).alias("revisits"))
+    bad = found.where("revisits > 0 and responses = 0").select("target").limit(1).collect()
+    if bad:
+        raise Damaged(f"a revisit refers to page {bad[0]['target']}, which has no response of its digest and length")
+    return records
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -183,4 +211,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = materialise(write(table(spark, sf_dir, "pages"), scratch(spark, "warc")), "manifest")
-    return contents(manifest.repartition(max(1, manifest.count()), "file"))
+    return verified(materialise(contents(manifest.repartition(max(1, manifest.count()), "file")), "records"))
+
+
+_B32 = "".join(f"|| substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, {5 * i + 1}, 5))::INT >> {k}) & 31) + 1, 1)" for i in range(8) for k in (15, 10, 5, 0))[3:]
+ORACLE = f"""SELECT page_id, n::BIGINT AS payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY s, n) AS top FROM (SELECT page_id, sha1(coalesce(html, '')) AS s, strlen(coalesce(html, '')) AS n FROM pages))"""
