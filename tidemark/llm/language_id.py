@@ -3,7 +3,8 @@
 A text's letters are lower-cased, all other characters become one blank class; runs of 1 to 3 are hashed into ``2**BITS`` features. A
 feature's value is its share of the text's n-grams times its inverse document frequency, which is counted over every
 learnable text. The weights are trained by follow-the-regularised-leader (per-coordinate rates, L1 and L2 penalties: the elastic net) on a
-bounded sample, the ``SAMPLE`` learnable rows whose ids hash lowest; a fifth of it is left out and fits the one temperature that
+bounded sample: of each language the learnable rows whose ids hash lowest, ``SAMPLE`` in all and ``LEAST`` of a language, if it has
+them, so that a rare language is learnt too; a fifth of it is left out and fits the one temperature that
 divides the scores before the softmax. As a text's value is a mean over its n-grams, prediction adds weights over positions and needs no
 table of counts: one map over whole texts, no shuffle.
 
@@ -21,14 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import fold, table, widened
-from tidemark.llm.textbuf import pieces, utf8
+from tidemark.llm.textbuf import pieces, trimmed, utf8
 
 BITS = 16
 ORDERS = (1, 2, 3)
-#: Learnable rows that are fitted, at most.
-SAMPLE = 4_000
+#: Learnable rows that are fitted: about so many, an equal number of each language, and so many of each at least, where it has them.
+SAMPLE, LEAST = 4_000, 50
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.1
 #: Values are shares of a text's n-grams; this brings a typical text's length near 1.
 SCALE = 10.0
@@ -40,12 +42,11 @@ ACCEPT = 0.4
 def _letters() -> np.ndarray:
     """Code point -> its lower-case letter, or 0 where it is none."""
     t = np.zeros(0x110000, np.uint32)
-    for c in range(0x20000):
+    for c in range(0x110000):
         ch = chr(c)
-        if ch.isalpha():
+        if ch.isalpha():  # the Unicode categories of letters
             low = ch.lower()
             t[c] = ord(low) if len(low) == 1 else c
-    t[0x20000:0x30000] = np.arange(0x20000, 0x30000)  # ideographs
     return t
 
 
@@ -151,14 +152,24 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
 
 
 class Model:
+    """What is broadcast: for each language the features whose weights are not 0, and their weights."""
+
     def __init__(self, langs: list[str], weights: np.ndarray, bias: np.ndarray, temp: float) -> None:
-        self.langs, self.weights, self.bias, self.temp = langs, np.ascontiguousarray(weights.T.astype(np.float32)), bias, temp
+        self.langs, self.bias, self.temp = langs, bias, temp
+        self.live = [np.flatnonzero(w).astype(np.uint32) for w in weights.T]
+        self.weights = [w[i].astype(np.float32) for w, i in zip(weights.T, self.live, strict=True)]
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((len(self.langs), 1 << BITS), np.float32)
+        for row, i, w in zip(out, self.live, self.weights, strict=True):
+            row[i] = w
+        return out
 
 
 def train(docs: DataFrame, learnable=None, sample: int = SAMPLE) -> Model:
     """Learns from text and non-null lang of the learnable rows."""
     own = docs.where("lang is not null and text is not null and doc_id is not null").where(learnable if learnable is not None else fold("doc_id", 4) != 2)
-    counts = own.select("text").mapInArrow(_df, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # 2**BITS rows at most
+    counts = own.select("text").mapInArrow(trimmed(_df), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # 2**BITS rows at most
     df = np.zeros(1 << BITS)
     total = 0
     for r in counts:
@@ -167,12 +178,19 @@ def train(docs: DataFrame, learnable=None, sample: int = SAMPLE) -> Model:
         else:
             df[r["feature"]] = r["n"]
     idf = SCALE * np.log((1 + total) / (1 + df))
-    h = F.xxhash64("doc_id")
-    last = own.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n")).first()
-    if not last["n"]:
+    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = sizes.count()
+    if not langs:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
-    picked = own.where(h <= F.lit(last["h"])).select(h.alias("h"), "lang", "text").orderBy("h", "lang").limit(sample)
-    rows = sorted(picked.mapInArrow(_sparse, "h long, lang string, idx binary, tf binary").collect(), key=lambda r: (r["h"], r["lang"]))
+    # the lowest of every language by (h, digest), among some four times as many that hash low enough
+    need = max(LEAST, sample // langs)
+    first = Window.partitionBy("lang").orderBy("h", "digest")
+    keys = own.select("lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("digest")).join(sizes, "lang")
+    keys = keys.where(F.col("h") / float(1 << 64) + 0.5 <= F.lit(4.0 * need) / F.col("n"))
+    last = keys.withColumn("r", F.row_number().over(first)).where(F.col("r") <= need).groupBy("lang").agg(F.max(F.struct("h", "digest")).alias("last"))
+    mine = own.select("lang", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("digest")).join(F.broadcast(last), "lang")
+    picked = mine.where(F.struct("h", "digest") <= F.col("last")).dropDuplicates(["lang", "h", "digest"]).select("h", "lang", "text")
+    rows = sorted(picked.mapInArrow(trimmed(_sparse), "h long, lang string, idx binary, tf binary").collect(), key=lambda r: (r["h"], r["lang"], r["idx"]))
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
@@ -188,12 +206,13 @@ def train(docs: DataFrame, learnable=None, sample: int = SAMPLE) -> Model:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score: one map, whole texts."""
+    """``docs`` with lang_pred and score, in place of columns of these names: one map, whole texts."""
+    docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        k = len(m.langs)
+        k, weights = len(m.langs), m.dense()
         names = np.array([*m.langs, "und"], object)
         for batch in batches:
             data, off = utf8(batch.column("text"))
@@ -206,7 +225,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
                 for n, g in zip(ORDERS, by, strict=True):
                     for j in range(k):
                         run_ = np.zeros(len(g) + 1)
-                        np.cumsum(m.weights[j][g], out=run_[1:], dtype=np.float64)
+                        np.cumsum(weights[j][g], out=run_[1:], dtype=np.float64)
                         hi = np.maximum(at[:-1], at[1:] - n + 1)
                         sums[:, j] += run_[np.minimum(hi, len(g))] - run_[np.minimum(at[:-1], len(g))]
                 s = (sums / np.maximum(total, 1)[:, None] + m.bias) / m.temp
@@ -219,7 +238,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
                 score[a:b] = np.where(ok, s.max(1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, widened(docs, "lang_pred string, score double"))
+    return docs.mapInArrow(trimmed(run), widened(docs, "lang_pred string, score double"))
 
 
 def accept(docs: DataFrame, least: float = ACCEPT) -> DataFrame:
