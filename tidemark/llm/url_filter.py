@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import Work, table
 
 #: The rules in force: key -> verdict.
 RULES: Mapping[str, str] = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -97,24 +97,26 @@ def _fill(keys: DataFrame, level: int, n: int, p: float) -> Level:
 
 
 def build(listed: DataFrame, universe: DataFrame, max_levels: int = 32) -> Cascade:
-    """Cascade over ``listed.key`` that is exact on ``universe.key``; both distinct inside."""
-    listed = listed.select("key").where("key is not null").distinct()
-    universe = universe.select("key").where("key is not null").distinct()
-    n, size = listed.count(), universe.count()
-    if n == 0:
-        return Cascade(())
-    others = universe.join(listed, "key", "left_anti")
-    p = max(1e-9, min(0.5, n * math.sqrt(0.5) / max(size, 1)))
-    levels: list[Level] = []
-    inside, outside, have = listed, others, n
-    for i in range(max_levels):
-        level = _fill(inside, i, have, p if i == 0 else 0.5)
-        levels.append(level)
-        wrong = outside.where(level.has(F.col("key"), i))
-        have = wrong.count()
-        if have == 0:
-            return Cascade(tuple(levels))
-        inside, outside = wrong, inside
+    """Cascade over ``listed.key`` that is exact on ``universe.key``; both distinct inside. The universe is scanned once, and each level's errors are a table."""
+    with Work(universe.sparkSession) as work:
+        listed = work.save(listed.select("key").where("key is not null").distinct(), "listed")
+        universe = universe.select("key").where("key is not null").distinct()
+        n = listed.count()
+        if n == 0:
+            return Cascade(())
+        outside = work.save(universe.join(listed, "key", "left_anti"), "others")
+        size = n + outside.count()
+        p = max(1e-9, min(0.5, n * math.sqrt(0.5) / max(size, 1)))
+        levels: list[Level] = []
+        inside, have = listed, n
+        for i in range(max_levels):
+            level = _fill(inside, i, have, p if i == 0 else 0.5)
+            levels.append(level)
+            wrong = work.save(outside.where(level.has(F.col("key"), i)), f"wrong{i}")
+            have = wrong.count()
+            if have == 0:
+                return Cascade(tuple(levels))
+            inside, outside = wrong, inside
     raise RuntimeError(f"the cascade still errs after {max_levels} levels")
 
 
@@ -124,13 +126,12 @@ def judge(pages: DataFrame, rules: Mapping[str, str] = RULES) -> DataFrame:
     lengths = sorted({len(r) - r.index("/") for r in rules})
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
-    listed = spark.createDataFrame([(k,) for k in rules], "key string")
+    listed = spark.createDataFrame(list(rules.items()), "key string, verdict string")
     cascade = build(listed, split.select(F.explode("keys").alias("key")))
+    blocked = build(listed.where("verdict = 'block'"), listed)  # a second one tells the rules that block from the others
     hits = F.filter("keys", cascade.listed)
     longest = F.array_max(F.transform(hits, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
-    verdict = F.lit("allow")
-    for k, v in rules.items():
-        verdict = F.when(F.col("rule") == k, F.lit(v)).otherwise(verdict)
+    verdict = F.when(F.col("rule").isNotNull() & blocked.listed(F.col("rule")), "block").otherwise("allow")
     return split.withColumn("rule", longest).select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
