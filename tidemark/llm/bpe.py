@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import table, widened
-from tidemark.llm.textbuf import pieces, utf8
+from tidemark.llm.textbuf import pieces, trimmed, utf8
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Slices that a worker remembers, and the bytes from which a slice is merged by a heap.
-CACHE, LONG = 1_000_000, 48
+CACHE, LONG = 250_000, 48
 
 # Classes of code points. Letters that contractions need have classes of their own.
 OTHER, LETTER, DIGIT, BLANK, SPACE, QUOTE, STDM, RV, E, L_, BREAK = range(11)
@@ -290,7 +290,8 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 def encoded(docs: DataFrame, path: str | None = None, digests: bool = False) -> DataFrame:
-    """``docs`` with ids (array of int); or, with ``digests``, n_tokens and the SHA-256 of the decimal ids and of the decoded bytes."""
+    """``docs`` with ids (array of int); or, with ``digests``, n_tokens and the SHA-256 of the decimal ids and of the decoded bytes; in place of columns of these names."""
+    docs = docs.drop(*(("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids",)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path or vocabulary())
@@ -307,7 +308,7 @@ def encoded(docs: DataFrame, path: str | None = None, digests: bool = False) ->
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added.names])
 
     added = widened(docs.select(), "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
-    return docs.mapInArrow(run, widened(docs, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in added.fields)))
+    return docs.mapInArrow(trimmed(run), widened(docs, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in added.fields)))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Frees the shuffle files of a job as soon as it has ended: what it wrote is a finished table by then.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch.
+BATCH = 8 << 20
 #: A key with more than a share of 1 / HOT of a table's rows is hot (so there are at most HOT); its rows are dealt to SPREAD tasks.
 HOT, SPREAD = 200, 32
 
@@ -120,7 +122,15 @@ def widened(df: DataFrame, ddl: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH`` bytes at most, unless the session names a bound of its own: rows may be long texts."""
+    unset = f"{BATCH + 1}b"
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", unset) == unset:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Work, dealt_join, materialise, table
 from tidemark.llm.graph import components
-from tidemark.llm.textbuf import Words, ascii_lower, mix, pieces, utf8
+from tidemark.llm.textbuf import Words, ascii_lower, mix, pieces, trimmed, utf8
 
 #: Bytes that separate words, and the byte that stands for NUL, which is a character of words.
 KIND = ascii_lower(b"\t\n\x0b\x0c\r ")
@@ -58,11 +58,11 @@ BROADCAST_ROWS = 500_000
 #: Sets, and bytes of sets, of a block; entries of the 0/1 matrix that a block's sets are spread into at a time.
 BLOCK, BLOCK_BYTES, COLUMNS = 1024, 8 << 20, 4 << 20
 #: Classes that a task remembers, so that copies in one task give their signatures once.
-SEEN = 500_000
+SEEN = 100_000
 #: Entries that a task packs at a time, entries of a slice (about), and classes of one packing from which a signature is dealt to other slices.
-PACK, SLICE, MANY = 1 << 20, 1 << 20, 32
+PACK, SLICE, MANY = 1 << 19, 1 << 19, 32
 #: Bits of a parity sketch for each feature of the set, and their least number.
-SKETCH, SKETCH_LEAST = 1, 128
+SKETCH, SKETCH_LEAST = 2, 128
 
 
 def shingles(words: Words, n: int) -> list[np.ndarray]:
@@ -168,7 +168,7 @@ def sized(docs: DataFrame, n: int) -> DataFrame:
             ids, digests = (batch.column(c).slice(a, b - a) for c in ("doc_id", "digest"))
             yield pa.RecordBatch.from_arrays([ids, digests, pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["doc_id", "digest", "n", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest")).mapInArrow(run, "doc_id long, digest long, n long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest")).mapInArrow(trimmed(run), "doc_id long, digest long, n long, fp long")
 
 
 class Packing:
@@ -282,7 +282,7 @@ def signed(docs: DataFrame, n: int, num: int, den: int, parts: int, packing: Pac
         if held:
             yield flush()
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "slice int, sigs binary, keys binary")
+    return docs.where("doc_id is not null").select("text").mapInArrow(trimmed(run), "slice int, sigs binary, keys binary")
 
 
 def buckets(rows: DataFrame, packing: Packing) -> DataFrame:
@@ -306,7 +306,7 @@ def buckets(rows: DataFrame, packing: Packing) -> DataFrame:
                 keys.append(k)
         yield from done()
 
-    return rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "bucket long, key long").distinct()
+    return rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(trimmed(run), "bucket long, key long").distinct()
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -347,7 +347,7 @@ def described(docs: DataFrame, wanted: DataFrame, n: int, what: str) -> DataFram
     texts = texts.join(F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted, ["doc_id", "digest"])
     if twice:  # a representative's row is repeated
         texts = texts.where("not twice").unionByName(texts.where("twice").dropDuplicates(["fp"]))
-    return texts.select("fp", "text").mapInArrow(run, f"fp long, n long, {what} binary")
+    return texts.select("fp", "text").mapInArrow(trimmed(run), f"fp long, n long, {what} binary")
 
 
 def _pairs(pairs: DataFrame, sets: DataFrame, col: str, num: int, den: int) -> DataFrame:
@@ -366,7 +366,7 @@ def promising(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
             keep = [near(x, y, n, num, den) for x, y, n in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("both").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _pairs(pairs, sketches, "sketch", num, den).mapInArrow(run, "a long, b long")
+    return _pairs(pairs, sketches, "sketch", num, den).mapInArrow(trimmed(run), "a long, b long")
 
 
 def checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -383,7 +383,7 @@ def checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append(linked(int((q[np.minimum(at, len(q) - 1)] == p).sum()), len(p), len(q), num, den))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _pairs(pairs, sets, "members", num, den).mapInArrow(run, "a long, b long")
+    return _pairs(pairs, sets, "members", num, den).mapInArrow(trimmed(run), "a long, b long")
 
 
 def spanning(link: np.ndarray) -> list[tuple[int, int]]:
@@ -473,11 +473,11 @@ def in_groups(rows: DataFrame, keys: list[str], links) -> DataFrame:
         if held:
             yield out(found(held[0]))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), "a long, b long")
 
 
 def parts_of(size: Column) -> Column:
-    """Blocks of a group: of ``BLOCK`` rows at most, and up to eight smaller ones, so that a middling group's work is spread too."""
+    """Blocks of a cluster: of ``BLOCK`` sets at most, and up to eight smaller ones, so that a middling cluster's work is spread too."""
     return F.greatest(F.ceil(size / BLOCK), F.least(F.lit(8), F.ceil(8 * size / BLOCK))).cast("int")
 
 
@@ -504,7 +504,7 @@ def by_members(t: pa.Table, num: int, den: int) -> list[tuple[int, int]]:
 def unresolved(rows: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: pairs of different components that share a bucket and can link by their sketches, as spanning forests. ``rows``: bucket, fp, comp."""
     stats = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    nb = stats.select("bucket", parts_of(F.col("size")).alias("nb"))
+    nb = stats.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
     out = in_groups(blocked(rows, "bucket", nb).join(sketches, "fp"), ["bucket", "p", "q"], partial(by_sketch, num=num, den=den))
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

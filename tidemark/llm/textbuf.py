@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are worked on at a time; a longer text is one piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 18
+
+
+def trim() -> None:
+    """Gives memory that the process has freed back to the system: a worker lives on, and executors have little beside their heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library: it keeps what it keeps
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a map over batches, with ``trim`` before and after."""
+
+    @wraps(run)
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        yield from run(batches)
+        trim()
+
+    return own
 
 
 def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +101,7 @@ class Words:
         last = ends[1:][ends[1:] > 0] - 1
         stops[last] = word[last]
         self.start, self.stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-        self.up, self.down = _powers(max(21, int(n).bit_length()))
+        self.up, self.down = _powers(max(19, int(n).bit_length()))
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_byte_values()[val] * self.up[:n], out=self.sums[1:])
         self.hash = self.span(self.start, self.stop)
