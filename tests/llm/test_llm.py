@@ -382,3 +382,77 @@ def test_html_query_on_odd_tables(spark):
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_extraction.extracted(p.withColumn("text", F.lit("clash")), w).collect())
     assert got == [(1, "", 0), (2, "", 0), (2, "Hello there, dear reader.", 25)]
     assert html_extraction.extracted(p.limit(0), html_extraction.train(p.limit(0))).count() == 0
+
+
+PROSE = "<p>Ordinary prose that goes on for a while, with commas and all.</p><p>A second paragraph of the same kind, which says little.</p>"
+TEXT = "Ordinary prose that goes on for a while, with commas and all.\n\nA second paragraph of the same kind, which says little."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<div class="content has-sidebar">{PROSE}</div>', TEXT),
+        (f'<article class="post tags-news"><h1 class="header">A title</h1>{PROSE}</article>', "A title\n\n" + TEXT),
+        (f'<div class="article-body ad-free">{PROSE}</div>', TEXT),
+        (f'<form id=aspnet><div class=menu><a>x</a></div><div id=main>{PROSE}</div><div class="sidebar">Some links</div></form>', TEXT),
+        (f'<div id=wrap class="sidebar"><h2>My post</h2>{PROSE}<div class="comments"><p>User: I like this text very much, it is long, well done.</p></div></div>', "My post\n\n" + TEXT),
+        (f'<main>{PROSE}<p class="alert">It may be out of date, as it was written some years ago.</p></main><div class="related-posts"><p>Another story, which is teased here at some length, is this.</p></div>', TEXT + "\n\nIt may be out of date, as it was written some years ago."),
+        (f'<table><tr><td><a href=a>One</a><a href=b>Two</a></td><td><h1>Old</h1>{PROSE}</td></tr></table><div id="footer">Made by hand.</div>', "Old\n\n" + TEXT),
+        ("<article><p>The formula <math><mi>x</mi><mo>=</mo><mn>1</mn></math> is short, and it is part of the text.</p></article>", "The formula x=1 is short, and it is part of the text."),
+    ],
+)
+def test_html_of_other_templates(page, want):
+    whole = f"<html><body><nav><a href=/>Home</a> <a href=/about>About us</a></nav>{page}<footer>© 2024 Some site</footer></body></html>"
+    assert html_extraction.extract(whole) == want
+
+
+def test_html_cut_is_near_linear_and_training_is_bounded(spark):
+    import time
+
+    rng = random.Random(3)
+    page = "".join(f"<div>{'word ' * rng.randrange(1, 12)}.</div><div><a href=x>{'link ' * rng.randrange(1, 5)}</a></div>" for _ in range(10_000))
+    began = time.perf_counter()
+    html_extraction.extract(page)
+    assert time.perf_counter() - began < 15
+    p = spark.createDataFrame([(7, "u", f"<article><p>Text number {i}, of some length.</p></article><nav>Menu {i}</nav>") for i in range(300)], "page_id long, url string, html string")
+    assert len(html_extraction.train(p, sample=20)) == html_extraction.N_FEATURES
+
+
+def test_multi_index_recall_on_part_of_the_rows(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(200, 16))
+    x = (centres[rng.integers(0, 200, 20_000)] + 0.5 * rng.normal(size=(20_000, 16))).astype(np.float32).astype(float)
+    d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in multi_index.search(d, d.where("vec_id % 200 = 0")).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    hits = 0
+    for q in range(0, 20_000, 200):
+        dist = np.sqrt(np.square(x - x[q]).sum(1))
+        near = [i for i in np.lexsort((np.arange(len(x)), dist)) if i != q][:10]
+        assert len(got[q]) == 10 and all(got[q][v] == dist[v] for v in got[q])
+        hits += len(set(near) & set(got[q]))
+    assert hits / 1000 >= 0.9
+
+
+def test_multi_index_stops_before_all_cells():
+    rng = np.random.default_rng(4)
+    da, db, sizes = rng.random(40), rng.random(30), rng.integers(0, 5, 1200)
+    total = (da[:, None] + db[None, :]).ravel()
+    for want in (1, 50, 700, int(sizes.sum())):
+        far = multi_index.walk(da, db, sizes, want)
+        assert sizes[total <= far].sum() >= want and sizes[total < far].sum() < want
+    assert multi_index.walk(da, db, sizes, 10**9) == total.max()
+
+
+def test_multi_index_repeated_ids_and_pieces(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "PIECE", 16)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 6))
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(0, x[0].tolist()), (0, x[7].tolist()), (5, x[9].tolist())] + [(1000 + i, x[50].tolist()) for i in range(200)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = multi_index.search(d, d.where("vec_id in (0, 60)")).collect()
+    assert len(got) == 30 and sorted(r.rank for r in got if r.query_id == 60) == list(range(1, 11))
+    mine = np.sqrt(np.square(x - x[60]).sum(1))
+    every = sorted([(float(np.sqrt(np.square(np.array(v) - x[60]).sum())), i) for i, v in rows if i != 60])[:10]
+    assert [(r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == 60), key=lambda r: r.rank)] == every and len(mine) == 400

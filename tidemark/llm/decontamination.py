@@ -131,3 +131,19 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The same rule by brute force: every pair of equal words gives a diagonal, and every diagonal is judged. Items of fewer than ``MIN_WORDS`` words must agree
+#: word for word; a stretch's best score is the greatest rise of the running score.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d), bw AS (SELECT item_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS j FROM b),
+m AS (SELECT doc_id, item_id, n, i - j AS diagonal, j FROM dw JOIN bw USING (x)),
+many AS (SELECT doc_id, item_id, n, diagonal, count(*) AS matched FROM m GROUP BY ALL HAVING count(*) >= least(n, {MIN_WORDS})),
+r AS (SELECT *, row_number() OVER w AS k FROM m JOIN many USING (doc_id, item_id, n, diagonal) WINDOW w AS (PARTITION BY doc_id, item_id, n, diagonal ORDER BY j)),
+s AS (SELECT *, k - {MISS} * (j + 1 - k) AS after, k - 1 - {MISS} * (j + 1 - k) AS before FROM r),
+t AS (SELECT doc_id, item_id, n, diagonal, matched, after - min(before) OVER (PARTITION BY doc_id, item_id, n, diagonal ORDER BY j) AS score FROM s),
+g AS (SELECT doc_id, item_id, n, diagonal, matched, max(score) AS overlap FROM t GROUP BY ALL),
+kept AS (SELECT * FROM g WHERE CASE WHEN n < {MIN_WORDS} THEN matched = n ELSE matched >= {MIN_SHARE} * n OR overlap >= {OVERLAP} END),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, n ORDER BY matched DESC, diagonal, overlap DESC) AS place FROM kept)
+SELECT doc_id, item_id, n::INT AS item_words, matched::INT AS matched_words, round(matched / n, 6) AS share, diagonal::INT AS at, overlap::INT AS overlap FROM best WHERE place = 1"""

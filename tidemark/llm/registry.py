@@ -33,5 +33,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontamination": decontamination.ORACLE,
         "op5_url_filter": url_filter.ORACLE,
+        "op6_sharding": sharding.ORACLE,
+        "op7_warc": warc.ORACLE,
     }

@@ -133,17 +133,29 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 _U = "((('0x' || substr(md5(k || '|' || {node}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
 
 
+def _crc_table() -> str:
+    """The 256 remainders of the reflected polynomial of CRC-32, by its rule."""
+    out = []
+    for i in range(256):
+        for _ in range(8):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        out.append(i)
+    return "[" + ", ".join(map(str, out)) + "]"
+
+
 def _oracle() -> str:
-    """The same descent in DuckDB, for 40 equal shards as 2 regions of 4 racks of 5 and one more.
-    DuckDB has no CRC-32: the comparison is of the other columns (see tests), so this is not registered."""
+    """The same descent in DuckDB, for 40 equal shards as 2 regions of 4 racks of 5 and one more; the CRC-32 byte by byte; slots by one window."""
     u = lambda node: _U.format(node=node)
     return f"""
-WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, coalesce(doc_id::VARCHAR, 'null') AS k FROM documents),
+WITH tab AS (SELECT {_crc_table()}::UBIGINT[] AS t),
+crc AS (SELECT doc_id, text, xor(4294967295::UBIGINT, list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::INT + 1]), 4294967295::UBIGINT))::BIGINT AS text_crc32 FROM documents, tab),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, text_crc32, coalesce(doc_id::VARCHAR, 'null') AS k FROM crc),
 r AS (SELECT *, CASE WHEN -ln({u("'r0'")}) / 20 <= -ln({u("'r1'")}) / 20 THEN 0 ELSE 1 END AS a,
              least(-ln({u("'r0'")}) / 20, -ln({u("'r1'")}) / 20) AS best, -ln({u("'r2'")}) AS own FROM d),
 kk AS (SELECT r.*, (SELECT arg_min(j, -ln({u("'r' || a || 'k' || j")})) FROM range(4) t(j)) AS b FROM r),
 ss AS (SELECT kk.*, (SELECT arg_min(j, -ln({u("'r' || a || 'k' || b || 's' || j")})) FROM range(5) t(j)) AS c FROM kk)
-SELECT doc_id, size, 'key' AS law, (a * 20 + b * 5 + c)::INT AS shard,
+SELECT doc_id, size, text_crc32, 'key' AS law, (a * 20 + b * 5 + c)::INT AS shard,
+       row_number() OVER (PARTITION BY a, b, c ORDER BY ('0x' || substr(md5(k), 31, 2))::INT, doc_id NULLS FIRST, text_crc32) - 1 AS slot,
        (CASE WHEN own < best THEN 40 ELSE a * 20 + b * 5 + c END)::INT AS grown_shard FROM ss
 """
 
