@@ -323,3 +323,16 @@ def test_pushed_filters_narrow_the_request():
     r = m.MarketReader({"symbols": "A,B", "start": "2019-01-01", "end": "2020-12-31"}, ["date"])
     kept = list(r.pushFilters([GreaterThan(("date",), date(2019, 6, 1)), LessThanOrEqual(("date",), date(2019, 7, 1)), EqualTo(("ticker",), "B"), In(("ticker",), ("A",))]))
     assert (r.start, r.end, [p.name for p in r.partitions()]) == (date(2019, 6, 2), date(2019, 7, 1), ["B"]) and len(kept) == 1
+
+
+def test_sections_within_a_budget():
+    parts = {"business": "b" * 4000, "mda": "m" * 8000, "risk_factors": "r" * 2000}
+    assert t.chunk_sections({}) == [] and t.chunk_sections({"x": "y"}) == []
+    got = t.chunk_sections({"mda": "m" * 40}, 100, 50, 5)
+    assert got == ["[SECTION: MDA]\n\n" + "m" * 40]
+    # 2,000 tokens of mda in pieces of 800 with 40 of overlap: 800 + 800 + 480, and 4 of the marker; 500 of risk factors do not fit in what is left of 2,400
+    got = t.chunk_sections(parts, 2400, 800, 40)
+    assert [len(x) for x in got] == [3200 + 16, 3200, 1920] and got[0].startswith("[SECTION: MDA]\n\n")
+    got = t.chunk_sections(parts, 2700, 800, 40)
+    assert [x[:14] for x in got if x[0] == "["] == ["[SECTION: MDA]", "[SECTION: RISK"] and len(got) == 4
+    assert [t.n_tokens(x) for x in t.chunk_sections(parts)] == [2004, 506, 1005]

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.small import small
+
 # --- HTML and sections -------------------------------------------------------------------------
 
 
@@ -185,6 +187,45 @@ def token_chunks(text: str, size: int = 4000, overlap: int = 200) -> list[str]:
     return out or ([text] if text else [])
 
 
+#: Sections in the order in which a budget goes to them.
+PRIORITY = ("mda", "risk_factors", "liquidity", "business")
+
+
+def chunk_sections(parts: dict[str, str], budget: int | None = None, size: int = 4000, overlap: int = 200, least: int = 500) -> list[str]:
+    """The token chunks of all sections by priority, each section's first with a marker. Within a budget a section that does not fit is cut to what is left of it;
+    below ``least`` it ends there. What is used counts the chunks, with their overlaps and markers."""
+    out: list[str] = []
+    used = 0
+    for name in PRIORITY:
+        if name not in parts:
+            continue
+        text = parts[name]
+        if budget and used + n_tokens(text) > budget:
+            if budget - used < least:
+                break
+            text = text[: 4 * (budget - used)]
+        own = token_chunks(text, size, overlap)
+        if own:
+            own[0] = f"[SECTION: {name.upper()}]\n\n{own[0]}"
+        out += own
+        used += sum(map(n_tokens, own))
+        if budget and used >= budget:
+            break
+    return out
+
+
+def section_chunks(df: DataFrame, key: str, sections_: str, budget: int, size: int = 4000, overlap: int = 200) -> DataFrame:
+    """key, pos, chunk of the sections (a map) of each row."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            rows = [(k, i, c) for k, m in zip(p[key], p[sections_], strict=True) for i, c in enumerate(chunk_sections(dict(m or {}), budget, size, overlap))]
+            yield pd.DataFrame(rows, columns=[key, "pos", "chunk"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, sections_).mapInPandas(run, f"{key} {kind}, pos int, chunk string")
+
+
 def chunked(df: DataFrame, key: str, text: str, size: int = 4000, overlap: int = 200, tokens: bool = False) -> DataFrame:
     """key, pos, chunk."""
     cut = token_chunks if tokens else char_chunks
@@ -198,7 +239,7 @@ def chunked(df: DataFrame, key: str, text: str, size: int = 4000, overlap: int =
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, pos int, chunk string")
 
 
-def budgeted(parts: DataFrame, key: str, budget: int, order: tuple[str, ...] = ("mda", "risk_factors", "liquidity", "business"), least: int = 500) -> DataFrame:
+def budgeted(parts: DataFrame, key: str, budget: int, order: tuple[str, ...] = PRIORITY, least: int = 500) -> DataFrame:
     """Rows (key, section, tokens) with ``take``: tokens in the order of sections while the budget lasts. A section that does not fit is cut
     to what is left; where that is below ``least``, the section and all after it go."""
     from pyspark.sql.window import Window
@@ -358,5 +399,5 @@ def lenient_json(c: Column, schema: str) -> Column:
 def lexicon_counts(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """key, n_words, pos, neg: words (runs of letters) that the lexicon (word, polarity 1 or -1) lists. The lexicon is a small dimension."""
     words = df.select(key, F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    hit = words.join(F.broadcast(lexicon), "word", "left")
+    hit = words.join(small(lexicon), "word", "left")
     return hit.groupBy(key).agg(F.count("word").alias("n_words"), F.count(F.when(F.col("polarity") > 0, 1)).alias("pos"), F.count(F.when(F.col("polarity") < 0, 1)).alias("neg"))

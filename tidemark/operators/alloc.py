@@ -160,7 +160,7 @@ def windows(rets: DataFrame, rebalances: DataFrame, rows: int = 252) -> DataFram
     days = rets.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date")))
     top = rebalances.select("rebal_date").join(days, F.col("date") <= F.col("rebal_date")).groupBy("rebal_date").agg(F.max("k").alias("top"))
     own = top.where(F.col("top") >= rows).select("rebal_date", F.explode(F.sequence(F.col("top") - rows + 1, "top")).alias("k")).join(days, "k").drop("k")
-    return rets.join(F.broadcast(own), "date")  # rebalances x rows: a calendar
+    return rets.join(own, "date")
 
 
 def allocate(window: DataFrame, views: DataFrame, names: list[str], seed: int = 0, shrink: bool = True, least: int = 60) -> DataFrame:

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.small import small
+
 
 def equal_weight(periods: DataFrame, universe: DataFrame) -> DataFrame:
     """rebal_date, ticker, w: 1 / N."""
     n = universe.agg(F.count(F.lit(1)).alias("n"))
-    return periods.select("rebal_date").crossJoin(F.broadcast(universe.select("ticker"))).crossJoin(F.broadcast(n)).select("rebal_date", "ticker", (F.lit(1.0) / F.col("n")).alias("w"))
+    return periods.select("rebal_date").crossJoin(small(universe.select("ticker"))).crossJoin(F.broadcast(n)).select("rebal_date", "ticker", (F.lit(1.0) / F.col("n")).alias("w"))
 
 
 def ranked_views(periods: DataFrame, universe: DataFrame, active: DataFrame, n: int = 10, best: bool = True) -> DataFrame:
@@ -33,9 +35,9 @@ def run(rets: DataFrame, periods: DataFrame, weights: DataFrame, universe: DataF
     ``weights``: strategy, rebal_date, ticker, w. ``rets``: complete-case returns. The periods are a small dimension.
     """
     days = rets.select("date").distinct()
-    own = F.broadcast(periods)
+    own = small(periods)
     of = days.join(own, (days["date"] >= own["trade_date"]) & (days["date"] < own["until"])).select("date", "rebal_date")
-    r = rets.join(F.broadcast(of), "date").select("rebal_date", "ticker", "date", "ret")
+    r = rets.join(of, "date").select("rebal_date", "ticker", "date", "ret")
     live = r.join(weights.where("w <> 0"), ["rebal_date", "ticker"])
     so_far = Window.partitionBy("strategy", "rebal_date", "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     held = live.withColumn("wg", F.col("w") * F.exp(F.sum(F.log1p("ret")).over(so_far))).persist()
@@ -49,7 +51,7 @@ def run(rets: DataFrame, periods: DataFrame, weights: DataFrame, universe: DataF
     order = ran.withColumn("next", F.lead("rebal_date").over(Window.partitionBy("strategy").orderBy("rebal_date")))
     came = w_end.join(order, ["strategy", "rebal_date"]).where("next is not null").select("strategy", F.col("next").alias("rebal_date"), "ticker", F.col("w_end").alias("w_old"))
     first = ran.groupBy("strategy").agg(F.min("rebal_date").alias("rebal_date"))
-    start = first.crossJoin(F.broadcast(universe.select("ticker"))).crossJoin(F.broadcast(universe.agg(F.count(F.lit(1)).alias("n"))))
+    start = first.crossJoin(small(universe.select("ticker"))).crossJoin(F.broadcast(universe.agg(F.count(F.lit(1)).alias("n"))))
     old = came.unionByName(start.select("strategy", "rebal_date", "ticker", (F.lit(1.0) / F.col("n")).alias("w_old")))
     target = weights.join(ran, ["strategy", "rebal_date"], "left_semi")
     moved = target.join(old, ["strategy", "rebal_date", "ticker"], "full").select("strategy", "rebal_date", F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("w_old", F.lit(0.0))).alias("d"))
@@ -62,7 +64,7 @@ def mean_curve(curves: DataFrame, on: str) -> DataFrame:
     """date, mean, n of curves (strategy, date, v) on the dates of ``on``, each filled forward."""
     dates = curves.where(F.col("strategy") == on).select("date").distinct()
     names = curves.select("strategy").distinct()
-    grid = dates.join(F.broadcast(names)).join(curves, ["strategy", "date"], "left")  # a row a date and strategy: the table's own size
+    grid = dates.crossJoin(names).join(curves, ["strategy", "date"], "left")  # a row a date and strategy: the table's own size
     so_far = Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return grid.withColumn("v", F.last("v", ignorenulls=True).over(so_far)).groupBy("date").agg(F.avg("v").alias("mean"), F.count("v").alias("n"))
 

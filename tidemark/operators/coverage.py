@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.small import MOST, small
+
 
 def year_runs(df: DataFrame, by: str) -> DataFrame:
     """by, first, last, n: runs of consecutive years."""
@@ -89,12 +91,15 @@ def quotas(sizes: dict[str, int], total: int = 100, floor: int = 2) -> dict[str,
 
 def balanced(df: DataFrame, sector: str, name: str, total: int = 100) -> DataFrame:
     """The first names of every sector, alphabetically, as many as its quota. Sectors are a small dimension."""
-    sizes = {r[0]: r[1] for r in df.groupBy(sector).count().collect()}
+    rows = df.groupBy(sector).count().limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"more than {MOST} sectors")
+    sizes = {r[0]: r[1] for r in rows}
     q = df.sparkSession.createDataFrame(list(quotas(sizes, total).items()), "__s string, __q int") if sizes else None
     if q is None:
         return df
     k = F.row_number().over(Window.partitionBy(sector).orderBy(name))
-    return df.withColumn("__k", k).join(F.broadcast(q), F.col(sector) == F.col("__s")).where("__k <= __q").drop("__s", "__q", "__k")
+    return df.withColumn("__k", k).join(small(q), F.col(sector) == F.col("__s")).where("__k <= __q").drop("__s", "__q", "__k")
 
 
 def alternate(df: DataFrame, by: str, name: str) -> DataFrame:

@@ -71,7 +71,7 @@ def lookback(df: DataFrame, dates: DataFrame, rows: int = 252) -> DataFrame:
     days = df.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date")))  # one row a trading day
     at = dates.select("rebal_date").join(days, days["date"] <= dates["rebal_date"]).groupBy("rebal_date").agg(F.max("k").alias("top"))
     spans = at.where(F.col("top") >= rows).select("rebal_date", F.explode(F.sequence(F.col("top") - rows + 1, F.col("top"))).alias("k"))
-    return df.join(F.broadcast(spans.join(days, "k").drop("k")), "date")
+    return df.join(spans.join(days, "k").drop("k"), "date")
 
 
 def product(col: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import asof, backtest, calendar, panel
+from tidemark.operators.small import small
 
 SPAN = (date(1995, 1, 1), date(2001, 12, 31))
 
@@ -70,7 +71,7 @@ def periods(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def at_rebalances(spark: SparkSession, sf: str) -> DataFrame:
-    return periods(spark, sf).select("rebal_date").crossJoin(F.broadcast(universe(spark, sf).select("ticker")))
+    return periods(spark, sf).select("rebal_date").crossJoin(small(dim(universe(spark, sf)).select("ticker")))
 
 
 def active(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +81,7 @@ def active(spark: SparkSession, sf: str) -> DataFrame:
 def weights(spark: SparkSession, sf: str) -> DataFrame:
     """strategy, rebal_date, ticker, w of the strategies that need no covariance."""
     p, u = periods(spark, sf), dim(universe(spark, sf))
-    a = asof.active_views(views(spark, sf), p.select("rebal_date").crossJoin(F.broadcast(u.select("ticker")))).persist()
+    a = asof.active_views(views(spark, sf), p.select("rebal_date").crossJoin(small(u.select("ticker")))).persist()
     parts = {"equal_weight": backtest.equal_weight(p, u), "top_n_views": backtest.ranked_views(p, u, a), "bottom_n_views": backtest.ranked_views(p, u, a, best=False)}
     out = None
     for name, w in parts.items():

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import scalars as s
 from tidemark.functions import text as t
 from tidemark.operators import alloc, annotate, asof, coverage, evaluate, features, grounding, stats
+from tidemark.operators.small import small
 from tidemark.plans import domain as d
 from tidemark.plans.market import rounded
 from tidemark.plans.oracle import sql
@@ -435,6 +436,6 @@ def confidence_histogram(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT c_custkey, coalesce(r_name, 'Unknown') AS sector, row_number() OVER (PARTITION BY r_name ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 5 <> 0 LEFT JOIN region ON n_regionkey = r_regionkey")
 def sector_lookup(spark: SparkSession, sf: str) -> DataFrame:
     n = d.dim(d.table(spark, sf, "nation").where("n_nationkey % 5 <> 0").join(d.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name"))
-    own = d.table(spark, sf, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left").withColumn("sector", F.coalesce("r_name", F.lit("Unknown")))
+    own = d.table(spark, sf, "customer").join(small(n), F.col("c_nationkey") == F.col("n_nationkey"), "left").withColumn("sector", F.coalesce("r_name", F.lit("Unknown")))
     k = F.row_number().over(Window.partitionBy("sector").orderBy(F.col("c_acctbal").desc(), "c_custkey"))
     return own.select("c_custkey", "sector", k.cast("long").alias("k"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import asof, backtest, calendar, metrics, panel, stats
+from tidemark.operators.small import small
 from tidemark.plans import domain as d
 from tidemark.plans.oracle import sql
 
@@ -140,7 +141,7 @@ SELECT bps, strategy, date, g - CASE WHEN is_first THEN turnover * bps / 1e4 ELS
 def cost_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     """Sharpe under 0, 10 and 20 bps: gross returns once, costs from a small dimension."""
     gross, turns = d.backtested(spark, sf, 0.0)
-    first = gross.join(F.broadcast(d.periods(spark, sf).select(F.col("trade_date").alias("date"), "rebal_date")), "date").join(turns, ["strategy", "rebal_date"]).select("strategy", "date", "turnover")
+    first = gross.join(small(d.periods(spark, sf).select(F.col("trade_date").alias("date"), "rebal_date")), "date").join(turns, ["strategy", "rebal_date"]).select("strategy", "date", "turnover")
     costs = spark.createDataFrame([(0,), (10,), (20,)], "bps int")
     all_ = gross.join(first, ["strategy", "date"], "left").crossJoin(F.broadcast(costs)).withColumn("ret", F.col("ret") - F.coalesce("turnover", F.lit(0.0)) * F.col("bps") / 1e4)
     m = metrics.metrics(all_.select(F.concat_ws("/", "bps", "strategy").alias("strategy"), "date", "ret"))
@@ -225,9 +226,9 @@ FACTORS = """SELECT date, avg(ret) AS mkt, avg(ret) FILTER (ord <= (SELECT count
 
 def factors(spark: SparkSession, sf: str) -> DataFrame:
     """date, mkt, smb, alt: factor returns of the panel's own legs."""
-    u = d.universe(spark, sf)
+    u = d.dim(d.universe(spark, sf))
     n = u.agg(F.count(F.lit(1)).alias("n"))
-    r = d.rets(spark, sf).join(F.broadcast(u), "ticker").crossJoin(F.broadcast(n))
+    r = d.rets(spark, sf).join(small(u), "ticker").crossJoin(F.broadcast(n))
     leg = lambda c: F.avg(F.when(c, F.col("ret")))
     return r.groupBy("date").agg(
         F.avg("ret").alias("mkt"), (leg(F.col("ord") <= F.col("n") / 2) - leg(F.col("ord") > F.col("n") / 2)).alias("smb"), (leg(F.col("ord") % 2 == 0) - leg(F.col("ord") % 2 == 1)).alias("alt")

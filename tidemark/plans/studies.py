@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators import alloc, asof, backtest, coverage, evaluate, metrics, sampling, stats
+from tidemark.functions import prompts
+from tidemark.functions import text as t
+from tidemark.operators import alloc, annotate, backtest, coverage, evaluate, metrics, sampling, stats
+from tidemark.operators.small import small
 from tidemark.plans import domain as d
 from tidemark.plans import filings as f
 from tidemark.plans.market import rounded
@@ -59,7 +60,7 @@ MODELS = {"CAPM": ["mkt"], "FF3": ["mkt", "smb", "hml"], "FF5": ["mkt", "smb", "
 def panel_factors(spark: SparkSession, sf: str) -> DataFrame:
     """date, mkt and five legs of the panel's own assets: the mean return of those in a leg less that of the others."""
     u = d.dim(d.universe(spark, sf))
-    r = d.rets(spark, sf).join(F.broadcast(u.withColumn("n", F.lit(u.count()))), "ticker")
+    r = d.rets(spark, sf).join(small(u.withColumn("n", F.lit(u.count()))), "ticker")
     leg = lambda c: (F.avg(F.when(F.expr(c), F.col("ret"))) - F.avg(F.when(~F.expr(c), F.col("ret"))))
     return r.groupBy("date").agg(F.avg("ret").alias("mkt"), *[leg(c).alias(k) for k, c in LEGS.items()])
 
@@ -111,7 +112,7 @@ def split_comparison(spark: SparkSession, sf: str) -> DataFrame:
     p = d.periods(spark, sf)
     out = None
     for i in range(10):
-        own = u.join(F.broadcast(splits.where(F.col("split") == i).select("ticker")), "ticker")
+        own = u.join(small(splits.where(F.col("split") == i).select("ticker")), "ticker")
         for name, best in (("top", True), ("bottom", False)):
             w = backtest.ranked_views(p, own, a, 3, best).select(F.lit(f"{name}/{i}").alias("strategy"), "rebal_date", "ticker", "w")
             out = w if out is None else out.unionByName(w)
@@ -229,3 +230,70 @@ def cost_totals(spark: SparkSession, sf: str) -> DataFrame:
     n = F.expr("n_chars div 4")
     cost = s.token_cost(n, F.expr("n_chars div 40"), F.lit(0.4), F.lit(1.6))
     return rounded(d.table(spark, sf, "documents").rollup("source").agg(F.count(F.lit(1)).alias("calls"), F.sum(n).alias("input_tokens"), F.sum(cost).alias("cost")))
+
+
+# --- filings as prompts, facts and incidents ---
+
+
+@query()
+def section_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as sections, chunked within a budget of tokens."""
+    own = d.table(spark, sf, "documents").select("doc_id", F.create_map(F.lit("business"), F.reverse("text"), F.lit("mda"), F.coalesce("text", F.lit(""))).alias("s"))
+    out = t.section_chunks(own.withColumn("s", F.map_filter("s", lambda k, v: v.isNotNull())), "doc_id", "s", 900, 400, 40)
+    return out.select("doc_id", "pos", F.length("chunk").alias("n"), F.md5("chunk").alias("h"))
+
+
+@query()
+def page_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with their hosts and paths dressed as nested tables, and the tables found again."""
+    inner = F.concat(F.lit("<table><tr><td>Inner table of some length</td><td>"), F.coalesce("url", F.lit("")), F.lit(" and more of it</td></tr></table>"))
+    page = F.concat(F.coalesce("html", F.lit("")), F.lit("<table><tr><td>Outer</td><td>"), inner, F.lit("</td></tr></table>"))
+    return d.table(spark, sf, "pages").select("page_id", F.posexplode(t.html_tables(page)).alias("pos", "table"))
+
+
+@query()
+def filing_incidents(spark: SparkSession, sf: str) -> DataFrame:
+    """Filings without sections, or without those they must have."""
+    x = F.concat(F.lit("ITEM 7. MANAGEMENT'S DISCUSSION AND ANALYSIS\n"), F.col("text"), F.lit("\nITEM 8. Financial Statements"))
+    own = d.table(spark, sf, "documents").select("doc_id", F.lit("10-K").alias("form"), (F.col("doc_id") % 10 + 2000).cast("int").alias("year"), t.sections(x).alias("sections"), F.lit(None).cast("string").alias("error"))
+    return annotate.section_incidents(own, "doc_id")
+
+
+@query()
+def extracted_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts that the offline annotator draws from whole documents, with the filing's own metadata, and those without risk factors."""
+    docs = d.table(spark, sf, "documents")
+    answers = annotate.annotate(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("prompt")), "doc_id", "prompt", annotate.offline_facts, annotate.FACTS_CONTRACT)
+    own = docs.select("doc_id", F.col("source").alias("ticker"), F.lit("10-K").alias("filing_type"), F.lit("2020-02-01").alias("filing_date"), F.lit("FY 2019").alias("fiscal_period"))
+    f = annotate.facts(answers, own, "doc_id")
+    return f.select("doc_id", "ticker", "fiscal_period", "sentiment", "risk_summary", F.size("risk_factors").alias("n_risks"), F.size("key_events").alias("n_events"), F.get("risk_factors", F.lit(0))["severity"].alias("severity"))
+
+
+_P = "o_totalprice / 7.0"
+_SQL_TRUTHY = lambda x, form: f"CASE WHEN coalesce({x}, 0) <> 0 THEN printf('{form}', {x}) ELSE 'N/A' END"
+
+
+@query(
+    f"""WITH x AS (SELECT o_orderkey AS id, 'T' || o_custkey AS ticker, o_orderdate::DATE AS view_date, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE {_P} / 1e4 END AS a, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE -{_P} / 1e5 END AS b, o_orderpriority FROM orders)
+SELECT id, md5('Company: ' || ticker || ' (Unknown), view of ' || view_date || ' after FY1999' || chr(10) || 'Annual report of N/A. Risks: 1 risk factors identified. Foremost: ' || o_orderpriority || ': ' || ticker || '. Events: ' || ticker || ', ' || o_orderpriority || chr(10)
+|| 'Quarterly report of N/A. Tone: neutral - No rationale provided' || chr(10) || 'Guidance: Not provided; revenue: Not specified; earnings: Not specified' || chr(10) || 'Events: No significant events' || chr(10)
+|| 'EPS ' || {_SQL_TRUTHY('a', '%.2f')} || ' against ' || {_SQL_TRUTHY('b', '%.2f')} || ', surprise ' || {_SQL_TRUTHY('a', '%+.1f')} || ' %' || chr(10)
+|| 'Revenue ' || {_SQL_TRUTHY('a', '%.1f')} || ' against ' || {_SQL_TRUTHY('b', '%.1f')} || ' bn, surprise ' || {_SQL_TRUTHY('b', '%+.1f')} || ' %' || chr(10)
+|| 'Analysts N/A, dispersion ' || {_SQL_TRUTHY('a * 100.0', '%.1f')} || ' %' || chr(10)
+|| 'Returns ' || coalesce(printf('%+.1f', a), 'N/A') || ' % and ' || coalesce(printf('%+.1f', b), 'N/A') || ' %, volatility ' || coalesce(printf('%.1f', a), 'N/A') || ' %' || chr(10)
+|| 'Answer in JSON with view_bps (-300 to 300), confidence (high, medium or low) and reasoning.') AS h FROM x"""
+)
+def view_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of the prompts that ask for views; numbers that are missing, and zeros where they count as missing, say so."""
+    o = d.table(spark, sf, "orders")
+    none = lambda kind: F.lit(None).cast(kind)
+    a = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice").cast("double") / 7.0 / 1e4)
+    b = F.when(F.col("o_orderkey") % 5 == 0, 0.0).otherwise(-F.col("o_totalprice").cast("double") / 7.0 / 1e5)
+    ticker = F.concat(F.lit("T"), F.col("o_custkey").cast("string"))
+    risk = F.array(F.struct(F.col("o_orderpriority").alias("category"), F.lit("low").alias("severity"), ticker.alias("description")))
+    own = o.select(
+        F.col("o_orderkey").alias("id"), ticker.alias("ticker"), F.to_date("o_orderdate").alias("view_date"), F.lit("FY1999").alias("fiscal_period"), none("string").alias("sector"), none("date").alias("annual_date"), risk.alias("risks"), F.lit("").alias("risk_summary"),
+        F.array(ticker, F.col("o_orderpriority")).alias("annual_events"), none("date").alias("quarterly_date"), *[none("string").alias(k) for k in ("sentiment", "rationale", "direction", "revenue_outlook", "earnings_outlook")], none("array<string>").alias("quarterly_events"),
+        a.alias("eps"), b.alias("eps_avg"), a.alias("eps_surprise"), a.alias("revenue"), b.alias("revenue_avg"), b.alias("revenue_surprise"), none("int").alias("analysts"), a.alias("dispersion"), a.alias("ret_1m"), b.alias("ret_3m"), a.alias("vol_60d"),
+    )
+    return own.select("id", F.md5(prompts.view_prompt()).alias("h"))
