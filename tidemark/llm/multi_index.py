@@ -40,7 +40,9 @@ TOP = 10
 #: Rows that the cells passed by a query hold at least; and, where the table is larger, share of the true neighbours of ``PROBES`` vectors that must lie in them.
 LEAST, REACH, PROBES = 2_000, 0.95, 100
 #: Entries of a piece, and queries of a group: what one task holds of either, about; entries times queries that are compared at a time.
-PIECE, GROUP, AT_ONCE = 8192, 2048, 1 << 21
+PIECE, GROUP, AT_ONCE = 4096, 2048, 1 << 21
+#: Queries that a task walks for, about, and tasks at most.
+WALKS, TASKS = 32, 10_000
 
 
 def valid(df: DataFrame) -> DataFrame:
@@ -75,19 +77,38 @@ def apart(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.square(c - q).sum(1)
 
 
-def walk(da: np.ndarray, db: np.ndarray, sizes: np.ndarray, want: int) -> float:
-    """Centroid pairs by da[i] + db[j], nearest first from a heap, until those passed hold ``want`` rows: the last one's sum."""
-    a, b = np.argsort(da, kind="stable").tolist(), np.argsort(db, kind="stable").tolist()
-    x, y = da[a].tolist(), db[b].tolist()
-    n, held = len(b), sizes.tolist() if isinstance(sizes, np.ndarray) else sizes
-    heap, have, last = [(x[0] + y[0], 0, 0)], 0, 0.0
+def by_first(sizes: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every centroid of the first half those of the second with which it has rows, and their numbers."""
+    return [(np.flatnonzero(row), row[row > 0]) for row in sizes.reshape(-1, width)]
+
+
+def walk(da: np.ndarray, db: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], want: int) -> float:
+    """Centroid pairs that have rows by da[i] + db[j], nearest first from a heap, until those passed hold ``want`` rows: the last one's sum.
+
+    The heap has a place in each list of pairs of one first centroid; a list is ordered when the walk comes to where it may begin.
+    """
+    a, low = np.argsort(da, kind="stable").tolist(), float(db.min())
+    sums: dict[int, list[float]] = {}
+    held: dict[int, list[int]] = {}
+    heap, have, last = [(float(da[a[0]]) + low, 0, -1)], 0, 0.0
     while heap and have < want:
-        last, i, j = heapq.heappop(heap)
-        have += held[a[i] * n + b[j]]
-        if j + 1 < n:
-            heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
-        if j == 0 and i + 1 < len(a):  # a row of pairs is begun by its first one: none is reached twice
-            heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
+        s, k, at = heap[0]
+        if at < 0:
+            j, n = rows[a[k]]
+            if len(j):
+                order = np.argsort(db[j], kind="stable")
+                sums[k], held[k] = (da[a[k]] + db[j[order]]).tolist(), n[order].tolist()
+                heapq.heapreplace(heap, (sums[k][0], k, 0))
+            else:
+                heapq.heappop(heap)
+            if k + 1 < len(a):
+                heapq.heappush(heap, (float(da[a[k + 1]]) + low, k + 1, -1))
+            continue
+        have, last = have + held[k][at], s
+        if at + 1 < len(sums[k]):
+            heapq.heapreplace(heap, (sums[k][at + 1], k, at + 1))
+        else:
+            heapq.heappop(heap)
     return last
 
 
@@ -182,7 +203,7 @@ def search(df: DataFrame, queries: DataFrame, top: int = TOP, k: int | None = No
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (ca, cb), d, h = sent.value
         sizes, piece_of, splits, want = plan.value
-        held, live = sizes.tolist(), sizes > 0
+        held, live = by_first(sizes, len(cb)), sizes > 0
         for batch in batches:
             row, to, limit = [], [], []
             for i, q in enumerate(_matrix(batch.column("v"), d)):
@@ -197,9 +218,11 @@ def search(df: DataFrame, queries: DataFrame, top: int = TOP, k: int | None = No
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in to], pa.int32()), pa.array([s for _, s in to], pa.int32()), took.column("vec_id"), took.column("v"), pa.array(limit, pa.float64())], names=["piece", "split", "query_id", "q", "far"])
 
     own = valid(queries).where(F.size("v") == dim).distinct()
-    asked = own.mapInArrow(trimmed(passed), "piece int, split int, query_id long, q array<double>, far double")
-    asked = asked.withColumn("g", F.pmod(F.xxhash64("query_id", "q"), F.lit(max(1, -(-own.count() // GROUP)))))
-    qs = asked.groupBy("piece", "split", "g").agg(F.collect_list(F.struct("query_id", "q", "far")).alias("qs"))
+    asking = own.count()
+    asked = own.repartition(max(1, min(TASKS, -(-asking // WALKS)))).mapInArrow(trimmed(passed), "piece int, split int, query_id long, q array<double>, far double")
+    asked = asked.withColumn("g", F.pmod(F.xxhash64("query_id", "q"), F.lit(max(1, -(-asking // GROUP)))))
+    tasks = max(1, min(TASKS, int(piece_of.max(initial=0)) + 1 + sum(splits.values())))
+    qs = asked.repartition(tasks, "piece", "split").groupBy("piece", "split", "g").agg(F.collect_list(F.struct("query_id", "q", "far")).alias("qs"))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, piece_of, splits, _ = plan.value
@@ -210,7 +233,7 @@ def search(df: DataFrame, queries: DataFrame, top: int = TOP, k: int | None = No
             first = batch.column("ids").values.to_numpy()[batch.column("ids").offsets.to_numpy()[:-1]]
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array((first * 0x9E3779B1 >> 7) % n, pa.int32()), *batch.columns], names=["piece", "split", *batch.schema.names])
 
-    es = index.mapInArrow(trimmed(dealt), "piece int, split int, cell int, v array<double>, ids array<long>").groupBy("piece", "split").agg(F.collect_list(F.struct("cell", "v", "ids")).alias("es"))
+    es = index.mapInArrow(trimmed(dealt), "piece int, split int, cell int, v array<double>, ids array<long>").repartition(tasks, "piece", "split").groupBy("piece", "split").agg(F.collect_list(F.struct("cell", "v", "ids")).alias("es"))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row is a group of queries and a piece of entries: each query's best of the piece, exactly."""
