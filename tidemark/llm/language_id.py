@@ -31,6 +31,8 @@ BITS = 16
 ORDERS = (1, 2, 3)
 #: Learnable rows that are fitted: about so many, an equal number of each language, and so many of each at least, where it has them.
 SAMPLE, LEAST = 4_000, 50
+#: Languages whose sizes may be broadcast; counted before.
+LANGS = 100_000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.1
 #: Values are shares of a text's n-grams; this brings a typical text's length near 1.
 SCALE = 10.0
@@ -185,7 +187,7 @@ def train(docs: DataFrame, learnable=None, sample: int = SAMPLE) -> Model:
     # the lowest of every language by (h, digest), among some four times as many that hash low enough
     need = max(LEAST, sample // langs)
     first = Window.partitionBy("lang").orderBy("h", "digest")
-    keys = own.select("lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("digest")).join(sizes, "lang")
+    keys = own.select("lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("digest")).join(F.broadcast(sizes) if langs <= LANGS else sizes, "lang")
     keys = keys.where(F.col("h") / float(1 << 64) + 0.5 <= F.lit(4.0 * need) / F.col("n"))
     last = keys.withColumn("r", F.row_number().over(first)).where(F.col("r") <= need).groupBy("lang").agg(F.max(F.struct("h", "digest")).alias("last"))
     mine = own.select("lang", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("digest")).join(F.broadcast(last), "lang")
