@@ -65,7 +65,7 @@ def test_sharding_equals_its_sql(spark):
     con = duckdb.connect()
     con.register("documents", d.toPandas())
     want = sorted(con.execute(sharding.ORACLE).fetchall())
-    got = sorted((r.doc_id, r.size, r.law, r.shard, r.grown_shard) for r in sharding.shard_documents(d).collect())
+    got = sorted((r.doc_id, r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in sharding.shard_documents(d).collect())
     assert got == want
 
 

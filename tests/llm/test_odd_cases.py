@@ -187,6 +187,15 @@ def test_sharding_and_warc_equal_their_sql(spark, tmp_path):
     assert sorted((tuple(r) for r in warc.op7_warc(spark, str(tmp_path)).select(*cols).collect()), key=str) == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({warc.ORACLE})").fetchall(), key=str)
 
 
+def test_sharding_of_repeated_ids_and_rows(spark):
+    rows = [(7, "same")] * 300 + [(7, f"text {i}") for i in range(300)] + [(None, "x")] * 3 + [(None, None)] * 2
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash")).withColumn("size", F.lit("clash"))
+    got = sharding.shard_documents(d).collect()
+    assert len(got) == len(rows) and len({r.shard for r in got if r.doc_id == 7}) == 1 and len({r.shard for r in got if r.doc_id is None}) == 1
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_revisits_are_held_against_their_responses(spark):
     kinds = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     good = [(1, 4, "A", "response", None), (2, 4, "A", "revisit", 1), (None, 0, "E", "response", None), (None, 0, "E", "revisit", None)]

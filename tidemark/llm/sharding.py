@@ -92,20 +92,21 @@ def locate(df: DataFrame, key: Column, topology: Topology, out: str) -> DataFram
     return df.withColumn(out, F.element_at(ids, (base + leaf + 1).cast("int"))).drop(at_region, at_rack)
 
 
-def slots(df: DataFrame, shard: str, order: Sequence[str], out: str, block: Column, blocks: int) -> DataFrame:
-    """Adds ``out``: 0, 1, 2, … without gaps in each shard, by (block, order).
+def slots(df: DataFrame, shard: str, order: Sequence[str], out: str, block: Column, count: str) -> DataFrame:
+    """Adds ``out``: 0, 1, 2, … without gaps in each shard, by (block, order); a row of ``df`` stands for ``count`` equal ones, and comes as many times.
 
-    ``block`` deals each shard's rows to ``blocks`` pieces, so that no task sorts a whole shard; the
+    ``block`` deals each shard's rows to pieces, so that no task sorts a whole shard; the
     pieces' counts (shards x blocks rows at most) are summed up before them and joined back.
     """
     df = df.withColumn("__block", block)
-    counts = df.groupBy(shard, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    counts = df.groupBy(shard, "__block").agg(F.sum(count).alias("__n"))
     before = Window.partitionBy(shard).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col(shard).alias("__s"), F.col("__block").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    own = Window.partitionBy(shard, "__block").orderBy(*order)
-    ranked = df.withColumn("__k", F.row_number().over(own) - 1)
+    own = Window.partitionBy(shard, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = df.withColumn("__k", F.coalesce(F.sum(count).over(own), F.lit(0)))
     joined = ranked.join(F.broadcast(starts), (F.col(shard) == F.col("__s")) & (F.col("__block") == F.col("__b")))
-    return joined.withColumn(out, (F.col("__start") + F.col("__k")).cast("long")).drop("__s", "__b", "__start", "__k", "__block")
+    joined = joined.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)))
+    return joined.withColumn(out, (F.col("__start") + F.col("__k") + F.col("__i")).cast("long")).drop("__s", "__b", "__start", "__k", "__i", "__block")
 
 
 #: Pieces of each shard that get their slots apart; 40 shards x 256 counts are the most that is broadcast.
@@ -115,14 +116,16 @@ SHARDS = 40
 
 def shard_documents(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard. Law ``key``: only doc_id and the
-    topology decide. ``slot`` orders a shard by (MD5 byte of the key, doc_id, text_crc32)."""
+    topology decide. ``slot`` orders a shard by (MD5 byte of key and CRC, doc_id, text_crc32, size). Rows equal in these are one until
+    their slots are known, so that neither a repeated id nor a repeated row fills one task."""
     topology = Topology.regular(n_shards)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = F.coalesce(F.col("text"), F.lit(""))
     small = docs.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), key.alias("__key"))
+    small = small.groupBy("doc_id", "size", "text_crc32", "__key").agg(F.count(F.lit(1)).alias("__c"))
     placed = locate(locate(small, F.col("__key"), topology, "shard"), F.col("__key"), topology.grow(n_shards), "grown_shard")
-    block = F.conv(F.substring(F.md5(F.col("__key")), 31, 2), 16, 10).cast("int") % BLOCKS
-    out = slots(placed, "shard", ["doc_id", "text_crc32"], "slot", block, BLOCKS)
+    block = F.conv(F.substring(F.md5(F.concat_ws("|", "__key", F.col("text_crc32").cast("string"))), 31, 2), 16, 10).cast("int") % BLOCKS
+    out = slots(placed, "shard", ["doc_id", "text_crc32", "size"], "slot", block, "__c")
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
@@ -155,7 +158,7 @@ r AS (SELECT *, CASE WHEN -ln({u("'r0'")}) / 20 <= -ln({u("'r1'")}) / 20 THEN 0
 kk AS (SELECT r.*, (SELECT arg_min(j, -ln({u("'r' || a || 'k' || j")})) FROM range(4) t(j)) AS b FROM r),
 ss AS (SELECT kk.*, (SELECT arg_min(j, -ln({u("'r' || a || 'k' || b || 's' || j")})) FROM range(5) t(j)) AS c FROM kk)
 SELECT doc_id, size, text_crc32, 'key' AS law, (a * 20 + b * 5 + c)::INT AS shard,
-       row_number() OVER (PARTITION BY a, b, c ORDER BY ('0x' || substr(md5(k), 31, 2))::INT, doc_id NULLS FIRST, text_crc32) - 1 AS slot,
+       row_number() OVER (PARTITION BY a, b, c ORDER BY ('0x' || substr(md5(k || '|' || text_crc32), 31, 2))::INT, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
        (CASE WHEN own < best THEN 40 ELSE a * 20 + b * 5 + c END)::INT AS grown_shard FROM ss
 """
 
