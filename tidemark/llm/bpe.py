@@ -34,7 +34,7 @@ from tidemark.llm.textbuf import pieces, trimmed, utf8
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Slices that a worker remembers, and the bytes from which a slice is merged by a heap.
-CACHE, LONG = 250_000, 48
+CACHE, LONG = 150_000, 48
 
 # Classes of code points. Letters that contractions need have classes of their own.
 OTHER, LETTER, DIGIT, BLANK, SPACE, QUOTE, STDM, RV, E, L_, BREAK = range(11)
@@ -166,7 +166,6 @@ class Codec:
                     ranks.append(rank)
         order = np.argsort(np.array(keys, np.int64))
         self.keys, self.key_ranks = np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
-        self.pairs = dict(zip(keys, ranks, strict=True))
         self.cache: dict[str, bytes] = {}
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -174,6 +173,11 @@ class Codec:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.key_ranks[at], np.iinfo(np.int64).max)
 
+    def _pair_rank(self, left: int, right: int) -> int | None:
+        key = (left << 20) | right
+        at = int(np.searchsorted(self.keys, key))
+        return int(self.key_ranks[at]) if at < len(self.keys) and self.keys[at] == key else None
+
     def merge_all(self, words: Sequence[bytes]) -> list[list[int]]:
         """Ids of every word: all words at once, one merge of each a round."""
         out: list[list[int] | None] = [None] * len(words)
@@ -217,7 +221,10 @@ class Codec:
         ids = [int(self.byte_ids[b]) for b in w]
         n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pairs.get((ids[i] << 20) | ids[i + 1])) is not None]
+        every = np.array(ids, np.int64)
+        first = self._pair_ranks(every[:-1], every[1:]).tolist()
+        none = np.iinfo(np.int64).max
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != none]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -228,7 +235,7 @@ class Codec:
             if after[j] < n:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if 0 <= x and y < n and (q := self.pairs.get((ids[x] << 20) | ids[y])) is not None:
+                if 0 <= x and y < n and (q := self._pair_rank(ids[x], ids[y])) is not None:
                     heapq.heappush(heap, (q, x, ids[x], ids[y]))
         return [ids[i] for i in range(n) if alive[i]]
 

@@ -60,7 +60,7 @@ BLOCK, BLOCK_BYTES, COLUMNS = 1024, 8 << 20, 4 << 20
 #: Classes that a task remembers, so that copies in one task give their signatures once.
 SEEN = 100_000
 #: Entries that a task packs at a time, entries of a slice (about), and classes of one packing from which a signature is dealt to other slices.
-PACK, SLICE, MANY = 1 << 19, 1 << 19, 32
+PACK, SLICE, MANY = 1 << 18, 1 << 19, 32
 #: Bits of a parity sketch for each feature of the set, and their least number.
 SKETCH, SKETCH_LEAST = 2, 128
 
