@@ -110,7 +110,7 @@ def test_containing_equals_a_scan(spark):
 
 def test_greedy_with_a_range_to_look_at():
     scores = [(90.0, 0, 0), (70.0, 1, 0), (65.0, 1, 1), (55.0, 2, 2), (52.0, 2, 1), (20.0, 3, 3)]
-    assert evaluate.greedy(scores, 60.0) == [(0, 0, 90.0, True, False), (1, 1, 65.0, True, False)]
+    assert evaluate.greedy(scores, 60.0) == [(0, 0, 90.0), (1, 1, 65.0)]
     assert evaluate.greedy(scores, 60.0, (50.0, 72.0)) == [(0, 0, 90.0, True, False), (1, 1, 65.0, True, True), (2, 2, 55.0, False, True)]
 
 
@@ -304,7 +304,7 @@ def test_market_source(spark):
     before = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
-        read = lambda **o: spark.read.format("market_data").options(symbols="A,B", start="2019-01-01", end="2020-12-31", **o).load()
+        read = lambda **o: spark.read.format("market_data").options(symbols="A,B", pushdown="true", start="2019-01-01", end="2020-12-31", **o).load()
         f = read(dataset="filings", form="10-K")
         assert sorted((r.ticker, str(r.date)) for r in f.collect()) == [(s, f"{y}-01-01") for s in "AB" for y in (2019, 2020)]
         p = read().where("date >= date'2020-03-02' and date < date'2020-03-05' and ticker = 'A'")
@@ -320,7 +320,7 @@ def test_pushed_filters_narrow_the_request():
 
     from tidemark.sources import market_api as m
 
-    r = m.MarketReader({"symbols": "A,B", "start": "2019-01-01", "end": "2020-12-31"}, ["date"])
+    r = m.PushedReader({"symbols": "A,B", "start": "2019-01-01", "end": "2020-12-31"}, ["date"])
     kept = list(r.pushFilters([GreaterThan(("date",), date(2019, 6, 1)), LessThanOrEqual(("date",), date(2019, 7, 1)), EqualTo(("ticker",), "B"), In(("ticker",), ("A",))]))
     assert (r.start, r.end, [p.name for p in r.partitions()]) == (date(2019, 6, 2), date(2019, 7, 1), ["B"]) and len(kept) == 1
 

@@ -10,10 +10,11 @@ from pyspark.sql.window import Window
 from tidemark.functions import text as t
 
 
-def greedy(scores: list[tuple[float, int, int]], threshold: float = 60.0, look: tuple[float, float] | None = None) -> list[tuple[int, int, float, bool, bool]]:
-    """One-to-one pairs (i, j, score, matched, look), best first; ties go to the higher i, then the higher j.
+def greedy(scores: list[tuple[float, int, int]], threshold: float = 60.0, look: tuple[float, float] | None = None) -> list[tuple]:
+    """One-to-one pairs (i, j, score), best first; ties go to the higher i, then the higher j.
 
-    With a range ``look``, pairs below the threshold come too, where neither side is matched yet and the score is in the range.
+    With a range ``look`` they are (i, j, score, matched, look), and pairs below the threshold come too, where neither side is matched yet and the
+    score is in the range.
     """
     left, right, out = set(), set(), []
     for s, i, j in sorted(scores, reverse=True):
@@ -24,7 +25,7 @@ def greedy(scores: list[tuple[float, int, int]], threshold: float = 60.0, look:
             left.add(i)
             right.add(j)
         if s >= threshold or near:
-            out.append((i, j, s, s >= threshold, near))
+            out.append((i, j, s) if look is None else (i, j, s, s >= threshold, near))
     return out
 
 
@@ -34,8 +35,7 @@ def match_events(events: DataFrame, gold: DataFrame, threshold: float = 60.0, lo
     ``events`` (doc, i, text, quote) and ``gold`` (doc, j, text, quote); a document's events are few, and meet in one group.
     """
 
-    width = 4 if look is None else 6
-    names = ["doc", "i", "j", "score", "matched", "look"][:width]
+    names = ["doc", "i", "j", "score"] + (["matched", "look"] if look else [])
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -45,7 +45,7 @@ def match_events(events: DataFrame, gold: DataFrame, threshold: float = 60.0, lo
         both = [(x, y) for x in left for y in right]
         quotes = t.partial_ratios([(x[2], y[2]) for x, y in both])
         scores = [(max(t.token_set_ratio(x[1], y[1]), s if x[2] and y[2] else 0.0), x[0], y[0]) for (x, y), s in zip(both, quotes, strict=True)]
-        return pd.DataFrame([(key[0], *r)[:width] for r in greedy(scores, threshold, look)], columns=names)
+        return pd.DataFrame([(key[0], *r) for r in greedy(scores, threshold, look)], columns=names)
 
     own = gold.select(F.col("doc").alias("gold_doc"), "j", F.col("text").alias("gold_text"), F.col("quote").alias("gold_quote"))
     parts = events.sparkSession.sparkContext.defaultParallelism * 4  # given, as the groups' work is quadratic and small inputs would be coalesced

@@ -18,6 +18,11 @@ def grid(df: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
     return dates.crossJoin(names).join(df, ["ticker", "date"], "left")
 
 
+def capped(df: DataFrame, end_year: int) -> DataFrame:
+    """Rows up to the end of the quarter after ``end_year``."""
+    return df.where(F.col("date") <= F.make_date(F.lit(end_year + 1), F.lit(3), F.lit(31)))
+
+
 def trailing_mean(df: DataFrame, col: str, rows: int) -> DataFrame:
     return df.withColumn(col, F.avg(col).over(by_ticker().rowsBetween(1 - rows, 0)))
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import prompts
 from tidemark.functions import text as t
-from tidemark.operators import alloc, annotate, backtest, coverage, evaluate, metrics, sampling, stats
+from tidemark.operators import alloc, annotate, backtest, coverage, evaluate, metrics, panel, sampling, stats
 from tidemark.operators.small import small
 from tidemark.plans import domain as d
 from tidemark.plans import filings as f
@@ -93,6 +93,20 @@ def factor_models(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("strategy", "model", "n", (F.col("alpha") * 252 * 100).alias("alpha_pct"), "t_alpha", "p_alpha", stars.alias("stars"), "betas", "r2"))
 
 
+@query(sql("SELECT ticker, date, round(ret, 6) AS ret FROM rets WHERE date <= DATE '1997-03-31'", "rets"))
+def capped_returns(spark: SparkSession, sf: str) -> DataFrame:
+    """Returns as a study that ends with 1996 sees them."""
+    return rounded(panel.capped(d.rets(spark, sf), 1996))
+
+
+@query(sql("SELECT 1", "net").rsplit("\nSELECT 1", 1)[0] + ", s AS (SELECT strategy, date, sum(ln(1 + ret)) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) AS v FROM net) SELECT strategy, year(date)::INT AS year, count(*) AS n, round(exp(max_by(v, date)) - 1, 6) AS to_date FROM s GROUP BY ALL")
+def yearly_growth(spark: SparkSession, sf: str) -> DataFrame:
+    """Growth of each strategy up to each year's last day."""
+    net = d.backtested(spark, sf)[0]
+    v = net.withColumn("v", F.sum(F.log1p("ret")).over(Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+    return rounded(v.groupBy("strategy", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), (F.exp(F.max_by("v", "date")) - 1).alias("to_date")))
+
+
 # --- splits ---
 
 

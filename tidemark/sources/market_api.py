@@ -99,7 +99,7 @@ class Symbol(InputPartition):
 
 
 class MarketData(DataSource):
-    """Options: dataset (prices), symbols (comma-separated), start, end, form (filings), per_minute."""
+    """Options: dataset (prices), symbols (comma-separated), start, end, form (filings), per_minute, pushdown (see ``PushedReader``)."""
 
     #: Replaced in tests and by users with a fetcher of their own.
     fetch: Fetch = staticmethod(made_up)
@@ -112,7 +112,8 @@ class MarketData(DataSource):
         return ENDPOINTS[self.options.get("dataset", "prices")][1]
 
     def reader(self, schema) -> DataSourceReader:
-        return MarketReader(self.options, [f.name for f in schema.fields], type(self).fetch)
+        kind = PushedReader if self.options.get("pushdown", "false").lower() == "true" else MarketReader
+        return kind(self.options, [f.name for f in schema.fields], type(self).fetch)
 
 
 class MarketPrices(MarketData):
@@ -130,6 +131,21 @@ class MarketReader(DataSourceReader):
         self.start, self.end = date.fromisoformat(options["start"]), date.fromisoformat(options["end"])
         self.form, self.per_minute = options.get("form"), float(options.get("per_minute", 700)) / max(1, len(self.symbols))
 
+    def partitions(self) -> list[InputPartition]:
+        return [Symbol(s) for s in self.symbols] if self.start <= self.end else []
+
+    def read(self, partition: Symbol) -> Iterator[tuple]:
+        endpoint, _ = ENDPOINTS[self.dataset]
+        params = {"symbol": partition.name, "from": str(self.start), "to": str(self.end)}
+        for r in Client(self.fetch, self.per_minute).rows(endpoint, params, self.dataset in PAGED):
+            if self.form is None or r.get("form") == self.form:
+                own = {**r, "ticker": partition.name, "date": date.fromisoformat(r["date"])}
+                yield tuple(own.get(n) for n in self.names)
+
+
+class PushedReader(MarketReader):
+    """Takes filters; Spark allows it only where ``spark.sql.python.filterPushdown.enabled`` is set."""
+
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Bounds of the date and single symbols narrow what is asked for; the others are Spark's."""
         one = timedelta(1)
@@ -144,14 +160,3 @@ class MarketReader(DataSourceReader):
                 self.symbols = [s for s in self.symbols if s == value]
             else:
                 yield f
-
-    def partitions(self) -> list[InputPartition]:
-        return [Symbol(s) for s in self.symbols] if self.start <= self.end else []
-
-    def read(self, partition: Symbol) -> Iterator[tuple]:
-        endpoint, _ = ENDPOINTS[self.dataset]
-        params = {"symbol": partition.name, "from": str(self.start), "to": str(self.end)}
-        for r in Client(self.fetch, self.per_minute).rows(endpoint, params, self.dataset in PAGED):
-            if self.form is None or r.get("form") == self.form:
-                own = {**r, "ticker": partition.name, "date": date.fromisoformat(r["date"])}
-                yield tuple(own.get(n) for n in self.names)
