@@ -107,8 +107,10 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     """
     spark = left.sparkSession
     with freeing(spark):
-        most = max(left.count() // HOT, 10 * SPREAD)
-        hot = [r[0] for r in left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > most).select(key).collect()]
+        sizes = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > 10 * SPREAD)
+        top = sizes.orderBy(F.col("count").desc()).limit(HOT).collect()  # no more keys than that can be hot
+        share = left.count() / HOT if top else 0
+    hot = [r[0] for r in top if r[1] > share]
     if not hot:
         return left.join(right, key, how)
     salt = F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int")
