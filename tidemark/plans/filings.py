@@ -316,7 +316,13 @@ def char_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return t.chunked(d.table(spark, sf, "documents"), "doc_id", "text", 1000, 100).select("doc_id", "pos", F.length("chunk").alias("n"), F.md5("chunk").alias("h"))
 
 
-@query()
+TOKENS = """WITH RECURSIVE f AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) // 4 AS total FROM documents),
+c AS (SELECT doc_id, t, total, 0 AS pos, 0::BIGINT AS s, CASE WHEN 0 + 400 < total AND instr(reverse(t[4 * 0 + 1281:4 * 0 + 1600]), ' .') > 0 THEN 4 * 0 + 1600 - instr(reverse(t[4 * 0 + 1281:4 * 0 + 1600]), ' .') ELSE 4 * least(0 + 400, total + 1) END AS e FROM f WHERE total > 0
+UNION ALL SELECT doc_id, t, total, pos + 1, n, CASE WHEN n + 400 < total AND instr(reverse(t[4 * n + 1281:4 * n + 1600]), ' .') > 0 THEN 4 * n + 1600 - instr(reverse(t[4 * n + 1281:4 * n + 1600]), ' .') ELSE 4 * least(n + 400, total + 1) END FROM (SELECT *, s + greatest(1, length(t[4 * s + 1:e]) // 4 - 40) AS n FROM c) WHERE n < total - 40)
+SELECT doc_id, pos, length(x) AS n, md5(x) AS h FROM (SELECT doc_id, pos, regexp_replace(t[4 * s + 1:e], '^\\s+|\\s+$', '', 'g') AS x FROM c) UNION ALL SELECT doc_id, 0, length(t), md5(t) FROM f WHERE total = 0 AND t <> ''"""
+
+
+@query(TOKENS)
 def token_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return t.chunked(d.table(spark, sf, "documents"), "doc_id", "text", 400, 40, tokens=True).select("doc_id", "pos", F.length("chunk").alias("n"), F.md5("chunk").alias("h"))
 
