@@ -93,7 +93,7 @@ def factor_models(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("strategy", "model", "n", (F.col("alpha") * 252 * 100).alias("alpha_pct"), "t_alpha", "p_alpha", stars.alias("stars"), "betas", "r2"))
 
 
-@query(sql("SELECT ticker, date, round(ret, 6) AS ret FROM rets WHERE date <= DATE '1997-03-31'", "rets"))
+@query(sql("SELECT ticker, date, round(ret, 6) + 0 AS ret FROM rets WHERE date <= DATE '1997-03-31'", "rets"))
 def capped_returns(spark: SparkSession, sf: str) -> DataFrame:
     """Returns as a study that ends with 1996 sees them."""
     return rounded(panel.capped(d.rets(spark, sf), 1996))
