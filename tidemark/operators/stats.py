@@ -40,7 +40,7 @@ def average_rank(df: DataFrame, col: str, out: str, pieces: int = 64) -> DataFra
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """n, rank_ic."""
-    both = df.select(a, b).where(f"{a} is not null and {b} is not null")
+    both = df.select(a, b).where(f"{a} is not null and {b} is not null").persist()  # read for the ranges' edges, the counts and the ranks
     ranked = average_rank(average_rank(both, a, "ra"), b, "rb")
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("rank_ic"))
 
