@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontamination, html_extraction, jaccard_join, language_id, multi_index, sharding, toxicity, url_filter, warc
+from tidemark.llm import bpe, decontamination, html_extraction, jaccard_join, language_id, multi_index, runs, sharding, toxicity, url_filter, warc
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": _pipeline,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_sharding": sharding.op6_sharding,
+        "op13_periodic_runs": runs.op13_periodic_runs,
     }
 
 
