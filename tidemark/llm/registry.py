@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontamination, html_extraction, jaccard_join, language_id, multi_index, runs, sharding, toxicity, url_filter, warc
+from tidemark.llm import bpe, decontamination, html_extraction, jaccard_join, language_id, merkle, multi_index, quality, runs, sharding, toxicity, url_filter, warc
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": _pipeline,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_sharding": sharding.op6_sharding,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_quality_rules": quality.op12_quality_rules,
         "op13_periodic_runs": runs.op13_periodic_runs,
     }
 
@@ -36,6 +38,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": decontamination.ORACLE,
         "op5_url_filter": url_filter.ORACLE,
+        "op11_merkle_manifest": merkle.ORACLE,
         "op6_sharding": sharding.ORACLE,
         "op7_warc": warc.ORACLE,
     }
