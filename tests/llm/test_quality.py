@@ -57,14 +57,14 @@ def walk(tree, row, node=0):
 
 def test_forest_scores_equal_a_walk_and_find_outliers():
     rng = np.random.default_rng(1)
-    rows = np.vstack([rng.normal(0, 1, (2000, 8)), rng.normal(9, 1, (6, 8))])
+    rows = np.vstack([rng.normal(0, 1, (2000, 7)), rng.normal(9, 1, (6, 7))])
     forest = Q.Forest(rows)
     got = forest.score(rows)
     need = 2 * (np.log(255) + 0.5772156649) - 2 * 255 / 256
     for k in (0, 5, 2001):
         assert np.isclose(got[k], 2 ** (-np.mean([walk(t, rows[k]) for t in forest.trees]) / need))
     assert min(got[2000:]) > np.quantile(got[:2000], 0.995)
-    assert list(Q.Forest(rows[:1]).score(rows[:2])) == [0, 0] and len(Q.Forest(np.zeros((50, 8))).score(np.zeros((0, 8)))) == 0
+    assert list(Q.Forest(rows[:1]).score(rows[:2])) == [0, 0] and len(Q.Forest(np.zeros((50, 7))).score(np.zeros((0, 7)))) == 0
 
 
 def prose(rng, n):

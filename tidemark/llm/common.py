@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -60,10 +61,37 @@ def _write(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Results that live on in the shared folder, until ``release`` or the end of the driver.
+_RESULTS: list[tuple[object, object, str]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and a lost
-    executor costs nothing that was finished. The table stays; ``Work`` removes its own."""
-    return _write(df, scratch(df.sparkSession, name))
+    executor costs nothing that was finished. The table stays as long as its reader may need it (see ``release``); ``Work`` removes its own."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    _RESULTS.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
+    return _write(df, path)
+
+
+def results() -> int:
+    """How many results there are."""
+    return len(_RESULTS)
+
+
+def release(first: int = 0, stay: int = 0) -> None:
+    """Removes the results that ``materialise`` has left since there were ``first`` of them, but for the last ``stay``: DataFrames that read them are at
+    their end. Called when the driver's Python ends."""
+    gone = _RESULTS[first : len(_RESULTS) - stay]
+    del _RESULTS[first : len(_RESULTS) - stay]
+    for result in gone:
+        try:
+            _delete(*result)
+        except Exception:  # noqa: BLE001  the JVM is gone: nothing can be removed any more
+            break
+
+
+atexit.register(release)
 
 
 class Work:
@@ -80,6 +108,12 @@ class Work:
         self.paths[name] = path
         return out
 
+    def folder(self, name: str) -> str:
+        """A fresh path, for files of any kind."""
+        self.drop(name)
+        self.paths[name] = scratch(self.spark, name)
+        return self.paths[name]
+
     def drop(self, *names: str) -> None:
         for name in names:
             if name in self.paths:
@@ -94,9 +128,12 @@ class Work:
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a finished scratch table through the file system that owns the path."""
-    jvm = spark.sparkContext._jvm
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
+def _delete(jvm, conf, path: str) -> None:
     p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p.getFileSystem(conf).delete(p, True)
 
 
 def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:

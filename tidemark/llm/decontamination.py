@@ -21,7 +21,7 @@ and a hit is verified where it is found, so that only passages over the rule lea
 (three numbers each) and its hashed words, where they are at most ``BROADCAST_ROWS`` together (counted first). Beyond, seeds are
 joined by a shuffle, with the benchmark's repeated for ``SPREAD`` tasks each, so that a frequent seed does not meet in one.
 
-Cases: null and empty texts have no windows and give no rows; null and repeated ids are judged row by row. Items of fewer than
+Cases: null and empty texts have no windows and give no rows; null and repeated ids are judged row by row, by ``clean`` too. Items of fewer than
 ``min_words`` words are hashed by one solid mask of their own length. Repeated documents and repeated items give one row for
 each pair of ids and length of the item. Very long texts are worked on whole. Empty tables give an empty result. Further columns are ignored.
 """
@@ -33,7 +33,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import dealt_join, table
 
 #: Fixed masks: three words out of five, the first among them.
 MASKS = ("111", "1101", "11001", "1011", "10101", "10011")
@@ -124,9 +124,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] =
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones; all columns stay. An id goes with all its rows, and so do null ids, if the text of one of them is contaminated."""
-    bad = contamination(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad.withColumnRenamed("doc_id", "__bad"), F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """``docs``, a written table, without the rows whose text is contaminated; all columns stay. A row is judged by its own text alone, told by 128 bits of hashes: null and
+    repeated ids keep their clean rows. Rows of a text that very many share are dealt to several tasks."""
+    own = docs.withColumn("__text", F.concat_ws("-", F.xxhash64("text"), F.xxhash64(F.lit("text"), "text")))
+    bad = contamination(own.select(F.col("__text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__text")).distinct()
+    return dealt_join(own, bad, "__text", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,3 +149,6 @@ g AS (SELECT doc_id, item_id, n, diagonal, matched, max(score) AS overlap FROM t
 kept AS (SELECT * FROM g WHERE CASE WHEN n < {MIN_WORDS} THEN matched = n ELSE matched >= {MIN_SHARE} * n OR overlap >= {OVERLAP} END),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, n ORDER BY matched DESC, diagonal, overlap DESC) AS place FROM kept)
 SELECT doc_id, item_id, n::INT AS item_words, matched::INT AS matched_words, round(matched / n, 6) AS share, diagonal::INT AS at, overlap::INT AS overlap FROM best WHERE place = 1"""
+
+#: ``clean`` in SQL: the rows whose text no item contaminates.
+CLEAN = f"WITH bad AS (SELECT DISTINCT doc_id AS text FROM ({ORACLE.replace('doc_id, regexp', 'text AS doc_id, regexp')})) SELECT * FROM documents WHERE text IS NULL OR text NOT IN (SELECT text FROM bad)"

@@ -11,7 +11,8 @@ texts together. A shared signature has the same features on both sides, so what
 leaves out more does: at most ``s`` of the shared ones. No pair above the threshold is missed.
 
 Signatures travel packed: a task sorts some hundred thousand (signature, class) entries and sends each slice of the hash
-space one row of byte planes, with as many bytes of either as keep chance meetings rare (a chance meeting costs a check, never a link). A signature that
+space one row of byte planes, with as many bytes of either as keep chance meetings rare. A chance meeting of signatures costs a check. Classes whose cut keys
+meet are a bucket of their own: a signature that only they share has one key, and its bucket would look like one class's. A signature that
 many classes of one task share is dealt to other tasks, and a mark is left in its slice. A slice gives its buckets: the classes of one signature,
 and buckets of equal members once only.
 
@@ -309,6 +310,12 @@ def buckets(rows: DataFrame, packing: Packing) -> DataFrame:
     return rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(trimmed(run), "bucket long, key long").distinct()
 
 
+def met(short: DataFrame) -> DataFrame:
+    """bucket, fp: the classes (fp, key) that share a cut key; a few in a thousand at most."""
+    keys = short.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.xxhash64(F.lit("key"), "key").alias("bucket"))
+    return short.join(keys, "key").select("bucket", "fp")
+
+
 def sketch(s: np.ndarray) -> bytes:
     """Parities of the number of features that hash to each bit; a power of two of bits."""
     bits = max(SKETCH_LEAST, 1 << int(SKETCH * len(s) - 1).bit_length())
@@ -524,7 +531,8 @@ def grouped(work: Work, docs: DataFrame, words: int, num: int, den: int, parts:
     count, features = classes.agg(F.count(F.lit(1)), F.sum("n")).first()
     packing = Packing(count, features or 0, num, den, parts)
     short = classes.select("fp", packing.key_column(F.col("fp")).alias("key"))
-    multi = work.save(buckets(signed(docs, words, num, den, parts, packing), packing).join(short, "key").select("bucket", "fp"), "buckets")
+    multi = buckets(signed(docs, words, num, den, parts, packing), packing).join(short, "key").select("bucket", "fp")
+    multi = work.save(multi.unionByName(met(short)), "buckets")
     sketches = work.save(described(docs, multi.select("fp").distinct().join(classes, "fp"), words, "sketch"), "sketches")
 
     # a bucket's centre: the member whose buckets are largest, as a rule the text that the others were made from

@@ -3,9 +3,9 @@
 A text's letters are lower-cased, all other characters become one blank class; runs of 1 to 3 are hashed into ``2**BITS`` features. A
 feature's value is its share of the text's n-grams times its inverse document frequency, which is counted over every
 learnable text. The weights are trained by follow-the-regularised-leader (per-coordinate rates, L1 and L2 penalties: the elastic net) on a
-bounded sample: of each language the learnable rows whose ids hash lowest, ``SAMPLE`` in all and ``LEAST`` of a language, if it has
-them, so that a rare language is learnt too; a fifth of it is left out and fits the one temperature that
-divides the scores before the softmax. As a text's value is a mean over its n-grams, prediction adds weights over positions and needs no
+bounded sample: of each language the distinct learnable texts that hash lowest, about ``SAMPLE`` in all, and ``LEAST`` of a language where it has
+them, as far as ``MOST`` in all allows, so that a rare language is learnt too, however its ids repeat; a fifth of it is left out and fits the one temperature that
+divides the scores before the softmax. The model holds ``CELLS`` weights at most: with many languages neighbouring features are one. As a text's value is a mean over its n-grams, prediction adds weights over positions and needs no
 table of counts: one map over whole texts, no shuffle.
 
 Rows with crc32(doc_id) mod 4 = 2 are never learnt from. Cases: null texts and texts without a letter are ``und`` with score 0; null languages are not
@@ -24,15 +24,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import fold, table, widened
+from tidemark.llm.common import Work, fold, table, widened
 from tidemark.llm.textbuf import pieces, trimmed, utf8
 
 BITS = 16
 ORDERS = (1, 2, 3)
-#: Learnable rows that are fitted: about so many, an equal number of each language, and so many of each at least, where it has them.
-SAMPLE, LEAST = 4_000, 50
-#: Languages whose sizes may be broadcast; counted before.
-LANGS = 100_000
+#: Learnable texts that are fitted: about so many, an equal number of each language; so many of each at least, where it has them; and so many in all at most.
+SAMPLE, LEAST, MOST = 4_000, 50, 20_000
+#: How often a text counts, at most, where its language has fewer than ``LEAST``.
+AGAIN = 20
+#: Languages that are learnt, at most (more raise an error); weights of a model, at most.
+LANGS, CELLS = 8_192, 1 << 24
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.1
 #: Values are shares of a text's n-grams; this brings a typical text's length near 1.
 SCALE = 10.0
@@ -111,9 +113,14 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([got.column("h"), got.column("lang"), pa.array(idx, pa.binary()), pa.array(cnt, pa.binary())], names=["h", "lang", "idx", "tf"])
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], k: int, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Multinomial FTRL-proximal: weights (features x languages) and intercepts."""
-    d = 1 << BITS
+def bits_for(langs: int) -> int:
+    """Bits of a feature, so that a model of so many languages has ``CELLS`` weights at most."""
+    return min(BITS, (CELLS // max(1, langs)).bit_length() - 1)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], k: int, epochs: int = EPOCHS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Multinomial FTRL-proximal: weights (features x languages) and intercepts. ``rows``: distinct features, their values, the language's number."""
+    d = 1 << bits
     z, n = np.zeros((d + 1, k)), np.zeros((d + 1, k))
 
     def weights(zi: np.ndarray, ni: np.ndarray, pen: np.ndarray | float) -> np.ndarray:
@@ -156,55 +163,70 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
 class Model:
     """What is broadcast: for each language the features whose weights are not 0, and their weights."""
 
-    def __init__(self, langs: list[str], weights: np.ndarray, bias: np.ndarray, temp: float) -> None:
-        self.langs, self.bias, self.temp = langs, bias, temp
+    def __init__(self, langs: list[str], weights: np.ndarray, bias: np.ndarray, temp: float, bits: int = BITS) -> None:
+        self.langs, self.bias, self.temp, self.bits = langs, bias, temp, bits
         self.live = [np.flatnonzero(w).astype(np.uint32) for w in weights.T]
         self.weights = [w[i].astype(np.float32) for w, i in zip(weights.T, self.live, strict=True)]
 
     def dense(self) -> np.ndarray:
-        out = np.zeros((len(self.langs), 1 << BITS), np.float32)
+        out = np.zeros((len(self.langs), 1 << self.bits), np.float32)
         for row, i, w in zip(out, self.live, self.weights, strict=True):
             row[i] = w
         return out
 
 
+def picked(own: DataFrame, work: Work, sample: int) -> tuple[DataFrame, int]:
+    """h, lang, text of the sample of ``own`` (lang, text), and the number of languages."""
+    own = own.where(F.col("text").rlike(r"\p{L}"))
+    keys = work.save(own.select("lang", F.xxhash64("text").alias("h")).distinct(), "keys")
+    sizes = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = sizes.count()
+    if langs > LANGS:
+        raise ValueError(f"{langs} languages; a model learns {LANGS} at most")
+    need = min(max(LEAST, sample // max(1, langs)), max(2, MOST // max(1, langs)))
+    # the lowest of every language, among some four times as many that hash low enough: hashes of distinct texts are spread evenly
+    low = keys.join(F.broadcast(sizes), "lang").where(F.col("h") / float(1 << 64) + 0.5 <= F.lit(4.0 * max(need, LEAST)) / F.col("n"))
+    last = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= need).groupBy("lang").agg(F.max("h").alias("last"))
+    mine = own.select("lang", "text", F.xxhash64("text").alias("h")).join(F.broadcast(last), "lang")  # ``LANGS`` rows at most
+    return mine.where("h <= last").dropDuplicates(["lang", "h"]).select("h", "lang", "text"), langs
+
+
 def train(docs: DataFrame, learnable=None, sample: int = SAMPLE) -> Model:
     """Learns from text and non-null lang of the learnable rows."""
     own = docs.where("lang is not null and text is not null and doc_id is not null").where(learnable if learnable is not None else fold("doc_id", 4) != 2)
     counts = own.select("text").mapInArrow(trimmed(_df), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # 2**BITS rows at most
-    df = np.zeros(1 << BITS)
-    total = 0
-    for r in counts:
-        if r["feature"] < 0:
-            total = r["n"]
-        else:
-            df[r["feature"]] = r["n"]
-    idf = SCALE * np.log((1 + total) / (1 + df))
-    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    langs = sizes.count()
-    if not langs:
-        return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
-    # the lowest of every language by (h, digest), among some four times as many that hash low enough
-    need = max(LEAST, sample // langs)
-    first = Window.partitionBy("lang").orderBy("h", "digest")
-    keys = own.select("lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("digest")).join(F.broadcast(sizes) if langs <= LANGS else sizes, "lang")
-    keys = keys.where(F.col("h") / float(1 << 64) + 0.5 <= F.lit(4.0 * need) / F.col("n"))
-    last = keys.withColumn("r", F.row_number().over(first)).where(F.col("r") <= need).groupBy("lang").agg(F.max(F.struct("h", "digest")).alias("last"))
-    mine = own.select("lang", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("digest")).join(F.broadcast(last), "lang")
-    picked = mine.where(F.struct("h", "digest") <= F.col("last")).dropDuplicates(["lang", "h", "digest"]).select("h", "lang", "text")
-    rows = sorted(picked.mapInArrow(trimmed(_sparse), "h long, lang string, idx binary, tf binary").collect(), key=lambda r: (r["h"], r["lang"], r["idx"]))
+    with Work(docs.sparkSession) as work:
+        texts, n_langs = picked(own.select("lang", "text"), work, sample)
+        rows = sorted(texts.mapInArrow(trimmed(_sparse), "h long, lang string, idx binary, tf binary").collect(), key=lambda r: (r["lang"], r["h"]))  # ``MOST`` rows at most
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
+    bits = bits_for(n_langs)
+    df = np.zeros(1 << bits)
+    total = max((r["n"] for r in counts if r["feature"] < 0), default=0)
+    for r in counts:
+        if r["feature"] >= 0:
+            df[r["feature"] >> (BITS - bits)] += r["n"]
+    idf = SCALE * np.log((1 + total) / (1 + np.minimum(df, total)))
     at = {x: i for i, x in enumerate(langs)}
-    data = []
+    left, fitted, seen = [], [], dict.fromkeys(langs, 0)
     for r in rows:
-        idx = np.frombuffer(r["idx"], np.uint16).astype(np.int64)
-        data.append((idx, np.frombuffer(r["tf"], np.float32) * idf[idx], at[r["lang"]]))
-    fitted, left = [x for i, x in enumerate(data) if i % 5], [x for i, x in enumerate(data) if i % 5 == 0]
-    w, bias = fit(fitted or left, len(langs))
+        if bits < BITS:
+            idx, back = np.unique(np.frombuffer(r["idx"], np.uint16).astype(np.int64) >> (BITS - bits), return_inverse=True)
+            tf = np.bincount(back, np.frombuffer(r["tf"], np.float32))
+        else:
+            idx, tf = np.frombuffer(r["idx"], np.uint16).astype(np.int64), np.frombuffer(r["tf"], np.float32)
+        row = (r["h"], (idx, tf * idf[idx], at[r["lang"]]))
+        seen[r["lang"]] += 1
+        (left if seen[r["lang"]] % 5 == 0 else fitted).append(row)
+    own = np.bincount([x[1][2] for x in fitted], minlength=len(langs))
+    most = min(LEAST, int(own.max()))
+    # texts of a language that has few come again in every round, up to ``AGAIN`` times, spread over it
+    fitted += [((h + r * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63), x) for h, x in fitted for r in range(1, min(AGAIN, most // own[x[2]]))]
+    fitted, left = [x for _, x in sorted(fitted, key=lambda x: x[0])], [x for _, x in left]
+    w, bias = fit(fitted, len(langs), bits=bits)
     temp = temperature(np.array([x @ w[i] + bias for i, x, _ in left]), np.array([y for *_, y in left])) if left else 1.0
-    return Model(langs, w * idf[:, None], bias, temp)
+    return Model(langs, w * idf[:, None], bias, temp, bits)
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -214,7 +236,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        k, weights = len(m.langs), m.dense()
+        k, weights, shift = len(m.langs), m.dense(), BITS - m.bits
         names = np.array([*m.langs, "und"], object)
         for batch in batches:
             data, off = utf8(batch.column("text"))
@@ -225,6 +247,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
                 total = sum(np.maximum(0, lens - n + 1) for n in ORDERS)
                 sums = np.zeros((b - a, k))
                 for n, g in zip(ORDERS, by, strict=True):
+                    g = g >> shift if shift else g
                     for j in range(k):
                         run_ = np.zeros(len(g) + 1)
                         np.cumsum(weights[j][g], out=run_[1:], dtype=np.float64)

@@ -15,8 +15,8 @@ of distances at which its walk ended, from which the task knows the cells. Only
 
 Cases: null vectors, zero vectors and those with null or non-finite components take no part, as queries or rows; vectors
 of another length than most of the sample take no part either; an id repeated with another vector is an entry, and a query, of its own, and
-equal rows count once; ties go to the smaller id; where fewer candidates are passed than asked for, the walk goes on until cells run out, so small
-tables are searched in full; an empty table gives an empty result.
+equal rows count once; ties go to the smaller id; where fewer candidates are passed than asked for, the walk goes on until cells run out; tables of any size are
+searched alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ from tidemark.llm.textbuf import trimmed
 #: Vectors that the codebooks are fitted on, most centroids of a half, rounds of fitting.
 SAMPLE, CENTROIDS, ROUNDS = 20_000, 1024, 8
 TOP = 10
-#: Rows that the cells passed by a query hold at least; and, where the table is larger, share of the true neighbours of ``PROBES`` vectors that must lie in them.
-LEAST, REACH, PROBES = 2_000, 0.95, 100
+#: Share of the true neighbours of ``PROBES`` vectors that must lie in the cells passed by a query. They hold ``FLOOR`` times as many rows as are asked for at least.
+REACH, PROBES, FLOOR = 0.97, 100, 10
 #: Entries of a piece, and queries of a group: what one task holds of either, about; entries times queries that are compared at a time.
 PIECE, GROUP, AT_ONCE = 4096, 2048, 1 << 21
 #: Queries that a task walks for, about, and tasks at most.
@@ -152,12 +152,17 @@ def reach(index: DataFrame, x: np.ndarray, books: tuple[np.ndarray, np.ndarray],
     return int(np.quantile(rows, share, method="higher")) if rows else 0
 
 
-def search(df: DataFrame, queries: DataFrame, top: int = TOP, k: int | None = None, sample: int = SAMPLE, least: int = LEAST, share: float = REACH) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, top: int = TOP, k: int | None = None, sample: int = SAMPLE, share: float = REACH) -> DataFrame:
     """query_id, rank, vec_id, score: of each of ``queries`` (vec_id, embedding) its ``top`` nearest rows of ``df`` found, rows of its own id left out.
 
     ``k``: centroids of a half; by default some twice the root of the number of vectors. Nothing here is tuned by hand to a table: how far a
     query goes is measured on ``PROBES`` of its vectors.
     """
+    with Work(df.sparkSession) as work:
+        return materialise(_search(df, queries, work, top, k, sample, share), "nearest")
+
+
+def _search(df: DataFrame, queries: DataFrame, work: Work, top: int, k: int | None, sample: int, share: float) -> DataFrame:
     spark = df.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = valid(df)
@@ -173,7 +178,6 @@ def search(df: DataFrame, queries: DataFrame, top: int = TOP, k: int | None = No
     few = rows.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("r", F.dense_rank().over(piece)).where(F.col("r") <= top + 1)
     one = few.groupBy("v").agg(F.slice(F.array_distinct(F.sort_array(F.collect_list("vec_id"))), 1, top + 1).alias("ids"))
     half = max(1, dim // 2)
-    work = Work(spark)
     one = work.save(one, "vectors")
     count = one.count()
     k = k or min(CENTROIDS, 1 << round(math.log2(max(2.0, 2.2 * math.sqrt(count)))))
@@ -194,7 +198,7 @@ def search(df: DataFrame, queries: DataFrame, top: int = TOP, k: int | None = No
     sizes = np.zeros(cells, np.int64)
     for r in index.groupBy("cell").count().collect():  # k * k rows at most
         sizes[r["cell"]] = r["count"]
-    want = count if count <= least else max(least, reach(index, x[np.random.default_rng(11).permutation(len(x))[:PROBES]], books, half, sizes, top, share))
+    want = max(FLOOR * top, reach(index, x[np.random.default_rng(11).permutation(len(x))[:PROBES]], books, half, sizes, top, share))
     # pieces: runs of cells of about PIECE rows; a cell that holds more is split
     piece_of = (np.cumsum(sizes) - sizes) // PIECE
     splits = {int(p): int(-(-n // (2 * PIECE))) for p, n in enumerate(np.bincount(piece_of, sizes)) if n > 2 * PIECE}
@@ -269,9 +273,7 @@ def search(df: DataFrame, queries: DataFrame, top: int = TOP, k: int | None = No
     met = qs.join(es, ["piece", "split"]).select("qs", "es").mapInArrow(trimmed(rerank), "query_id long, q array<double>, vec_id long, score double")
     order = Window.partitionBy("query_id", "q").orderBy("score", "vec_id")
     ranked = met.withColumn("q", F.xxhash64("q")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    out = materialise(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
-    work.drop("index")
-    return out
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Quality rules: an isolation forest over rule statistics, its threshold calibrated from labelled rows.
 
 Fixed rules come first: a text of fewer than ``MIN_WORDS`` words, or with more than ``REPEATS`` per cent of its words in repeated windows,
-fails whatever the forest says. For the others eight ratios (``RATIOS``) are measured on the whole text. A tree splits a
+fails whatever the forest says. For the others ratios that these rules do not judge (``RATIOS``) are measured on the whole text, and, so that short texts
+are not odd by chance, drawn towards the mean of all texts as if that had stood in ``PRIOR`` more words. A tree splits a
 draw of ``PSI`` rows at random: a random ratio, a random value between the least and the greatest, until rows stand alone. Odd rows
 stand alone early; the mean path length over ``TREES`` trees, as a share of what a draw of that size would need, gives a score between 0
 and 1, higher for odder rows.
@@ -39,9 +40,11 @@ SAMPLE = 16_384
 SPOILED, COST, STEPS = 0.005, 4.0, 1_000
 SEED = 20240229
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Mean length of words; symbols a word; share of lines that repeat; of words in repeated windows; of words without a letter; of
-#: capitals among ASCII letters; of the most frequent word; other punctuation a word.
-RATIOS = ("word_length", "symbols", "dup_lines", "repeats", "wordless", "capitals", "top_word", "punctuation")
+#: Mean length of words; symbols a word; share of lines that repeat; of words without a letter; of capitals among ASCII letters; of the most frequent
+#: word; other punctuation a word.
+RATIOS = ("word_length", "symbols", "dup_lines", "wordless", "capitals", "top_word", "punctuation")
+#: Words of mean ratios that every text gets besides its own.
+PRIOR = 50
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -91,7 +94,7 @@ def statistics(raw: np.ndarray) -> tuple[tuple[int, ...], tuple[float, ...]]:
     capitals, small = int(_CAPITAL[raw].sum()), int(_SMALL[raw].sum())
     often = np.bincount(ids)
     bare = sum(int(often[k]) for w, k in number.items() if not _LETTER[np.frombuffer(w, np.uint8)].any()) if not _LETTER[raw].all() else 0
-    ratios = (chars / n, symbols / n, dup / len(lines), again / n, bare / n, capitals / max(1, capitals + small), int(often.max()) / n, int(_PUNCT[raw].sum()) / n)
+    ratios = (chars / n, symbols / n, dup / len(lines), bare / n, capitals / max(1, capitals + small), int(often.max()) / n, int(_PUNCT[raw].sum()) / n)
     return (n, chars, symbols, dup, again), ratios
 
 
@@ -160,9 +163,17 @@ class Forest:
         return 2 ** (-total / len(self.trees) / max(float(_needed(self.size)), 1e-9))
 
 
+def drawn(stats: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """``stats`` with the ratios drawn towards their means over the rows that pass the fixed rules (sums of millionths, the same in any order), and the hash ``h`` of those measured."""
+    sums = stats.where("not base_failed").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.round(F.col(c) * 1e6).cast("long")).alias(c) for c in RATIOS]).first()
+    mean = {c: (sums[c] or 0) / 1e6 / max(sums["n"], 1) for c in RATIOS}
+    own = {c: (F.col("n_words") * F.col(c) + F.lit(prior * mean[c])) / (F.col("n_words") + prior) for c in RATIOS}
+    return stats.withColumn("h", F.xxhash64("n_words", *RATIOS)).withColumns(own)
+
+
 def fit(stats: DataFrame, sample: int = SAMPLE) -> Forest:
     """A forest over the distinct vectors of lowest hash among rows that pass the fixed rules."""
-    vectors = stats.where("not base_failed").select(F.xxhash64(*RATIOS).alias("h"), *RATIOS)
+    vectors = stats.where("not base_failed").select("h", *RATIOS)
     n = vectors.count()
     few = vectors.where(F.col("h") / float(1 << 64) + 0.5 <= F.lit(8.0 * sample / max(n, 1))).dropDuplicates(["h"]).orderBy("h").limit(sample).collect()
     if len(few) < sample and n > 8 * sample:  # many copies: the distinct vectors are fewer
@@ -200,7 +211,8 @@ def threshold(rows: DataFrame, labels: DataFrame, spoiled: float = SPOILED, cost
 def judged(docs: DataFrame, labels: DataFrame, work: Work) -> DataFrame:
     """doc_id, counts, ratios, base_failed, oddness, kept."""
     stats = work.save(measured(docs), "statistics")
-    rows = work.save(scored(stats, fit(stats)), "scored")
+    stats = drawn(stats)
+    rows = work.save(scored(stats, fit(stats)).drop("h"), "scored")
     least = threshold(rows, labels)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("oddness") < F.lit(least)))
 

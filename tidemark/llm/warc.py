@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import freeing, materialise, scratch, table
+from tidemark.llm.common import Work, freeing, materialise, table
 
 #: Date of all records: archives of the same pages are equal byte for byte.
 DATE = "2024-01-01T00:00:00Z"
@@ -209,9 +209,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
+def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
+    """Writes ``pages`` as archives, reads them back and returns what was read, verified. The archives stay if ``folder`` names their place; else they go when they have been read."""
+    with Work(pages.sparkSession) as work:
+        manifest = work.save(write(pages, folder or work.folder("warc")), "manifest")
+        return verified(materialise(contents(manifest.repartition(max(1, manifest.count()), "file")), "records"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = materialise(write(table(spark, sf_dir, "pages"), scratch(spark, "warc")), "manifest")
-    return verified(materialise(contents(manifest.repartition(max(1, manifest.count()), "file")), "records"))
+    return archived(table(spark, sf_dir, "pages"))
 
 
 _B32 = "".join(f"|| substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, {5 * i + 1}, 5))::INT >> {k}) & 31) + 1, 1)" for i in range(8) for k in (15, 10, 5, 0))[3:]
