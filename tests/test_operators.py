@@ -98,7 +98,7 @@ def test_tilt_and_posterior():
 def test_mean_variance_meets_its_conditions():
     rng = np.random.default_rng(5)
     x = rng.normal(0, 0.01, (300, 20))
-    cov, mu = alloc.shrunk_cov(x), rng.normal(0.05, 0.1, 20)
+    cov, mu = alloc.shrunk_cov(alloc.Moments.of(x)), rng.normal(0.05, 0.1, 20)
     w = alloc.mean_variance(mu, cov)
     assert w.sum() == pytest.approx(1) and w.min() >= -1e-12 and w.max() <= 0.10 + 1e-9
     g = mu - 2.5 * cov @ w

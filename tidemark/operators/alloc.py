@@ -1,4 +1,4 @@
-"""Covariances, Black-Litterman, tilts and mean-variance weights: small dense algebra per rebalance date."""
+"""Covariances from prefix sums, Black-Litterman, tilts and mean-variance weights: small dense algebra per rebalance date."""
 
 from __future__ import annotations
 
@@ -19,18 +19,36 @@ def stable_seed(date: str, seed: int = 0) -> int:
     return int.from_bytes(hashlib.blake2b(f"{date}|{seed}".encode(), digest_size=8).digest(), "big") % 2**32
 
 
-def sample_cov(x: np.ndarray) -> np.ndarray:
-    return np.atleast_2d(np.cov(x, rowvar=False, ddof=1)) * YEAR
+class Moments:
+    """Sums over the ``n`` days of a window: ``x`` of each asset's return, ``xx`` of products of two, ``sx`` of each return times the day's sum of squares, ``ss`` of that sum squared."""
 
+    def __init__(self, n: int, x: np.ndarray, xx: np.ndarray, sx: np.ndarray, ss: float) -> None:
+        self.n, self.x, self.xx, self.sx, self.ss = n, x, xx, sx, ss
 
-def shrunk_cov(x: np.ndarray) -> np.ndarray:
-    """Ledoit-Wolf: towards the mean variance times the identity, by the intensity of least expected loss; annualised."""
-    n, p = x.shape
-    c = x - x.mean(0)
-    s = c.T @ c / n
+    @staticmethod
+    def of(rows: np.ndarray) -> Moments:
+        s = np.square(rows).sum(1)
+        return Moments(len(rows), rows.sum(0), rows.T @ rows, s @ rows, float(s @ s))
+
+    @property
+    def mean(self) -> np.ndarray:
+        return self.x / self.n
+
+
+def sample_cov(m: Moments) -> np.ndarray:
+    return (m.xx - np.outer(m.x, m.x) / m.n) / (m.n - 1) * YEAR
+
+
+def shrunk_cov(m: Moments) -> np.ndarray:
+    """Ledoit-Wolf: towards the mean variance times the identity, by the intensity of least expected loss; annualised. The squares of centred
+    days that it needs are expanded into the window's sums."""
+    n, mean, p = m.n, m.mean, len(m.x)
+    s = m.xx / n - np.outer(mean, mean)
     mu = np.trace(s) / p
     delta = (np.square(s).sum() - p * mu * mu) / p
-    beta = min(((np.square(c).T @ np.square(c)).sum() / n - np.square(s).sum()) / (p * n), delta)
+    q = float(mean @ mean)
+    fourth = m.ss + 4 * mean @ m.xx @ mean + n * q * q - 4 * mean @ m.sx + 2 * q * np.trace(m.xx) - 4 * q * mean @ m.x
+    beta = min((fourth / n - np.square(s).sum()) / (p * n), delta)
     a = beta / delta if delta > 0 else 0.0
     return ((1 - a) * s + a * mu * np.eye(p)) * YEAR
 
@@ -89,8 +107,10 @@ def _medium(v: pd.DataFrame, positive: bool = False) -> pd.DataFrame:
     return v[v.view_bps > 0] if positive else v
 
 
-#: Of a strategy: (x returns matrix, cov, views with column at, seed) -> weights.
+#: Of a strategy: (mean daily returns, cov, views with column at, seed) -> weights.
 STRATEGIES: dict[str, Callable] = {}
+#: Those that need no covariance: (number of assets, seed) -> weights.
+FREE: dict[str, Callable] = {}
 
 
 def strategy(f: Callable) -> Callable:
@@ -103,18 +123,18 @@ def _post(cov: np.ndarray, pi: np.ndarray, v: pd.DataFrame) -> np.ndarray:
 
 
 @strategy
-def bl_prior(x, cov, v, seed):
+def bl_prior(mean, cov, v, seed):
     base = np.full(len(cov), 1 / len(cov))
     return mean_variance(prior(cov, base), cov)
 
 
 @strategy
-def mvo(x, cov, v, seed):
-    return mean_variance(x.mean(0) * YEAR, cov)
+def mvo(mean, cov, v, seed):
+    return mean_variance(mean * YEAR, cov)
 
 
 @strategy
-def bl_llm(x, cov, v, seed):
+def bl_llm(mean, cov, v, seed):
     base = np.full(len(cov), 1 / len(cov))
     return mean_variance(_post(cov, prior(cov, base), v), cov)
 
@@ -125,66 +145,107 @@ def _tilted(cov, v):
 
 
 @strategy
-def bl_llm_tilt(x, cov, v, seed):
+def bl_llm_tilt(mean, cov, v, seed):
     return _tilted(cov, _medium(v))
 
 
 @strategy
-def bl_llm_tilt_pos(x, cov, v, seed):
+def bl_llm_tilt_pos(mean, cov, v, seed):
     return _tilted(cov, _medium(v, True))
 
 
 @strategy
-def random_views(x, cov, v, seed):
+def random_views(mean, cov, v, seed):
     n, rng = len(cov), np.random.default_rng(seed)
     drawn = pd.DataFrame({"at": np.arange(n), "view_bps": rng.normal(0, 84.5, n), "sigma": 0.03})
     return mean_variance(_post(cov, prior(cov, np.full(n, 1 / n)), drawn), cov)
 
 
 @strategy
-def shuffled_views(x, cov, v, seed):
+def shuffled_views(mean, cov, v, seed):
     m = _medium(v, True)
     return _tilted(cov, m.assign(at=np.random.default_rng(seed).choice(len(cov), len(m), replace=False)))
 
 
-@strategy
-def random_n(x, cov, v, seed):
-    n = len(cov)
+def random_n(n, seed):
     w = np.zeros(n)
     w[np.random.default_rng(seed).choice(n, min(10, n), replace=False)] = 1 / min(10, n)
     return w
 
 
-def windows(rets: DataFrame, rebalances: DataFrame, rows: int = 252) -> DataFrame:
-    """rebal_date, date, ticker, ret: the last ``rows`` return days up to each rebalance; dates with fewer have none."""
-    days = rets.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date")))
-    top = rebalances.select("rebal_date").join(days, F.col("date") <= F.col("rebal_date")).groupBy("rebal_date").agg(F.max("k").alias("top"))
-    own = top.where(F.col("top") >= rows).select("rebal_date", F.explode(F.sequence(F.col("top") - rows + 1, "top")).alias("k")).join(days, "k").drop("k")
-    return rets.join(own, "date")
+FREE["random_n"] = random_n
 
 
-def allocate(window: DataFrame, views: DataFrame, names: list[str], seed: int = 0, shrink: bool = True, least: int = 60) -> DataFrame:
-    """strategy, rebal_date, ticker, w, fallback. One group a rebalance date; its covariance serves all strategies. ``views``:
-    rebal_date, ticker, view_bps, confidence, sigma. Fewer than ``least`` complete rows: equal weights, flagged."""
+#: The sums of a window, by pair of assets (a <= b).
+SUMS = ("n", "sxy", "sx", "sy", "ssx", "ss")
 
-    def run(key, r: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+
+def moments(rets: DataFrame, rebalances: DataFrame, rows: int = YEAR) -> DataFrame:
+    """rebal_date, a, b (a <= b) and ``SUMS`` over the last ``rows`` return days up to each rebalance; dates with fewer have none. ``rets``: complete-case returns.
+
+    Days are cut where any window begins or ends. The sums of each segment are one aggregation, summed up along the segments they are prefix sums, and a window is the difference of two of
+    them: a day's products are formed once, however many windows hold it. Days, cuts and windows are a calendar, broadcast.
+    """
+    days = rets.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date")))
+    top = rebalances.select("rebal_date").distinct().join(days, F.col("date") <= F.col("rebal_date")).groupBy("rebal_date").agg(F.max("k").alias("top")).where(F.col("top") >= rows)
+    cuts = top.select(F.explode(F.array("top", F.col("top") - rows)).alias("k")).distinct().withColumn("cut", F.lit(1))
+    before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.join(F.broadcast(cuts), "k", "left").withColumn("seg", F.coalesce(F.sum("cut").over(before), F.lit(0)))
+    ends = days.select("k", "seg")
+    windows = top.join(ends, F.col("k") == F.col("top")).select("rebal_date", F.col("top"), F.col("seg").alias("last"))
+    windows = windows.join(ends.select((F.col("k") + rows - 1).alias("top"), (F.col("seg") - 1).alias("first")), "top").select("rebal_date", "first", "last")
+
+    own = rets.join(F.broadcast(days.select("date", "seg")), "date").select("seg", "date", "ticker", "ret")
+    own = own.join(rets.groupBy("date").agg(F.sum(F.col("ret") * F.col("ret")).alias("s")), "date")
+    left = own.select("seg", "date", F.col("ticker").alias("a"), F.col("ret").alias("x"), "s")
+    both = left.join(own.select("date", F.col("ticker").alias("b"), F.col("ret").alias("y")), "date").where("a <= b")
+    parts = both.groupBy("a", "b", "seg").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("s") * F.col("x")).alias("ssx"), F.sum(F.col("s") * F.col("s")).alias("ss"))
+    along = Window.partitionBy("a", "b").orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)  # a row a segment: two a rebalance at most
+    upto = parts.select("a", "b", "seg", *[F.sum(c).over(along).alias(c) for c in SUMS])
+    edges = windows.select("rebal_date", F.explode(F.array(F.struct(F.col("last").alias("seg"), F.lit(1).alias("sign")), F.struct(F.col("first").alias("seg"), F.lit(-1).alias("sign")))).alias("e")).select("rebal_date", "e.*")
+    return upto.join(F.broadcast(edges), "seg").groupBy("rebal_date", "a", "b").agg(*[F.sum(F.col(c) * F.col("sign")).alias(c) for c in SUMS])
+
+
+def covariance(sums: DataFrame) -> DataFrame:
+    """rebal_date, a, b, cov: annualised sample covariances of ``moments``."""
+    return sums.select("rebal_date", "a", "b", (F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.col("n") - 1) * YEAR).alias("cov"))
+
+
+def allocate(sums: DataFrame, at: DataFrame, views: DataFrame, names: list[str], seed: int = 0, shrink: bool = True, least: int = 60) -> DataFrame:
+    """strategy, rebal_date, ticker, w, held. One group a rebalance date, whose covariance serves all strategies: it holds the ``moments`` of pairs, not days.
+
+    ``at``: every rebal_date with every ticker. ``views``: rebal_date, ticker, view_bps, confidence, sigma. Where no covariance can be had (no window, fewer than ``least`` days, or
+    an algebra that fails), a strategy that needs one holds what it has: a single row with null ticker and weight, ``held``.
+    """
+
+    def matrices(pairs: pd.DataFrame, tickers: list[str]) -> Moments | None:
+        if not len(pairs) or not set(pairs.a) == set(tickers) or pairs.n.min() < least or pairs.n.min() != pairs.n.max():
+            return None
+        place = {t: i for i, t in enumerate(tickers)}
+        i, j = pairs.a.map(place).to_numpy(), pairs.b.map(place).to_numpy()
+        xx = np.zeros((len(tickers), len(tickers)))
+        xx[i, j] = xx[j, i] = pairs.sxy
+        own = i == j
+        x, sx = np.zeros(len(tickers)), np.zeros(len(tickers))
+        x[i[own]], sx[i[own]] = pairs.sx[own], pairs.ssx[own]
+        return Moments(int(pairs.n.iloc[0]), x, xx, sx, float(pairs.ss.iloc[0]))
+
+    def run(key, p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(r):
-            wide = r.pivot(index="date", columns="ticker", values="ret").sort_index().sort_index(axis=1).dropna()
-            tickers = list(wide.columns)
+        tickers = sorted(p[p.b.isna()].a)
+        if tickers:
+            m = matrices(p[p.b.notna()], tickers)
             v = v[v.ticker.isin(tickers)].assign(at=lambda d: [tickers.index(x) for x in d.ticker])
-            cov = (shrunk_cov if shrink else sample_cov)(wide.to_numpy()) if len(wide) >= least else None
+            cov = None if m is None else (shrunk_cov if shrink else sample_cov)(m)
             for name in names:
-                bad = cov is None
-                w = np.full(len(tickers), 1 / len(tickers)) if bad else STRATEGIES[name](wide.to_numpy(), cov, v, stable_seed(str(key[0])[:10], seed))
-                out += [(name, key[0], t, float(x), bad) for t, x in zip(tickers, w, strict=True)]
-        return pd.DataFrame(out, columns=["strategy", "rebal_date", "ticker", "w", "fallback"])
-
-    return window.groupBy("rebal_date").cogroup(views.groupBy("rebal_date")).applyInPandas(run, "strategy string, rebal_date date, ticker string, w double, fallback boolean")
-
-
-def covariance(window: DataFrame) -> DataFrame:
-    """rebal_date, a, b, cov: annualised sample covariances as a long table, by aggregation alone."""
-    b = window.select("rebal_date", "date", F.col("ticker").alias("b"), F.col("ret").alias("rb"))
-    both = window.select("rebal_date", "date", F.col("ticker").alias("a"), F.col("ret").alias("ra")).join(b, ["rebal_date", "date"]).where("a <= b")
-    return both.groupBy("rebal_date", "a", "b").agg((F.covar_samp("ra", "rb") * YEAR).alias("cov"))
+                own = stable_seed(str(key[0])[:10], seed)
+                try:
+                    w = FREE[name](len(tickers), own) if name in FREE else None if cov is None else STRATEGIES[name](m.mean, cov, v, own)
+                except np.linalg.LinAlgError:
+                    w = None
+                out += [(name, key[0], None, None, True)] if w is None else [(name, key[0], t, float(x), False) for t, x in zip(tickers, w, strict=True)]
+        return pd.DataFrame(out, columns=["strategy", "rebal_date", "ticker", "w", "held"])
+
+    marks = at.select("rebal_date", F.col("ticker").alias("a"), F.lit(None).cast("string").alias("b"), *[F.lit(None).cast(k).alias(c) for c, k in sums.dtypes if c in SUMS])
+    both = sums.select("rebal_date", "a", "b", *SUMS).unionByName(marks)
+    return both.groupBy("rebal_date").cogroup(views.groupBy("rebal_date")).applyInPandas(run, "strategy string, rebal_date date, ticker string, w double, held boolean")

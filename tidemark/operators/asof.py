@@ -1,40 +1,46 @@
-"""As-of, tolerance and interval joins without range joins: unions ordered by time, and windows."""
+"""As-of, tolerance and interval joins without range joins: unions ordered by time, and scans."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators import scan
 
-def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, tie: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
-    """``left`` with the columns of the latest ``right`` row at or before ``left_on`` (before it, unless ``inclusive``).
 
-    Equal times: the last in order of ``tie``. Both sides are one shuffle on ``by`` and one sort.
-    """
+def _both(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, tie: Sequence[str], right_first: bool) -> tuple[DataFrame, list[str], list[str]]:
     rcols = [c for c in right.columns if c not in by]
     lcols = [c for c in left.columns if c not in by]
-    payload = F.struct(*[F.col(c) for c in rcols])
-    r = right.select(*by, F.col(right_on).alias("__t"), F.lit(0 if inclusive else 1).alias("__side"), F.struct(*[F.col(c) for c in tie] or [F.lit(0)]).alias("__tie"), payload.alias("__r"))
-    l = left.select(*by, F.col(left_on).alias("__t"), F.lit(1 if inclusive else 0).alias("__side"), F.struct(*[F.col(c) for c in lcols]).alias("__l"))
-    both = r.unionByName(l, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).where("__l is not null")
+    r = right.select(*by, F.col(right_on).alias("__t"), F.lit(0 if right_first else 1).alias("__side"), F.struct(*[F.col(c) for c in tie] or [F.lit(0)]).alias("__tie"), F.struct(*[F.col(c) for c in rcols]).alias("__r"))
+    l = left.select(*by, F.col(left_on).alias("__t"), F.lit(1 if right_first else 0).alias("__side"), F.struct(*[F.col(c) for c in lcols]).alias("__l"))
+    return r.unionByName(l, allowMissingColumns=True), lcols, rcols
+
+
+def _found(both: DataFrame, by: Sequence[str], lcols: list[str], rcols: list[str], how: str, bucket: Column | None) -> DataFrame:
+    if bucket is None:  # numbers have no width of their own: one bucket
+        bucket = scan.days("__t") if dict(both.dtypes)["__t"].startswith(("date", "timestamp")) else F.lit(0)
+    found = scan.running(both, by, ["__t", "__side", "__tie"], bucket, "__r", "__m", how).where("__l is not null")
     return found.select(*by, *[F.col(f"__l.{c}").alias(c) for c in lcols], *[F.col(f"__m.{c}").alias(c) for c in rcols])
 
 
-def asof_forward(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, inclusive: bool = True) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, tie: Sequence[str] = (), inclusive: bool = True, bucket: Column | None = None) -> DataFrame:
+    """``left`` with the columns of the latest ``right`` row at or before ``left_on`` (before it, unless ``inclusive``).
+
+    Equal times: the last in order of ``tie``. Both sides are one sequence by time, scanned in buckets (by default of days) with carry, so that a key with most rows is no
+    single task. ``bucket``: another expression on the time, ``__t``, that never falls as it rises;
+    times that are numbers have one bucket without it.
+    """
+    both, lcols, rcols = _both(left, right, by, left_on, right_on, tie, inclusive)
+    return _found(both, by, lcols, rcols, "last", bucket)
+
+
+def asof_forward(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, inclusive: bool = True, bucket: Column | None = None) -> DataFrame:
     """``left`` with the columns of the earliest ``right`` row at or after ``left_on``."""
-    rcols = [c for c in right.columns if c not in by]
-    lcols = [c for c in left.columns if c not in by]
-    r = right.select(*by, F.col(right_on).alias("__t"), F.lit(1 if inclusive else 0).alias("__side"), F.struct(*[F.col(c) for c in rcols]).alias("__r"))
-    l = left.select(*by, F.col(left_on).alias("__t"), F.lit(0 if inclusive else 1).alias("__side"), F.struct(*[F.col(c) for c in lcols]).alias("__l"))
-    both = r.unionByName(l, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("__m", F.first("__r", ignorenulls=True).over(w)).where("__l is not null")
-    return found.select(*by, *[F.col(f"__l.{c}").alias(c) for c in lcols], *[F.col(f"__m.{c}").alias(c) for c in rcols])
+    both, lcols, rcols = _both(left, right, by, left_on, right_on, (), not inclusive)
+    return _found(both, by, lcols, rcols, "next", bucket)
 
 
 def active_views(views: DataFrame, at: DataFrame, max_age: int = 120) -> DataFrame:

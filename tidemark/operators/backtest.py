@@ -29,24 +29,42 @@ def ranked_views(periods: DataFrame, universe: DataFrame, active: DataFrame, n:
     return w.unionByName(equal_weight(none, universe))
 
 
-def run(rets: DataFrame, periods: DataFrame, weights: DataFrame, universe: DataFrame, cost_bps: float = 10.0) -> tuple[DataFrame, DataFrame]:
+def islands(weights: DataFrame, held: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """strategy, rebal_date, since: the rebalance whose targets a period drifts from, its own or, where it is ``held`` (strategy, rebal_date), the last one before; and the targets with equal
+    weights for strategies that begin by holding."""
+    each = weights.select("strategy", "rebal_date").distinct().withColumn("good", F.col("rebal_date"))
+    each = each.unionByName(held.select("strategy", "rebal_date").distinct().withColumn("good", F.lit(None).cast("date")))
+    upto = Window.partitionBy("strategy").orderBy("rebal_date").rowsBetween(Window.unboundedPreceding, 0)  # a row a rebalance
+    own = each.withColumn("since", F.coalesce(F.last("good", ignorenulls=True).over(upto), F.first("rebal_date").over(upto)))
+    begin = own.where("good is null and since = rebal_date").select("strategy", "rebal_date")
+    n = universe.agg(F.count(F.lit(1)).alias("n"))
+    start = begin.crossJoin(F.broadcast(universe.select("ticker"))).crossJoin(F.broadcast(n)).select("strategy", "rebal_date", "ticker", (F.lit(1.0) / F.col("n")).alias("w"))
+    return own.select("strategy", "rebal_date", "since"), weights.select("strategy", "rebal_date", "ticker", "w").unionByName(start)
+
+
+def run(rets: DataFrame, periods: DataFrame, weights: DataFrame, universe: DataFrame, cost_bps: float = 10.0, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Daily returns (strategy, date, ret) and rebalances (strategy, rebal_date, turnover, cost).
 
-    ``weights``: strategy, rebal_date, ticker, w. ``rets``: complete-case returns. The periods are a small dimension.
+    ``weights``: strategy, rebal_date, ticker, w. ``rets``: complete-case returns. The periods are a small dimension. ``held`` (strategy, rebal_date): rebalances without
+    targets, at which a strategy keeps its drifted weights; the closed form runs on from the last rebalance before, and nothing is traded.
     """
     days = rets.select("date").distinct()
     own = small(periods)
     of = days.join(own, (days["date"] >= own["trade_date"]) & (days["date"] < own["until"])).select("date", "rebal_date")
     r = rets.join(of, "date").select("rebal_date", "ticker", "date", "ret")
-    live = r.join(weights.where("w <> 0"), ["rebal_date", "ticker"])
+    if held is None:
+        live = r.join(weights.where("w <> 0"), ["rebal_date", "ticker"])
+    else:
+        since, weights = islands(weights, held, universe)
+        live = r.join(since, "rebal_date").drop("rebal_date").withColumnRenamed("since", "rebal_date").join(weights.where("w <> 0"), ["strategy", "rebal_date", "ticker"])
     so_far = Window.partitionBy("strategy", "rebal_date", "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    held = live.withColumn("wg", F.col("w") * F.exp(F.sum(F.log1p("ret")).over(so_far))).persist()
-    value = held.groupBy("strategy", "rebal_date", "date").agg(F.sum("wg").alias("v")).persist()
+    grown = live.withColumn("wg", F.col("w") * F.exp(F.sum(F.log1p("ret")).over(so_far))).persist()
+    value = grown.groupBy("strategy", "rebal_date", "date").agg(F.sum("wg").alias("v")).persist()
     by_day = Window.partitionBy("strategy", "rebal_date").orderBy("date")
     gross = value.withColumn("first", F.row_number().over(by_day) == 1).withColumn("gross", F.col("v") / F.coalesce(F.lag("v").over(by_day), F.lit(1.0)) - 1)
 
     ends = value.groupBy("strategy", "rebal_date").agg(F.max("date").alias("date"), F.max_by("v", "date").alias("v_end"))
-    w_end = held.join(ends, ["strategy", "rebal_date", "date"]).select("strategy", "rebal_date", "ticker", (F.col("wg") / F.col("v_end")).alias("w_end"))
+    w_end = grown.join(ends, ["strategy", "rebal_date", "date"]).select("strategy", "rebal_date", "ticker", (F.col("wg") / F.col("v_end")).alias("w_end"))
     ran = ends.select("strategy", "rebal_date")
     order = ran.withColumn("next", F.lead("rebal_date").over(Window.partitionBy("strategy").orderBy("rebal_date")))
     came = w_end.join(order, ["strategy", "rebal_date"]).where("next is not null").select("strategy", F.col("next").alias("rebal_date"), "ticker", F.col("w_end").alias("w_old"))
@@ -57,6 +75,9 @@ def run(rets: DataFrame, periods: DataFrame, weights: DataFrame, universe: DataF
     moved = target.join(old, ["strategy", "rebal_date", "ticker"], "full").select("strategy", "rebal_date", F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("w_old", F.lit(0.0))).alias("d"))
     turns = moved.groupBy("strategy", "rebal_date").agg(F.sum("d").alias("turnover")).withColumn("cost", F.col("turnover") * F.lit(cost_bps / 1e4))
     net = gross.join(turns, ["strategy", "rebal_date"]).select("strategy", "date", (F.col("gross") - F.when(F.col("first"), F.col("cost")).otherwise(0.0)).alias("ret"))
+    if held is not None:  # those that ran, but for the one that a strategy begins with
+        still = since.where("since < rebal_date").join(of.select("rebal_date").distinct(), "rebal_date", "left_semi")
+        turns = turns.unionByName(still.select("strategy", "rebal_date", F.lit(0.0).alias("turnover"), F.lit(0.0).alias("cost")))
     return net, turns
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import scalars as s
-from tidemark.operators import asof
+from tidemark.operators import asof, scan
 
 
 def matched_quarters(quarters: DataFrame, estimates: DataFrame, days: int = 5) -> DataFrame:
@@ -24,9 +24,8 @@ def latest_reported(at: DataFrame, matched: DataFrame) -> DataFrame:
     order = ["pos", *[c for c in cols if c != "pos"]]
     q = matched.select("ticker", F.col("filing_date").alias("__t"), F.lit(1).alias("__side"), F.struct(*order).alias("__q"))
     a = at.select("ticker", F.col("view_date").alias("__t"), F.lit(0).alias("__side"), F.struct(*[F.col(c) for c in at.columns]).alias("__a"))
-    w = Window.partitionBy("ticker").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = q.unionByName(a, allowMissingColumns=True).withColumn("__m", F.min("__q").over(w))
-    found = both.where("__a is not null and __m is not null")
+    both = q.unionByName(a, allowMissingColumns=True)
+    found = scan.running(both, ["ticker"], ["__t", "__side"], scan.days("__t"), "__q", "__m", "least").where("__a is not null and __m is not null")
     return found.select(*[F.col(f"__a.{c}").alias(c) for c in at.columns], *[F.col(f"__m.{c}").alias(c) for c in cols])
 
 

@@ -10,16 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.quantiles import quantiles
+
 
 def buckets(df: DataFrame, by: str) -> DataFrame:
     """n, mean and median of fwd_excess, and the share of views (not 0) whose sign was right."""
     hit = F.when(F.col("view_bps") != 0, (F.signum("view_bps") == F.signum("fwd_excess")).cast("int"))
-    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("fwd_excess").alias("mean"), F.median("fwd_excess").alias("median"), F.avg(hit).alias("hit"))
+    means = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("fwd_excess").alias("mean"), F.avg(hit).alias("hit"))
+    medians = quantiles(df, [by], "fwd_excess", [0.5]).select(F.col(by).alias("__by"), F.col("q")[0].alias("median"))
+    return means.join(medians, F.col(by).eqNullSafe(F.col("__by"))).select(by, "n", "mean", "median", "hit")
 
 
 def tertiles(df: DataFrame, col: str, out: str, labels: tuple[str, str, str] = ("lo", "mid", "hi")) -> DataFrame:
     """Right-closed thirds between interpolated quantiles, so that ties stay together. Equal edges leave no thirds: an empty result."""
-    e = df.agg(F.percentile(F.col(col).cast("double"), F.array(F.lit(0.0), F.lit(1 / 3), F.lit(2 / 3), F.lit(1.0))).alias("e"))
+    e = quantiles(df, [], col, [0.0, 1 / 3, 2 / 3, 1.0], "e")
     e = e.where("e[0] < e[1] and e[1] < e[2] and e[2] < e[3]")
     own = df.crossJoin(F.broadcast(e))  # one row of edges
     return own.withColumn(out, F.when(F.col(col) <= F.col("e")[1], labels[0]).when(F.col(col) <= F.col("e")[2], labels[1]).otherwise(labels[2])).drop("e")
@@ -145,6 +149,6 @@ def bootstrap_sharpe(rets: DataFrame, draws: int = 10_000, seed: int = 42, rf: f
 
 def summary(df: DataFrame, by: str, col: str) -> DataFrame:
     """n, mean, sample sd, min, max, p5, p95 (interpolated)."""
-    return df.groupBy(by).agg(
-        F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("sd"), F.min(col).alias("lo"), F.max(col).alias("hi"), F.percentile(col, F.lit(0.05)).alias("p5"), F.percentile(col, F.lit(0.95)).alias("p95")
-    )
+    sums = df.groupBy(by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("sd"), F.min(col).alias("lo"), F.max(col).alias("hi"))
+    q = quantiles(df, [by], col, [0.05, 0.95]).select(F.col(by).alias("__by"), F.col("q")[0].alias("p5"), F.col("q")[1].alias("p95"))
+    return sums.join(q, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")

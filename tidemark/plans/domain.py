@@ -33,8 +33,7 @@ def raw_prices(spark: SparkSession, sf: str) -> DataFrame:
 
 def prices(spark: SparkSession, sf: str) -> DataFrame:
     """ticker, date, close: 21-row trailing mean on the dense grid, filled forward over 5 rows at most."""
-    dense = panel.trailing_mean(panel.grid(raw_prices(spark, sf)), "px", 21)
-    return panel.ffill(dense.withColumnRenamed("px", "close"), "close", 5).select("ticker", "date", "close")
+    return panel.smoothed(panel.grid(raw_prices(spark, sf)), "px", 21, 5).select("ticker", "date", F.col("px").alias("close"))
 
 
 def dim(df: DataFrame, most: int = 100_000) -> DataFrame:

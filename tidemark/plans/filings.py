@@ -408,7 +408,13 @@ def ensemble_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def rolling_covariance(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(alloc.covariance(alloc.windows(d.rets(spark, sf), d.periods(spark, sf))))
+    return rounded(alloc.covariance(alloc.moments(d.rets(spark, sf), d.periods(spark, sf))))
+
+
+def allocated(spark: SparkSession, sf: str) -> DataFrame:
+    """strategy, rebal_date, ticker, w, held of the strategies that ``alloc`` knows."""
+    sums = alloc.moments(d.rets(spark, sf), d.periods(spark, sf))
+    return alloc.allocate(sums, d.at_rebalances(spark, sf), _sigma_views(spark, sf), [*alloc.STRATEGIES, *alloc.FREE])
 
 
 def _sigma_views(spark: SparkSession, sf: str) -> DataFrame:
@@ -419,8 +425,7 @@ def _sigma_views(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def allocations(spark: SparkSession, sf: str) -> DataFrame:
     """Weights of every covariance-aware and placebo strategy."""
-    w = alloc.windows(d.rets(spark, sf), d.periods(spark, sf))
-    return rounded(alloc.allocate(w, _sigma_views(spark, sf), list(alloc.STRATEGIES)))
+    return rounded(allocated(spark, sf))
 
 
 @query()

@@ -32,15 +32,11 @@ def query(oracle: str | None = None):
 # --- all strategies ---
 
 
-def every_weight(spark: SparkSession, sf: str) -> DataFrame:
-    """strategy, rebal_date, ticker, w of all eleven strategies."""
-    w = alloc.windows(d.rets(spark, sf), d.periods(spark, sf))
-    own = alloc.allocate(w, f._sigma_views(spark, sf), list(alloc.STRATEGIES))
-    return d.weights(spark, sf).unionByName(own.select("strategy", "rebal_date", "ticker", "w"))
-
-
 def every_backtest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return backtest.run(d.rets(spark, sf), d.periods(spark, sf), every_weight(spark, sf).persist(), d.dim(d.universe(spark, sf)))
+    """Daily returns and rebalances of all eleven strategies; where no covariance can be had, drifted weights are kept."""
+    own = f.allocated(spark, sf).persist()
+    targets = d.weights(spark, sf).unionByName(own.where("not held").select("strategy", "rebal_date", "ticker", "w"))
+    return backtest.run(d.rets(spark, sf), d.periods(spark, sf), targets.persist(), d.dim(d.universe(spark, sf)), held=own.where("held"))
 
 
 @query()
