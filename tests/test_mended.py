@@ -181,11 +181,11 @@ def test_returns_and_runs(spark, tmp_path):
     assert got == [("bl_llm", date(2020, 1, 3), 0.5), ("equal_weight", date(2020, 1, 2), 0.01), ("equal_weight", date(2020, 1, 3), 0.02)]
     with pytest.raises(FileNotFoundError):
         readers.returns(spark, str(tmp_path), "holdout")
-    put(tmp_path / "gold/001.json", '{"doc_id": "a", "tier": "pool", "events": [{"description": "x"}, {"description": "y"}]}')
-    put(tmp_path / "gold/notes.json", '{"doc_id": "zz"}')
+    put(tmp_path / "gold/001.json", '{"id": "a", "tier": "pool", "events": [{"description": "x"}, {"description": "y"}]}')
+    put(tmp_path / "gold/notes.json", '{"id": "zz"}')
     put(tmp_path / "run/001.json", '{"doc_id": "a", "facts": {"key_events": [{"description": "x"}]}}')
     put(tmp_path / "run/002.json", '{"doc_id": "other", "facts": null}')
-    put(tmp_path / "gold/002.json", '{"doc_id": "b", "tier": "blind", "events": []}')
+    put(tmp_path / "gold/002.json", '{"id": "b", "tier": "blind", "events": []}')
     put(tmp_path / "run/003.json", '{"doc_id": "b", "facts": null}')
     gold = readers.gold(spark, f"{tmp_path}/gold")
     assert sorted(r.doc_id for r in gold.collect()) == ["a", "b"]

@@ -29,8 +29,9 @@ def clamp_int(c: Column, low: int = -300, high: int = 300) -> Column:
 
 
 def clamp_round(c: Column, low: int = -300, high: int = 300) -> Column:
-    """Rounded half to even and bounded; 0 where it is no number."""
-    d = F.coalesce(c.try_cast("double"), F.lit(0.0))
+    """Rounded half to even and bounded; 0 where it is no number, or none that is finite."""
+    d = c.try_cast("double")
+    d = F.when(F.abs(d) < float("inf"), d).otherwise(0.0)
     return F.greatest(F.lit(low), F.least(F.lit(high), F.bround(F.greatest(F.lit(-1e6), F.least(F.lit(1e6), d))).cast("int")))
 
 

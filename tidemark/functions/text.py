@@ -172,8 +172,10 @@ def n_tokens(text: str) -> int:
 
 
 def token_chunks(text: str, size: int = 4000, overlap: int = 200) -> list[str]:
-    """As ``char_chunks`` in tokens of four characters, cut at the last sentence end of a piece's last fifth."""
+    """As ``char_chunks`` in tokens of four characters, cut at the last sentence end of a piece's last fifth. A text within one piece, the empty one too, is returned as it is; pieces are stripped."""
     out, start, total = [], 0, n_tokens(text)
+    if total <= size:
+        return [text]
     while start < total:
         piece = text[4 * start : 4 * min(start + size, total + 1)]
         if start + size < total:
@@ -184,7 +186,7 @@ def token_chunks(text: str, size: int = 4000, overlap: int = 200) -> list[str]:
         start += max(1, n_tokens(piece) - overlap)
         if start >= total - overlap:
             break
-    return out or ([text] if text else [])
+    return out
 
 
 #: Sections in the order in which a budget goes to them.
@@ -205,8 +207,7 @@ def chunk_sections(parts: dict[str, str], budget: int | None = None, size: int =
                 break
             text = text[: 4 * (budget - used)]
         own = token_chunks(text, size, overlap)
-        if own:
-            own[0] = f"[SECTION: {name.upper()}]\n\n{own[0]}"
+        own[0] = f"[SECTION: {name.upper()}]\n\n{own[0]}"
         out += own
         used += sum(map(n_tokens, own))
         if budget and used >= budget:

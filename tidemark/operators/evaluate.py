@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,9 +64,17 @@ def extras(events: DataFrame, matched: DataFrame) -> DataFrame:
     return events.join(matched.select("doc", "i"), ["doc", "i"], "left_anti")
 
 
-def most_extras(extra: DataFrame) -> DataFrame:
-    """doc, n of the document with the most extra events; the least of equals."""
-    return extra.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "doc").limit(1)
+#: Tiers that no one tuned on (fixed values).
+BLIND = ("tier1a_tuning", "tier1b_eval")
+
+
+def most_extras(extra: DataFrame, docs: DataFrame, tiers: Sequence[str] = BLIND) -> DataFrame:
+    """model, doc, n: of each model the document of a blind tier with the most events without a partner, the least of equals; failed documents, and models
+    without such events, are left out. ``docs``: model, doc, tier, failed; ``extra``: model, doc, one row an event."""
+    own = docs.where(~F.col("failed") & F.col("tier").isin(*tiers)).select("model", "doc")
+    n = extra.groupBy("model", "doc").agg(F.count(F.lit(1)).alias("n")).join(own, ["model", "doc"])
+    first = n.groupBy("model").agg(F.min(F.struct((-F.col("n")).alias("less"), "doc")).alias("m"))
+    return first.select("model", "m.doc", (-F.col("m.less")).alias("n"))
 
 
 def leaderboard(board: DataFrame) -> DataFrame:

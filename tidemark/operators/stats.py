@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -130,21 +132,38 @@ def paired(df: DataFrame, a: str, b: str) -> DataFrame:
     return sums.mapInPandas(add, ", ".join(f"`{c}` {k}" for c, k in sums.dtypes) + ", p double")
 
 
+#: Draws of one row.
+DRAWS = 100
+
+
+def drawn_sharpe(r: np.ndarray, name: str, draw: int, seed: int, rf: float) -> float:
+    """The Sharpe ratio of one draw of as many days, with replacement."""
+    key = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "big")
+    rng = np.random.Generator(np.random.Philox(key=[seed, key], counter=[0, 0, 0, draw]))
+    s = r[rng.integers(0, len(r), len(r))]
+    vol = s.std(ddof=1) * math.sqrt(252) if len(s) > 1 else 0.0
+    return (math.exp(np.log1p(s).sum() * 252 / len(s)) - 1 - rf) / vol if vol else 0.0
+
+
 def bootstrap_sharpe(rets: DataFrame, draws: int = 10_000, seed: int = 42, rf: float = 0.02) -> DataFrame:
-    """strategy, n, sharpe_lo, sharpe_hi: 2.5 and 97.5 percentiles over resampled days. A group is one strategy's days, which number hundreds a year."""
+    """strategy, n, sharpe_lo, sharpe_hi: 2.5 and 97.5 percentiles over resampled days.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.sort_values("date").ret.to_numpy()
-        rng = np.random.default_rng(seed)
-        out = []
-        for _ in range(draws):
-            s = r[rng.integers(0, len(r), len(r))]
-            vol = s.std(ddof=1) * math.sqrt(252) if len(s) > 1 else 0.0
-            out.append((math.exp(np.log1p(s).sum() * 252 / len(s)) - 1 - rf) / vol if vol else 0.0)
-        lo, hi = np.percentile(out, [2.5, 97.5])
-        return pd.DataFrame({"strategy": [pdf.strategy.iloc[0]], "n": [len(r)], "sharpe_lo": [lo], "sharpe_hi": [hi]})
-
-    return rets.groupBy("strategy").applyInPandas(run, "strategy string, n long, sharpe_lo double, sharpe_hi double")
+    A draw's numbers come from a counter-based generator keyed by seed and strategy, at a counter of the draw's own: any task can make any draw, and the interval is the
+    same however they are laid out. ``DRAWS`` draws of a strategy are a row that carries its days, which number hundreds a year.
+    """
+    days = rets.groupBy("strategy").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "ret"))), lambda x: x["ret"]).alias("r"))
+    first = F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(DRAWS)))
+    blocks = days.select("strategy", "r", first.alias("first"))
+    blocks = blocks.repartition(rets.sparkSession.sparkContext.defaultParallelism, "strategy", "first")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            out = [(name, k, drawn_sharpe(np.asarray(r), name, k, seed, rf)) for name, r, k0 in zip(p.strategy, p.r, p["first"], strict=True) for k in range(k0, min(k0 + DRAWS, draws))]
+            yield pd.DataFrame(out, columns=["strategy", "draw", "sharpe"])
+
+    drawn = blocks.mapInPandas(run, "strategy string, draw int, sharpe double")
+    q = quantiles(drawn, ["strategy"], "sharpe", [0.025, 0.975])
+    return days.select("strategy", F.size("r").cast("long").alias("n")).join(q, "strategy").select("strategy", "n", F.col("q")[0].alias("sharpe_lo"), F.col("q")[1].alias("sharpe_hi"))
 
 
 def summary(df: DataFrame, by: str, col: str) -> DataFrame:

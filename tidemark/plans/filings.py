@@ -317,9 +317,9 @@ def char_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 TOKENS = """WITH RECURSIVE f AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) // 4 AS total FROM documents),
-c AS (SELECT doc_id, t, total, 0 AS pos, 0::BIGINT AS s, CASE WHEN 0 + 400 < total AND instr(reverse(t[4 * 0 + 1281:4 * 0 + 1600]), ' .') > 0 THEN 4 * 0 + 1600 - instr(reverse(t[4 * 0 + 1281:4 * 0 + 1600]), ' .') ELSE 4 * least(0 + 400, total + 1) END AS e FROM f WHERE total > 0
+c AS (SELECT doc_id, t, total, 0 AS pos, 0::BIGINT AS s, CASE WHEN 0 + 400 < total AND instr(reverse(t[4 * 0 + 1281:4 * 0 + 1600]), ' .') > 0 THEN 4 * 0 + 1600 - instr(reverse(t[4 * 0 + 1281:4 * 0 + 1600]), ' .') ELSE 4 * least(0 + 400, total + 1) END AS e FROM f WHERE total > 400
 UNION ALL SELECT doc_id, t, total, pos + 1, n, CASE WHEN n + 400 < total AND instr(reverse(t[4 * n + 1281:4 * n + 1600]), ' .') > 0 THEN 4 * n + 1600 - instr(reverse(t[4 * n + 1281:4 * n + 1600]), ' .') ELSE 4 * least(n + 400, total + 1) END FROM (SELECT *, s + greatest(1, length(t[4 * s + 1:e]) // 4 - 40) AS n FROM c) WHERE n < total - 40)
-SELECT doc_id, pos, length(x) AS n, md5(x) AS h FROM (SELECT doc_id, pos, regexp_replace(t[4 * s + 1:e], '^\\s+|\\s+$', '', 'g') AS x FROM c) UNION ALL SELECT doc_id, 0, length(t), md5(t) FROM f WHERE total = 0 AND t <> ''"""
+SELECT doc_id, pos, length(x) AS n, md5(x) AS h FROM (SELECT doc_id, pos, regexp_replace(t[4 * s + 1:e], '^\\s+|\\s+$', '', 'g') AS x FROM c) UNION ALL SELECT doc_id, 0, length(t), md5(t) FROM f WHERE total <= 400"""
 
 
 @query(TOKENS)
@@ -356,7 +356,7 @@ def filing_sections(spark: SparkSession, sf: str) -> DataFrame:
 def matched_events(spark: SparkSession, sf: str) -> DataFrame:
     """Turns of users against turns of assistants, greedily one to one; a turn's text is its description and its quote."""
     c = d.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), "turn", "role", "text", F.col("text").alias("quote"))
-    return rounded(evaluate.match_events(c.where("role = 'user'").withColumnRenamed("turn", "i"), c.where("role = 'assistant'").withColumnRenamed("turn", "j"), 40.0))
+    return rounded(evaluate.match_events(c.where("role = 'user'").withColumnRenamed("turn", "i"), c.where("role = 'assistant'").withColumnRenamed("turn", "j"), 60.0))
 
 
 @query("SELECT user_id AS ticker, since, until, round(coalesce(exp(sum(ln(f))), 1), 6) AS factor FROM (SELECT DISTINCT user_id, DATE '2024-01-05' AS since, DATE '2024-01-20' AS until FROM events) r LEFT JOIN (SELECT user_id AS u, ts::DATE AS dd, (event_id % 3 + 1) / nullif(event_id % 2, 0)::DOUBLE AS f FROM events WHERE event_type = 'error' AND event_id % 2 <> 0) x ON u = user_id AND dd > since AND dd <= until GROUP BY ALL")
@@ -434,6 +434,13 @@ def annotated_views(spark: SparkSession, sf: str) -> DataFrame:
     return annotate.views(annotate.annotate(docs, "doc_id", "prompt"), "doc_id")
 
 
+@query()
+def one_stage_views(spark: SparkSession, sf: str) -> DataFrame:
+    """Views drawn from whole documents in one step, with their quotes held against the text."""
+    docs = d.table(spark, sf, "documents").select("doc_id", "text")
+    return annotate.one_stage(annotate.annotate(docs, "doc_id", "text", annotate.offline_one_stage), docs, "doc_id")
+
+
 @query(sql("SELECT ticker, (DATE '1970-01-01' + (90 * (date_diff('day', DATE '1970-01-01', view_date) // 90))::INT)::DATE AS start, arg_max(view_bps, (view_date, seq)) AS view_bps, count(*) AS n FROM views GROUP BY 1, 2", "views"))
 def latest_views_by_window(spark: SparkSession, sf: str) -> DataFrame:
     return latest.latest_by_window(d.views(spark, sf))

@@ -128,8 +128,8 @@ def _numbered(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, tier, events: the gold standard, a file a document whose name begins with a digit."""
-    return _numbered(spark, folder, f"doc_id string, tier string, events {EVENTS}").where("doc_id is not null")
+    """doc_id, tier, events: the gold standard, a file a document whose name begins with a digit and whose key is ``id``."""
+    return _numbered(spark, folder, f"id string, tier string, events {EVENTS}").where("id is not null").withColumnRenamed("id", "doc_id")
 
 
 def runs(spark: SparkSession, folder: str, standard: DataFrame) -> DataFrame:
