@@ -415,7 +415,7 @@ def test_html_cut_is_near_linear_and_training_is_bounded(spark):
     html_extraction.extract(page)
     assert time.perf_counter() - began < 15
     p = spark.createDataFrame([(7, "u", f"<article><p>Text number {i}, of some length.</p></article><nav>Menu {i}</nav>") for i in range(300)], "page_id long, url string, html string")
-    assert len(html_extraction.train(p, sample=20)) == html_extraction.N_FEATURES
+    assert len(html_extraction.train(p, sample=20).weights) == html_extraction.N_FEATURES
 
 
 def test_multi_index_recall_on_part_of_the_rows(spark):

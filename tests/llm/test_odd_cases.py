@@ -244,3 +244,11 @@ def test_multi_index_with_clashing_columns_and_ties(spark):
     got = sorted((r.rank, r.vec_id, r.score) for r in multi_index.search(d, d.where("vec_id = 0")).collect())
     assert got == [(1, 3, 0.0), (2, 6, 0.0), (3, 1, 1.0), (4, 4, 1.0), (5, 7, 1.0), (6, 2, 2.0), (7, 5, 2.0), (8, 8, 2.0)]
 
+
+
+def test_bytes_that_are_no_utf8_are_read_as_a_replacement(spark):
+    d = spark.createDataFrame([(1, bytearray(b"\xffA")), (2, bytearray("déjà vu".encode())), (3, None), (4, bytearray(b"ok \xc3"))], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    got = {r.doc_id: r.ids for r in bpe.encoded(d).collect()}
+    codec = bpe.codec(bpe.vocabulary())
+    assert {i: codec.decode(x).decode() for i, x in got.items()} == {1: "\ufffdA", 2: "déjà vu", 3: "", 4: "ok \ufffd"}
+    assert got == {i: codec.encode(x) for i, x in {1: "\ufffdA", 2: "déjà vu", 3: "", 4: "ok \ufffd"}.items()}

@@ -12,7 +12,7 @@ lowest-ranked pair of each slice a round, over flat arrays; slices over ``LONG``
 their byte offsets in the text, come out; decoding joins the ids' bytes.
 
 Cases: null and empty texts have no ids and decode to no bytes; bytes are never lost, so decoding gives every text back
-exactly; repeated texts encode alike; very long texts are a piece of their own; an empty table gives an empty result;
+exactly; bytes that are no UTF-8 are read as U+FFFD; repeated texts encode alike; very long texts are a piece of their own; an empty table gives an empty result;
 further columns are ignored, and kept by ``encoded``.
 """
 
@@ -252,11 +252,16 @@ class Codec:
         """The decimal ids of every text of a column, joined by blanks."""
         data, off = utf8(col)
         for a, b in pieces(off):
-            raw = data[off[a] : off[b]]
-            text = raw.tobytes().decode("utf-8")
+            raw, own = data[off[a] : off[b]], off[a : b + 1] - off[a]
+            try:
+                text = raw.tobytes().decode("utf-8")
+            except UnicodeDecodeError:  # what is no UTF-8 is read as U+FFFD
+                fixed = [raw[s:e].tobytes().decode("utf-8", "replace").encode() for s, e in zip(own.tolist(), own.tolist()[1:], strict=False)]
+                raw, own = np.frombuffer(b"".join(fixed), np.uint8), np.cumsum([0, *map(len, fixed)])
+                text = raw.tobytes().decode("utf-8")
             chars = np.zeros(len(raw) + 1, np.int64)
             np.cumsum((raw & 0xC0) != 0x80, out=chars[1:])
-            at = chars[off[a : b + 1] - off[a]]
+            at = chars[own]
             begin = starts(np.frombuffer(text.encode("utf-32-le"), np.uint32), at[:-1])
             cuts = [*begin.tolist(), len(text)]
             slices = [text[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]

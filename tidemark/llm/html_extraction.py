@@ -11,16 +11,19 @@ The classifier sees no sectioning markup and no class names: it is trained on a
 ``BLOCKS`` evenly spaced blocks of each) on which ``article`` and ``main`` against ``nav``, ``footer``, ``aside`` and ``form`` give the labels. So it
 carries what it learnt of texts to pages without such markup.
 
-Markup is evidence of a fixed strength (``BAD``, ``GOOD``): an element's name, more weakly the words of its class and id, more weakly still where they are
-part of a longer name or stand on a paragraph or heading. Names such as ``has-sidebar`` or ``no-ads`` say nothing. Evidence against an element
-is dropped where hardly any running text of the page (``LEFT``) would be left without it: a wrapper around the article is not boilerplate whatever it is called.
-
-Reading: ``script``, ``style``, ``head``, ``template``, ``noscript``, ``svg``, form controls, embedded players and comments hold no text, and are skipped to their own end tag;
+Markup is evidence too. A sectioning element's is of fixed strength (``BAD``, ``GOOD``). That of a class or id is learnt: on the sample's pages that have
+an ``article`` or ``main``, blocks under the name are counted inside and outside of it, and its weight is the log-odds of these counts. A list of words gives no more
+than the pseudo-counts that they begin with (``SURE``, ``MAYBE``, ``PART`` for a word in a longer name), and a few blocks outvote it. Prose outvotes a name that only may mean
+boilerplate, or has it as a part; one that means nothing else is outvoted by where the sample's pages have it. Evidence against an element
+is dropped where hardly any running text of the page (``LEFT``) would be left without it: a wrapper around the article is not boilerplate whatever it is called. A page of which nothing
+would be kept keeps the best of what no strong evidence speaks against, so that bare text, a list or a table alone is a text.
+
+Reading: ``script``, ``style``, ``head``, ``template``, ``noscript``, ``svg``, form controls, players and comments hold no text, and are skipped to their own end tag;
 unclosed and stray tags are tolerated. Character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by a blank line.
 
 Cases: null and empty html give an empty text; html without tags is one block; unclosed comments and scripts end the page; repeated pages give the same text; a
-sample without labels falls back on fixed text weights; an empty table gives an empty result; further columns are ignored.
+sample without labels falls back on fixed text weights and the lists; of an ``object`` the text within counts; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import heapq
 import html as _html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +45,14 @@ from tidemark.llm.textbuf import trimmed
 
 #: Pages that are learnt from, and blocks of each, at most.
 SAMPLE, BLOCKS = 2_000, 60
-#: Log-odds of full evidence against and for content; evidence of a class or id, of a part of one, and of one on a paragraph or heading.
+#: Log-odds of a sectioning element against and for content.
 BAD, GOOD = -12.0, 3.0
-NAMED, PART, LEAF = 0.8, 0.7, 0.3
+#: Log-odds that a name begins with: one that means boilerplate and hardly ever anything else, one that may, one of which such a word is a part, one that means content.
+SURE, MAYBE, PART, KIND = -4.5, -1.5, -1.0, 2.0
+#: Blocks that these count as; bounds of what a name can weigh; share of it on a paragraph or heading; evidence from which an element may be cleared.
+PSEUDO, LOWEST, HIGHEST, LEAF, CLEAR = 4.0, -4.5, 2.0, 0.5, -2.5
+#: Names whose weights are learnt, at most: those with most blocks.
+NAMES = 5_000
 #: Share of a page's words outside links that evidence against elements must leave; words of an element that is worth clearing.
 LEFT, LEFT_WORDS = 0.12, 12
 #: Weight of smoothness edges: between neighbours, and between blocks with one parent.
@@ -51,20 +60,23 @@ NEAR, KIN = 0.35, 0.6
 #: Ancestors that a block remembers for its distance to others.
 DEPTH = 16
 
-SKIPPED = frozenset("script style head template noscript svg select option textarea iframe object canvas audio video button title".split())
+SKIPPED = frozenset("script style head template noscript svg select option textarea iframe canvas audio video button title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MATH = "math mi mo mn ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mfenced semantics annotation"
 INLINE = frozenset(MATH.split()) | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br".split())
 #: Elements that a new block-level start tag closes if they are open innermost.
 CLOSES = {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "tr": ("p", "td", "th", "tr"), "td": ("p", "td", "th"), "th": ("p", "td", "th")}
-#: Elements, and words of classes, ids and roles, that tell of boilerplate and of content; beginnings of names that say the contrary or nothing.
+#: Elements that tell of boilerplate and of content. Words of classes, ids and roles: that mean boilerplate, that may, that tell of content, and that only say
+#: where or how an element stands; beginnings of names that say the contrary or nothing.
 BAD_TAGS = frozenset("nav footer aside form header menu dialog fieldset".split())
 GOOD_TAGS = frozenset("article main".split())
-BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar aside rail related recommended share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search comment comments disqus respond reply replies widget pagination pager toolbar copyright legal skip tags complementary contentinfo".split()
+SURE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs footer masthead sidebar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login comment comments disqus pagination pager share sharing toolbar related recommended complementary contentinfo".split()
 )
+MAYBE_WORDS = frozenset("header alert form search social legal copyright reply replies respond rail aside widget skip tags".split())
 GOOD_WORDS = frozenset("article content entry post story body main text articlebody".split())
-NOT_WORDS = frozenset("has have had no not non with without is are hide show js tag tags category type status format".split())
+PLACE_WORDS = frozenset("site page top bottom left right inner outer wrap wrapper container box bar block section area list item items slot unit panel global primary secondary layout row col column grid group link links btn icon title head foot fixed sticky widgets articles posts stories entries".split())
+NOT_WORDS = frozenset("has have had no not non with without is are hide show js tag category type status format".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre figcaption caption".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
@@ -84,47 +96,53 @@ class Block:
 
 
 class Element:
-    """A block-level element: its parent's number, the evidence against and for it, whether its name is sectioning, and its words outside links."""
+    """A block-level element: its parent's number, log-odds of the evidence against and for it, whether its name is sectioning, its classes and ids, and its words outside links."""
 
-    __slots__ = ("parent", "bad", "good", "label", "words")
+    __slots__ = ("parent", "bad", "good", "label", "names", "words")
 
-    def __init__(self, parent: int, bad: float, good: float, label: int) -> None:
-        self.parent, self.bad, self.good, self.label, self.words = parent, bad, good, label, 0
+    def __init__(self, parent: int, bad: float, good: float, label: int, names: tuple[str, ...] = ()) -> None:
+        self.parent, self.bad, self.good, self.label, self.names, self.words = parent, bad, good, label, names, 0
 
 
-def _named(value: str) -> tuple[float, float]:
-    """Evidence against and for content by a class, id or role: each of its names whole, or a part of one."""
-    bad = good = 0.0
-    for name in value.split():
-        words = _WORD.findall(name)
-        if not words or (len(words) > 1 and (words[0] in NOT_WORDS or words[-1] == "free")):
-            continue
-        if all(w in BAD_WORDS for w in words):
-            bad = max(bad, NAMED)
-        elif words[0] in BAD_WORDS or words[-1] in BAD_WORDS:
-            bad = max(bad, PART)
-        elif any(w in GOOD_WORDS for w in words):
-            good = max(good, NAMED if len(words) == 1 else PART)
-    return bad, good
-
-
-def _evidence(tag: str, attrs: str) -> tuple[float, float, bool]:
-    """How far an element tells of boilerplate and of content, and whether it is hidden."""
-    bad, good, hidden = float(tag in BAD_TAGS), float(tag in GOOD_TAGS), False
+def begun(name: str) -> float:
+    """The log-odds that a class, id or role begins with, by its words."""
+    words = _WORD.findall(name)
+    if not words or (len(words) > 1 and (words[0] in NOT_WORDS or words[-1] == "free")):
+        return 0.0
+    bad = [w for w in words if w in SURE_WORDS or w in MAYBE_WORDS]
+    if bad and all(w in SURE_WORDS or w in MAYBE_WORDS or w in PLACE_WORDS or w in GOOD_WORDS for w in words) and words[-1] not in ("story", "text", "body"):
+        return SURE if any(w in SURE_WORDS for w in bad) else MAYBE
+    if words[0] in bad or words[-1] in bad:
+        return PART
+    return KIND if any(w in GOOD_WORDS for w in words) else 0.0
+
+
+def learnt(name: str, inside: int, outside: int) -> float:
+    """The log-odds of a name that stood over so many blocks inside an article and outside of one."""
+    p = 1 / (1 + math.exp(-begun(name)))
+    return min(HIGHEST, max(LOWEST, math.log((inside + PSEUDO * p) / (outside + PSEUDO * (1 - p)))))
+
+
+def _evidence(tag: str, attrs: str, known: dict[str, float]) -> tuple[float, float, bool, tuple[str, ...]]:
+    """Log-odds against and for an element, whether it is hidden, and its names."""
+    bad, good, hidden, names = BAD * (tag in BAD_TAGS), GOOD * (tag in GOOD_TAGS), False, ()
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 hidden = True
             elif name in ("class", "id", "role", "itemprop"):
-                b, g = _named(value)
-                weak = LEAF if tag in LEAVES else 1.0
-                bad, good = max(bad, b * weak), max(good, g * weak)
-    return bad, 0.0 if bad >= PART else good, hidden
+                names += tuple(value.split())
+        weak = LEAF if tag in LEAVES else 1.0
+        for x in names:
+            w = known.get(x)
+            w = (begun(x) if w is None else w) * weak
+            bad, good = min(bad, w), max(good, w)
+    return bad, 0.0 if bad <= CLEAR else good, hidden, names
 
 
-def blocks(page: str) -> tuple[list[Block], list[Element]]:
-    """The text blocks of a page, in its order, and its elements; element 0 is the page."""
+def blocks(page: str, known: dict[str, float] = {}) -> tuple[list[Block], list[Element]]:  # noqa: B006
+    """The text blocks of a page, in its order, and its elements; element 0 is the page. ``known``: the learnt weights of names."""
     out: list[Block] = []
     elements = [Element(-1, 0.0, 0.0, 0)]
     # open elements: name, whether it is in an article, place, name and number of the innermost block, its last ancestors
@@ -187,7 +205,7 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
             continue
         if name in VOID:
             continue
-        bad, good, hidden = _evidence(name, m[3] or "")
+        bad, good, hidden, names = _evidence(name, m[3] or "", known)
         if name in SKIPPED or hidden:
             if name not in INLINE:
                 flush()
@@ -213,7 +231,7 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
             bad = 0.0
         if name in ("body", "html"):  # their classes tell of the whole page
             bad = good = 0.0
-        elements.append(Element(top[4], bad, good, -1 if name in ("nav", "footer", "aside", "form") else int(name in GOOD_TAGS)))
+        elements.append(Element(top[4], bad, good, -1 if name in ("nav", "footer", "aside", "form") else int(name in GOOD_TAGS), names))
         stack.append((name, inside, len(stack), name, len(elements) - 1, (*top[5][-DEPTH:], len(elements) - 1)))
         opened[name] = opened.get(name, 0) + 1
     flush()
@@ -286,9 +304,9 @@ def believed(elements: list[Element]) -> list[float]:
     of them in an element with evidence for it. A
     sectioning element such as ``form`` is cleared only if it holds one with evidence for it, or nearly all words.
     """
-    bad = [e.bad if e.bad >= PART else 0.0 for e in elements]
+    bad = [e.bad if e.bad <= CLEAR else 0.0 for e in elements]
     total = elements[0].words
-    holds = [e.label > 0 or e.good >= NAMED for e in elements]
+    holds = [e.label > 0 or e.good >= KIND for e in elements]
     children: list[list[int]] = [[] for _ in elements]
     for i in range(len(elements) - 1, 0, -1):
         holds[elements[i].parent] |= holds[i]
@@ -305,7 +323,7 @@ def believed(elements: list[Element]) -> list[float]:
                 left -= e.words
                 heapq.heappush(outer, (-e.words, i, good))
                 continue
-            good |= e.good >= NAMED
+            good |= e.good >= KIND
             sure |= good and e.words > sum(elements[c].words for c in children[i])
             todo += [(c, good) for c in children[i]]
 
@@ -314,11 +332,11 @@ def believed(elements: list[Element]) -> list[float]:
         words, i, good = heapq.heappop(outer)
         if -words < LEFT_WORDS:
             break
-        if bad[i] < 1 or holds[i] or -words > (1 - LEFT / 2) * total:
+        if bad[i] > BAD or holds[i] or -words > (1 - LEFT / 2) * total:
             bad[i] = 0.0
             left -= words
             descend([(i, good)])
-    return [b or (e.bad if e.bad < PART else 0.0) for b, e in zip(bad, elements, strict=True)]
+    return [b or (e.bad if e.bad > CLEAR else 0.0) for b, e in zip(bad, elements, strict=True)]
 
 
 def markup(bs: list[Block], elements: list[Element]) -> np.ndarray:
@@ -326,8 +344,9 @@ def markup(bs: list[Block], elements: list[Element]) -> np.ndarray:
     own = believed(elements)
     bad, good = [0.0] * len(elements), [0.0] * len(elements)
     for i, e in enumerate(elements[1:], 1):
-        bad[i], good[i] = max(bad[e.parent], own[i]), max(good[e.parent], e.good)
-    return np.array([BAD * bad[b.path[-1]] + GOOD * good[b.path[-1]] for b in bs])
+        # what speaks for an element counts for nothing inside one that strong evidence is against: a comment that is an ``article``
+        bad[i], good[i] = min(bad[e.parent], own[i]), 0.0 if bad[e.parent] <= CLEAR else max(good[e.parent], e.good)
+    return np.array([bad[b.path[-1]] + good[b.path[-1]] for b in bs])
 
 
 def costs(bs: list[Block], side: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -452,51 +471,83 @@ def edges(bs: list[Block], side: np.ndarray) -> list[tuple[int, int, float]]:
     return out
 
 
-def extract(page: str | None, weights: np.ndarray = FALLBACK) -> str:
+class Model:
+    """Weights of the text classifier, and of the names that were learnt."""
+
+    def __init__(self, weights: np.ndarray = FALLBACK, names: dict[str, float] | None = None) -> None:
+        self.weights, self.names = weights, names or {}
+
+
+def extract(page: str | None, model: Model = Model()) -> str:  # noqa: B008
     """The main text of a page."""
-    bs, elements = blocks(page or "")
+    bs, elements = blocks(page or "", model.names)
     if not bs:
         return ""
     side = markup(bs, elements)
-    keep = min_cut(costs(bs, side, weights).tolist(), edges(bs, side))
+    gain, ties = costs(bs, side, model.weights), edges(bs, side)
+    keep = min_cut(gain.tolist(), ties)
+    if not any(keep):  # nothing: the best of what only its text speaks against
+        open_ = np.array([s > CLEAR and 2 * b.links < len(b.text) for s, b in zip(side, bs, strict=True)])
+        if open_.any():
+            keep = min_cut(np.where(open_, gain + max(0.0, 1 - gain[open_].max()), gain).tolist(), ties)
     return "\n\n".join(b.text for b, k in zip(bs, keep, strict=True) if k)
 
 
 def labelled(bs: list[Block], elements: list[Element]) -> list[int]:
-    """1 in an ``article`` or ``main``, -1 in a ``nav``, ``footer``, ``aside`` or ``form`` or where a name tells of boilerplate, 0 where nothing does."""
+    """1 in an ``article`` or ``main``, -1 in a ``nav``, ``footer``, ``aside`` or ``form``, 0 where neither is; names say nothing here."""
     label = [0] * len(elements)
     for i, e in enumerate(elements[1:], 1):
         up = label[e.parent]
-        label[i] = -1 if up < 0 or e.label < 0 or e.bad >= NAMED else max(up, e.label)
+        label[i] = -1 if up < 0 or e.label < 0 else max(up, e.label)
     return [label[b.path[-1]] for b in bs]
 
 
+def named(bs: list[Block], elements: list[Element], label: list[int]) -> Iterator[tuple[str, int]]:
+    """(name, 1 inside an article, else 0) for the blocks under each name, on a page that has an article."""
+    if 1 not in label:
+        return
+    over: list[tuple[str, ...]] = [()] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        over[i] = (*over[e.parent], *e.names) if e.names else over[e.parent]
+    for b, y in zip(bs, label, strict=True):
+        for name in {*over[b.path[-1]]}:
+            yield name, int(y > 0)
+
+
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """x, y of labelled blocks; and name, y, c: in how many blocks a name stood inside and outside of an article."""
     for batch in batches:
-        xs, ys = [], []
+        xs, ys, names = [], [], Counter()
         for page in batch.column("html").to_pylist():
             bs, elements = blocks(page or "")
             label = labelled(bs, elements)
+            names.update(named(bs, elements, label))
             known = [j for j, y in enumerate(label) if y]
             if known:
                 x = features(bs)
                 for j in known if len(known) <= BLOCKS else [known[k * len(known) // BLOCKS] for k in range(BLOCKS)]:
-                    xs.append(x[j])
+                    xs.append(x[j].tolist())
                     ys.append(int(label[j] > 0))
-        yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in xs], pa.list_(pa.float64())), pa.array(ys, pa.int32())], names=["x", "y"])
+        n, own = len(xs), list(names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*xs, *[None] * len(own)], pa.list_(pa.float64())), pa.array([None] * n + [x for x, _ in own], pa.string()), pa.array([*ys, *[y for _, y in own]], pa.int32()), pa.array([1] * n + [names[x] for x in own], pa.int64())],
+            names=["x", "name", "y", "c"],
+        )
 
 
-def train(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights of the classifier: Newton steps on the labelled blocks of the sample, L2-regularised towards the fixed weights."""
+def train(pages: DataFrame, sample: int = SAMPLE) -> Model:
+    """The classifier's weights, by Newton steps on the labelled blocks of the sample, L2-regularised towards the fixed ones; and the names' weights."""
     own = pages.where("html is not null").select(F.xxhash64("page_id", "html").alias("h"), "html")
     top = own.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if top is None:
-        return FALLBACK
+        return Model()
     rows = own.where(F.col("h") <= F.lit(top)).dropDuplicates(["h"]).select("html")  # ``sample`` pages at most
-    got = rows.mapInArrow(trimmed(_learn), "x array<double>, y int")
-    data = got.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).orderBy(F.xxhash64("x", "y")).collect()  # ``sample`` times ``BLOCKS`` rows at most
+    got = rows.mapInArrow(trimmed(_learn), "x array<double>, name string, y int, c long").groupBy("x", "name", "y").agg(F.sum("c").alias("c"))
+    data = got.where("x is not null").orderBy(F.xxhash64("x", "y")).collect()  # ``sample`` times ``BLOCKS`` rows at most
+    seen = got.where("name is not null").groupBy("name").agg(F.sum(F.when(F.col("y") > 0, F.col("c")).otherwise(0)).alias("inside"), F.sum("c").alias("c"))
+    names = {r["name"]: learnt(r["name"], r["inside"], r["c"] - r["inside"]) for r in seen.orderBy(F.col("c").desc(), "name").limit(NAMES).collect()}
     if len({r["y"] for r in data}) < 2:
-        return FALLBACK
+        return Model(names=names)
     x = np.array([r["x"] for r in data])
     y, c = np.array([r["y"] for r in data], float), np.array([r["c"] for r in data], float)
     c = c / c.sum() * 200
@@ -509,15 +560,15 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return np.round(w, 6)
+    return Model(np.round(w, 6), names)
 
 
-def extracted(pages: DataFrame, weights: np.ndarray) -> DataFrame:
+def extracted(pages: DataFrame, model: Model) -> DataFrame:
     """page_id, url, text, n_chars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(x.as_py(), weights) for x in batch.column("html")]
+            texts = [extract(x.as_py(), model) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
