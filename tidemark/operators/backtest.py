@@ -7,26 +7,32 @@ equal weights), and its cost is taken from the first day's return.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.small import small
-
 
-def equal_weight(periods: DataFrame, universe: DataFrame) -> DataFrame:
-    """rebal_date, ticker, w: 1 / N."""
-    n = universe.agg(F.count(F.lit(1)).alias("n"))
-    return periods.select("rebal_date").crossJoin(small(universe.select("ticker"))).crossJoin(F.broadcast(n)).select("rebal_date", "ticker", (F.lit(1.0) / F.col("n")).alias("w"))
+def equal_weight(periods: DataFrame, universe: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, rebal_date, ticker, w: 1 / N. ``periods``, a calendar, is broadcast; with ``by`` (of universe and periods) each universe has its own."""
+    counted = universe.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    own = universe.select(*by, "ticker").join(counted, [*by]) if by else universe.select("ticker").crossJoin(F.broadcast(counted))
+    at = F.broadcast(periods.select(*[c for c in by if c in periods.columns], "rebal_date"))
+    on = [c for c in by if c in periods.columns]
+    return (own.join(at, on) if on else own.crossJoin(at)).select(*by, "rebal_date", "ticker", (F.lit(1.0) / F.col("n")).alias("w"))
 
 
-def ranked_views(periods: DataFrame, universe: DataFrame, active: DataFrame, n: int = 10, best: bool = True) -> DataFrame:
-    """Equal weights of the ``n`` best (worst) active views; ties by the universe's order in both directions; no views: equal weight."""
-    by = Window.partitionBy("rebal_date").orderBy(F.col("view_bps").desc() if best else F.col("view_bps").asc(), "ord")
-    top = active.join(universe, "ticker").withColumn("k", F.row_number().over(by)).where(F.col("k") <= n)
-    w = top.withColumn("w", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("rebal_date"))).select("rebal_date", "ticker", "w")
-    none = periods.join(w.select("rebal_date").distinct(), "rebal_date", "left_anti")
-    return w.unionByName(equal_weight(none, universe))
+def ranked_views(periods: DataFrame, universe: DataFrame, active: DataFrame, n: int = 10, best: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, rebal_date, ticker, w: equal weights of the ``n`` best (worst) active views; ties by the universe's order in both directions; no views: equal weight.
+    ``by``: columns of ``universe`` that tell several universes apart, all in one plan."""
+    keys = [*by, "rebal_date"]
+    order = Window.partitionBy(*keys).orderBy(F.col("view_bps").desc() if best else F.col("view_bps").asc(), "ord")
+    top = active.join(universe, "ticker").withColumn("k", F.row_number().over(order)).where(F.col("k") <= n)
+    w = top.withColumn("w", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy(*keys))).select(*keys, "ticker", "w")
+    every = universe.select(*by).distinct().crossJoin(F.broadcast(periods.select("rebal_date"))) if by else periods.select("rebal_date")
+    none = every.join(w.select(*keys).distinct(), keys, "left_anti")
+    return w.unionByName(equal_weight(none, universe, by))
 
 
 def islands(weights: DataFrame, held: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +44,7 @@ def islands(weights: DataFrame, held: DataFrame, universe: DataFrame) -> tuple[D
     own = each.withColumn("since", F.coalesce(F.last("good", ignorenulls=True).over(upto), F.first("rebal_date").over(upto)))
     begin = own.where("good is null and since = rebal_date").select("strategy", "rebal_date")
     n = universe.agg(F.count(F.lit(1)).alias("n"))
-    start = begin.crossJoin(F.broadcast(universe.select("ticker"))).crossJoin(F.broadcast(n)).select("strategy", "rebal_date", "ticker", (F.lit(1.0) / F.col("n")).alias("w"))
+    start = universe.select("ticker").crossJoin(F.broadcast(begin)).crossJoin(F.broadcast(n)).select("strategy", "rebal_date", "ticker", (F.lit(1.0) / F.col("n")).alias("w"))
     return own.select("strategy", "rebal_date", "since"), weights.select("strategy", "rebal_date", "ticker", "w").unionByName(start)
 
 
@@ -49,7 +55,7 @@ def run(rets: DataFrame, periods: DataFrame, weights: DataFrame, universe: DataF
     targets, at which a strategy keeps its drifted weights; the closed form runs on from the last rebalance before, and nothing is traded.
     """
     days = rets.select("date").distinct()
-    own = small(periods)
+    own = F.broadcast(periods)  # a calendar
     of = days.join(own, (days["date"] >= own["trade_date"]) & (days["date"] < own["until"])).select("date", "rebal_date")
     r = rets.join(of, "date").select("rebal_date", "ticker", "date", "ret")
     if held is None:
@@ -69,7 +75,7 @@ def run(rets: DataFrame, periods: DataFrame, weights: DataFrame, universe: DataF
     order = ran.withColumn("next", F.lead("rebal_date").over(Window.partitionBy("strategy").orderBy("rebal_date")))
     came = w_end.join(order, ["strategy", "rebal_date"]).where("next is not null").select("strategy", F.col("next").alias("rebal_date"), "ticker", F.col("w_end").alias("w_old"))
     first = ran.groupBy("strategy").agg(F.min("rebal_date").alias("rebal_date"))
-    start = first.crossJoin(small(universe.select("ticker"))).crossJoin(F.broadcast(universe.agg(F.count(F.lit(1)).alias("n"))))
+    start = universe.select("ticker").crossJoin(F.broadcast(first)).crossJoin(F.broadcast(universe.agg(F.count(F.lit(1)).alias("n"))))
     old = came.unionByName(start.select("strategy", "rebal_date", "ticker", (F.lit(1.0) / F.col("n")).alias("w_old")))
     target = weights.join(ran, ["strategy", "rebal_date"], "left_semi")
     moved = target.join(old, ["strategy", "rebal_date", "ticker"], "full").select("strategy", "rebal_date", F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("w_old", F.lit(0.0))).alias("d"))

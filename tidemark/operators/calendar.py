@@ -25,6 +25,17 @@ def rebalance_dates(spark: SparkSession, start: date, end: date, freq: str = "qu
     return moved.where((F.col("rebal_date") >= F.lit(start)) & (F.col("rebal_date") <= F.col("e"))).select("rebal_date").distinct()
 
 
+def rebalances_between(span: DataFrame, freq: str = "quarterly") -> DataFrame:
+    """As ``rebalance_dates`` for each row (s, e) of ``span``: freq, rebal_date from the first of the months to the last of them."""
+    if freq not in FREQUENCIES:
+        raise ValueError(f"unknown frequency: {freq}")
+    months, mid = FREQUENCIES[freq]
+    month = span.select("s", "e", F.explode(F.expr("sequence(trunc(s, 'month'), e, interval 1 month)")).alias("m")).where(F.month("m").isin(*months))
+    each = month.select("s", "e", F.explode(F.array(F.last_day("m"), F.date_add("m", 14)) if mid else F.array(F.last_day("m"))).alias("d"))
+    moved = each.withColumn("rebal_date", F.date_sub("d", F.greatest(F.lit(0), F.weekday("d") - 4)))
+    return moved.where(F.col("rebal_date").between(F.col("s"), F.col("e"))).select(F.lit(freq).alias("freq"), "rebal_date").distinct()
+
+
 def trade_periods(rebalances: DataFrame, days: DataFrame, min_rows: int = 262) -> DataFrame:
     """rebal_date, trade_date (first trading day after), until (the next period's trade date, or the last trading day).
 

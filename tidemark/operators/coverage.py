@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.small import MOST, small
+from tidemark.operators.small import small
+
+#: Sectors of a quota, which is computed by the driver.
+MOST = 100_000
 
 
 def year_runs(df: DataFrame, by: str) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as t
+from tidemark.operators.rounds import checkpointed
 
 
 def greedy(scores: list[tuple[float, int, int]], threshold: float = 60.0, look: tuple[float, float] | None = None) -> list[tuple]:
@@ -31,27 +33,83 @@ def greedy(scores: list[tuple[float, int, int]], threshold: float = 60.0, look:
     return out
 
 
-def match_events(events: DataFrame, gold: DataFrame, threshold: float = 60.0, look: tuple[float, float] | None = None) -> DataFrame:
-    """doc, i, j, score, and with a range ``look`` matched and look (see ``greedy``): the larger of the texts' ``token_set_ratio`` and the quotes' ``partial_ratio``, 0 where either is missing.
+#: Tasks that a document's events are dealt to; bins of a histogram of characters.
+SPREAD, BINS = 16, 32
+
+
+def _measured(df: DataFrame, number: str, side: str) -> DataFrame:
+    """doc, ``number`` and a struct ``side``: normalised text and quote, the text's distinct words, and histograms of the characters of both."""
+
+    def one(text: str | None, quote: str | None) -> dict:
+        x, q = t.normalised(text), t.normalised(quote)
+        words = sorted({*x.split()})
+        hist = lambda v: np.bincount(np.frombuffer(v.encode("utf-32-le", "surrogatepass"), np.uint32) % BINS, minlength=BINS).tolist()
+        return {"x": x, "q": q, "words": words, "hx": hist(" ".join(words)), "hq": hist(q)}
+
+    @F.pandas_udf("x string, q string, words array<string>, hx array<int>, hq array<int>")
+    def measure(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(a, b) for a, b in zip(text, quote, strict=True)], columns=["x", "q", "words", "hx", "hq"])
+
+    return df.select("doc", number, measure("text", "quote").alias(side))
+
+
+def _bound(a: str, b: str) -> Column:
+    """No less than the pair's score. Two strings have no longer common subsequence than they have characters in common, bin by bin; the ratios with the common words alone are exact."""
+    shared = lambda h: F.aggregate(F.zip_with(f"{a}.{h}", f"{b}.{h}", lambda p, q: F.least(p, q)), F.lit(0), lambda n, x: n + x)
+    letters = lambda words: F.aggregate(words, F.lit(0), lambda n, x: n + F.length(x) + 1) - 1
+    both, left, right = F.array_intersect(f"{a}.words", f"{b}.words"), F.col(f"{a}.words"), F.col(f"{b}.words")
+    some, la, lb, lc = F.size(both) > 0, letters(left), letters(right), letters(both)
+    whole = some & ((F.size(both) == F.size(left)) | (F.size(both) == F.size(right)))
+    ratio = lambda hit, size: F.coalesce(F.try_divide(200.0 * hit, size), F.lit(100.0))
+    words = F.when(whole, 100.0).otherwise(F.greatest(ratio(shared("hx"), la + lb), F.when(some, F.greatest(ratio(lc, lc + la), ratio(lc, lc + lb))).otherwise(0.0)))
+    words = F.when((F.size(left) > 0) & (F.size(right) > 0), words).otherwise(0.0)
+    short, hit = F.least(F.length(f"{a}.q"), F.length(f"{b}.q")), shared("hq")
+    return F.greatest(words, F.when(short > 0, ratio(hit, short + hit)).otherwise(0.0))
 
-    ``events`` (doc, i, text, quote) and ``gold`` (doc, j, text, quote); a document's events are few, and meet in one group.
+
+def scored_pairs(events: DataFrame, gold: DataFrame, least: float) -> DataFrame:
+    """doc, i, j, score of the pairs of a document's events and gold events that score ``least`` or more: the larger of the texts' ``token_set_ratio`` and the quotes' ``partial_ratio``, 0 where
+    either is missing. Pairs that cannot, by an upper bound that is found in the JVM, are never scored. A document's events are dealt to ``SPREAD`` tasks."""
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series, y: pd.Series, q: pd.Series, r: pd.Series) -> pd.Series:
+        quotes = t.partial_ratios(list(zip(q, r, strict=True)))
+        return pd.Series([max(t.token_set_ratio(a, b), s if c and d else 0.0) for a, b, c, d, s in zip(x, y, q, r, quotes, strict=True)], dtype=float)
+
+    left = _measured(events, "i", "a").withColumn("__salt", F.pmod(F.xxhash64("i", "a.x"), F.lit(SPREAD)))
+    right = _measured(gold, "j", "b").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<long>")))
+    likely = left.join(right, ["doc", "__salt"]).where(_bound("a", "b") >= least - 1e-9)
+    return likely.select("doc", "i", "j", score("a.x", "b.x", "a.q", "b.q").alias("score")).where(F.col("score") >= least)
+
+
+def best_first(pairs: DataFrame, threshold: float) -> DataFrame:
+    """doc, i, j, score: what ``greedy`` keeps of ``pairs``, without a document in one group.
+
+    In each round the pairs that are the best of their event and of their gold event, in the order of ``greedy``, are kept, and all others of either go. The best pair of all is one of them, so it
+    ends, after a few rounds as a rule. Rounds are cut by checkpoints.
     """
+    own = F.struct("score", "i", "j")
+    left, out = checkpointed(pairs.where(F.col("score") >= threshold)), None
+    while not left.isEmpty():
+        ranked = left.withColumns({"__a": F.max(own).over(Window.partitionBy("doc", "i")), "__b": F.max(own).over(Window.partitionBy("doc", "j"))})
+        won = ranked.where((own == F.col("__a")) & (own == F.col("__b"))).select("doc", "i", "j", "score").distinct()
+        out = won if out is None else out.unionByName(won)
+        left = checkpointed(left.join(won.select("doc", "i"), ["doc", "i"], "left_anti").join(won.select("doc", "j"), ["doc", "j"], "left_anti"))
+    return left.select("doc", "i", "j", "score") if out is None else out
 
-    names = ["doc", "i", "j", "score"] + (["matched", "look"] if look else [])
-
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame([], columns=names)
-        left = [(int(i), t.normalised(x), t.normalised(q)) for i, x, q in zip(a.i, a.text, a.quote, strict=True)]
-        right = [(int(j), t.normalised(x), t.normalised(q)) for j, x, q in zip(b.j, b.gold_text, b.gold_quote, strict=True)]
-        both = [(x, y) for x in left for y in right]
-        quotes = t.partial_ratios([(x[2], y[2]) for x, y in both])
-        scores = [(max(t.token_set_ratio(x[1], y[1]), s if x[2] and y[2] else 0.0), x[0], y[0]) for (x, y), s in zip(both, quotes, strict=True)]
-        return pd.DataFrame([(key[0], *r) for r in greedy(scores, threshold, look)], columns=names)
-
-    own = gold.select(F.col("doc").alias("gold_doc"), "j", F.col("text").alias("gold_text"), F.col("quote").alias("gold_quote"))
-    parts = events.sparkSession.sparkContext.defaultParallelism * 4  # given, as the groups' work is quadratic and small inputs would be coalesced
-    return events.select("doc", "i", "text", "quote").repartition(parts, "doc").groupBy("doc").cogroup(own.repartition(parts, "gold_doc").groupBy("gold_doc")).applyInPandas(run, "doc long, i long, j long, score double" + ("" if look is None else ", matched boolean, look boolean"))
+
+def match_events(events: DataFrame, gold: DataFrame, threshold: float = 60.0, look: tuple[float, float] | None = None) -> DataFrame:
+    """doc, i, j, score of one-to-one pairs, best first (see ``greedy``), and with a range ``look`` matched and look: pairs below the threshold whose score is in the range come too, where neither
+    side is matched. ``events``: doc, i, text, quote; ``gold``: doc, j, text, quote."""
+    scored = checkpointed(scored_pairs(events, gold, threshold if look is None else min(threshold, look[0])))
+    found = best_first(scored, threshold)
+    kinds = {"doc": "long", "i": "long", "j": "long"}
+    if look is not None:
+        near = F.col("score").between(*look)
+        open_ = scored.where((F.col("score") < threshold) & near).distinct()
+        open_ = open_.join(found.select("doc", "i"), ["doc", "i"], "left_anti").join(found.select("doc", "j"), ["doc", "j"], "left_anti")
+        found = found.select("*", F.lit(True).alias("matched"), near.alias("look")).unionByName(open_.select("doc", "i", "j", "score", F.lit(False).alias("matched"), F.lit(True).alias("look")))
+    return found.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
 
 
 def borderline(pairs: DataFrame, n: int = 30) -> DataFrame:

@@ -22,7 +22,7 @@ ACCURACY, PIECES = 10_000, 64
 
 def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], out: str = "q") -> DataFrame:
     """``by`` and ``out``: an array of the linearly interpolated quantiles ``probs`` of ``col`` in double precision, exact for any number of rows."""
-    own = df.select(F.struct(F.lit(0).alias("__one"), *[F.col(c) for c in by]).alias("__g"), F.col(col).cast("double").alias("__v"))
+    own = df.select(F.struct(F.lit(0).alias("__one"), *[F.col(c) for c in by]).alias("__g"), F.col(col).cast("double").alias("__v")).persist()  # three passes read them
     slack = 3 / ACCURACY
     edges = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
     sketch = own.groupBy("__g").agg(F.count("__v").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.percentile_approx("__v", edges, ACCURACY).alias("__e"))

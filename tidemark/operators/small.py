@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a dimension may have to be broadcast.
-MOST = 100_000
+#: Bytes that a table may have by Spark's estimate to be broadcast.
+MOST = 16 << 20
 
 
 def small(df: DataFrame, most: int = MOST) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, counted here; else as it is, and the join is a shuffle. For cheap tables: dimensions, calendars, lists."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` with a broadcast hint if Spark's estimate of it is at most ``most`` bytes: files, local rows and what is selected of them, known without a job. What cannot be estimated stays
+    without a hint, and adaptive execution decides when it knows the size."""
+    return F.broadcast(df) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most else df

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import asof, backtest, calendar, panel
-from tidemark.operators.small import small
 
 SPAN = (date(1995, 1, 1), date(2001, 12, 31))
 
@@ -37,9 +36,9 @@ def prices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dim(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """A calendar-sized table as a local relation, computed once; more than ``most`` rows stay a plan."""
-    rows = df.limit(most + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else df
+    """A calendar-sized table as local rows, computed once; more than ``most`` rows stay a plan."""
+    rows = df.limit(most + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= most else df
 
 
 def rets(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,18 +68,26 @@ def periods(spark: SparkSession, sf: str) -> DataFrame:
     return dim(calendar.trade_periods(calendar.rebalance_dates(spark, *SPAN), days))
 
 
-def at_rebalances(spark: SparkSession, sf: str) -> DataFrame:
-    return periods(spark, sf).select("rebal_date").crossJoin(small(dim(universe(spark, sf)).select("ticker")))
+def setting(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The periods and the universe, each computed once for a query: what is small and used many times in its plan."""
+    return periods(spark, sf), dim(universe(spark, sf))
 
 
-def active(spark: SparkSession, sf: str) -> DataFrame:
-    return asof.active_views(views(spark, sf), at_rebalances(spark, sf))
+def at_rebalances(p: DataFrame, u: DataFrame) -> DataFrame:
+    return u.select("ticker").crossJoin(F.broadcast(p.select("rebal_date"))).select("rebal_date", "ticker")
 
 
-def weights(spark: SparkSession, sf: str) -> DataFrame:
+def active(spark: SparkSession, sf: str, p: DataFrame | None = None, u: DataFrame | None = None) -> DataFrame:
+    if p is None or u is None:
+        p, u = setting(spark, sf)
+    return asof.active_views(views(spark, sf), at_rebalances(p, u))
+
+
+def weights(spark: SparkSession, sf: str, p: DataFrame | None = None, u: DataFrame | None = None) -> DataFrame:
     """strategy, rebal_date, ticker, w of the strategies that need no covariance."""
-    p, u = periods(spark, sf), dim(universe(spark, sf))
-    a = asof.active_views(views(spark, sf), p.select("rebal_date").crossJoin(small(u.select("ticker")))).persist()
+    if p is None or u is None:
+        p, u = setting(spark, sf)
+    a = active(spark, sf, p, u).persist()
     parts = {"equal_weight": backtest.equal_weight(p, u), "top_n_views": backtest.ranked_views(p, u, a), "bottom_n_views": backtest.ranked_views(p, u, a, best=False)}
     out = None
     for name, w in parts.items():
@@ -90,4 +97,5 @@ def weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def backtested(spark: SparkSession, sf: str, cost_bps: float = 10.0) -> tuple[DataFrame, DataFrame]:
-    return backtest.run(rets(spark, sf), periods(spark, sf), weights(spark, sf).persist(), dim(universe(spark, sf)), cost_bps)
+    p, u = setting(spark, sf)
+    return backtest.run(rets(spark, sf), p, weights(spark, sf, p, u).persist(), u, cost_bps)

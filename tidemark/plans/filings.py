@@ -411,14 +411,16 @@ def rolling_covariance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(alloc.covariance(alloc.moments(d.rets(spark, sf), d.periods(spark, sf))))
 
 
-def allocated(spark: SparkSession, sf: str) -> DataFrame:
+def allocated(spark: SparkSession, sf: str, p: DataFrame | None = None, u: DataFrame | None = None) -> DataFrame:
     """strategy, rebal_date, ticker, w, held of the strategies that ``alloc`` knows."""
-    sums = alloc.moments(d.rets(spark, sf), d.periods(spark, sf))
-    return alloc.allocate(sums, d.at_rebalances(spark, sf), _sigma_views(spark, sf), [*alloc.STRATEGIES, *alloc.FREE])
+    if p is None or u is None:
+        p, u = d.setting(spark, sf)
+    sums = alloc.moments(d.rets(spark, sf), p)
+    return alloc.allocate(sums, d.at_rebalances(p, u), _sigma_views(spark, sf, p, u), [*alloc.STRATEGIES, *alloc.FREE])
 
 
-def _sigma_views(spark: SparkSession, sf: str) -> DataFrame:
-    a = d.active(spark, sf)
+def _sigma_views(spark: SparkSession, sf: str, p: DataFrame | None = None, u: DataFrame | None = None) -> DataFrame:
+    a = d.active(spark, sf, p, u)
     return a.select("rebal_date", "ticker", "view_bps", "confidence", s.calibrated_sigma(F.col("confidence"), F.lit(None).cast("double"), F.col("sentiment")).alias("sigma"))
 
 

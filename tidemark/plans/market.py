@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import asof, backtest, calendar, metrics, panel, stats
-from tidemark.operators.small import small
 from tidemark.plans import domain as d
 from tidemark.plans.oracle import sql
 
@@ -45,16 +44,16 @@ def complete_case_market(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT freq, rebal_date FROM (
-SELECT 'quarterly' AS freq, last_day(m::DATE) AS d FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '2002-01-01', INTERVAL 1 MONTH) t(m) WHERE month(m) IN (3,6,9,12)
-UNION ALL SELECT 'monthly_active', last_day(m::DATE) FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '2002-01-01', INTERVAL 1 MONTH) t(m) WHERE month(m) IN (2,3,4,5,7,8,10,11)
-UNION ALL SELECT 'biweekly_active', last_day(m::DATE) FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '2002-01-01', INTERVAL 1 MONTH) t(m) WHERE month(m) IN (2,3,4,5,7,8,10,11)
-UNION ALL SELECT 'biweekly_active', m::DATE + 14 FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '2002-01-01', INTERVAL 1 MONTH) t(m) WHERE month(m) IN (2,3,4,5,7,8,10,11)), LATERAL (SELECT (d - greatest(0, isodow(d) - 5)::INT)::DATE AS rebal_date)"""
+    """WITH span AS (SELECT min(o_orderdate)::DATE AS s, max(o_orderdate)::DATE AS e FROM orders), m AS (SELECT s, e, unnest(generate_series(date_trunc('month', s)::TIMESTAMP, e::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS m FROM span),
+d AS (SELECT s, e, 'quarterly' AS freq, last_day(m) AS d FROM m WHERE month(m) IN (3, 6, 9, 12) UNION ALL SELECT s, e, f, last_day(m) FROM m, (VALUES ('monthly_active'), ('biweekly_active')) t(f) WHERE month(m) IN (2, 3, 4, 5, 7, 8, 10, 11)
+UNION ALL SELECT s, e, 'biweekly_active', m + 14 FROM m WHERE month(m) IN (2, 3, 4, 5, 7, 8, 10, 11)) SELECT DISTINCT freq, rebal_date FROM (SELECT *, (d - greatest(0, isodow(d) - 5)::INT)::DATE AS rebal_date FROM d) WHERE rebal_date BETWEEN s AND e"""
 )
 def rebalance_calendar(spark: SparkSession, sf: str) -> DataFrame:
+    """All three frequencies over the span of the orders' dates."""
+    span = d.table(spark, sf, "orders").agg(F.to_date(F.min("o_orderdate")).alias("s"), F.to_date(F.max("o_orderdate")).alias("e"))
     out = None
     for f in calendar.FREQUENCIES:
-        own = calendar.rebalance_dates(spark, *d.SPAN, f).select(F.lit(f).alias("freq"), "rebal_date")
+        own = calendar.rebalances_between(span, f)
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -80,7 +79,7 @@ FROM periods p JOIN views v ON v.view_date <= p.rebal_date JOIN universe USING (
 def latest_by_form(spark: SparkSession, sf: str) -> DataFrame:
     """The latest filing of each form (a prefix of the filing's type) at every rebalance."""
     forms = spark.createDataFrame([("10-K",), ("10-Q",)], "form string")
-    at = d.at_rebalances(spark, sf).crossJoin(F.broadcast(forms))
+    at = d.at_rebalances(*d.setting(spark, sf)).crossJoin(F.broadcast(forms))
     v = d.views(spark, sf).join(F.broadcast(forms), F.col("filing_type").startswith(F.col("form"))).select("ticker", "form", "view_date", "seq")
     return asof.asof(at, v, ["ticker", "form"], "rebal_date", "view_date", ["seq"]).where("view_date is not null").select("rebal_date", "ticker", F.col("form").alias("filing_type"), "view_date", "seq")
 
@@ -141,7 +140,7 @@ SELECT bps, strategy, date, g - CASE WHEN is_first THEN turnover * bps / 1e4 ELS
 def cost_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     """Sharpe under 0, 10 and 20 bps: gross returns once, costs from a small dimension."""
     gross, turns = d.backtested(spark, sf, 0.0)
-    first = gross.join(small(d.periods(spark, sf).select(F.col("trade_date").alias("date"), "rebal_date")), "date").join(turns, ["strategy", "rebal_date"]).select("strategy", "date", "turnover")
+    first = gross.join(F.broadcast(d.periods(spark, sf).select(F.col("trade_date").alias("date"), "rebal_date")), "date").join(turns, ["strategy", "rebal_date"]).select("strategy", "date", "turnover")
     costs = spark.createDataFrame([(0,), (10,), (20,)], "bps int")
     all_ = gross.join(first, ["strategy", "date"], "left").crossJoin(F.broadcast(costs)).withColumn("ret", F.col("ret") - F.coalesce("turnover", F.lit(0.0)) * F.col("bps") / 1e4)
     m = metrics.metrics(all_.select(F.concat_ws("/", "bps", "strategy").alias("strategy"), "date", "ret"))
@@ -226,9 +225,9 @@ FACTORS = """SELECT date, avg(ret) AS mkt, avg(ret) FILTER (ord <= (SELECT count
 
 def factors(spark: SparkSession, sf: str) -> DataFrame:
     """date, mkt, smb, alt: factor returns of the panel's own legs."""
-    u = d.dim(d.universe(spark, sf))
+    u = d.universe(spark, sf)
     n = u.agg(F.count(F.lit(1)).alias("n"))
-    r = d.rets(spark, sf).join(small(u), "ticker").crossJoin(F.broadcast(n))
+    r = d.rets(spark, sf).join(u, "ticker").crossJoin(F.broadcast(n))
     leg = lambda c: F.avg(F.when(c, F.col("ret")))
     return r.groupBy("date").agg(
         F.avg("ret").alias("mkt"), (leg(F.col("ord") <= F.col("n") / 2) - leg(F.col("ord") > F.col("n") / 2)).alias("smb"), (leg(F.col("ord") % 2 == 0) - leg(F.col("ord") % 2 == 1)).alias("alt")

@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 from tidemark.functions import prompts
 from tidemark.functions import text as t
 from tidemark.operators import alloc, annotate, backtest, coverage, evaluate, metrics, panel, sampling, stats
-from tidemark.operators.small import small
 from tidemark.plans import domain as d
 from tidemark.plans import filings as f
 from tidemark.plans.market import rounded
@@ -34,9 +33,10 @@ def query(oracle: str | None = None):
 
 def every_backtest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Daily returns and rebalances of all eleven strategies; where no covariance can be had, drifted weights are kept."""
-    own = f.allocated(spark, sf).persist()
-    targets = d.weights(spark, sf).unionByName(own.where("not held").select("strategy", "rebal_date", "ticker", "w"))
-    return backtest.run(d.rets(spark, sf), d.periods(spark, sf), targets.persist(), d.dim(d.universe(spark, sf)), held=own.where("held"))
+    p, u = d.setting(spark, sf)
+    own = f.allocated(spark, sf, p, u).persist()
+    targets = d.weights(spark, sf, p, u).unionByName(own.where("not held").select("strategy", "rebal_date", "ticker", "w"))
+    return backtest.run(d.rets(spark, sf), p, targets.persist(), u, held=own.where("held"))
 
 
 @query()
@@ -55,8 +55,8 @@ MODELS = {"CAPM": ["mkt"], "FF3": ["mkt", "smb", "hml"], "FF5": ["mkt", "smb", "
 
 def panel_factors(spark: SparkSession, sf: str) -> DataFrame:
     """date, mkt and five legs of the panel's own assets: the mean return of those in a leg less that of the others."""
-    u = d.dim(d.universe(spark, sf))
-    r = d.rets(spark, sf).join(small(u.withColumn("n", F.lit(u.count()))), "ticker")
+    u = d.universe(spark, sf)
+    r = d.rets(spark, sf).join(u, "ticker").crossJoin(F.broadcast(u.agg(F.count(F.lit(1)).alias("n"))))
     leg = lambda c: (F.avg(F.when(F.expr(c), F.col("ret"))) - F.avg(F.when(~F.expr(c), F.col("ret"))))
     return r.groupBy("date").agg(F.avg("ret").alias("mkt"), *[leg(c).alias(k) for k, c in LEGS.items()])
 
@@ -109,23 +109,18 @@ def yearly_growth(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def random_splits(spark: SparkSession, sf: str) -> DataFrame:
     """split, ticker, ord: ten halves of the universe, drawn by one generator that goes on shuffling."""
-    names = sorted(r[0] for r in d.dim(d.universe(spark, sf)).select("ticker").collect())  # a dimension
+    names = sorted(r[0] for r in d.universe(spark, sf).select("ticker").collect())  # a dimension: the draw shuffles it as one list
     return sampling.random_halves(spark, names, 10, 42)
 
 
 @query()
 def split_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """Sharpe ratios of the best and worst views in ten random halves: mean, population deviation, wins, paired t and p."""
-    splits = random_splits(spark, sf).select("split", "ticker")
-    u = d.dim(d.universe(spark, sf))
-    a = d.active(spark, sf).persist()
-    p = d.periods(spark, sf)
-    out = None
-    for i in range(10):
-        own = u.join(small(splits.where(F.col("split") == i).select("ticker")), "ticker")
-        for name, best in (("top", True), ("bottom", False)):
-            w = backtest.ranked_views(p, own, a, 3, best).select(F.lit(f"{name}/{i}").alias("strategy"), "rebal_date", "ticker", "w")
-            out = w if out is None else out.unionByName(w)
+    p, u = d.setting(spark, sf)
+    own = random_splits(spark, sf).select("split", "ticker").join(u, "ticker")
+    a = d.active(spark, sf, p, u).persist()
+    legs = [backtest.ranked_views(p, own, a, 3, best, ["split"]).withColumn("strategy", F.concat(F.lit(f"{name}/"), "split")) for name, best in (("top", True), ("bottom", False))]
+    out = legs[0].unionByName(legs[1]).select("strategy", "rebal_date", "ticker", "w")
     net = backtest.run(d.rets(spark, sf), p, out.persist(), u)[0]
     m = metrics.metrics(net).select(F.split("strategy", "/")[0].alias("name"), F.split("strategy", "/")[1].cast("int").alias("split"), "sharpe")
     wide = m.groupBy("split").pivot("name", ["top", "bottom"]).agg(F.first("sharpe"))
