@@ -1,4 +1,4 @@
-"""A market-data source for ``spark.read.format``: one partition a symbol, dates pushed down. The fetcher is pluggable; the one here makes answers up.
+"""A market-data source for ``spark.read.format`` and ``spark.readStream.format``: a partition for each symbol and range of dates, dates pushed down. The fetcher is pluggable; the one here makes answers up.
 
 Datasets: prices, filings, estimates, market_cap, grades, income, balance, cash_flow, splits, report. A client asks an endpoint, keeps to a rate, waits
 and asks again when it is told to slow down, goes through pages until one is empty, and takes an answer that is no list for none.
@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 from datetime import date, timedelta
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 #: (endpoint, parameters) -> (status, answer)
 Fetch = Callable[[str, dict], tuple[int, object]]
@@ -94,12 +94,24 @@ class Client:
 
 
 class Symbol(InputPartition):
-    def __init__(self, name: str) -> None:
-        self.name = name
+    """One symbol's dates ``since`` to ``until``."""
+
+    def __init__(self, name: str, since: date, until: date) -> None:
+        self.name, self.since, self.until = name, since, until
+
+
+def ranges(symbols: Iterable[str], start: date, end: date, days: int) -> list[Symbol]:
+    """Partitions of at most ``days`` days each, so that one symbol's pages are not one task."""
+    out = []
+    while start <= end:
+        until = min(end, start + timedelta(days - 1))
+        out += [Symbol(s, start, until) for s in symbols]
+        start = until + timedelta(1)
+    return out
 
 
 class MarketData(DataSource):
-    """Options: dataset (prices), symbols (comma-separated), start, end, form (filings), per_minute, pushdown (see ``PushedReader``)."""
+    """Options: dataset (prices), symbols (comma-separated), start, end, form (filings), per_minute, span_days (of a partition, 366), pushdown (see ``PushedReader``)."""
 
     #: Replaced in tests and by users with a fetcher of their own.
     fetch: Fetch = staticmethod(made_up)
@@ -115,6 +127,9 @@ class MarketData(DataSource):
         kind = PushedReader if self.options.get("pushdown", "false").lower() == "true" else MarketReader
         return kind(self.options, [f.name for f in schema.fields], type(self).fetch)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802  Spark's name
+        return MarketStream(self.options, [f.name for f in schema.fields], type(self).fetch)
+
 
 class MarketPrices(MarketData):
     """The prices alone."""
@@ -124,25 +139,52 @@ class MarketPrices(MarketData):
         return "market_prices"
 
 
-class MarketReader(DataSourceReader):
+class Asking:
+    """What readers of batches and streams share."""
+
     def __init__(self, options, names: list[str], fetch: Fetch = made_up) -> None:
         self.dataset, self.names, self.fetch = options.get("dataset", "prices"), names, fetch
         self.symbols = [x for x in options.get("symbols", "").split(",") if x]
         self.start, self.end = date.fromisoformat(options["start"]), date.fromisoformat(options["end"])
-        self.form, self.per_minute = options.get("form"), float(options.get("per_minute", 700)) / max(1, len(self.symbols))
+        self.form, self.per_minute, self.days, self.parts = options.get("form"), float(options.get("per_minute", 700)), int(options.get("span_days", 366)), 1
 
-    def partitions(self) -> list[InputPartition]:
-        return [Symbol(s) for s in self.symbols] if self.start <= self.end else []
+    def between(self, start: date, end: date) -> list[InputPartition]:
+        out = ranges(self.symbols, start, end, self.days)
+        self.parts = max(1, len(out))
+        return out
 
     def read(self, partition: Symbol) -> Iterator[tuple]:
         endpoint, _ = ENDPOINTS[self.dataset]
-        params = {"symbol": partition.name, "from": str(self.start), "to": str(self.end)}
-        for r in Client(self.fetch, self.per_minute).rows(endpoint, params, self.dataset in PAGED):
+        params = {"symbol": partition.name, "from": str(partition.since), "to": str(partition.until)}
+        for r in Client(self.fetch, self.per_minute / self.parts).rows(endpoint, params, self.dataset in PAGED):
             if self.form is None or r.get("form") == self.form:
                 own = {**r, "ticker": partition.name, "date": date.fromisoformat(r["date"])}
                 yield tuple(own.get(n) for n in self.names)
 
 
+class MarketReader(Asking, DataSourceReader):
+    def partitions(self) -> list[InputPartition]:
+        return self.between(self.start, self.end)
+
+
+class MarketStream(Asking, DataSourceStreamReader):
+    """Days as offsets: a batch holds the days from the last offset up to today, or to the option ``end`` if that comes first, cut as in a batch read."""
+
+    today = staticmethod(date.today)
+
+    def initialOffset(self) -> dict:  # noqa: N802  Spark's name
+        return {"day": str(self.start)}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"day": str(max(self.start, min(self.end, self.today()) + timedelta(1)))}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return self.between(date.fromisoformat(start["day"]), date.fromisoformat(end["day"]) - timedelta(1))
+
+    def commit(self, end: dict) -> None:
+        """What has been read can be asked for again at any time: nothing is held."""
+
+
 class PushedReader(MarketReader):
     """Takes filters; Spark allows it only where ``spark.sql.python.filterPushdown.enabled`` is set."""
 
