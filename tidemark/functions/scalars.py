@@ -156,9 +156,3 @@ def or_na(c: Column, suffix: str = "", zero_is_missing: bool = False, digits: in
 def add_years(d: Column, n: int) -> Column:
     """29 February goes to the 28th."""
     return F.add_months(d, 12 * n)
-
-
-def in_range(c: Column, start: str, end: str) -> Column:
-    """Whether the first ten characters are a date in [start, end]."""
-    d = F.expr("1") if c is None else F.substring(c, 1, 10).try_cast("date")
-    return F.coalesce(d.between(F.lit(start).cast("date"), F.lit(end).cast("date")), F.lit(False))

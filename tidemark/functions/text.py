@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.stems import stem
 from tidemark.operators.small import small
 
 # --- HTML and sections -------------------------------------------------------------------------
@@ -397,8 +398,28 @@ def lenient_json(c: Column, schema: str) -> Column:
     return F.coalesce(whole(c), whole(fence), whole(braces))
 
 
-def lexicon_counts(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """key, n_words, pos, neg: words (runs of letters) that the lexicon (word, polarity 1 or -1) lists. The lexicon is a small dimension."""
+#: Distinct words with a listed stem that may be broadcast; counted before.
+STEMMED = 200_000
+
+
+def stemmed(words: DataFrame, word: str = "word", out: str = "stem") -> DataFrame:
+    """The distinct ``word`` with their stems: Python sees each word once, however often it stands."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            yield p.assign(**{out: [stem(x) for x in p[word]]})
+
+    return words.select(word).where(F.col(word).isNotNull()).distinct().mapInPandas(run, f"{word} string, {out} string")
+
+
+def lexicon_counts(df: DataFrame, key: str, text: str, lexicon: DataFrame, stems: bool = False) -> DataFrame:
+    """key, n_words, pos, neg: words (runs of letters) that the lexicon (word, polarity 1 or -1) lists; with ``stems``, words whose stems are a listed word's (of two polarities
+    of one stem the positive). The lexicon is a small dimension."""
     words = df.select(key, F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    hit = words.join(small(lexicon), "word", "left")
+    if stems:
+        listed = lexicon.join(stemmed(lexicon), "word").groupBy("stem").agg(F.max("polarity").alias("polarity"))
+        hits = stemmed(words).join(small(listed), "stem").select("word", "polarity")
+        hit = words.join(F.broadcast(hits) if hits.limit(STEMMED + 1).count() <= STEMMED else hits, "word", "left")
+    else:
+        hit = words.join(small(lexicon), "word", "left")
     return hit.groupBy(key).agg(F.count("word").alias("n_words"), F.count(F.when(F.col("polarity") > 0, 1)).alias("pos"), F.count(F.when(F.col("polarity") < 0, 1)).alias("neg"))

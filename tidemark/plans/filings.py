@@ -147,6 +147,27 @@ def tone_views(spark: SparkSession, sf: str) -> DataFrame:
     return z.select("doc_id", F.round("z", 6).alias("z"), features.z_to_bps(F.round(F.col("z") * 100, 9) / 100).alias("view_bps"))
 
 
+@query()
+def stemmed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the lexicon's stems, as the published baseline counts them."""
+    docs = d.table(spark, sf, "documents")
+    return t.lexicon_counts(docs, "doc_id", "text", spark.createDataFrame(LEXICON, "word string, polarity int"), stems=True)
+
+
+@query("SELECT event_id, round(coalesce(nullif(CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE value END, 0), value * 1.1), 6) AS eps FROM events")
+def diluted_eps(spark: SparkSession, sf: str) -> DataFrame:
+    """Diluted earnings a share, the basic ones where these are missing or zero."""
+    i = F.col("event_id") % 3
+    diluted = F.when(i == 0, 0.0).when(i == 2, F.col("value"))
+    return rounded(d.table(spark, sf, "events").select("event_id", s.first_nonzero(diluted, F.col("value") * 1.1).alias("eps")))
+
+
+@query("SELECT o_orderkey AS seq, round((((round(o_totalprice * 100)::BIGINT % 601) + 601) % 601 - 300) / 10000.0, 6) AS target FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1)")
+def view_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Views as expected returns."""
+    return rounded(d.views(spark, sf).select("seq", s.from_bps(F.col("view_bps")).alias("target")))
+
+
 def _coverage(spark: SparkSession, sf: str) -> DataFrame:
     o = d.table(spark, sf, "orders")
     return o.select(F.col("o_custkey").alias("company"), F.to_date("o_orderdate").alias("date"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"))
