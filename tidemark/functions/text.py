@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import vocabulary
 from tidemark.functions.stems import stem
 from tidemark.operators.small import small
 
@@ -228,9 +229,11 @@ def section_chunks(df: DataFrame, key: str, sections_: str, budget: int, size: i
     return df.select(key, sections_).mapInPandas(run, f"{key} {kind}, pos int, chunk string")
 
 
-def chunked(df: DataFrame, key: str, text: str, size: int = 4000, overlap: int = 200, tokens: bool = False) -> DataFrame:
-    """key, pos, chunk."""
+def chunked(df: DataFrame, key: str, text: str, size: int = 4000, overlap: int = 200, tokens: bool = False, path: str | None = None) -> DataFrame:
+    """key, pos, chunk: by characters, by ``tokens`` of four characters, or by those of the vocabulary file ``path``."""
     cut = token_chunks if tokens else char_chunks
+    if path is not None:
+        cut = lambda x, n, m: vocabulary.chunks(x, path, n, m)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:

@@ -348,6 +348,15 @@ def token_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return t.chunked(d.table(spark, sf, "documents"), "doc_id", "text", 400, 40, tokens=True).select("doc_id", "pos", F.length("chunk").alias("n"), F.md5("chunk").alias("h"))
 
 
+@query()
+def vocabulary_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks by the tokens of a public vocabulary."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return t.chunked(d.table(spark, sf, "documents"), "doc_id", "text", 400, 40, path=path).select("doc_id", "pos", F.length("chunk").alias("n"), F.md5("chunk").alias("h"))
+
+
 @query(
     """WITH p AS (SELECT source, doc_id, n_chars // 4 AS tokens, ['mda', 'risk_factors', 'liquidity', 'business'][(doc_id % 4 + 1)::INT] AS section FROM documents), q AS (SELECT source, section, sum(tokens)::BIGINT AS tokens FROM p GROUP BY ALL),
 w AS (SELECT *, list_position(['mda', 'risk_factors', 'liquidity', 'business'], section) AS o, 20000 - coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY list_position(['mda', 'risk_factors', 'liquidity', 'business'], section) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft FROM q),
