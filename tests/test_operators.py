@@ -136,6 +136,9 @@ def test_ols_matches_least_squares(spark):
     got = stats.ols(d, "g", "y", ["p", "q"]).first()
     beta = np.linalg.lstsq(np.column_stack([np.ones(200), x]), y, rcond=None)[0]
     assert [got.alpha, *got.betas] == pytest.approx(beta.tolist(), abs=1e-9)
+    full = np.column_stack([np.ones(200), x])
+    error = np.sqrt(np.square(y - full @ beta).sum() / 197 * np.diag(np.linalg.inv(full.T @ full)))
+    assert [got.t_alpha, *got.t_betas] == pytest.approx((beta / error).tolist(), rel=1e-6)
 
 
 @pytest.mark.parametrize(("form", "day", "want"), [("10-K", "2024-02-01", "FY 2023"), ("10-K", "2024-10-30", "FY 2024"), ("10-Q", "2024-02-10", "Q4 2023"), ("10-Q", "2024-05-01", "Q1 2024"), ("10-Q", "2024-08-01", "Q2 2024"), ("10-Q", "2024-11-01", "Q3 2024"), ("10-Q", None, "Unknown")])

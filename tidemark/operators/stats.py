@@ -81,7 +81,7 @@ def t_p_value(t: float, df: float) -> float:
 
 
 def ols(df: DataFrame, by: str, y: str, xs: list[str]) -> DataFrame:
-    """``by``, n, alpha, t_alpha, p_alpha, betas, r2 of least squares with a constant.
+    """``by``, n, alpha, t_alpha, p_alpha, betas, t_betas, r2 of least squares with a constant.
 
     The normal equations' sums are one aggregation, whatever the number of rows; each group's few sums are solved in one row.
     """
@@ -107,13 +107,14 @@ def ols(df: DataFrame, by: str, y: str, xs: list[str]) -> DataFrame:
             beta = inv @ xy
             sse, mean = float(r.yy - beta @ xy), xy[0] / n
             dof = n - k
-            se = math.sqrt(max(0.0, sse / dof * inv[0, 0])) if dof > 0 else float("nan")
-            t = beta[0] / se if se else float("nan")
+            errors = [math.sqrt(max(0.0, sse / dof * v)) if dof > 0 else float("nan") for v in np.diag(inv)]
+            ts = [float(b / e) if e else float("nan") for b, e in zip(beta, errors, strict=True)]
+            t = ts[0]
             tss = float(r.yy - n * mean * mean)
-            out.append((getattr(r, by), n, beta[0], t, t_p_value(t, dof) if dof > 0 else float("nan"), beta[1:].tolist(), 1 - sse / tss if tss else float("nan")))
-        return pd.DataFrame(out, columns=[by, "n", "alpha", "t_alpha", "p_alpha", "betas", "r2"])
+            out.append((getattr(r, by), n, beta[0], t, t_p_value(t, dof) if dof > 0 else float("nan"), beta[1:].tolist(), ts[1:], 1 - sse / tss if tss else float("nan")))
+        return pd.DataFrame(out, columns=[by, "n", "alpha", "t_alpha", "p_alpha", "betas", "t_betas", "r2"])
 
-    return sums.mapInPandas(lambda it: (solve(p) for p in it), f"{by} string, n long, alpha double, t_alpha double, p_alpha double, betas array<double>, r2 double")
+    return sums.mapInPandas(lambda it: (solve(p) for p in it), f"{by} string, n long, alpha double, t_alpha double, p_alpha double, betas array<double>, t_betas array<double>, r2 double")
 
 
 def paired(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -86,7 +86,7 @@ def factor_models(spark: SparkSession, sf: str) -> DataFrame:
         fit = stats.ols(rows.join(fa, "date"), "strategy", "y", names).withColumn("model", F.lit(model))
         out = fit if out is None else out.unionByName(fit)
     stars = F.when(F.col("p_alpha") < 0.01, "***").when(F.col("p_alpha") < 0.05, "**").when(F.col("p_alpha") < 0.1, "*").otherwise("")
-    return rounded(out.select("strategy", "model", "n", (F.col("alpha") * 252 * 100).alias("alpha_pct"), "t_alpha", "p_alpha", stars.alias("stars"), "betas", "r2"))
+    return rounded(out.select("strategy", "model", "n", (F.col("alpha") * 252 * 100).alias("alpha_pct"), "t_alpha", "p_alpha", stars.alias("stars"), "betas", "t_betas", "r2"))
 
 
 @query(sql("SELECT ticker, date, round(ret, 6) + 0 AS ret FROM rets WHERE date <= DATE '1997-03-31'", "rets"))
