@@ -56,7 +56,7 @@ def _table(chars: bytes) -> np.ndarray:
 _SPACE, _SYMBOL = _table(b" \t\n\x0b\x0c\r"), _table(SYMBOLS)
 _CAPITAL, _SMALL = _table(bytes(range(65, 91))), _table(bytes(range(97, 123)))
 _PUNCT = _table(bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in SYMBOLS))
-_LETTER = _CAPITAL | _SMALL | _table(bytes(range(128, 256)))
+_LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 
 
 def repeated(ids: np.ndarray, window: int = WINDOW) -> int:
@@ -93,7 +93,7 @@ def statistics(raw: np.ndarray) -> tuple[tuple[int, ...], tuple[float, ...]]:
     symbols, again = int(_SYMBOL[raw].sum()), repeated(ids)
     capitals, small = int(_CAPITAL[raw].sum()), int(_SMALL[raw].sum())
     often = np.bincount(ids)
-    bare = sum(int(often[k]) for w, k in number.items() if not _LETTER[np.frombuffer(w, np.uint8)].any()) if not _LETTER[raw].all() else 0
+    bare = int(often[[k for w, k in number.items() if len(w.translate(None, _LETTERS)) == len(w)]].sum())
     ratios = (chars / n, symbols / n, dup / len(lines), bare / n, capitals / max(1, capitals + small), int(often.max()) / n, int(_PUNCT[raw].sum()) / n)
     return (n, chars, symbols, dup, again), ratios
 
