@@ -6,6 +6,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -270,6 +271,8 @@ PLAIN = {
     "\u00a0": " ", "\u2007": " ", "\u202f": " ", "\u2009": " ",
 }
 DROPPED = "\u00ad\u200b"
+#: White space, beside what NFKC makes a blank.
+BLANKS = r"[\s\x1c-\x1f\x85\u1680\u2028\u2029]+"
 _MAP = str.maketrans(PLAIN | dict.fromkeys(DROPPED, ""))
 
 
@@ -277,10 +280,36 @@ def normalised(text: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", text or "").translate(_MAP).lower().split())
 
 
+@lru_cache(1)
+def uncomposed() -> str:
+    """A pattern of every code point that NFKC changes, puts into another order or joins with the one before: a text without any is in that form already."""
+    odd = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.combining(x := chr(c)) or unicodedata.normalize("NFKC", x) != x or 0x1161 <= c <= 0x1175 or 0x11A8 <= c <= 0x11C2)]
+    # what joins without a class of its own: the second half of a pair that composes
+    odd += [ord(d[1]) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and len(d := unicodedata.normalize("NFD", chr(c))) == 2 and unicodedata.normalize("NFC", d) == chr(c)]
+    runs: list[list[int]] = []
+    for c in sorted({*odd}):
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+def nfkc(c: Column) -> Column:
+    """NFKC. Texts that are in that form already, as nearly all are, are told by a pattern in the JVM and stay there; Python is handed the others only, and nulls in place of these."""
+
+    @F.pandas_udf("string")
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    odd = F.rlike(c, F.lit(uncomposed()))
+    return F.when(odd, compose(F.when(odd, c))).otherwise(c)
+
+
 def normalise(c: Column) -> Column:
-    """The same without NFKC, inside the JVM: for texts that are composed already."""
-    v = F.translate(c, "".join(PLAIN) + DROPPED, "".join(PLAIN.values()))
-    return F.trim(F.regexp_replace(F.lower(v), r"\s+", " "))
+    """``normalised`` as a column; null stays null."""
+    v = F.translate(nfkc(c), "".join(PLAIN) + DROPPED, "".join(PLAIN.values()))
+    return F.trim(F.regexp_replace(F.lower(v), BLANKS, " "))
 
 
 def lcs(a: str, b: str) -> int:
