@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import scan
 
 ACCURACY, PIECES = 10_000, 64
+#: Tasks that a group's values are dealt to.
+SPREAD = 16
 
 
 def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], out: str = "q") -> DataFrame:
@@ -35,7 +37,11 @@ def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float]
         return F.struct(F.lit(k).alias("k"), low.alias("low"), high.alias("high"), F.floor(place).alias("at"), (place - F.floor(place)).alias("part"))
 
     wanted = sketch.where("__n > 0").select("__g", F.array(*[bracket(k, p) for k, p in enumerate(probs)]).alias("__t"))
-    rows = own.where("__v is not null").join(wanted, "__g")
+    if by:  # a group may hold most rows: they are dealt to several tasks
+        dealt = own.where("__v is not null").withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SPREAD)))
+        rows = dealt.join(wanted.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<long>"))), ["__g", "__salt"]).drop("__salt")
+    else:  # one row
+        rows = own.where("__v is not null").join(F.broadcast(wanted), "__g")
     below = rows.groupBy("__g").agg(*[F.count(F.when(F.col("__v") < F.col("__t")[k]["low"], 1)).alias(f"__below{k}") for k in range(len(probs))])
     below = below.select("__g", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"__below{k}").alias("below")) for k in range(len(probs))])).alias("__b"))
     inside = rows.withColumn("__t", F.explode(F.filter("__t", lambda t: (F.col("__v") >= t["low"]) & (F.col("__v") <= t["high"]))))

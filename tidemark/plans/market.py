@@ -178,6 +178,11 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return v.withColumn("q", q).withColumn("fwd_excess", F.col("fwd") - F.avg("fwd").over(Window.partitionBy("q")))
 
 
+def valued(spark: SparkSession, sf: str) -> DataFrame:
+    """The scored views that have a return, cached: means, edges and medians each read them."""
+    return scored(spark, sf).where("fwd_excess is not null").select("confidence", "view_bps", "fwd_excess").persist()
+
+
 SCORED = """SELECT v.*, f.fwd, date_trunc('quarter', v.view_date)::DATE AS q FROM views v ASOF LEFT JOIN fwd f ON v.ticker = f.ticker AND v.view_date <= f.date"""
 EXCESS = "SELECT *, fwd - avg(fwd) OVER (PARTITION BY q) AS fwd_excess FROM sc"
 
@@ -194,7 +199,7 @@ def forward_returns(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def confidence_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(stats.buckets(scored(spark, sf).where("fwd_excess is not null"), "confidence"))
+    return rounded(stats.buckets(valued(spark, sf), "confidence"))
 
 
 TERTILE = "SELECT *, quantile_cont(view_bps::DOUBLE, 1.0/3) OVER () AS a, quantile_cont(view_bps::DOUBLE, 2.0/3) OVER () AS b FROM ex WHERE fwd_excess IS NOT NULL"
@@ -207,8 +212,7 @@ TERTILE = "SELECT *, quantile_cont(view_bps::DOUBLE, 1.0/3) OVER () AS a, quanti
     )
 )
 def tertile_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    s = scored(spark, sf).where("fwd_excess is not null")
-    return rounded(stats.buckets(stats.tertiles(s, "view_bps", "bucket"), "bucket"))
+    return rounded(stats.buckets(stats.tertiles(valued(spark, sf), "view_bps", "bucket"), "bucket"))
 
 
 RANKS = """SELECT rank() OVER (ORDER BY view_bps) + (count(*) OVER (PARTITION BY view_bps) - 1) / 2.0 AS ra, rank() OVER (ORDER BY fwd_excess) + (count(*) OVER (PARTITION BY fwd_excess) - 1) / 2.0 AS rb FROM ex WHERE fwd_excess IS NOT NULL"""
