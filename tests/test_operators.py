@@ -204,7 +204,7 @@ def test_chunks_cover_the_text():
         at = text.find(x, max(0, pos - 200))
         assert at <= pos
         pos = at + len(x)
-    assert t.token_chunks("", 10, 2) == [] and t.token_chunks("abc", 10, 2) == ["abc"]
+    assert t.token_chunks("", 10, 2) == [""] and t.token_chunks("abc", 10, 2) == ["abc"]
 
 
 def test_annotator(spark):

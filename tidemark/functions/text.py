@@ -282,33 +282,29 @@ def normalised(text: str | None) -> str:
 
 @lru_cache(1)
 def uncomposed() -> str:
-    """A pattern of every code point that NFKC changes, puts into another order or joins with the one before: a text without any is in that form already."""
-    odd = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.combining(x := chr(c)) or unicodedata.normalize("NFKC", x) != x or 0x1161 <= c <= 0x1175 or 0x11A8 <= c <= 0x11C2)]
+    """Every code point that NFKC changes, puts into another order or joins with the one before: a text without any is in that form already."""
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    odd = {c for c in points if unicodedata.combining(x := chr(c)) or unicodedata.normalize("NFKC", x) != x or 0x1161 <= c <= 0x1175 or 0x11A8 <= c <= 0x11C2}
     # what joins without a class of its own: the second half of a pair that composes
-    odd += [ord(d[1]) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and len(d := unicodedata.normalize("NFD", chr(c))) == 2 and unicodedata.normalize("NFC", d) == chr(c)]
-    runs: list[list[int]] = []
-    for c in sorted({*odd}):
-        if runs and c == runs[-1][1] + 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+    odd |= {ord(d[1]) for c in points if len(d := unicodedata.normalize("NFD", chr(c))) == 2 and unicodedata.normalize("NFC", d) == chr(c)}
+    return "".join(map(chr, sorted(odd)))
 
 
 def nfkc(c: Column) -> Column:
-    """NFKC. Texts that are in that form already, as nearly all are, are told by a pattern in the JVM and stay there; Python is handed the others only, and nulls in place of these."""
+    """NFKC. Texts that are in that form already, as nearly all are, are told in the JVM, ASCII by its length in bytes and others by one look-up a character, and stay there;
+    Python is handed the others only, and nulls in place of these."""
 
     @F.pandas_udf("string")
     def compose(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    odd = F.rlike(c, F.lit(uncomposed()))
+    odd = F.when(F.octet_length(c) == F.length(c), False).otherwise(F.length(F.translate(c, uncomposed(), "")) < F.length(c))
     return F.when(odd, compose(F.when(odd, c))).otherwise(c)
 
 
-def normalise(c: Column) -> Column:
-    """``normalised`` as a column; null stays null."""
-    v = F.translate(nfkc(c), "".join(PLAIN) + DROPPED, "".join(PLAIN.values()))
+def normalise(c: Column, compose: bool = False) -> Column:
+    """``normalised`` as a column, for texts that are composed already, or with ``compose`` for any; null stays null."""
+    v = F.translate(nfkc(c) if compose else c, "".join(PLAIN) + DROPPED, "".join(PLAIN.values()))
     return F.trim(F.regexp_replace(F.lower(v), BLANKS, " "))
 
 

@@ -35,7 +35,7 @@ def check(quote: str | None, doc: str, least: int = 30, threshold: float = 90.0)
 
 def exact(df: DataFrame, quote: str = "quote", doc: str = "doc") -> DataFrame:
     """Adds ``exact``: the normalised quote stands in the normalised text. Python sees only texts that are not composed."""
-    both = df.withColumns({"__q": t.normalise(F.col(quote)), "__d": t.normalise(F.col(doc))})
+    both = df.withColumns({"__q": t.normalise(F.col(quote), True), "__d": t.normalise(F.col(doc), True)})
     return both.withColumn("exact", (F.length("__q") > 0) & F.contains("__d", "__q")).drop("__q", "__d")
 
 
