@@ -29,10 +29,14 @@ def _found(both: DataFrame, by: Sequence[str], lcols: list[str], rcols: list[str
 def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, tie: Sequence[str] = (), inclusive: bool = True, bucket: Column | None = None) -> DataFrame:
     """``left`` with the columns of the latest ``right`` row at or before ``left_on`` (before it, unless ``inclusive``).
 
-    Equal times: the last in order of ``tie``. Both sides are one sequence by time, scanned in buckets (by default of days) with carry, so that a key with most rows is no
+    Equal times: the last in order of ``tie``, which alone goes on to the scan. Both sides are one sequence by time, scanned in buckets (by default of days) with carry, so that a key with most rows is no
     single task. ``bucket``: another expression on the time, ``__t``, that never falls as it rises;
     times that are numbers have one bucket without it.
     """
+    if tie:  # rows of one time are one row before anything is shuffled
+        rest = [c for c in right.columns if c not in (*by, right_on)]
+        last = right.groupBy(*by, right_on).agg(F.max_by(F.struct(*rest), F.struct(*tie)).alias("__x"))
+        right = last.select(*[c if c in (*by, right_on) else F.col(f"__x.{c}").alias(c) for c in right.columns])
     both, lcols, rcols = _both(left, right, by, left_on, right_on, tie, inclusive)
     return _found(both, by, lcols, rcols, "last", bucket)
 

@@ -58,7 +58,9 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Colu
     elif how == "last":
         within, part, both = F.last(col, ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, 0)), (F.max_by(col, there), lambda c: F.last(c, ignorenulls=True)), F.coalesce
     else:
-        within, part, both = F.first(col, ignorenulls=True).over(rows.rowsBetween(0, Window.unboundedFollowing)), (F.min_by(col, there), lambda c: F.last(c, ignorenulls=True)), F.coalesce
+        # the order turned round: a frame that ends at a row grows with it, one that begins there is read again for every row
+        back = Window.partitionBy("__key", "__b").orderBy(*[F.col(c).desc() for c in order])
+        within, part, both = F.last(col, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)), (F.min_by(col, there), lambda c: F.last(c, ignorenulls=True)), F.coalesce
     carry = carried(own, {"__c": part}, reverse=how == "next")
     found = own.withColumn("__w", within).join(carry, ["__key", "__b"]).withColumn(out, both("__w", "__c"))
     if previous:
