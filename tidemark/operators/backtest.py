@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.rounds import checkpointed
+
 
 def equal_weight(periods: DataFrame, universe: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``by``, rebal_date, ticker, w: 1 / N. ``periods``, a calendar, is broadcast; with ``by`` (of universe and periods) each universe has its own."""
@@ -52,8 +54,10 @@ def run(rets: DataFrame, periods: DataFrame, weights: DataFrame, universe: DataF
     """Daily returns (strategy, date, ret) and rebalances (strategy, rebal_date, turnover, cost).
 
     ``weights``: strategy, rebal_date, ticker, w. ``rets``: complete-case returns. The periods are a small dimension. ``held`` (strategy, rebal_date): rebalances without
-    targets, at which a strategy keeps its drifted weights; the closed form runs on from the last rebalance before, and nothing is traded.
+    targets, at which a strategy keeps its drifted weights; the closed form runs on from the last rebalance before, and nothing is traded. Weights, grown positions and both results are
+    files: what reads them does not hold the plan of the whole backtest, each step of which is read several times.
     """
+    weights = checkpointed(weights)
     days = rets.select("date").distinct()
     own = F.broadcast(periods)  # a calendar
     of = days.join(own, (days["date"] >= own["trade_date"]) & (days["date"] < own["until"])).select("date", "rebal_date")
@@ -61,11 +65,13 @@ def run(rets: DataFrame, periods: DataFrame, weights: DataFrame, universe: DataF
     if held is None:
         live = r.join(weights.where("w <> 0"), ["rebal_date", "ticker"])
     else:
-        since, weights = islands(weights, held, universe)
+        since, weights = map(checkpointed, islands(weights, held, universe))
         live = r.join(since, "rebal_date").drop("rebal_date").withColumnRenamed("since", "rebal_date").join(weights.where("w <> 0"), ["strategy", "rebal_date", "ticker"])
     so_far = Window.partitionBy("strategy", "rebal_date", "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    grown = live.withColumn("wg", F.col("w") * F.exp(F.sum(F.log1p("ret")).over(so_far))).persist()
-    value = grown.groupBy("strategy", "rebal_date", "date").agg(F.sum("wg").alias("v")).persist()
+    grown = live.withColumn("wg", F.col("w") * F.exp(F.sum(F.log1p("ret")).over(so_far))).drop("ret")
+    grown = checkpointed(grown)
+    value = grown.groupBy("strategy", "rebal_date", "date").agg(F.sum("wg").alias("v"))
+    value = checkpointed(value)
     by_day = Window.partitionBy("strategy", "rebal_date").orderBy("date")
     gross = value.withColumn("first", F.row_number().over(by_day) == 1).withColumn("gross", F.col("v") / F.coalesce(F.lag("v").over(by_day), F.lit(1.0)) - 1)
 
@@ -80,11 +86,12 @@ def run(rets: DataFrame, periods: DataFrame, weights: DataFrame, universe: DataF
     target = weights.join(ran, ["strategy", "rebal_date"], "left_semi")
     moved = target.join(old, ["strategy", "rebal_date", "ticker"], "full").select("strategy", "rebal_date", F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("w_old", F.lit(0.0))).alias("d"))
     turns = moved.groupBy("strategy", "rebal_date").agg(F.sum("d").alias("turnover")).withColumn("cost", F.col("turnover") * F.lit(cost_bps / 1e4))
+    turns = checkpointed(turns)
     net = gross.join(turns, ["strategy", "rebal_date"]).select("strategy", "date", (F.col("gross") - F.when(F.col("first"), F.col("cost")).otherwise(0.0)).alias("ret"))
     if held is not None:  # those that ran, but for the one that a strategy begins with
         still = since.where("since < rebal_date").join(of.select("rebal_date").distinct(), "rebal_date", "left_semi")
         turns = turns.unionByName(still.select("strategy", "rebal_date", F.lit(0.0).alias("turnover"), F.lit(0.0).alias("cost")))
-    return net, turns
+    return checkpointed(net), turns
 
 
 def mean_curve(curves: DataFrame, on: str) -> DataFrame:

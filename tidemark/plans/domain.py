@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import asof, backtest, calendar, panel
+from tidemark.operators.rounds import checkpointed
 
 SPAN = (date(1995, 1, 1), date(2001, 12, 31))
 
@@ -32,7 +33,7 @@ def raw_prices(spark: SparkSession, sf: str) -> DataFrame:
 
 def prices(spark: SparkSession, sf: str) -> DataFrame:
     """ticker, date, close: 21-row trailing mean on the dense grid, filled forward over 5 rows at most."""
-    return panel.smoothed(panel.grid(raw_prices(spark, sf)), "px", 21, 5).select("ticker", "date", F.col("px").alias("close"))
+    return panel.smoothed(panel.grid(checkpointed(raw_prices(spark, sf))), "px", 21, 5).select("ticker", "date", F.col("px").alias("close"))
 
 
 def dim(df: DataFrame, most: int = 100_000) -> DataFrame:
@@ -42,8 +43,8 @@ def dim(df: DataFrame, most: int = 100_000) -> DataFrame:
 
 
 def rets(spark: SparkSession, sf: str) -> DataFrame:
-    """Complete-case returns; every consumer of a query shares one computation."""
-    return panel.complete_dates(panel.returns(prices(spark, sf)).where("ret is not null"), universe(spark, sf)).persist()
+    """Complete-case returns, as files: a query computes them once and hands them on, and no plan that reads them holds theirs."""
+    return checkpointed(panel.complete_dates(panel.returns(prices(spark, sf)).where("ret is not null"), universe(spark, sf)))
 
 
 def views(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,14 +64,14 @@ def views(spark: SparkSession, sf: str) -> DataFrame:
     return o.join(first, "l_orderkey").join(part, "p_partkey").select("ticker", "view_date", "view_bps", "confidence", "filing_type", "sentiment", "seq")
 
 
-def periods(spark: SparkSession, sf: str) -> DataFrame:
-    days = rets(spark, sf).select("date").distinct()
+def periods(spark: SparkSession, sf: str, r: DataFrame | None = None) -> DataFrame:
+    days = (rets(spark, sf) if r is None else r).select("date").distinct()
     return dim(calendar.trade_periods(calendar.rebalance_dates(spark, *SPAN), days))
 
 
-def setting(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The periods and the universe, each computed once for a query: what is small and used many times in its plan."""
-    return periods(spark, sf), dim(universe(spark, sf))
+def setting(spark: SparkSession, sf: str, r: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The periods (of the returns ``r``) and the universe, each computed once for a query: what is small and used many times in its plan."""
+    return periods(spark, sf, r), dim(universe(spark, sf))
 
 
 def at_rebalances(p: DataFrame, u: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def weights(spark: SparkSession, sf: str, p: DataFrame | None = None, u: DataFra
     """strategy, rebal_date, ticker, w of the strategies that need no covariance."""
     if p is None or u is None:
         p, u = setting(spark, sf)
-    a = active(spark, sf, p, u).persist()
+    a = checkpointed(active(spark, sf, p, u))
     parts = {"equal_weight": backtest.equal_weight(p, u), "top_n_views": backtest.ranked_views(p, u, a), "bottom_n_views": backtest.ranked_views(p, u, a, best=False)}
     out = None
     for name, w in parts.items():
@@ -96,6 +97,7 @@ def weights(spark: SparkSession, sf: str, p: DataFrame | None = None, u: DataFra
     return out
 
 
-def backtested(spark: SparkSession, sf: str, cost_bps: float = 10.0) -> tuple[DataFrame, DataFrame]:
-    p, u = setting(spark, sf)
-    return backtest.run(rets(spark, sf), p, weights(spark, sf, p, u).persist(), u, cost_bps)
+def backtested(spark: SparkSession, sf: str, cost_bps: float = 10.0, r: DataFrame | None = None, own: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    r = rets(spark, sf) if r is None else r
+    p, u = setting(spark, sf, r) if own is None else own
+    return backtest.run(r, p, weights(spark, sf, p, u), u, cost_bps)

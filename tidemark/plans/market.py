@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import asof, backtest, calendar, metrics, panel, stats
+from tidemark.operators.rounds import checkpointed
 from tidemark.plans import domain as d
 from tidemark.plans.oracle import sql
 
@@ -139,8 +140,10 @@ SELECT bps, strategy, date, g - CASE WHEN is_first THEN turnover * bps / 1e4 ELS
 )
 def cost_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     """Sharpe under 0, 10 and 20 bps: gross returns once, costs from a small dimension."""
-    gross, turns = d.backtested(spark, sf, 0.0)
-    first = gross.join(F.broadcast(d.periods(spark, sf).select(F.col("trade_date").alias("date"), "rebal_date")), "date").join(turns, ["strategy", "rebal_date"]).select("strategy", "date", "turnover")
+    r = d.rets(spark, sf)
+    p, u = d.setting(spark, sf, r)
+    gross, turns = d.backtested(spark, sf, 0.0, r, (p, u))
+    first = gross.join(F.broadcast(p.select(F.col("trade_date").alias("date"), "rebal_date")), "date").join(turns, ["strategy", "rebal_date"]).select("strategy", "date", "turnover")
     costs = spark.createDataFrame([(0,), (10,), (20,)], "bps int")
     all_ = gross.join(first, ["strategy", "date"], "left").crossJoin(F.broadcast(costs)).withColumn("ret", F.col("ret") - F.coalesce("turnover", F.lit(0.0)) * F.col("bps") / 1e4)
     m = metrics.metrics(all_.select(F.concat_ws("/", "bps", "strategy").alias("strategy"), "date", "ret"))
@@ -172,15 +175,19 @@ def price_features(spark: SparkSession, sf: str) -> DataFrame:
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Views with the return of the 63 rows from their first trading day, and its excess over the quarter's mean."""
     f = panel.forward_return(d.prices(spark, sf))
-    # a view on a day without a trade looks forward: the first row at or after it
-    v = asof.asof_forward(d.views(spark, sf), f, ["ticker"], "view_date", "date")
-    q = F.to_date(F.date_trunc("quarter", "view_date"))
-    return v.withColumn("q", q).withColumn("fwd_excess", F.col("fwd") - F.avg("fwd").over(Window.partitionBy("q")))
+    v = d.views(spark, sf)
+    # a view on a day without a trade looks forward: the first row at or after it. Views of one asset and day have one return, so days are looked up, not views
+    at = asof.asof_forward(v.groupBy("ticker", "view_date").agg(F.count(F.lit(1)).alias("n")), f, ["ticker"], "view_date", "date")
+    at = checkpointed(at.withColumn("q", F.to_date(F.date_trunc("quarter", "view_date"))))
+    # each quarter's mean is one number in a file: sums in another order would give views of one quarter other last digits
+    mean = checkpointed(at.where("fwd is not null").groupBy("q").agg((F.sum(F.col("fwd") * F.col("n")) / F.sum("n")).alias("mean")))
+    known = at.join(F.broadcast(mean.withColumnRenamed("q", "__q")), F.col("q").eqNullSafe(F.col("__q")), "left").select(F.col("ticker").alias("__ticker"), F.col("view_date").alias("__day"), "date", "fwd", "q", (F.col("fwd") - F.col("mean")).alias("fwd_excess"))
+    return v.join(known, F.col("ticker").eqNullSafe(F.col("__ticker")) & F.col("view_date").eqNullSafe(F.col("__day"))).drop("__ticker", "__day")
 
 
 def valued(spark: SparkSession, sf: str) -> DataFrame:
-    """The scored views that have a return, cached: means, edges and medians each read them."""
-    return scored(spark, sf).where("fwd_excess is not null").select("confidence", "view_bps", "fwd_excess").persist()
+    """The scored views that have a return, as files: means, edges and medians each read the same numbers."""
+    return checkpointed(scored(spark, sf).where("fwd_excess is not null").select("confidence", "view_bps", "fwd_excess"))
 
 
 SCORED = """SELECT v.*, f.fwd, date_trunc('quarter', v.view_date)::DATE AS q FROM views v ASOF LEFT JOIN fwd f ON v.ticker = f.ticker AND v.view_date <= f.date"""
@@ -227,11 +234,10 @@ def rank_ic(spark: SparkSession, sf: str) -> DataFrame:
 FACTORS = """SELECT date, avg(ret) AS mkt, avg(ret) FILTER (ord <= (SELECT count(*) FROM universe) / 2) - avg(ret) FILTER (ord > (SELECT count(*) FROM universe) / 2) AS smb FROM rets JOIN universe USING (ticker) GROUP BY date"""
 
 
-def factors(spark: SparkSession, sf: str) -> DataFrame:
-    """date, mkt, smb, alt: factor returns of the panel's own legs."""
-    u = d.universe(spark, sf)
+def factors(r: DataFrame, u: DataFrame) -> DataFrame:
+    """date, mkt, smb, alt: factor returns of the panel's own legs, from the returns ``r`` of the universe ``u``."""
     n = u.agg(F.count(F.lit(1)).alias("n"))
-    r = d.rets(spark, sf).join(u, "ticker").crossJoin(F.broadcast(n))
+    r = r.join(u, "ticker").crossJoin(F.broadcast(n))
     leg = lambda c: F.avg(F.when(c, F.col("ret")))
     return r.groupBy("date").agg(
         F.avg("ret").alias("mkt"), (leg(F.col("ord") <= F.col("n") / 2) - leg(F.col("ord") > F.col("n") / 2)).alias("smb"), (leg(F.col("ord") % 2 == 0) - leg(F.col("ord") % 2 == 1)).alias("alt")
@@ -245,7 +251,9 @@ def factors(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def capm(spark: SparkSession, sf: str) -> DataFrame:
-    y = d.backtested(spark, sf)[0].join(factors(spark, sf), "date").withColumn("y", F.col("ret") - 0.02 / 252)
+    r = d.rets(spark, sf)
+    own = d.setting(spark, sf, r)
+    y = d.backtested(spark, sf, r=r, own=own)[0].join(factors(r, own[1]), "date").withColumn("y", F.col("ret") - 0.02 / 252)
     fit = stats.ols(y, "strategy", "y", ["mkt"])
     return rounded(fit.select("strategy", F.lit("capm").alias("model"), "n", (F.col("alpha") * 252 * 100).alias("alpha_pct"), F.col("betas")[0].alias("beta_mkt"), "r2"))
 
@@ -253,14 +261,16 @@ def capm(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def factor_attribution(spark: SparkSession, sf: str) -> DataFrame:
     """Each strategy, and top minus bottom, on nested factor sets: alpha, t, p, stars, betas, R2."""
-    net = d.backtested(spark, sf)[0]
+    r = d.rets(spark, sf)
+    own = d.setting(spark, sf, r)
+    net = d.backtested(spark, sf, r=r, own=own)[0]
     wide = net.where("strategy <> 'equal_weight'").groupBy("date").pivot("strategy", ["top_n_views", "bottom_n_views"]).agg(F.first("ret"))
     ls = wide.select(F.lit("long_short").alias("strategy"), "date", (F.col("top_n_views") - F.col("bottom_n_views")).alias("y")).where("y is not null")
-    y = net.select("strategy", "date", (F.col("ret") - 0.02 / 252).alias("y")).unionByName(ls).join(factors(spark, sf), "date").persist()
+    y = checkpointed(net.select("strategy", "date", (F.col("ret") - 0.02 / 252).alias("y")).unionByName(ls).join(factors(r, own[1]), "date"))
     out = None
     for model, names in {"capm": ["mkt"], "two": ["mkt", "smb"], "three": ["mkt", "smb", "alt"]}.items():
-        own = stats.ols(y, "strategy", "y", names).withColumn("model", F.lit(model))
-        out = own if out is None else out.unionByName(own)
+        fit = stats.ols(y, "strategy", "y", names).withColumn("model", F.lit(model))
+        out = fit if out is None else out.unionByName(fit)
     stars = F.when(F.col("p_alpha") < 0.01, "***").when(F.col("p_alpha") < 0.05, "**").when(F.col("p_alpha") < 0.1, "*").otherwise("")
     return rounded(out.select("strategy", "model", "n", (F.col("alpha") * 252 * 100).alias("alpha_pct"), "t_alpha", "p_alpha", stars.alias("stars"), "betas", "r2"))
 
