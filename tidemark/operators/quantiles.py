@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import scan
+from tidemark.operators.rounds import checkpointed
 
 ACCURACY, PIECES = 10_000, 64
 #: Tasks that a group's values are dealt to.
@@ -24,10 +25,12 @@ SPREAD = 16
 
 def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], out: str = "q") -> DataFrame:
     """``by`` and ``out``: an array of the linearly interpolated quantiles ``probs`` of ``col`` in double precision, exact for any number of rows."""
-    own = df.select(F.struct(F.lit(0).alias("__one"), *[F.col(c) for c in by]).alias("__g"), F.col(col).cast("double").alias("__v")).persist()  # three passes read them
+    # three passes read them, and must read the same last digits: edges are values, so files, not rows that are computed again where a cached block is not at hand
+    own = checkpointed(df.select(F.struct(F.lit(0).alias("__one"), *[F.col(c) for c in by]).alias("__g"), F.col(col).cast("double").alias("__v")))
     slack = 3 / ACCURACY
     edges = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
     sketch = own.groupBy("__g").agg(F.count("__v").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.percentile_approx("__v", edges, ACCURACY).alias("__e"))
+    sketch = checkpointed(sketch)  # a row a group
     whole = F.col("__n") < ACCURACY
 
     def bracket(k: int, p: float):

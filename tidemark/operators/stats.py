@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.quantiles import quantiles
+from tidemark.operators.rounds import checkpointed
 
 
 def buckets(df: DataFrame, by: str) -> DataFrame:
@@ -46,7 +47,7 @@ def average_rank(df: DataFrame, col: str, out: str, pieces: int = 64) -> DataFra
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """n, rank_ic."""
-    both = df.select(a, b).where(f"{a} is not null and {b} is not null").persist()  # read for the ranges' edges, the counts and the ranks
+    both = checkpointed(df.select(a, b).where(f"{a} is not null and {b} is not null"))  # read for the ranges' edges, the counts and the ranks
     ranked = average_rank(average_rank(both, a, "ra"), b, "rb")
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("rank_ic"))
 
@@ -153,6 +154,7 @@ def bootstrap_sharpe(rets: DataFrame, draws: int = 10_000, seed: int = 42, rf: f
     same however they are laid out. ``DRAWS`` draws of a strategy are a row that carries its days, which number hundreds a year.
     """
     days = rets.groupBy("strategy").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "ret"))), lambda x: x["ret"]).alias("r"))
+    days = checkpointed(days)
     first = F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(DRAWS)))
     blocks = days.select("strategy", "r", first.alias("first"))
     blocks = blocks.repartition(rets.sparkSession.sparkContext.defaultParallelism, "strategy", "first")
