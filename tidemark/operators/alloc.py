@@ -77,23 +77,29 @@ def tilt(mu: np.ndarray, base: np.ndarray, k: float = 1.0, low: float = 0.005, h
     return w / w.sum()
 
 
+def project(v: np.ndarray, high: float) -> np.ndarray:
+    """The nearest weights with sum 1 and 0 <= w <= ``high``: ``v`` less one number, clipped. The sum falls piecewise linearly with that number, so it is found between two of the bends."""
+    own = np.sort(v)
+    total = np.concatenate([[0.0], np.cumsum(own)])
+    bends = np.sort(np.concatenate([own - high, own]))
+    low, full = np.searchsorted(own, bends, "right"), np.searchsorted(own, bends + high, "left")
+    sums = high * (len(v) - full) + total[full] - total[low] - bends * (full - low)
+    k = max(int(np.searchsorted(-sums, -1.0, "right")) - 1, 0)
+    if k + 1 == len(bends) or sums[k] <= sums[k + 1]:
+        return np.clip(v - bends[k], 0, high)
+    return np.clip(v - bends[k] - (sums[k] - 1) / (sums[k] - sums[k + 1]) * (bends[k + 1] - bends[k]), 0, high)
+
+
 def mean_variance(mu: np.ndarray, cov: np.ndarray, aversion: float = 2.5, high: float = 0.10, rounds: int = 5000) -> np.ndarray:
     """max w'mu - aversion / 2 w'Cw with sum 1 and 0 <= w <= high, by accelerated projected gradients; a bound too low for a sum of 1 is raised."""
     n = len(mu)
     high = max(high, 1 / n)
 
-    def project(v: np.ndarray) -> np.ndarray:
-        lo, hi = v.min() - high, v.max()
-        for _ in range(100):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if np.clip(v - mid, 0, high).sum() > 1 else (lo, mid)
-        return np.clip(v - (lo + hi) / 2, 0, high)
-
     step = 1 / max(aversion * np.linalg.eigvalsh(cov)[-1], 1e-12)
     w = y = np.full(n, 1 / n)
     t = 1.0
     for _ in range(rounds):
-        new = project(y + step * (mu - aversion * cov @ y))
+        new = project(y + step * (mu - aversion * cov @ y), high)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, t = new + (t - 1) / t2 * (new - w), t2
         if np.abs(new - w).max() < 1e-13:
@@ -248,4 +254,6 @@ def allocate(sums: DataFrame, at: DataFrame, views: DataFrame, names: list[str],
 
     marks = at.select("rebal_date", F.col("ticker").alias("a"), F.lit(None).cast("string").alias("b"), *[F.lit(None).cast(k).alias(c) for c, k in sums.dtypes if c in SUMS])
     both = sums.select("rebal_date", "a", "b", *SUMS).unionByName(marks)
+    tasks = 4 * sums.sparkSession.sparkContext.defaultParallelism  # few rows and long sums: a date a task, as far as there are tasks
+    both, views = both.repartition(tasks, "rebal_date"), views.repartition(tasks, "rebal_date")
     return both.groupBy("rebal_date").cogroup(views.groupBy("rebal_date")).applyInPandas(run, "strategy string, rebal_date date, ticker string, w double, held boolean")

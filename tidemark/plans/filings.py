@@ -438,14 +438,16 @@ def ensemble_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def rolling_covariance(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(alloc.covariance(alloc.moments(d.rets(spark, sf), d.periods(spark, sf))))
+    r = d.rets(spark, sf)
+    return rounded(alloc.covariance(alloc.moments(r, d.periods(spark, sf, r))))
 
 
-def allocated(spark: SparkSession, sf: str, p: DataFrame | None = None, u: DataFrame | None = None) -> DataFrame:
+def allocated(spark: SparkSession, sf: str, p: DataFrame | None = None, u: DataFrame | None = None, r: DataFrame | None = None) -> DataFrame:
     """strategy, rebal_date, ticker, w, held of the strategies that ``alloc`` knows."""
+    r = d.rets(spark, sf) if r is None else r
     if p is None or u is None:
-        p, u = d.setting(spark, sf)
-    sums = alloc.moments(d.rets(spark, sf), p)
+        p, u = d.setting(spark, sf, r)
+    sums = alloc.moments(r, p)
     return alloc.allocate(sums, d.at_rebalances(p, u), _sigma_views(spark, sf, p, u), [*alloc.STRATEGIES, *alloc.FREE])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import prompts
 from tidemark.functions import text as t
 from tidemark.operators import alloc, annotate, backtest, coverage, evaluate, metrics, panel, sampling, stats
+from tidemark.operators.rounds import checkpointed
 from tidemark.plans import domain as d
 from tidemark.plans import filings as f
 from tidemark.plans.market import rounded
@@ -31,12 +32,13 @@ def query(oracle: str | None = None):
 # --- all strategies ---
 
 
-def every_backtest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def every_backtest(spark: SparkSession, sf: str, r: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Daily returns and rebalances of all eleven strategies; where no covariance can be had, drifted weights are kept."""
-    p, u = d.setting(spark, sf)
-    own = f.allocated(spark, sf, p, u).persist()
+    r = d.rets(spark, sf) if r is None else r
+    p, u = d.setting(spark, sf, r)
+    own = checkpointed(f.allocated(spark, sf, p, u, r))
     targets = d.weights(spark, sf, p, u).unionByName(own.where("not held").select("strategy", "rebal_date", "ticker", "w"))
-    return backtest.run(d.rets(spark, sf), p, targets.persist(), u, held=own.where("held"))
+    return backtest.run(r, p, targets, u, held=own.where("held"))
 
 
 @query()
@@ -53,10 +55,10 @@ LEGS = {"smb": "ord <= n / 2", "hml": "ord % 2 = 0", "rmw": "ord % 3 = 0", "cma"
 MODELS = {"CAPM": ["mkt"], "FF3": ["mkt", "smb", "hml"], "FF5": ["mkt", "smb", "hml", "rmw", "cma"], "FF5+Mom": ["mkt", "smb", "hml", "rmw", "cma", "mom"]}
 
 
-def panel_factors(spark: SparkSession, sf: str) -> DataFrame:
+def panel_factors(spark: SparkSession, sf: str, r: DataFrame | None = None) -> DataFrame:
     """date, mkt and five legs of the panel's own assets: the mean return of those in a leg less that of the others."""
-    u = d.universe(spark, sf)
-    r = d.rets(spark, sf).join(u, "ticker").crossJoin(F.broadcast(u.agg(F.count(F.lit(1)).alias("n"))))
+    u = d.dim(d.universe(spark, sf))
+    r = (d.rets(spark, sf) if r is None else r).join(u, "ticker").crossJoin(F.broadcast(u.agg(F.count(F.lit(1)).alias("n"))))
     leg = lambda c: (F.avg(F.when(F.expr(c), F.col("ret"))) - F.avg(F.when(~F.expr(c), F.col("ret"))))
     return r.groupBy("date").agg(F.avg("ret").alias("mkt"), *[leg(c).alias(k) for k, c in LEGS.items()])
 
@@ -75,11 +77,12 @@ def factor_returns(spark: SparkSession, sf: str) -> DataFrame:
 def factor_models(spark: SparkSession, sf: str) -> DataFrame:
     """Alpha (percent a year), its t, p and stars, betas and R2 of every strategy on the four model sets, and of tilted-positive minus equal weight on the largest."""
     rf = 0.02 / metrics.YEAR
-    net = every_backtest(spark, sf)[0].persist()
+    r = d.rets(spark, sf)
+    net = every_backtest(spark, sf, r)[0]
     wide = net.where("strategy in ('bl_llm_tilt_pos', 'equal_weight')").groupBy("date").pivot("strategy", ["bl_llm_tilt_pos", "equal_weight"]).agg(F.first("ret"))
     apart = wide.select(F.lit("long_short").alias("strategy"), "date", (F.col("bl_llm_tilt_pos") - F.col("equal_weight")).alias("y")).where("y is not null")
     own = net.select("strategy", "date", (F.col("ret") - rf).alias("y"))
-    fa = panel_factors(spark, sf)
+    fa = checkpointed(panel_factors(spark, sf, r))
     out = None
     for model, names in MODELS.items():
         rows = own.unionByName(apart) if model == "FF5+Mom" else own
@@ -116,12 +119,13 @@ def random_splits(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def split_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """Sharpe ratios of the best and worst views in ten random halves: mean, population deviation, wins, paired t and p."""
-    p, u = d.setting(spark, sf)
+    r = d.rets(spark, sf)
+    p, u = d.setting(spark, sf, r)
     own = random_splits(spark, sf).select("split", "ticker").join(u, "ticker")
-    a = d.active(spark, sf, p, u).persist()
+    a = checkpointed(d.active(spark, sf, p, u))
     legs = [backtest.ranked_views(p, own, a, 3, best, ["split"]).withColumn("strategy", F.concat(F.lit(f"{name}/"), "split")) for name, best in (("top", True), ("bottom", False))]
     out = legs[0].unionByName(legs[1]).select("strategy", "rebal_date", "ticker", "w")
-    net = backtest.run(d.rets(spark, sf), p, out.persist(), u)[0]
+    net = backtest.run(r, p, out, u)[0]
     m = metrics.metrics(net).select(F.split("strategy", "/")[0].alias("name"), F.split("strategy", "/")[1].cast("int").alias("split"), "sharpe")
     wide = m.groupBy("split").pivot("name", ["top", "bottom"]).agg(F.first("sharpe"))
     return rounded(stats.paired(wide, "top", "bottom"))
