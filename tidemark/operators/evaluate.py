@@ -33,8 +33,8 @@ def greedy(scores: list[tuple[float, int, int]], threshold: float = 60.0, look:
     return out
 
 
-#: Tasks that a document's events are dealt to; bins of a histogram of characters.
-SPREAD, BINS = 16, 32
+#: Tasks that a document's events are dealt to, if it has more than ``PAIRS`` pairs; bins of a histogram of characters.
+SPREAD, BINS, PAIRS = 16, 32, 4096
 
 
 def _measured(df: DataFrame, number: str, side: str) -> DataFrame:
@@ -50,7 +50,7 @@ def _measured(df: DataFrame, number: str, side: str) -> DataFrame:
     def measure(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(a, b) for a, b in zip(text, quote, strict=True)], columns=["x", "q", "words", "hx", "hq"])
 
-    return df.select("doc", number, measure("text", "quote").alias(side))
+    return df.select("doc", number, *[c for c in df.columns if c == "__hot"], measure("text", "quote").alias(side))
 
 
 def _bound(a: str, b: str) -> Column:
@@ -69,15 +69,21 @@ def _bound(a: str, b: str) -> Column:
 
 def scored_pairs(events: DataFrame, gold: DataFrame, least: float) -> DataFrame:
     """doc, i, j, score of the pairs of a document's events and gold events that score ``least`` or more: the larger of the texts' ``token_set_ratio`` and the quotes' ``partial_ratio``, 0 where
-    either is missing. Pairs that cannot, by an upper bound that is found in the JVM, are never scored. A document's events are dealt to ``SPREAD`` tasks."""
+    either is missing. Pairs that cannot, by an upper bound that is found in the JVM, are never scored. The events of a document with more than ``PAIRS`` pairs are dealt to ``SPREAD`` tasks, and only its gold events
+    are repeated for them."""
 
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series, q: pd.Series, r: pd.Series) -> pd.Series:
         quotes = t.partial_ratios(list(zip(q, r, strict=True)))
         return pd.Series([max(t.token_set_ratio(a, b), s if c and d else 0.0) for a, b, c, d, s in zip(x, y, q, r, quotes, strict=True)], dtype=float)
 
-    left = _measured(events, "i", "a").withColumn("__salt", F.pmod(F.xxhash64("i", "a.x"), F.lit(SPREAD)))
-    right = _measured(gold, "j", "b").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<long>")))
+    sizes = events.groupBy("doc").agg(F.count(F.lit(1)).alias("m")).join(gold.groupBy("doc").agg(F.count(F.lit(1)).alias("n")), "doc")
+    hot = checkpointed(sizes.where(F.col("m") * F.col("n") > PAIRS).select("doc", F.lit(True).alias("__hot")))
+    known = lambda df: df.join(hot, "doc", "left") if not hot.isEmpty() else df.withColumn("__hot", F.lit(None).cast("boolean"))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64("i", "a.x"), F.lit(SPREAD))).otherwise(0)
+    left = _measured(known(events), "i", "a").withColumn("__salt", salt).drop("__hot")
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")
+    right = _measured(known(gold), "j", "b").withColumn("__salt", F.explode(salts)).drop("__hot")
     likely = left.join(right, ["doc", "__salt"]).where(_bound("a", "b") >= least - 1e-9)
     return likely.select("doc", "i", "j", score("a.x", "b.x", "a.q", "b.q").alias("score")).where(F.col("score") >= least)
 
