@@ -62,6 +62,8 @@ BLOCK, BLOCK_BYTES, COLUMNS = 1024, 8 << 20, 4 << 20
 SEEN = 100_000
 #: Entries that a task packs at a time, entries of a slice (about), and classes of one packing from which a signature is dealt to other slices.
 PACK, SLICE, MANY = 1 << 18, 1 << 19, 32
+#: Bytes of sets or sketches that one pass shuffles, about: work on more is cut into passes, whose shuffle files go one after the other.
+PASS = 1 << 30
 #: Bits of a parity sketch for each feature of the set, and their least number.
 SKETCH, SKETCH_LEAST = 2, 128
 
@@ -307,7 +309,7 @@ def buckets(rows: DataFrame, packing: Packing) -> DataFrame:
                 keys.append(k)
         yield from done()
 
-    return rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(trimmed(run), "bucket long, key long").distinct()
+    return rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(trimmed(run), "bucket long, key long")
 
 
 def met(short: DataFrame) -> DataFrame:
@@ -483,6 +485,25 @@ def in_groups(rows: DataFrame, keys: list[str], links) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), "a long, b long")
 
 
+def passes(amount: DataFrame) -> int:
+    """How many passes ``amount`` (one row, bytes) takes."""
+    return max(1, -(-int(amount.first()[0] or 0) // PASS))
+
+
+def share(k: int, count: int, *keys: str) -> Column:
+    """Whether a row's keys belong to pass ``k`` of ``count``."""
+    return F.lit(True) if count == 1 else F.pmod(F.xxhash64(*keys), F.lit(count)) == k
+
+
+def in_turn(work: Work, name: str, count: int, one) -> DataFrame:
+    """The union of ``one(0)`` to ``one(count - 1)``, each written before the next begins."""
+    out = None
+    for k in range(count):
+        own = work.save(one(k), f"{name}-{k}")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def parts_of(size: Column) -> Column:
     """Blocks of a cluster: of ``BLOCK`` sets at most, and up to eight smaller ones, so that a middling cluster's work is spread too."""
     return F.greatest(F.ceil(size / BLOCK), F.least(F.lit(8), F.ceil(8 * size / BLOCK))).cast("int")
@@ -508,19 +529,31 @@ def by_members(t: pa.Table, num: int, den: int) -> list[tuple[int, int]]:
     return forest([np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()], _split(t), num, den)
 
 
-def unresolved(rows: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: pairs of different components that share a bucket and can link by their sketches, as spanning forests. ``rows``: bucket, fp, comp."""
+def unresolved_bytes(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """One row: the bytes of sketches that ``unresolved`` brings together."""
+    each = rows.join(sketches.select("fp", F.length("sketch").alias("bytes")), "fp").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"))
+    return each.where("lo <> hi").agg(F.sum(F.col("bytes") * F.ceil(F.col("size") / BLOCK)))
+
+
+def unresolved(rows: DataFrame, sketches: DataFrame, num: int, den: int, k: int = 0, count: int = 1) -> DataFrame:
+    """a, b: pairs of different components that share a bucket and can link by their sketches, as spanning forests. ``rows``: bucket, fp, comp. Of ``count`` passes the ``k``-th."""
     stats = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
     nb = stats.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
-    out = in_groups(blocked(rows, "bucket", nb).join(sketches, "fp"), ["bucket", "p", "q"], partial(by_sketch, num=num, den=den))
+    out = in_groups(blocked(rows, "bucket", nb).where(share(k, count, "bucket", "p", "q")).join(sketches, "fp"), ["bucket", "p", "q"], partial(by_sketch, num=num, den=den))
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def resolved(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: the links of each cluster (node, comp) by whole sets, as spanning forests of blocks. ``clusters`` is a written table."""
-    own = clusters.select(F.col("node").alias("fp"), F.col("comp").alias("cluster")).join(sets, "fp")
-    size = own.groupBy("cluster").agg(F.greatest(parts_of(F.count(F.lit(1))), F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int")).alias("nb"))
-    return in_groups(blocked(own, "cluster", size), ["cluster", "p", "q"], partial(by_members, num=num, den=den))
+def cluster_blocks(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """cluster, nb, bytes: the blocks of each cluster (node, comp), and the bytes of its sets."""
+    own = clusters.select(F.col("node").alias("fp"), F.col("comp").alias("cluster")).join(sets.select("fp", "n"), "fp")
+    return own.groupBy("cluster").agg(F.greatest(parts_of(F.count(F.lit(1))), F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int")).alias("nb"), (F.sum("n") * 8).alias("bytes"))
+
+
+def resolved(clusters: DataFrame, sets: DataFrame, num: int, den: int, k: int = 0, count: int = 1) -> DataFrame:
+    """a, b: the links of each cluster (node, comp) by whole sets, as spanning forests of blocks. ``clusters`` is a written table. Sets join their blocks last. Of ``count`` passes the ``k``-th."""
+    own = clusters.select(F.col("node").alias("fp"), F.col("comp").alias("cluster"))
+    rows = blocked(own, "cluster", cluster_blocks(clusters, sets).select("cluster", "nb")).where(share(k, count, "cluster", "p", "q")).join(sets, "fp")
+    return in_groups(rows, ["cluster", "p", "q"], partial(by_members, num=num, den=den))
 
 
 def grouped(work: Work, docs: DataFrame, words: int, num: int, den: int, parts: int) -> DataFrame:
@@ -531,8 +564,10 @@ def grouped(work: Work, docs: DataFrame, words: int, num: int, den: int, parts:
     count, features = classes.agg(F.count(F.lit(1)), F.sum("n")).first()
     packing = Packing(count, features or 0, num, den, parts)
     short = classes.select("fp", packing.key_column(F.col("fp")).alias("key"))
-    multi = buckets(signed(docs, words, num, den, parts, packing), packing).join(short, "key").select("bucket", "fp")
+    # the signatures' shuffle files go before anything else is shuffled
+    multi = work.save(buckets(signed(docs, words, num, den, parts, packing), packing), "slices").distinct().join(short, "key").select("bucket", "fp")
     multi = work.save(multi.unionByName(met(short)), "buckets")
+    work.drop("slices")
     sketches = work.save(described(docs, multi.select("fp").distinct().join(classes, "fp"), words, "sketch"), "sketches")
 
     # a bucket's centre: the member whose buckets are largest, as a rule the text that the others were made from
@@ -544,17 +579,26 @@ def grouped(work: Work, docs: DataFrame, words: int, num: int, den: int, parts:
     best = votes.groupBy("fp").agg(F.max(F.struct("c", "pop", "centre")).alias("s"))
     first = work.save(best.select(F.col("fp").alias("a"), F.col("s.centre").alias("b")), "first")
     first = work.save(promising(first, sketches, num, den), "promising")
-    ends = first.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = work.save(described(docs, ends.join(classes, "fp"), words, "members"), "sets")
-    label = components(checked(first, sets, num, den), keep=work, name="components")
+    ends = first.select(F.explode(F.array("a", "b")).alias("fp"))
+    turns = passes(ends.join(classes.select("fp", "n"), "fp").agg(F.sum("n") * 8))
+
+    def centres(k: int) -> DataFrame:  # copies of one centre are one pass's
+        work.drop("sets")
+        pairs = first.where(share(k, turns, "b"))
+        own = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        return checked(pairs, work.save(described(docs, own.join(classes, "fp"), words, "members"), "sets"), num, den)
+
+    label = components(in_turn(work, "linked", turns, centres), keep=work, name="components")
     work.drop("sets", "known", "first", "promising")
 
     rows = multi.join(label.select(F.col("node").alias("fp"), "comp"), "fp", "left").select("bucket", "fp", F.coalesce("comp", "fp").alias("comp"))
     rows = work.save(rows, "rows")
-    clusters = components(unresolved(rows, sketches, num, den), keep=work, name="clusters")
+    turns_ = passes(unresolved_bytes(rows, sketches))
+    clusters = components(in_turn(work, "possible", turns_, lambda k: unresolved(rows, sketches, num, den, k, turns_)), keep=work, name="clusters")
     work.drop("rows", "buckets", "sketches")
     sets = work.save(described(docs, clusters.select(F.col("node").alias("fp")).join(classes, "fp"), words, "members"), "sets")
-    second = work.save(resolved(clusters, sets, num, den), "second")
+    blocks = passes(cluster_blocks(clusters, sets).agg(F.sum(F.col("bytes") * F.col("nb"))))
+    second = in_turn(work, "second", blocks, lambda k: resolved(clusters, sets, num, den, k, blocks))
     work.drop("sets", "clusters")
     up = label.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
     contracted = second.join(up, "a", "left").join(up.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left")
