@@ -14,7 +14,14 @@ from tidemark.operators.rounds import checkpointed
 SPAN = (date(1995, 1, 1), date(2001, 12, 31))
 
 
+#: Bytes of an Arrow batch: rows may be long texts, and Python holds a batch and what it makes of it.
+BATCH = 8 << 20
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    unset = f"{BATCH + 1}b"
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", unset) == unset:  # the session names no bound of its own
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH}b")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
