@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -273,11 +274,17 @@ PLAIN = {
 DROPPED = "\u00ad\u200b"
 #: White space, beside what NFKC makes a blank.
 BLANKS = r"[\s\x1c-\x1f\x85\u1680\u2028\u2029]+"
-_MAP = str.maketrans(PLAIN | dict.fromkeys(DROPPED, ""))
+_REPLACED = tuple((PLAIN | dict.fromkeys(DROPPED, "")).items())
 
 
 def normalised(text: str | None) -> str:
-    return " ".join(unicodedata.normalize("NFKC", text or "").translate(_MAP).lower().split())
+    x = text or ""
+    if not x.isascii():  # ASCII is composed, and holds nothing to replace
+        if not unicodedata.is_normalized("NFKC", x):
+            x = unicodedata.normalize("NFKC", x)
+        for old, new in _REPLACED:
+            x = x.replace(old, new)
+    return " ".join(x.lower().split())
 
 
 @lru_cache(1)
@@ -371,12 +378,129 @@ def window_lcs(pairs: list[tuple[str, str]]) -> list[np.ndarray]:
     return [found[end - c * n :][: len(b) + n - 1] for (_, b), c, end in zip(pairs, counts, ends, strict=True)]
 
 
+#: Bits of a machine word that hold characters; the one above takes the carry.
+BITS = 63
+#: Length up to which the shorter text is compared by bits; beyond, combing costs less.
+BY_BITS = 4 * BITS
+#: Windows that are bounded together, by the stretch that holds them all.
+STRIDE = 8
+#: Characters of longer texts, and windows, that are worked on at once: small enough for the caches, large enough to outweigh a step's fixed cost.
+CHARACTERS, WINDOWS = 150_000, 16_000
+
+
+@lru_cache(1)
+def _rows() -> np.ndarray:
+    """For each code point the row of a pair's table of bits; all 0 between calls."""
+    return np.zeros(0x110000, np.int16)
+
+
+def _bits(pairs: list[tuple[str, str]], rooms: list[int]) -> np.ndarray:
+    """(words, sum of ``rooms``): for each character of each ``b`` the places at which its ``a`` has it, as bits; none in the rest of its room."""
+    n, rows, at = len(pairs[0][0]), _rows(), 0
+    place = np.arange(n)
+    word, bit, number = place // BITS, np.uint64(1) << (place % BITS).astype(np.uint64), (place + 1).astype(np.int16)
+    out = np.zeros((-(-n // BITS), sum(rooms)), np.uint64)
+    for (a, b), room in zip(pairs, rooms, strict=True):
+        x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+        rows[x] = number
+        table = np.zeros((len(out), n + 1), np.uint64)
+        np.bitwise_or.at(table, (word, rows[x]), bit)
+        own = rows[y].astype(np.intp)
+        for w, t in enumerate(table):
+            np.take(t, own, out=out[w, at : at + len(b)], mode="clip")
+        rows[x] = 0
+        at += room
+    return out
+
+
+def _advance(v: np.ndarray, steps: Iterable[Iterable[np.ndarray]]) -> Iterator[None]:
+    """Hyyrö's rows of the longest common subsequence for many pairs at once: ``steps`` gives, for each next character, the bits of each word. The zeros in ``v`` are the length so far."""
+    full, shift = np.uint64((1 << BITS) - 1), np.uint64(BITS)
+    u, x, carry = (np.empty_like(v[0]) for _ in range(3))
+    for masks in steps:
+        for w, m in enumerate(masks):
+            np.bitwise_and(v[w], m, out=u)
+            np.bitwise_xor(v[w], u, out=x)
+            np.add(v[w], u, out=u)
+            if w:
+                np.add(u, carry, out=u)
+            if w + 1 < len(v):
+                np.right_shift(u, shift, out=carry)
+                np.bitwise_and(u, full, out=u)
+            np.bitwise_or(u, x, out=v[w])
+        yield
+
+
+def _start(words: int, n: int) -> np.ndarray:
+    v = np.full((words, n), (1 << BITS) - 1, np.uint64)
+    v[-1] = (1 << BITS + 1) - 1
+    return v
+
+
+def _found(v: np.ndarray) -> np.ndarray:
+    return BITS * len(v) + 1 - np.bitwise_count(v).sum(axis=0, dtype=np.int64)
+
+
+def _ends(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """For each (a, b) the best ratio of ``a``, all of one length, with a part of ``b`` that is shorter and stands at its beginning or end."""
+    n, best = len(pairs[0][0]), np.zeros(len(pairs))
+    if n > 1:
+        for side in ([(a, b[: n - 1]) for a, b in pairs], [(a[::-1], b[: -n : -1]) for a, b in pairs]):
+            m = _bits(side, [n - 1] * len(side)).reshape(-1, len(side), n - 1).transpose(2, 0, 1).copy()
+            v = _start(m.shape[1], len(side))
+            for i, _ in enumerate(_advance(v, m), 1):
+                np.maximum(best, 200.0 * _found(v) / (n + i), out=best)
+    return best
+
+
+def _best(pairs: list[tuple[str, str]], best: np.ndarray) -> np.ndarray:
+    """For each (a, b), where every ``a`` has one length and no ``b`` is shorter, the best ratio of ``a`` with a window of ``b`` as long as it, or ``best`` if that is more.
+
+    ``STRIDE`` windows that follow each other lie in one stretch, whose longest common subsequence with ``a`` bounds theirs. All stretches are
+    measured; then each pair's best one is, window by window, and after that those that may hold more than what is found.
+    """
+    n = len(pairs[0][0])
+    windows = np.array([len(b) - n + 1 for _, b in pairs])
+    rooms = [-(-(len(b) + STRIDE - 1) // STRIDE) * STRIDE for _, b in pairs]
+    bits = _bits(pairs, rooms)
+    columns = bits.reshape(len(bits), -1, STRIDE).transpose(0, 2, 1).copy()
+    steps = n + STRIDE - 1
+    size = columns.shape[2] - (steps - 1) // STRIDE
+    v = _start(len(bits), size)
+    for _ in _advance(v, (columns[:, t % STRIDE, t // STRIDE : t // STRIDE + size] for t in range(steps))):
+        pass
+    counts = -(-windows // STRIDE)
+    begin = np.cumsum([0, *rooms[:-1]])
+    pair = np.repeat(np.arange(len(pairs)), counts)
+    offset = np.arange(len(pair)) - np.repeat(np.cumsum(counts) - counts, counts)
+    bound = _found(v)[begin[pair] // STRIDE + offset]
+
+    def measure(some: np.ndarray) -> None:
+        for at in range(0, len(some), WINDOWS // STRIDE):
+            part = some[at : at + WINDOWS // STRIDE]
+            first = (offset[part, None] * STRIDE + np.arange(STRIDE)).ravel()
+            own = np.repeat(pair[part], STRIDE)
+            own, first = own[there := first < windows[own]], first[there]
+            where, v = begin[own] + first, _start(len(bits), len(own))
+            for _ in _advance(v, ([word[where + t] for word in bits] for t in range(n))):
+                pass
+            np.maximum.at(best, own, 200.0 * _found(v) / (2 * n))
+
+    order = np.lexsort((-bound, pair))
+    top = order[np.cumsum(counts) - counts]
+    first = np.zeros(len(pair), bool)
+    first[top] = True
+    for some in (first, ~first):
+        measure(np.flatnonzero(some & (200.0 * bound / (2 * n) > best[pair])))
+    return best
+
+
 #: Cells of an antidiagonal that are combed at once: small enough for the caches, large enough to outweigh a step's fixed cost.
 CELLS = 60_000
 
 
-def partial_ratios(pairs: list[tuple[str, str]]) -> list[float]:
-    """``partial_ratio`` of each pair, those of one length combed together."""
+def partial_ratios(pairs: list[tuple[str, str]], floor: float = 0.0) -> list[float]:
+    """``partial_ratio`` of each pair, those of one length together; what is at most ``floor`` may be given as any number up to it."""
     out, by = [0.0] * len(pairs), {}
     for i, (a, b) in enumerate(pairs):
         a, b = (b, a) if len(a) > len(b) else (a, b)
@@ -385,6 +509,15 @@ def partial_ratios(pairs: list[tuple[str, str]]) -> list[float]:
         else:
             by.setdefault(len(a), []).append((i, a, b))
     for n, own in by.items():
+        if n <= BY_BITS:
+            ends = np.concatenate([_ends([x[1:] for x in own[i : i + 1000]]) for i in range(0, len(own), 1000)])
+            ends = np.maximum(ends, floor)
+            sizes = np.cumsum([len(x[2]) for x in own]) // CHARACTERS
+            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(own)]
+            for x, y in itertools.pairwise(cuts):
+                for (i, _, _), score in zip(own[x:y], _best([z[1:] for z in own[x:y]], ends[x:y]).tolist(), strict=True):
+                    out[i] = score
+            continue
         while own:
             take, cells = [], 0
             while own and (not take or cells < CELLS):

@@ -142,7 +142,7 @@ def one_stage(answers: DataFrame, filings: DataFrame, key: str, least: int = 10)
     own = own.where(F.col("v").isNotNull() & F.array_contains("__has", "view_bps") & F.array_contains("__has", "confidence") & (F.length("v.reasoning") >= least))
     view = own.select(key, s.clamp_round(F.col("v.view_bps")).alias("view_bps"), s.coerce_confidence(F.col("v.confidence")).alias("confidence"), F.col("v.reasoning").alias("reasoning"), F.coalesce("v.supporting_quotes", F.array().cast("array<string>")).alias("__quotes"))
     quotes = view.select(key, F.explode("__quotes").alias("quote")).join(filings.select(key, F.col("text").alias("doc")), key)
-    counts = grounding.grounded(quotes).groupBy(key).agg(F.sum(F.col("grounded").cast("int")).alias("grounded"))
+    counts = grounding.grounded(quotes, scores=False).groupBy(key).agg(F.sum(F.col("grounded").cast("int")).alias("grounded"))
     out = view.join(counts, key, "left").withColumns({"total_quotes": F.size("__quotes"), "grounded": F.coalesce(F.col("grounded").cast("int"), F.lit(0))})
     return out.select(key, "view_bps", "confidence", "reasoning", "total_quotes", "grounded", (F.col("total_quotes") - F.col("grounded")).alias("dropped"))
 

@@ -1,7 +1,8 @@
-"""Whether quoted evidence occurs in its source: exactly inside the JVM, the rest by similarity."""
+"""Whether quoted evidence occurs in its source: exactly, or else by similarity."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 import pandas as pd
@@ -15,15 +16,15 @@ QUOTES = 100_000
 RESULT = "grounded boolean, score double, method string"
 
 
-def checks(quotes: Iterable[str | None], docs: Iterable[str], least: int = 30, threshold: float = 90.0) -> list[tuple[bool, float, str]]:
-    """``docs`` are normalised already. Similarities of all quotes are found together."""
+def checks(quotes: Iterable[str | None], docs: Iterable[str], least: int = 30, threshold: float = 90.0, floor: float = 0.0) -> list[tuple[bool, float, str]]:
+    """``docs`` are normalised already. Similarities of all quotes are found together; of one that is at most ``floor`` no more than that is found out."""
     out, open_ = [], {}
     for quote, doc in zip(quotes, docs, strict=True):
         q = t.normalised(quote)
         if q and q not in doc and len(q) >= least:
             open_[len(out)] = (q, doc)
         out.append((False, 0.0, "empty") if not q else (True, 100.0, "exact") if q in doc else (False, 0.0, "none"))
-    for i, s in zip(open_, t.partial_ratios(list(open_.values())), strict=True):
+    for i, s in zip(open_, t.partial_ratios(list(open_.values()), floor), strict=True):
         out[i] = (True, s, "fuzzy") if s >= threshold else (False, s, "none")
     return out
 
@@ -39,17 +40,17 @@ def exact(df: DataFrame, quote: str = "quote", doc: str = "doc") -> DataFrame:
     return both.withColumn("exact", (F.length("__q") > 0) & F.contains("__d", "__q")).drop("__q", "__d")
 
 
-def grounded(df: DataFrame, quote: str = "quote", doc: str = "doc", least: int = 30, threshold: float = 90.0) -> DataFrame:
-    """Adds grounded, score, method. Exact hits are found first; only the others pay for similarity."""
+def grounded(df: DataFrame, quote: str = "quote", doc: str = "doc", least: int = 30, threshold: float = 90.0, scores: bool = True) -> DataFrame:
+    """Adds grounded, score, method; without ``scores`` only grounded and method, which cost less. Each text is normalised once."""
+    floor = 0.0 if scores else math.nextafter(threshold, 0.0)  # less than any score that grounds
 
     @F.pandas_udf(RESULT)
-    def fuzzy(q: pd.Series, d: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(checks(q, map(t.normalised, d), least, threshold), columns=["grounded", "score", "method"])
+    def check_all(q: pd.Series, d: pd.Series) -> pd.DataFrame:
+        docs = (t.normalised(y) if x else "" for x, y in zip(q, d, strict=True))
+        return pd.DataFrame(checks(q, docs, least, threshold, floor), columns=["grounded", "score", "method"])
 
-    own = exact(df, quote, doc)
-    hit = own.where("exact").select(*df.columns, F.lit(True).alias("grounded"), F.lit(100.0).alias("score"), F.lit("exact").alias("method"))
-    rest = own.where("not coalesce(exact, false)").drop("exact").repartition(df.sparkSession.sparkContext.defaultParallelism * 4).withColumn("__r", fuzzy(quote, doc)).select(*df.columns, "__r.grounded", "__r.score", "__r.method")
-    return hit.unionByName(rest)
+    own = df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4).withColumn("__r", check_all.asNondeterministic()(quote, doc))  # so that no filter repeats it
+    return own.select(*df.columns, *[f"__r.{c}" for c in ("grounded", "score", "method") if scores or c != "score"])
 
 
 def kept_facts(facts: DataFrame) -> DataFrame:

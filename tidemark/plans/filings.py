@@ -310,12 +310,12 @@ def grounded_quotes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def grounding_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(grounding.summary(grounding.grounded(_facts(spark, sf)), "kind"))
+    return rounded(grounding.summary(grounding.grounded(_facts(spark, sf), scores=False), "kind"))
 
 
 @query()
 def kept_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return grounding.kept_facts(grounding.grounded(_facts(spark, sf))).select("doc_id", "kind", "quote", "method")
+    return grounding.kept_facts(grounding.grounded(_facts(spark, sf), scores=False)).select("doc_id", "kind", "quote", "method")
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
